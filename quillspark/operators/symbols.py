@@ -63,6 +63,7 @@ class SymbolTables:
     """The tables of one or many projects."""
 
     modules: DataFrame
+    module_imports: DataFrame
     imports: DataFrame
     classes: DataFrame
     functions: DataFrame
@@ -160,6 +161,12 @@ def build_tables(parsed: DataFrame) -> SymbolTables:
         *key, stem.alias("stem"), (F.col("valid") & is_test_path(F.col("qualified_name"))).alias("is_test")
     )
 
+    origins = F.transform("imports", lambda i: i["from_statement"])
+    names = F.flatten(F.transform("imports", lambda i: i["imports"]))
+    module_imports = parsed.select(
+        "project", F.col("qualified_name").alias("module"), F.filter(origins, lambda o: o != "").alias("origins"),
+        F.array_distinct(F.concat(origins, names)).alias("texts"),
+    )
     imports = parsed.select(*key, F.explode("imports").alias("i")).select(
         "project", "module", "file_path", "i.ordinal", "i.from_statement", "i.imports"
     )
@@ -180,6 +187,7 @@ def build_tables(parsed: DataFrame) -> SymbolTables:
         named = is_test_name(f["name"], f["decorators"]) | (is_method & f["name"].isin(*LIFECYCLE))
         ncloc = F.size(F.filter("code_lines", lambda n: (n >= f["start_line"]) & (n <= f["end_line"])))
         branches = f["branches"] + 1
+        statements = F.filter("asserts", lambda a: (a["line"] >= f["start_line"]) & (a["line"] <= f["end_line"]))
         return F.struct(
             f["ordinal"].alias("ordinal"), f["class_ordinal"].alias("class_ordinal"),
             owner["class_name"].alias("class_name"),
@@ -190,6 +198,7 @@ def build_tables(parsed: DataFrame) -> SymbolTables:
             f["is_async"].alias("is_async"), f["start_line"].alias("start_line"), f["end_line"].alias("end_line"),
             ncloc.alias("ncloc"), (branches + f["bool_operators"]).alias("complexity"),
             F.when(f["is_async"], 1).otherwise(branches + f["asserts"] + f["bool_ops"]).alias("test_complexity"),
+            statements.alias("assert_statements"),
         )
 
     functions = parsed.select(*key, F.explode(F.transform("functions", function_row)).alias("f")).select(
@@ -226,7 +235,7 @@ def build_tables(parsed: DataFrame) -> SymbolTables:
         "project", "module", "file_path", "x.c.*", "x.function", "x.function_name", "x.receiver_import", "x.callee_import"
     )
     return SymbolTables(
-        modules=modules, imports=imports, classes=classes, functions=functions, call_sites=_call_sites(raw),
+        modules=modules, module_imports=module_imports, imports=imports, classes=classes, functions=functions, call_sites=_call_sites(raw),
         lambdas=parsed.select(*key, F.explode("lambdas").alias("l")).select("project", "module", "file_path", "l.*"),
         asserts=parsed.select(*key, F.explode("asserts").alias("a")).select("project", "module", "file_path", "a.*"),
     )
