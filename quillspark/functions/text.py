@@ -6,9 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Unicode blanks, and the characters that make up words: letters, numbers and the underscore.
+BLANK = r"[\s\x1c-\x1f]"
+WORD = r"\p{L}\p{N}_"
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, rf"(?U)^{BLANK}+|{BLANK}+$", "")
+
+
 def words(text: Column) -> Column:
-    """Non-empty tokens between runs of whitespace (Unicode aware)."""
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    """Non-empty tokens between runs of blanks."""
+    return F.filter(F.split(text, rf"(?U){BLANK}+"), lambda w: w != "")
 
 
 def word_set(text: Column) -> Column:
@@ -17,8 +26,8 @@ def word_set(text: Column) -> Column:
 
 def normalize_name(name: Column) -> Column:
     """Lower case, outer blanks off, punctuation out, inner blanks collapsed."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(name), r"(?U)^\s+|\s+$", ""), r"(?U)[^\w\s-]", "")
-    return F.regexp_replace(bare, r"(?U)\s+", " ")
+    bare = F.regexp_replace(strip(F.lower(name)), rf"(?U)[^{WORD}\s\x1c-\x1f-]", "")
+    return F.regexp_replace(bare, rf"(?U){BLANK}+", " ")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -60,7 +69,7 @@ def code_snippet(text: Column) -> Column:
 
 def short_reference(text: Column) -> Column:
     """First 300 characters without outer blanks, marked when longer."""
-    head = F.regexp_replace(F.substring(text, 1, 300), r"(?U)^\s+|\s+$", "")
+    head = strip(F.substring(text, 1, 300))
     return F.when(F.length(text) > 300, F.concat(head, F.lit("..."))).otherwise(head)
 
 
@@ -81,23 +90,38 @@ def any_contains(texts: Column, needles: list[str]) -> Column:
     return F.coalesce(F.exists(texts, lambda t: contains_any(t, needles)), F.lit(False))
 
 
+def is_code_line(line: Column) -> Column:
+    return ~line.rlike(rf"(?U)^{BLANK}*(#|$)")
+
+
 def code_line_count(lines: Column) -> Column:
     """Lines that are neither blank nor start with ``#``; docstring lines count."""
-    bare = F.transform(lines, lambda line: F.regexp_replace(line, r"(?U)^\s+", ""))
-    return F.size(F.filter(bare, lambda line: (line != "") & ~line.startswith("#")))
+    return F.size(F.filter(lines, is_code_line))
 
 
 def list_items(expr: Column) -> Column:
     """Items between the first ``[`` and the last ``]``, split on commas, blanks off, empties out."""
     inner = F.regexp_extract(expr, r"(?s)^[^\[]*\[(.*)\][^\]]*$", 1)
-    items = F.transform(F.split(inner, ","), lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", ""))
+    items = F.transform(F.split(inner, ","), strip)
     return F.filter(items, lambda t: t != "")
 
 
+def one_decimal(x: Column) -> Column:
+    """A non-negative double as text with one decimal, ties to even on its exact binary value.
+
+    Printing rounds by the shortest decimal form instead, which turns 31.25 into 31.3. The double is split
+    so that its distance from the nearest rounding border is computed without error.
+    """
+    tenths = F.floor(x * 10)
+    high = F.floor(x * F.lit(float(1 << 20))) / F.lit(float(1 << 20))
+    above = (high * 20 - (tenths * 2 + 1)) + (x - high) * 20
+    rounded = tenths + F.when((above > 0) | ((above == 0) & (tenths % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(rounded / 10).cast("string"), F.lit("."), (rounded % 10).cast("string"))
+
+
 def percent(part: Column, whole: Column) -> Column:
-    """``x.y%``, or ``0%`` for an empty whole."""
-    share = F.try_divide(part * F.lit(100.0), whole)
-    return F.when(whole > 0, F.format_string("%.1f%%", share)).otherwise(F.lit("0%"))
+    """``x.y%``; null for an empty whole."""
+    return F.concat(one_decimal(F.try_divide(part.cast("double"), whole) * 100), F.lit("%"))
 
 
 def last_part(path: Column, sep: str = "/") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import any_contains, list_items, module_stem
+from quillspark.functions.text import any_contains, list_items, module_stem, strip
 from quillspark.operators import rules
 from quillspark.operators.frameworks import substring_pairs
 from quillspark.operators.store import earliest, latest
@@ -161,7 +161,7 @@ def agent_tools(tables: SymbolTables, agents: DataFrame) -> DataFrame:
     expr = F.col("a.argument_expr")
     has_list = F.contains(expr, F.lit("[")) & F.contains(expr, F.lit("]"))
     quoted = expr.startswith('"') | expr.startswith("'")
-    bare = F.filter(F.array(F.regexp_replace(expr, r"(?U)^\s+|\s+$", "")), lambda t: t != "")
+    bare = F.filter(F.array(strip(expr)), lambda t: t != "")
     bound = F.when(F.col("binds") & ~quoted, F.when(has_list, list_items(expr)).otherwise(bare))
     given = F.when(F.col("is_constructor_call") & (F.col("a.arguments.name") == "tools") & has_list, list_items(expr))
     refs = calls.select(*FUNCTION_KEY, "ordinal", "arg", F.posexplode(F.coalesce(bound, given)).alias("item", "tool_name"))

@@ -222,7 +222,7 @@ def resolve_examples(found: DataFrame, examples: DataFrame) -> DataFrame:
 def resolve_consolidated(consolidated: DataFrame, inputs: DataFrame, references: DataFrame) -> DataFrame:
     """References of consolidated patterns: the distinct references of the 1-based inputs they cite."""
     numbered = with_position(inputs.select("seed"), [], ["seed"], "input")
-    cited = consolidated.select("pattern", F.explode("example_indices").cast("long").alias("input")).distinct()
+    cited = consolidated.select("pattern", F.explode(F.col("example_indices").cast("array<long>")).alias("input")).distinct()
     return (
         cited.join(numbered, "input").join(references, "seed")
         .groupBy("pattern", "file_path", "doc_id").agg(F.max("project").alias("project"))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import any_contains, contains_any
+from quillspark.functions.text import any_contains, contains_any, is_code_line
 from quillspark.operators.ordered import asof_backward
 from quillspark.operators.store import earliest, latest
 from quillspark.session import materialize
@@ -142,12 +142,7 @@ class SymbolTables:
 def build_parsed(sources: DataFrame) -> DataFrame:
     """Parse once and store: the analysis cache every table reads from."""
     lines = F.split("text", r"\r\n|\r|\n")
-    numbered = F.transform(
-        lines,
-        lambda line, i: F.when(
-            ~F.regexp_replace(line, r"(?U)^\s+", "").rlike(r"^(#|$)"), i + 1
-        ),
-    )
+    numbered = F.transform(lines, lambda line, i: F.when(is_code_line(line), i + 1))
     code = F.coalesce(F.filter(numbered, lambda n: n.isNotNull()), F.array().cast("array<int>"))
     spread = sources.repartition("project", "qualified_name")
     return materialize(parse_sources(spread).withColumn("code_lines", code).drop("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import any_contains, contains_any
+from quillspark.functions.text import any_contains, contains_any, strip
 from quillspark.operators import rules
 from quillspark.operators.frameworks import module_frameworks, substring_pairs
 from quillspark.operators.store import earliest
@@ -32,7 +32,7 @@ def _first_hint(text: Column, hints) -> Column:
 
 
 def _description(docstring: str = "docstring") -> Column:
-    bare = F.regexp_replace(docstring, r"(?U)^\s+|\s+$", "")
+    bare = strip(F.col(docstring))
     return F.when(bare != "", bare)
 
 
