@@ -84,7 +84,7 @@ def call_sites(spark, sf):
 
 
 def framework_detect(spark, sf):
-    return detected(spark, sf).select("project", "framework")
+    return frameworks.detected_frameworks(symbol_tables(spark, sf)).select("project", "framework")
 
 
 def _tool_columns(df):
@@ -124,18 +124,18 @@ def _detected_tools(spark, sf):
 
 
 def detected_tools(spark, sf):
-    return _tool_columns(_detected_tools(spark, sf))
+    return _tool_columns(tools.detect_tools(symbol_tables(spark, sf), detected(spark, sf)))
 
 
 def factory_agents(spark, sf):
     t = symbol_tables(spark, sf)
-    rows = agents.with_objects_created(t, factories(spark, sf))
+    rows = agents.with_objects_created(t, agents.factory_agents(t, detected(spark, sf)))
     return _big(rows.withColumnRenamed("module", "qualified_module_name"), "project", "framework", "name",
                 "qualified_module_name", "method_signature", "description", "ncloc", "complexity", "number_of_objects_created")
 
 
 def calling_agents(spark, sf):
-    rows = all_agents(spark, sf).where("agent_type = 'caller'")
+    rows = agents.calling_agents(symbol_tables(spark, sf), factories(spark, sf))
     return _big(rows.withColumnRenamed("module", "qualified_module_name"), "project", "framework", "name",
                 "qualified_module_name", "method_signature", "description", "ncloc", "complexity")
 

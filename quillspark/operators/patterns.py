@@ -35,16 +35,16 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def match_rank(name_a: Column, name_b: Column, desc_a: Column, desc_b: Column) -> Column:
+def match_rank(new: dict[str, Column], old: dict[str, Column]) -> Column:
     """How well a new pattern fits an existing one: 2 for the same name, else the combined score, else null.
 
     Fits when names are at least 0.8 similar, or names 0.5 and descriptions 0.6; combined = 0.7 name + 0.3
-    description.
+    description. Both sides give ``name``, ``name_words`` and ``description_words``.
     """
-    by_name = name_similarity(name_a, name_b)
-    by_desc = F.coalesce(jaccard(word_set(desc_a), word_set(desc_b)), F.lit(0.0))
+    by_name = name_similarity(new["name"], old["name"], new["name_words"], old["name_words"])
+    by_desc = jaccard(new["description_words"], old["description_words"])
     fits = (by_name >= 0.8) | ((by_name >= 0.5) & (by_desc >= 0.6))
-    return F.when(name_a == name_b, F.lit(2.0)).when(fits, by_name * 0.7 + by_desc * 0.3)
+    return F.when(new["name"] == old["name"], F.lit(2.0)).when(fits, by_name * 0.7 + by_desc * 0.3)
 
 
 def group_similar(cases: DataFrame) -> DataFrame:
@@ -70,13 +70,15 @@ def group_similar(cases: DataFrame) -> DataFrame:
     names = items.select(F.concat(F.lit("s:"), "name").alias("bucket")).distinct()
     buckets = shared_word.unionByName(contained.join(names, "bucket", "left_semi"))
 
-    def verify(early: str, late: str) -> Column:
-        def col(side: str, name: str) -> Column:
-            return F.col(side + name)
+    columns = ("name", "name_words", "description_words")
 
-        return match_rank(col(late, "name"), col(early, "name"), col(late, "description"), col(early, "description"))
+    def verify(early: str, late: str) -> Column:
+        return match_rank({c: F.col(late + c) for c in columns}, {c: F.col(early + c) for c in columns})
 
-    seeds = greedy_seeds(items.select("item", "name", "description"), buckets, verify)
+    worded = items.select(
+        "item", "name", word_set(F.col("name")).alias("name_words"), word_set(F.col("description")).alias("description_words")
+    )
+    seeds = greedy_seeds(worded, buckets, verify)
     found = items.join(seeds, "item").select("name", "description", F.col("seed").alias("pattern_seq"))
     return named.join(found, ["name", "description"]).select("seq", "pattern_seq")
 

@@ -106,7 +106,7 @@ def function_metrics(tables: SymbolTables) -> DataFrame:
 def lookup(tables: SymbolTables) -> DataFrame:
     """Functions by qualified name per project: the last definition, placed where the name first appeared."""
     place = F.struct("module", "ordinal")
-    rest = F.struct(*[c for c in tables.functions.columns if c not in ("project", "qualified_name")])
+    rest = F.struct("module", "ordinal", "name", "kind", "class_ordinal", "is_test", "parameters", "decorators")
     return tables.functions.groupBy("project", "qualified_name").agg(
         F.max_by(rest, place).alias("f"), F.min(place).alias("first_place")
     ).select("project", "qualified_name", "f.*", "first_place")

@@ -7,7 +7,7 @@ no shuffle and read only the nested columns they need. Tables are keyed by ``(pr
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -149,6 +149,13 @@ def build_parsed(sources: DataFrame) -> DataFrame:
 
 
 def build_tables(parsed: DataFrame) -> SymbolTables:
+    """The tables of parsed modules, stored flat so that each query reads only its columns and rows."""
+    views = table_views(parsed)
+    return SymbolTables(**{f.name: materialize(getattr(views, f.name)) for f in fields(views)})
+
+
+def table_views(parsed: DataFrame) -> SymbolTables:
+    """The tables as projections of parsed modules, without storing them."""
     key = [F.col("project"), F.col("qualified_name").alias("module"), F.col("file_path")]
     stem = _stem(F.col("file_path"))
     # An unreadable or invalid file is never a test module, whatever its path.
