@@ -206,19 +206,23 @@ def label_documents(docs: DataFrame, config: LabelConfig, cache: DataFrame | Non
     """
     rules_only = all(a.rule is not None for a in (config.labeler_a, config.labeler_b, config.adjudicator))
     if rules_only:
-        both = docs.select(
-            "*", _canonical(config.labeler_a.rule(), config.schema).alias("label_a"),
-            _canonical(config.labeler_b.rule(), config.schema).alias("label_b"), F.lit(None).cast("string").alias("error"),
-            prompts(docs, config.labeler_a, config).alias("prompt_a"), prompts(docs, config.labeler_b, config).alias("prompt_b"),
+        # One projection per step: an expensive rule is named once and then referred to, never repeated.
+        raw = docs.select("*", config.labeler_a.rule().alias("_a"), config.labeler_b.rule().alias("_b"))
+        both = raw.select(
+            "*", _canonical(F.col("_a"), config.schema).alias("label_a"), _canonical(F.col("_b"), config.schema).alias("label_b"),
+        )
+        judged = both.select("*", equal_labels(config).alias("_same")).select(
+            "*", F.when(~F.col("_same"), config.adjudicator.rule()).alias("_j")
         )
-        agreed = equal_labels(config)
-        ruling = _canonical(config.adjudicator.rule(), config.schema)
-        judge = prompts(both, config.adjudicator, config, a=F.col("label_a"), b=F.col("label_b"))
-        final = both.select(
-            "*", F.when(agreed, F.col("label_a")).otherwise(F.coalesce(ruling, "label_a")).alias("final_label"),
-            F.when(agreed, "agreement").when(ruling.isNull(), "error_fallback_to_a")
+        ruling = _canonical(F.col("_j"), config.schema)
+        judge = prompts(judged, config.adjudicator, config, a=F.col("label_a"), b=F.col("label_b"))
+        final = judged.select("*", ruling.alias("_ruling")).select(
+            *docs.columns, "label_a", "label_b", F.lit(None).cast("string").alias("error"),
+            prompts(docs, config.labeler_a, config).alias("prompt_a"), prompts(docs, config.labeler_b, config).alias("prompt_b"),
+            F.when(F.col("_same"), F.col("label_a")).otherwise(F.coalesce("_ruling", "label_a")).alias("final_label"),
+            F.when(F.col("_same"), "agreement").when(F.col("_ruling").isNull(), "error_fallback_to_a")
             .otherwise(f"adjudicator:{config.adjudicator.agent_id}").alias("decided_by"),
-            F.when(agreed, "").otherwise(judge).alias("prompt_adjudicator"),
+            F.when(F.col("_same"), "").otherwise(judge).alias("prompt_adjudicator"),
         )
     else:
         a, b = answer(docs, config.labeler_a, config, cache), answer(docs, config.labeler_b, config, cache)
@@ -242,11 +246,11 @@ def label_documents(docs: DataFrame, config: LabelConfig, cache: DataFrame | Non
 def label_rows(labeled: DataFrame, config: LabelConfig, created_at: Column) -> tuple[DataFrame, DataFrame]:
     """The store's per-agent label rows and final label rows of labeled documents."""
     per_agent = labeled.where("error IS NULL").select(
-        "doc_id", F.explode(F.array(
+        "doc_id", created_at.alias("created_at"), F.explode(F.array(
             F.struct(F.lit(config.labeler_a.agent_id).alias("agent_id"), F.col("label_a").alias("label_json")),
             F.struct(F.lit(config.labeler_b.agent_id).alias("agent_id"), F.col("label_b").alias("label_json")),
         )).alias("r"),
-    ).select("doc_id", "r.*", created_at.alias("created_at"))
+    ).select("doc_id", "r.*", "created_at")
     final = labeled.where("final_label IS NOT NULL").select(
         "doc_id", "decided_by", F.col("final_label").alias("label_json"), created_at.alias("created_at")
     )
