@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.sources.files import relative_path
+
 
 def append_table(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
@@ -66,8 +68,7 @@ def rewrite_label_files(originals: DataFrame, altered: DataFrame, input_root: st
     """Altered label files at their relative paths below another root, each beside its ``.json.bak`` original."""
     if output_root.rstrip("/") == input_root.rstrip("/"):
         raise ValueError("label files are never rewritten in place")
-    base = F.lit(input_root.rstrip("/"))
-    relative = F.substring_index(F.col("path"), base, -1)
+    relative = relative_path(F.col("path"), input_root)
     new = altered.select(relative.alias("path"), "body")
     if backup:
         kept = originals.join(altered.select("path"), "path", "left_semi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,12 @@ def binary_files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     return loaded.select("path", "content")
 
 
+def relative_path(path: Column, root: str) -> Column:
+    """``path`` below ``root``, whichever scheme and host spell the two."""
+    bare = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:/+", "/", root).rstrip("/")
+    return F.regexp_replace(path, rf"^.*?\Q{bare}\E/", "")
+
+
 def text_files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     """``(source, text)`` of documents below ``root``, malformed bytes ignored."""
     return binary_files(spark, root, suffix).select(
@@ -59,10 +67,8 @@ def python_sources(spark: SparkSession, root: str, project: str | None = None) -
     repositories. ``text`` is null for files that are not UTF-8.
     """
     files = binary_files(spark, root, ".py")
-    base = F.lit(root.rstrip("/") + "/")
     plain = F.regexp_replace("path", "^file:/+", "/")
-    tail = F.replace(F.when(plain.startswith(base), F.substring_index(plain, base, -1)).otherwise(plain), F.lit("\\"), F.lit("/"))
-    named = files.withColumn("_tail", tail)
+    named = files.withColumn("_tail", F.replace(relative_path(F.col("path"), root), F.lit("\\"), F.lit("/")))
     if project is not None:
         owner, name = F.lit(project), F.col("_tail")
     else:
@@ -151,11 +157,12 @@ def ranking_rows(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def pattern_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Stored patterns and the lines that could not be parsed (kept aside as the backup)."""
-    schema = schemas.PATTERN_ROWS + ", _corrupt_record string"
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
-    good = rows.where("pattern_id IS NOT NULL AND _corrupt_record IS NULL").drop("_corrupt_record")
-    return good, rows.where("_corrupt_record IS NOT NULL").select("_corrupt_record")
+    """Stored patterns, and the lines that could not be parsed (kept aside as the backup)."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    broken = F.try_parse_json("value").isNull()
+    parsed = F.from_json("value", schemas.PATTERN_ROWS, {"mode": "PERMISSIVE"}).alias("p")
+    good = lines.where(~broken).select(parsed).where("p.pattern_id IS NOT NULL").select("p.*")
+    return good, lines.where(broken)
 
 
 def stored_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
