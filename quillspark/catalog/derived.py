@@ -168,5 +168,5 @@ def symbol_tables(spark: SparkSession, sf: str) -> SymbolTables:
     """Symbol tables of the derived sources, parsed once per session and stored."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _tables:
-        _tables[key] = build_tables(build_parsed(source_files(spark, sf)))
+        _tables[key] = build_tables(build_parsed(source_files(spark, sf), spread=True))
     return _tables[key]

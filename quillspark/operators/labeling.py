@@ -131,8 +131,9 @@ def _invoke(requests: DataFrame, agent: Agent, rpm: int | None) -> DataFrame:
             yield pd.DataFrame([{"key": k, **r.__dict__} for k, r in zip(batch["key"], replies)],
                                columns=["key", *Reply.__dataclass_fields__])
 
-    # Even spread: prompts differ in cost, and one call must not wait for a skewed partition.
-    return requests.repartition("key").mapInPandas(rows, f"key string, {REPLY}")
+    # A stated partition number keeps runtime coalescing from queueing slow calls behind one another.
+    tasks = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return requests.repartition(tasks, "key").mapInPandas(rows, f"key string, {REPLY}")
 
 
 def answer(docs: DataFrame, agent: Agent, config: LabelConfig, cache: DataFrame | None = None, **more: Column) -> DataFrame:

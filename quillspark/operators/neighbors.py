@@ -66,9 +66,10 @@ def nearest(
         for batch in batches:
             d = _distances(_matrix(batch["_ivec"]), pivots)
             cell = d.argmin(1)
-            yield batch.assign(_cell=cell.astype("int32"), _dist=d[np.arange(len(d)), cell])
+            at = np.arange(len(d))
+            yield batch.assign(_cell=cell.astype("int32"), _dist=d[at, cell], _irow=at)
 
-    celled = materialize(x.mapInPandas(to_cells, "_iid long, _ivec array<float>, _cell int, _dist double"))
+    celled = materialize(x.mapInPandas(to_cells, "_iid long, _ivec array<float>, _cell int, _dist double, _irow long"))
     nearest_first = Window.partitionBy("_cell").orderBy("_dist", "_iid")
     heads = (
         celled.select("_cell", "_dist", "_iid")
@@ -95,9 +96,9 @@ def nearest(
                 reach = np.concatenate([d[:, [i]] + h[None, :] for i, h in enumerate(heads_of)], axis=1)
                 bound = np.partition(reach, want - 1, axis=1)[:, want - 1]
                 keep = d - radius[None, :] <= bound[:, None] + slack
-            yield batch.assign(_cells=[cells[row].astype("int32").tolist() for row in keep])
+            yield batch.assign(_cells=[cells[row].astype("int32").tolist() for row in keep], _qrow=np.arange(len(batch)))
 
-    routed = materialize(q.mapInPandas(visits, "_qid long, _qvec array<float>, _cells array<int>"))
+    routed = materialize(q.mapInPandas(visits, "_qid long, _qvec array<float>, _cells array<int>, _qrow long"))
     demand = routed.select(F.explode("_cells").alias("_cell")).groupBy("_cell").agg(F.count(F.lit(1)).alias("asks"))
     asks = {r["_cell"]: r["asks"] for r in demand.collect()}
     plan = [
@@ -106,13 +107,14 @@ def nearest(
     ]
     blocks = F.broadcast(spark.createDataFrame(plan, "_cell int, _nx int, _nq int"))
 
+    # Blocks are cut by row number, which the stored tables fix: an id or vector repeated often spreads too.
     stored = celled.join(blocks, "_cell").select(
-        "_cell", F.pmod(F.xxhash64("_iid"), "_nx").cast("int").alias("_bx"),
+        "_cell", F.pmod("_irow", "_nx").cast("int").alias("_bx"),
         F.explode(F.expr("sequence(0, _nq - 1)")).alias("_bq"), "_iid", "_ivec",
     )
-    asked = routed.select("_qid", "_qvec", F.explode("_cells").alias("_cell")).join(blocks, "_cell").select(
+    asked = routed.select("_qid", "_qvec", "_qrow", F.explode("_cells").alias("_cell")).join(blocks, "_cell").select(
         "_cell", F.explode(F.expr("sequence(0, _nx - 1)")).alias("_bx"),
-        F.pmod(F.xxhash64("_qid"), "_nq").cast("int").alias("_bq"), "_qid", "_qvec",
+        F.pmod("_qrow", "_nq").cast("int").alias("_bq"), "_qid", "_qvec",
     )
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

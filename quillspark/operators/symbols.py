@@ -139,13 +139,18 @@ class SymbolTables:
         return self.functions.where(any_contains(F.col("decorators"), list(substrings)))
 
 
-def build_parsed(sources: DataFrame) -> DataFrame:
-    """Parse once and store: the analysis cache every table reads from."""
+def build_parsed(sources: DataFrame, spread: bool = False) -> DataFrame:
+    """Parse once and store: the analysis cache every table reads from.
+
+    A file scan already comes in even splits, so texts are not shuffled; ``spread`` is for sources that
+    arrive in few partitions.
+    """
     lines = F.split("text", r"\r\n|\r|\n")
     numbered = F.transform(lines, lambda line, i: F.when(is_code_line(line), i + 1))
     code = F.coalesce(F.filter(numbered, lambda n: n.isNotNull()), F.array().cast("array<int>"))
-    spread = sources.repartition("project", "qualified_name")
-    return materialize(parse_sources(spread).withColumn("code_lines", code).drop("text"))
+    if spread:
+        sources = sources.repartition("project", "qualified_name")
+    return materialize(parse_sources(sources).withColumn("code_lines", code).drop("text"))
 
 
 def build_tables(parsed: DataFrame) -> SymbolTables:
