@@ -237,3 +237,33 @@ FROM (SELECT project, string_agg(framework, ',' ORDER BY framework) AS framework
 LEFT JOIN (SELECT project, count(*) AS n FROM (SELECT project FROM made UNION ALL SELECT project FROM callers) GROUP BY 1) a USING (project)
 LEFT JOIN (SELECT project, count(*) AS n FROM uses GROUP BY 1) t USING (project)""",
 }
+
+# The ordered walk over binding calls of each project: every call takes the first helper nobody took.
+SQL["function_tools"] = _BASE.replace("WITH p AS", "WITH RECURSIVE p AS", 1) + """,
+args AS (SELECT project, k, row_number() OVER (PARTITION BY project ORDER BY module) AS n FROM p WHERE s % 3 = 0),
+wishes AS (
+  SELECT a.project, a.n, list(t.module ORDER BY t.module) AS modules FROM args a
+  JOIN toolmods t ON t.project = a.project AND contains('[helper_' || a.k || ']', 'helper_' || t.k) GROUP BY 1, 2),
+walk AS (
+  SELECT DISTINCT project, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS taken FROM args
+  UNION ALL
+  SELECT a.project, a.n, list_concat(taken, list_filter(coalesce(modules, []), lambda m: NOT list_contains(taken, m))[1:1])
+  FROM walk w JOIN args a ON a.project = w.project AND a.n = w.n + 1 LEFT JOIN wishes h ON h.project = a.project AND h.n = a.n),
+last AS (SELECT project, unnest(taken) AS module FROM walk QUALIFY row_number() OVER (PARTITION BY project ORDER BY n DESC) = 1)
+SELECT project, module || '.helper_' || k AS tool_id, own AS framework, 'helper_' || k AS tool_name,
+  """ + _TOOL.format(kind="function_tool", text="CAST(NULL AS VARCHAR)", method="stem || '.helper_' || k") + """
+FROM last JOIN toolmods USING (project, module)"""
+
+SQL["detected_tools"] = f"""
+WITH d1 AS ({SQL["decorator_tools"]}), d2 AS ({SQL["class_tools"]}), d3 AS ({SQL["function_tools"]}), d4 AS ({SQL["lambda_tools"]}),
+d5 AS ({SQL["mcp_tools"]}), d6 AS ({SQL["claude_sdk_tools"]})
+SELECT * FROM d1 UNION ALL BY NAME SELECT * FROM d2 UNION ALL BY NAME SELECT * FROM d3 UNION ALL BY NAME SELECT * FROM d4
+UNION ALL BY NAME SELECT * FROM d5 WHERE tool_id NOT IN (SELECT tool_id FROM d1)
+UNION ALL BY NAME SELECT * FROM d6 WHERE tool_id NOT IN (SELECT tool_id FROM d1)"""
+
+SQL["merged_tools"] = f"""
+WITH t AS ({SQL["detected_tools"]}), a AS ({SQL["agent_tools"]})
+SELECT project, framework, tool_name, tool_type, tool_description, tool_binding_method, tool_binding_module FROM t
+UNION ALL SELECT project, framework, tool_name, tool_type, NULL, tool_binding_method, tool_binding_module FROM a
+WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.project = a.project AND t.tool_binding_module = a.tool_binding_module
+  AND t.tool_binding_method = a.tool_binding_method AND t.tool_name = a.tool_name)"""

@@ -227,3 +227,55 @@ WITH c AS (SELECT source, count(*) AS documents FROM documents GROUP BY source)
 SELECT row_number() OVER (ORDER BY documents DESC, source) AS rank, source, documents FROM c
 UNION ALL SELECT NULL, 'TOTAL', CAST(sum(documents) AS BIGINT) FROM c""",
 }
+
+# Ordered walks: each row joins a seed found before it, or becomes one.
+_OVERLAP = "len(list_intersect({a}, {b})) / CAST(greatest(len({a}), len({b})) AS DOUBLE)"
+
+SQL["merged_patterns"] = """
+WITH RECURSIVE i AS (
+  SELECT p_brand AS cat, p_partkey AS k, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n,
+    list_distinct(string_split(p_name, ' ')) AS w,
+    list_distinct([CAST(p_size % 5 AS VARCHAR), CAST(p_size % 7 AS VARCHAR), lower(p_type)]) AS ind FROM part),
+walk AS (
+  SELECT DISTINCT cat, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(k BIGINT, w VARCHAR[], ind VARCHAR[])[]) AS seeds,
+    CAST(NULL AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seed FROM i
+  UNION ALL
+  SELECT cat, n, CASE WHEN hit IS NULL THEN list_append(seeds, {'k': k, 'w': w, 'ind': ind}) ELSE seeds END, k, coalesce(hit, k)
+  FROM (SELECT i.*, walk.seeds, list_filter(walk.seeds, lambda x: """ + _OVERLAP.format(a="x.w", b="i.w") + """ > 0.6
+      OR """ + _OVERLAP.format(a="x.ind", b="i.ind") + """ > 0.5)[1].k AS hit
+    FROM walk JOIN i ON i.cat = walk.cat AND i.n = walk.n + 1)),
+m AS (SELECT seed, part.* FROM walk JOIN part ON p_partkey = walk.k)
+SELECT seed, first(replace(p_name, ' ', '_') ORDER BY p_size DESC, p_partkey) AS pattern_name, first(p_brand) AS pattern_category,
+  round(avg(p_size / 50.0), 6) AS confidence_score, count(*) AS members, count(*) AS example_count,
+  (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT unnest([CAST(p_size % 5 AS VARCHAR), CAST(p_size % 7 AS VARCHAR), lower(p_type)]) AS v
+     FROM m x WHERE x.seed = m.seed)) AS code_indicators
+FROM m GROUP BY seed"""
+
+_GROUPS = """
+WITH RECURSIVE i AS (
+  SELECT p_partkey AS k, row_number() OVER (ORDER BY p_partkey) AS n, lower(p_name || CASE WHEN p_size % 4 = 0 THEN ' ' || p_type ELSE '' END) AS name,
+    lower(p_type || ' ' || p_brand) AS description, p_size / 50.0 AS c FROM part),
+t AS (SELECT *, string_split(name, ' ') AS w, string_split(description, ' ') AS dw FROM i),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(k BIGINT, name VARCHAR, w VARCHAR[], dw VARCHAR[])[]) AS seeds, CAST(NULL AS BIGINT) AS k,
+    CAST(NULL AS BIGINT) AS seed
+  UNION ALL
+  SELECT n, CASE WHEN hit IS NULL THEN list_append(seeds, {'k': k, 'name': name, 'w': w, 'dw': dw}) ELSE seeds END, k, coalesce(hit, k)
+  FROM (SELECT t.*, walk.seeds, coalesce(list_filter(walk.seeds, lambda x: x.name = t.name)[1].k,
+      list_sort(list_transform(list_filter(list_transform(walk.seeds, lambda x: {'k': x.k,
+        'ns': CASE WHEN contains(x.name, t.name) OR contains(t.name, x.name)
+          THEN CAST(least(length(x.name), length(t.name)) AS DOUBLE) / greatest(length(x.name), length(t.name))
+          ELSE CAST(len(list_intersect(x.w, t.w)) AS DOUBLE) / len(list_distinct(list_concat(x.w, t.w))) END,
+        'ds': CAST(len(list_intersect(x.dw, t.dw)) AS DOUBLE) / len(list_distinct(list_concat(x.dw, t.dw)))}),
+        lambda y: y.ns >= 0.8 OR (y.ns >= 0.5 AND y.ds >= 0.6)), lambda y: {'s': -(y.ns * 0.7::DOUBLE + y.ds * 0.3::DOUBLE), 'k': y.k}))[1].k) AS hit
+    FROM walk JOIN t ON t.n = walk.n + 1)),
+g AS (SELECT k AS seq, seed AS pattern_seq FROM walk WHERE k IS NOT NULL)
+"""
+
+SQL["pattern_groups"] = _GROUPS + "SELECT seq, pattern_seq FROM g"
+SQL["created_patterns"] = _GROUPS + """,
+r AS (SELECT pattern_seq, c, row_number() OVER (PARTITION BY pattern_seq ORDER BY seq) AS o, count(*) OVER (PARTITION BY pattern_seq) AS m
+  FROM g JOIN i ON i.k = g.seq),
+e AS (SELECT pattern_seq, sum(CASE WHEN o = 1 THEN c ELSE 0.2 * c END * pow(CAST(0.8 AS DOUBLE), m - o)) AS x, count(*) AS m FROM r GROUP BY 1)
+SELECT e.pattern_seq, p_name || CASE WHEN p_size % 4 = 0 THEN ' ' || lower(p_type) ELSE '' END AS pattern_name, round(x, 6) AS confidence_score,
+  m AS usage_count, m AS example_count FROM e JOIN part ON p_partkey = e.pattern_seq"""
