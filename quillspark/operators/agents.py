@@ -111,7 +111,8 @@ def calling_agents(tables: SymbolTables, agents: DataFrame) -> DataFrame:
                       _framework_order(F.col("framework")).alias("_fw"), F.col("function_ordinal").alias("_fo")),
         ["project", "name"], ["_fw", "agent_module", "_fo"],
     ).select("project", "name", "agent_module", "method_signature")
-    importers = factory_importers(tables, agents)
+    # Read several times below, and no larger than the list of modules.
+    importers = materialize(factory_importers(tables, agents))
     functions = tables.functions.where("NOT is_test").join(importers, ["project", "module"], "left_semi").select(
         "project", "module", F.col("ordinal").alias("function_ordinal"), "name", "qualified_name", "kind", "ncloc", "complexity"
     )
@@ -229,7 +230,7 @@ def agent_uses(tables: SymbolTables, agents: DataFrame, functions: DataFrame) ->
 
 def agent_test_methods(tables: SymbolTables, agents: DataFrame) -> DataFrame:
     """Test functions that use agents, in test modules that import any; one row per function and agent."""
-    modules = importing_test_modules(tables, agents)
+    modules = materialize(importing_test_modules(tables, agents))
     functions = tables.functions.join(modules, ["project", "module"], "left_semi").where(
         "(is_test OR startswith(name, 'test_')) AND (class_ordinal IS NULL OR in_test_class)"
     ).select(

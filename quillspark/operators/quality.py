@@ -9,6 +9,7 @@ from quillspark.functions.text import any_contains, contains_any
 from quillspark.operators import rules
 from quillspark.operators.store import earliest
 from quillspark.operators.symbols import SymbolTables
+from quillspark.session import materialize
 
 KEY = ["project", "module", "function_ordinal"]
 
@@ -112,8 +113,8 @@ def lookup(tables: SymbolTables) -> DataFrame:
     ).select("project", "qualified_name", "f.*", "first_place")
 
 
-def fixture_uses(tables: SymbolTables, tests: DataFrame) -> DataFrame:
-    """``(test, fixture)`` pairs. ``tests`` are rows of ``lookup``.
+def fixture_uses(tables: SymbolTables, tests: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``(test, fixture)`` pairs. ``tests`` are rows of ``lookup``, ``known`` is the whole of it if at hand.
 
     A parameter uses the first function of its name with a fixture decorator; a test method also uses its
     class's set-up and tear-down methods.
@@ -121,7 +122,7 @@ def fixture_uses(tables: SymbolTables, tests: DataFrame) -> DataFrame:
     test_key = ["project", "module", F.col("ordinal").alias("function_ordinal")]
     is_fixture = F.exists("decorators", lambda d: F.contains(d, F.lit("fixture")))
     named = earliest(
-        lookup(tables).where(is_fixture).select("project", "name", "first_place", F.col("module").alias("fixture_module"),
+        (lookup(tables) if known is None else known).where(is_fixture).select("project", "name", "first_place", F.col("module").alias("fixture_module"),
                                                 F.col("ordinal").alias("fixture_ordinal")),
         ["project", "name"], ["first_place"],
     )
@@ -206,11 +207,12 @@ def helpers(tables: SymbolTables, tests: DataFrame) -> DataFrame:
 
 def test_complexity(tables: SymbolTables, tests: DataFrame | None = None) -> DataFrame:
     """Complexity record of each test: its metrics and the number of fixtures and helpers it uses."""
+    known = materialize(lookup(tables))
     if tests is None:
-        tests = lookup(tables).where("is_test OR startswith(name, 'test_')")
+        tests = known.where("is_test OR startswith(name, 'test_')")
     keys = tests.select("project", "module", F.col("ordinal").alias("function_ordinal"))
     count = F.count(F.lit(1))
-    used = fixture_uses(tables, tests).groupBy(*KEY).agg(count.alias("_fixtures"))
+    used = fixture_uses(tables, tests, known).groupBy(*KEY).agg(count.alias("_fixtures"))
     helped = helper_uses(tables, tests).groupBy(*KEY).agg(count.alias("_helpers"))
     return (
         function_metrics(tables).join(keys, KEY, "left_semi").join(used, KEY, "left").join(helped, KEY, "left")
