@@ -7,14 +7,17 @@ test, classification, lookup and count over them is a Spark expression in ``oper
 from __future__ import annotations
 
 import ast
+from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillspark.sources import schemas
 
 _BRANCHES = (ast.If, ast.For, ast.While, ast.ExceptHandler, ast.With)
+_COUNTED = (*_BRANCHES, ast.Assert, ast.BoolOp)
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _FIELDS = ("valid", "imports", "classes", "functions", "calls", "lambdas", "asserts")
 _NOTHING = {name: False if name == "valid" else [] for name in _FIELDS}
@@ -25,7 +28,7 @@ def _text(node: ast.AST | None) -> str | None:
 
 
 def _function(node, ordinal: int, owner: int | None) -> dict:
-    inside = list(ast.walk(node))
+    inside = [n for n in ast.walk(node) if isinstance(n, _COUNTED)]
     bools = [n for n in inside if isinstance(n, ast.BoolOp)]
     return {
         "ordinal": ordinal, "class_ordinal": owner, "name": node.name,
@@ -112,13 +115,17 @@ def syntax_facts(text: str) -> dict:
 
     lines = text.encode("utf-8").splitlines(keepends=True)
     calls, lambdas, asserts = [], [], []
-    for parent in ast.walk(tree):
+    queue: deque[ast.AST] = deque([tree])
+    while queue:  # breadth first, as ast.walk, with each node's children at hand
+        parent = queue.popleft()
         if isinstance(parent, ast.Call) and parent.lineno in owner_of:
             calls.append(_call(parent, len(calls), owner_of[parent.lineno], names, class_names))
         elif isinstance(parent, ast.Assert):
             asserts.append({"line": parent.lineno, "column": parent.col_offset, "code": _slice(lines, parent),
                             "test": _slice(lines, parent.test)})
-        for child in ast.iter_child_nodes(parent):
+        children = list(ast.iter_child_nodes(parent))
+        queue.extend(children)
+        for child in children:
             if isinstance(child, ast.Lambda):
                 lambdas.append({"ordinal": len(lambdas), "line": child.lineno, "parent": type(parent).__name__,
                                 "parent_callee": _callee_name(parent)})
@@ -141,12 +148,12 @@ def _facts_or_empty(text: str | None) -> dict | None:
 
 def parse_sources(sources: DataFrame) -> DataFrame:
     """``sources`` with the syntax facts added, one row per file."""
+    ddl = f"{schemas.SOURCES}, {schemas.PARSED}"
+    layout = to_arrow_schema(sources.sparkSession.createDataFrame([], ddl).schema)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            facts = [_facts_or_empty(t) for t in batch["text"]]
-            kept = batch[[f is not None for f in facts]].reset_index(drop=True)
-            facts = [f for f in facts if f is not None]
-            yield kept.assign(**{name: [f[name] for f in facts] for name in _FIELDS})
+            read = [(row, _facts_or_empty(row["text"])) for row in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist([{**row, **facts} for row, facts in read if facts is not None], schema=layout)
 
-    return sources.mapInPandas(rows, f"{schemas.SOURCES}, {schemas.PARSED}")
+    return sources.mapInArrow(rows, ddl)
