@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import fingerprints, line_dedup, token_counts
+from quillspark.llm import decontamination, fingerprints, licenses, line_dedup, token_counts, toxicity
 from quillspark.llm.common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -16,13 +16,33 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.train_chain(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_chain(docs, chain)
+    return scored.select("doc_id", "p_low_quality", "p_toxic", "rejected")
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.with_token_count(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
     return token_counts.length_histogram(counts)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_fingerprints, op8_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_toxicity, op3_fingerprints, op4_decontamination, op7_license_scan, op8_token_counts,
+    )
+}
