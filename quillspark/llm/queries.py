@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontamination, fingerprints, licenses, line_dedup, token_counts, toxicity
+from quillspark.llm import decontamination, fingerprints, licenses, line_dedup, neardup, token_counts, toxicity
 from quillspark.llm.common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -40,9 +40,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(counts)
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_line_dedup, op2_toxicity, op3_fingerprints, op4_decontamination, op7_license_scan, op8_token_counts,
+        op1_line_dedup, op2_toxicity, op3_fingerprints, op4_decontamination, op7_license_scan, op8_token_counts, op9_minhash,
     )
 }
