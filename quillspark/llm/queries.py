@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontamination, fingerprints, licenses, line_dedup, neardup, token_counts, toxicity
-from quillspark.llm.common import table
+from quillspark.llm import decontamination, fingerprints, licenses, line_dedup, neardup, sharding, token_counts, toxicity, warc
+from quillspark.llm.common import table, whole
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -31,6 +31,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
@@ -44,9 +48,22 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 16 shards by source, one of which holds a third of all rows, to 24 of even size."""
+    n_old = 16
+    old = F.pmod(F.xxhash64("source"), F.lit(n_old))
+    shards = sharding.reshard(table(spark, sf_dir, "documents"), old, n_old, n_new=24)
+    text = whole("text")
+    return shards.select(
+        "doc_id", (F.octet_length(text) + sharding.ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_line_dedup, op2_toxicity, op3_fingerprints, op4_decontamination, op7_license_scan, op8_token_counts, op9_minhash,
+        op1_line_dedup, op2_toxicity, op3_fingerprints, op4_decontamination, op6_warc, op7_license_scan, op8_token_counts, op9_minhash,
+        op10_sharding,
     )
 }
