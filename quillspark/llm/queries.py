@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontamination, fingerprints, licenses, line_dedup, neardup, sharding, token_counts, toxicity, warc
+from quillspark.llm import decontamination, fingerprints, licenses, line_dedup, neardup, pieces, sharding, token_counts, toxicity, warc
 from quillspark.llm.common import table, whole
 
 TOKENIZERS = "/opt/tokenizers"
@@ -31,6 +31,17 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether their decoding is that text again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(whole("text"), 256).alias("text_sha256"))
+    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    back = pieces.decode_documents(pieces.encode_documents(docs, model), model)
+    return back.select(
+        "doc_id", "n_tokens", "score", "ids", F.length("text").cast("long").alias("n_chars"),
+        (F.sha2("text", 256) == F.col("text_sha256")).alias("round_trip"),
+    )
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
 
@@ -63,7 +74,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_line_dedup, op2_toxicity, op3_fingerprints, op4_decontamination, op6_warc, op7_license_scan, op8_token_counts, op9_minhash,
+        op1_line_dedup, op2_toxicity, op3_fingerprints, op4_decontamination, op5_sentencepiece, op6_warc, op7_license_scan, op8_token_counts, op9_minhash,
         op10_sharding,
     )
 }
