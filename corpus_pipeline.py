@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontamination, line_dedup, neardup, pieces, toxicity
-from quillspark.llm.common import table
+from quillspark.llm.common import named, table
 from quillspark.session import materialize
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -19,12 +19,12 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Train the chain on the labels and leave out the documents that it rejects."""
     chain = toxicity.train_chain(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_chain(docs, chain).where(~F.col("rejected")).select(*docs.columns)
+    return toxicity.score_chain(docs, chain).where(~F.col("rejected")).select(*named(docs.columns))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of many documents stay in one; a document that loses all its lines stays with an empty text."""
-    done = line_dedup.dedup_lines(docs, n_lines="_n_lines", n_dropped="_n_dropped").select(*docs.columns)
+    done = line_dedup.dedup_lines(docs, n_lines="_n_lines", n_dropped="_n_dropped").select(*named(docs.columns))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(columns: Iterable[str]) -> list[Column]:
+    """The columns of these names, whatever characters they hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def whole(text: str | Column) -> Column:
     """The text; null counts as empty."""
-    return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return F.coalesce(named([text])[0] if isinstance(text, str) else text, F.lit(""))
 
 
 def ascii_lower(text: Column) -> Column:

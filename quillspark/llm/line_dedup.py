@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ascii_lower, key128, whole
+from quillspark.llm.common import ascii_lower, key128, named, whole
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -68,7 +68,7 @@ def dedup_lines(
         .groupBy("_id", "_t1", "_t2").agg(F.collect_set("_pos").alias("_lost"))
     )
     t1, t2 = key128(whole(text))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), t1.alias("_t1"), t2.alias("_t2"))
+    rows = docs.select(F.struct(*named(docs.columns)).alias("_row"), t1.alias("_t1"), t2.alias("_t2"))
     r, l = rows.alias("r"), lost.alias("l")
     same = (
         F.col("r._row")[doc_id].eqNullSafe(F.col("l._id"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounded_batches, whole
+from quillspark.llm.common import bounded_batches, named, whole
 from quillspark.llm.components import connected
 from quillspark.llm.words import Words, byte_class, grams, mix
 from quillspark.session import materialize
@@ -260,5 +260,5 @@ def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str =
     one = Window.partitionBy("_id").orderBy(F.col(text).asc_nulls_last())
     return (
         docs.join(kept, docs[doc_id].eqNullSafe(kept["_id"])).withColumn("_rank", F.row_number().over(one))
-        .where("_rank = 1 or _id is null").select(*[F.col(f"`{c}`") for c in docs.columns])
+        .where("_rank = 1 or _id is null").select(*named(docs.columns))
     )

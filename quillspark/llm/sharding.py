@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import whole
+from quillspark.llm.common import named, whole
 from quillspark.session import checkpoint_root, materialize
 
 MAX_BLOCKS = 65_536
@@ -163,7 +163,7 @@ def reshard(
     per_block = F.broadcast(known.join(slots, ["_old", "_block"]))
 
     moved = (
-        rows.select(*own, "_old", "_block", "_h", "_size")
+        rows.select(*named(own), "_old", "_block", "_h", "_size")
         .repartition("_old", "_block")
         .withColumn("_rank", F.row_number().over(in_block))
         .withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
@@ -179,7 +179,7 @@ def reshard(
         touched |= {i for i, a in enumerate(flow) for j, b in enumerate(a) if b and i != j} | {r[3] for r in last}
         done = done.where(F.col("shard").isin(sorted(touched)))
     folder = folder or f"{checkpoint_root(spark)}/shards/{uuid.uuid4().hex}"
-    out = done.select(*own, F.col("slot").cast("long").alias("slot"), "shard")
+    out = done.select(*named(own), F.col("slot").cast("long").alias("slot"), "shard")
     out.write.partitionBy("shard").parquet(folder)
     return spark.read.schema(out.schema).parquet(folder)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounded_batches, whole
+from quillspark.llm.common import bounded_batches, named, whole
 from quillspark.llm.words import SEGMENT
 from quillspark.session import materialize
 
@@ -278,8 +278,8 @@ def score_chain(docs: DataFrame, chain: Chain, text: str = "text", category: str
 
     own = [c for c in docs.columns if c not in (*names, "rejected")]
     limit = chain.threshold[chain.names.index(category)]
-    scored = docs.select(*[F.col(f"`{c}`") for c in own]).withColumn("_p", predict(whole(text)))
+    scored = docs.select(*named(own)).withColumn("_p", predict(whole(text)))
     return scored.select(
-        *own, *[F.col(f"_p.{n}").alias(n) for n in names], (F.col(f"_p.p_{category}") >= limit).alias("rejected")
+        *named(own), *[F.col(f"_p.{n}").alias(n) for n in names], (F.col(f"_p.p_{category}") >= limit).alias("rejected")
     )
 
