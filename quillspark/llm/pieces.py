@@ -20,13 +20,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillspark.llm.common import bounded_batches, whole
+from quillspark.llm.common import bounded_batches, named, whole
 from quillspark.llm.words import mix
 from quillspark.session import materialize
 
 CHUNK = 32_768
 GROUP = 1 << 19
+BUCKET_BITS = 20
+#: Words whose encodings a task remembers; beyond it starts anew.
+REMEMBERED = 400_000
 LONG_WORD = 64
 MARK = 0x2581
 #: Stands for a mark that the text itself holds; beyond Unicode, so it has no piece and is spelled in bytes.
@@ -38,7 +42,7 @@ NEVER = -1e8
 
 
 class Vocabulary:
-    """Pieces, scores and byte pieces of a model file, and the hash tables to find them."""
+    """Pieces, scores and byte pieces of a model file, and the hash table to find them."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -76,15 +80,14 @@ class Vocabulary:
         self.keys = keys[order]
         self.ids = np.array([i for _, i, _ in pieces], dtype=np.int32)[order]
         self.scores = np.array([s for _, _, s in pieces])[order]
-        self.maybe = np.zeros(1 << 20, dtype=bool)
-        self.maybe[self.keys >> np.uint64(44)] = True
-        table: list[bytes] = [p.replace(chr(MARK), " ").encode() for p in map(model.id_to_piece, range(self.size))]
-        for i, b in self.byte_of.items():
-            table[i] = bytes([b])
-        for i in range(self.size):
-            if model.is_control(i) or model.is_unknown(i):
-                table[i] = b""
-        self.table = table
+        # a hash table by the high bits of the key: the piece of each bucket, and layers for buckets that hold more
+        self.layers: list[np.ndarray] = []
+        rest = np.arange(len(self.keys))
+        while len(rest):
+            layer = np.full(1 << BUCKET_BITS, -1, dtype=np.int32)
+            layer[self.keys[rest] >> np.uint64(64 - BUCKET_BITS)] = rest
+            self.layers.append(layer)
+            rest = rest[layer[self.keys[rest] >> np.uint64(64 - BUCKET_BITS)] != rest]
 
     @staticmethod
     def codes(text: str, raw: bool = False, first: bool = True) -> np.ndarray:
@@ -99,6 +102,22 @@ class Vocabulary:
     def spelled(code: int) -> bytes:
         return chr(MARK if code == OWN_MARK else code).encode()
 
+
+class Decoder:
+    """Texts of ids: the bytes of each piece of a model file."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        table = [p.replace(chr(MARK), " ").encode() for p in map(model.id_to_piece, range(model.get_piece_size()))]
+        for i in range(len(table)):
+            if model.is_byte(i):
+                table[i] = bytes([int(model.id_to_piece(i)[3:5], 16)])
+            elif model.is_control(i) or model.is_unknown(i):
+                table[i] = b""
+        self.table = table
+
     def decode(self, ids: Sequence[int]) -> str:
         """The text of an encoding, without its leading mark. Bytes that are not UTF-8 are replaced."""
         table = self.table
@@ -117,6 +136,30 @@ class Encoder:
 
     def __init__(self, path: str):
         self.v = Vocabulary(path)
+        self._forget()
+
+    # Words that were met before.
+
+    def _forget(self) -> None:
+        """Remembered words, sorted by hash: where their ids stand in ``pool``, how many, and their scores."""
+        self.known = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        self.pool = [np.zeros(0, dtype=np.int32)]
+        self.pooled = 0
+
+    def _remember(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, scores: np.ndarray) -> None:
+        """Add words given in the order of their hashes, none of them known yet."""
+        at = self.pooled + np.cumsum(sizes) - sizes
+        place = np.searchsorted(self.known[0], hashes)
+        self.known = tuple(np.insert(a, place, b) for a, b in zip(self.known, (hashes, at, sizes, scores), strict=True))
+        self.pool.append(ids)
+        self.pooled += len(ids)
+
+    def _lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the hashes among the known words, and which of them are known."""
+        place = np.searchsorted(self.known[0], hashes)
+        if not len(self.known[0]):
+            return place, np.zeros(len(hashes), dtype=bool)
+        return place, self.known[0][np.minimum(place, len(self.known[0]) - 1)] == hashes
 
     # Many words at once.
 
@@ -133,16 +176,19 @@ class Encoder:
             if not len(at):
                 break
             keys = mix((sums[at + n] - sums[at]) * v.inverse[at] + np.uint64(n))
-            some = np.flatnonzero(v.maybe[keys >> np.uint64(44)])
-            slot = np.minimum(np.searchsorted(v.keys, keys[some]), len(v.keys) - 1)
-            hit = v.keys[slot] == keys[some]
-            where = at[some[hit]]
-            if n == 1:
-                single[where] = True
-            places.append(where)
-            lengths.append(np.full(len(where), n))
-            scores.append(v.scores[slot[hit]])
-            ids.append(v.ids[slot[hit]])
+            buckets = keys >> np.uint64(64 - BUCKET_BITS)
+            for layer in v.layers:
+                slot = layer[buckets]
+                some = np.flatnonzero(slot >= 0)
+                slot = slot[some]
+                hit = v.keys[slot] == keys[some]
+                where, slot = at[some[hit]], slot[hit]
+                if n == 1:
+                    single[where] = True
+                places.append(where)
+                lengths.append(np.full(len(where), n))
+                scores.append(v.scores[slot])
+                ids.append(v.ids[slot])
         bare = np.flatnonzero(~single)
         places.append(bare)
         lengths.append(np.ones(len(bare), dtype=np.int64))
@@ -268,25 +314,25 @@ class Encoder:
         sums = np.zeros(len(x) + 1, dtype=np.uint64)
         np.cumsum(x.astype(np.uint64) * self.v.power[: len(x)], out=sums[1:])
         hashes = mix((sums[starts + lens] - sums[starts]) * self.v.inverse[starts] + lens.astype(np.uint64))
-        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        sizes, scores = np.zeros(len(first), dtype=np.int64), np.zeros(len(first))
-        short = np.flatnonzero(lens[first] <= LONG_WORD)
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.known[0]) > REMEMBERED:
+            self._forget()
+        fresh = np.flatnonzero(~self._lookup(distinct)[1])
+        short = fresh[lens[first[fresh]] <= LONG_WORD]
         take = lens[first[short]]
         place = np.repeat(starts[first[short]] - (np.cumsum(take) - take), take) + np.arange(take.sum())
-        ids, sizes[short], scores[short] = self._solve(x[place], take)
-        parts = [ids]
-        at = np.zeros(len(first), dtype=np.int64)
-        at[short] = np.cumsum(sizes[short]) - sizes[short]
-        used = len(ids)
-        for w in np.flatnonzero(lens[first] > LONG_WORD).tolist():
-            found, scores[w] = self._long_word(x[starts[first[w]] : starts[first[w]] + lens[first[w]]])
-            parts.append(found)
-            at[w], sizes[w] = used, len(found)
-            used += len(found)
-        pool = np.concatenate(parts)
+        self._remember(distinct[short], *self._solve(x[place], take))
+        for w in fresh[lens[first[fresh]] > LONG_WORD].tolist():
+            a = starts[first[w]]
+            found, score = self._long_word(x[a : a + lens[first[w]]])
+            self._remember(distinct[w : w + 1], found, np.array([len(found)]), np.array([score]))
+        if len(self.pool) > 1:
+            self.pool = [np.concatenate(self.pool)]
+        known = self._lookup(distinct)[0]
+        _, at, sizes, scores = (k[known] for k in self.known)
         counts = sizes[inverse]
         ends = np.cumsum(counts)
-        every = pool[np.repeat(at[inverse] - (ends - counts), counts) + np.arange(counts.sum())]
+        every = self.pool[0][np.repeat(at[inverse] - (ends - counts), counts) + np.arange(counts.sum())]
         word_bounds = np.searchsorted(starts, unit_at)
         ends, totals = np.concatenate([[0], ends]), np.concatenate([[0.0], np.cumsum(scores[inverse])])
         return [
@@ -393,10 +439,12 @@ def encode_documents(
     bounded_batches(docs.sparkSession)
     added = ("n_tokens", "score", "ids")
     carried = [c for c in docs.columns if c != text and c not in added]
-    rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carried]).alias("_carry"), whole(text).alias("_text"))
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *named(carried)).alias("_carry"), whole(text).alias("_text"))
     is_long = F.length("_text") > chunk
-    encoded = "n_tokens bigint, score double, ids array<int>"
-    carry_type = rows.schema["_carry"].dataType.simpleString()
+    beyond = Vocabulary(model).longest - 1
+    carry = T.StructType([T.StructField("_carry", rows.schema["_carry"].dataType, True)])
+    encoded = T._parse_datatype_string("n_tokens bigint, score double, ids array<int>")
+    schema = lambda ddl, *more: T.StructType(sum((p.fields for p in more), T._parse_datatype_string(ddl).fields if ddl else []))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
@@ -405,7 +453,6 @@ def encode_documents(
             yield pa.RecordBatch.from_arrays([batch.column("_carry"), *_columns(found)], ["_carry", *added])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        beyond = Vocabulary(model).longest - 1
         for batch in batches:
             for i, (row, whole_text) in enumerate(zip(batch.column("_row").to_pylist(), batch.column("_text").to_pylist(), strict=True)):
                 starts = list(range(0, len(whole_text), chunk))
@@ -454,17 +501,17 @@ def encode_documents(
             kept = [batch.column("_row"), batch.column("_chunk"), batch.column("_carry")]
             yield pa.RecordBatch.from_arrays([*kept, *_columns(encoder.encode(units))], ["_row", "_chunk", "_carry", *added])
 
-    direct = rows.where(~is_long).mapInArrow(short, f"_carry {carry_type}, {encoded}")
+    direct = rows.where(~is_long).mapInArrow(short, schema("", carry, encoded))
     chunks = materialize(
         rows.where(is_long).withColumn("_row", F.monotonically_increasing_id())
-        .mapInArrow(split, f"_row bigint, _chunk int, _part string, _own int, _mark boolean, _carry {carry_type}")
+        .mapInArrow(split, schema("_row bigint, _chunk int, _part string, _own int, _mark boolean", carry))
     )
     # spread over tasks whatever the layout of the documents was
     spread = chunks.select("_row", "_chunk", "_part", "_own", "_mark").repartition("_row", "_chunk")
     known = spread.mapInArrow(matrices, "_row bigint, _chunk int, t array<double>").groupBy("_row").applyInArrow(
         states, "_row bigint, _chunk int, s_in int, s_out int"
     )
-    parts = chunks.join(known, ["_row", "_chunk"]).mapInArrow(between, f"_row bigint, _chunk int, _carry {carry_type}, {encoded}")
+    parts = chunks.join(known, ["_row", "_chunk"]).mapInArrow(between, schema("_row bigint, _chunk int", carry, encoded))
     long = parts.groupBy("_row").agg(
         F.first("_carry", ignorenulls=True).alias("_carry"), F.sum("n_tokens").alias("n_tokens"), F.sum("score").alias("score"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "ids"))), lambda p: p["ids"])).alias("ids"),
@@ -486,12 +533,14 @@ def decode_documents(encoded: DataFrame, model: str, text: str = "text") -> Data
     """``encoded`` with the texts of its ``ids``: what was encoded, exactly. No shuffle; null ids give empty texts."""
     bounded_batches(encoded.sparkSession)
     kept = [c for c in encoded.columns if c != text]
-    schema = encoded.select(*kept).schema
+    rows = encoded.select(F.struct(*named(kept)).alias("_kept"), F.col("ids").alias("_ids"))
+    schema = T.StructType([T.StructField("_kept", rows.schema["_kept"].dataType), T.StructField("_text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model)
+        decoder = Decoder(model)
         for batch in batches:
-            texts = [vocabulary.decode(ids or ()) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
+            texts = [decoder.decode(ids.values.to_numpy().tolist() if ids.is_valid else ()) for ids in batch.column("_ids")]
+            yield pa.RecordBatch.from_arrays([batch.column("_kept"), pa.array(texts, pa.string())], ["_kept", "_text"])
 
-    return encoded.select(*kept).mapInArrow(run, schema.add(text, "string"))
+    done = rows.mapInArrow(run, schema)
+    return done.select(*[F.col("_kept")[c].alias(c) for c in kept], F.col("_text").alias(text))
