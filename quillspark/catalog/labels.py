@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +13,8 @@ from quillspark.functions import labels as L
 from quillspark.functions import text as X
 from quillspark.functions.prompts import chat_prompt, examples_block as example_text
 from quillspark.operators import agreement, alter, labeling, neighbors, ordered, patterns, quality, ratelimit, store, usage
+from quillspark.plans import corpus
+from quillspark.session import checkpoint_root
 from quillspark.sources import files
 
 
@@ -21,6 +26,10 @@ def _at(seconds):
     return F.timestamp_seconds(F.lit(1704067200) + seconds)
 
 
+def _pick(options, index):
+    return F.get(F.array(*[F.lit(o) for o in options]), index.cast("int"))
+
+
 def _micros(ts):
     """Microseconds since the epoch of a timestamp without time zone, whatever the session's zone."""
     gap = F.col(ts).cast("timestamp_ntz") - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
@@ -97,14 +106,16 @@ def upsert_latest_label(spark, sf):
     rows = table(spark, sf, "events").select(
         F.col("user_id").alias("doc_id"), F.col("event_type").alias("agent_id"), F.col("props").alias("label_json"),
         F.col("ts").alias("created_at"), F.col("event_id").alias("seq"))
-    return store.upsert_labels(rows.limit(0), rows).select("doc_id", "agent_id", "label_json", "seq")
+    stored = F.col("seq") % 3 != 0  # the others arrive later and may be older or newer
+    return store.upsert_labels(rows.where(stored), rows.where(~stored)).select("doc_id", "agent_id", "label_json", "seq")
 
 
 def upsert_final_label(spark, sf):
     rows = table(spark, sf, "events").select(
         F.col("user_id").alias("doc_id"), F.col("event_type").alias("decided_by"), F.col("props").alias("label_json"),
         F.col("ts").alias("created_at"), F.col("event_id").alias("seq"))
-    return store.upsert_final_labels(rows.limit(0), rows).select("doc_id", "decided_by", "label_json", "seq")
+    stored = F.col("seq") % 3 != 0
+    return store.upsert_final_labels(rows.where(stored), rows.where(~stored)).select("doc_id", "decided_by", "label_json", "seq")
 
 
 def promoted_fields(spark, sf):
@@ -164,6 +175,31 @@ def rule_config() -> labeling.LabelConfig:
     )
 
 
+def _caller(test):
+    """A client that reads the text after the last line mark of its prompt, at two tokens a call."""
+
+    def make():
+        def ask(prompt: str) -> labeling.Reply:
+            good = test(prompt.rsplit("CODE:", 1)[-1])
+            return labeling.Reply(json.dumps({"is_good": good}, separators=(",", ":")), None, len(prompt), 2)
+
+        return ask
+
+    return make
+
+
+def called_config() -> labeling.LabelConfig:
+    """The labelers of ``rule_config`` as clients that are called: by length, and an adjudicator by parity."""
+    agent = labeling.Agent
+    return labeling.LabelConfig(
+        schema=LABEL,
+        labeler_a=agent("labeler_a", "a", "CODE:{code}", client=_caller(lambda text: len(text) >= 400)),
+        labeler_b=agent("labeler_b", "b", "CODE:{code}", client=_caller(lambda text: len(text) >= 1000)),
+        adjudicator=agent("adjudicator_1", "j", "{a}{b}CODE:{code}", client=_caller(lambda text: len(text) % 2 == 0)),
+        retrieval=False,
+    )
+
+
 def label_documents(spark, sf):
     out = labeling.label_documents(table(spark, sf, "documents"), rule_config())
     return out.select("doc_id", "lang", "source", "label_a", "label_b", "final_label", "decided_by")
@@ -290,6 +326,21 @@ def knn_earlier(spark, sf):
     return _ranked(_near(spark, sf, 3, earlier_only=True))
 
 
+def knn_repeated_ids(spark, sf):
+    """Four index rows share each id; a query has no row of its own id."""
+    rows = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 4).cast("bigint").alias("id"), F.col("vec_id"), "embedding")
+    out = neighbors.nearest(rows.where("vec_id % 4 = 0"), rows, 5, "id", "id")
+    return out.select("id", F.col("rank").cast("bigint").alias("rank"), F.round("distance", 6).alias("distance"))
+
+
+def knn_missing_vector(spark, sf):
+    """Rows without a vector are found by nobody, and find nothing."""
+    vector = lambda n: F.when(F.col("vec_id") % n != 0, F.col("embedding")).alias("embedding")
+    rows = table(spark, sf, "embeddings")
+    out = neighbors.nearest(rows.select("vec_id", vector(7)), rows.select("vec_id", vector(5)), 3, "vec_id", "vec_id")
+    return _ranked(out)
+
+
 def knn_confident(spark, sf):
     scored = neighbors.with_score(_near(spark, sf, metric="l2"), 0.5)
     best = neighbors.best_matches(scored, "vec_id")
@@ -307,7 +358,8 @@ def knn_label_vote(spark, sf):
 def examples_block(spark, sf):
     """Prompt block of each vector's labeled neighbours, most recently labeled first."""
     near = _near(spark, sf)
-    found = store.examples_for(near.select(F.col("neighbor_id").alias("doc_id")), table(spark, sf, "documents"), _final_labels(spark, sf))
+    shown = table(spark, sf, "documents").withColumn("text", F.substring("text", 1, 1000))  # cut before the join
+    found = store.examples_for(near.select(F.col("neighbor_id").alias("doc_id")), shown, _final_labels(spark, sf))
     rows = near.select("vec_id", F.col("neighbor_id").alias("doc_id")).join(found, "doc_id", "left")
     hit = F.col("label_json").isNotNull()
     entry = F.struct((-F.unix_seconds("labeled_at")).alias("age"), "doc_id", "text", "label_json")
@@ -329,10 +381,18 @@ def similar_names(spark, sf):
     return patterns.similar_sets(sets, 0.3).select("item_a", "item_b", F.round("similarity", 6).alias("similarity"))
 
 
+def same_names(spark, sf):
+    """The parts that ``similar_names`` takes as one: those with the same words, by their smallest key."""
+    sets = table(spark, sf, "part").select(F.col("p_partkey").alias("item"), X.word_set(F.col("p_name")).alias("tokens"))
+    return patterns.same_sets(sets).select("item", "first_item")
+
+
 def word_similarity(spark, sf):
     """Jaccard and overlap of every document's words with its benchmark item's words."""
-    items = table(spark, sf, "benchmark").select(F.col("item_id"), X.word_set(F.col("text")).alias("b"))
-    docs = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), X.word_set(F.col("text")).alias("a"))
+    bench = table(spark, sf, "benchmark")
+    n_items = bench.agg(F.count(F.lit(1))).scalar()
+    items = bench.select(F.col("item_id"), X.word_set(F.col("text")).alias("b"))
+    docs = table(spark, sf, "documents").select("doc_id", F.pmod("doc_id", n_items).alias("item_id"), X.word_set(F.col("text")).alias("a"))
     both = docs.join(items, "item_id")
     return both.select("doc_id", F.round(X.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"), F.round(X.overlap(F.col("a"), F.col("b")), 6).alias("overlap"))
 
@@ -433,6 +493,35 @@ def _altered(spark, sf):
     return alter.alter(marked, new)
 
 
+def typed_conditions(spark, sf):
+    """Which of four spellings of a value the number, the text and the null condition meet."""
+    value = _pick(('1', '"1"', 'true', '1.0', 'null', '"null"', '[1]'), F.col("doc_id") % 8)
+    label = F.concat(F.lit("{"), F.when(value.isNotNull(), F.concat(F.lit('"v":'), value)).otherwise(F.lit('"w":1')), F.lit("}"))
+    rows = table(spark, sf, "documents").select("doc_id", label.alias("label"))
+    meets = lambda want: L.meets_any("label", [("v", want)])
+    return rows.select("doc_id", meets(1).alias("number"), meets("1").alias("text"), meets(None).alias("absent"), meets(True).alias("flag"))
+
+
+def label_corpus_twice(spark, sf):
+    """The documents labeled into a store by called labelers, then once more: the second run is all from the cache."""
+    store_of = corpus.Store(f"{checkpoint_root(spark)}/stores/{uuid.uuid4().hex}")
+    docs = table(spark, sf, "documents").select("source", "text")
+    corpus.label_corpus(docs, called_config(), store_of, created_at=_at(F.lit(0)), fresh=True)
+    again = corpus.label_corpus(docs, called_config(), store_of, created_at=_at(F.lit(60)))
+    rows = again.groupBy("source", "decided_by").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.crc32("final_label")).alias("labels"))
+    return rows.select("source", "decided_by", "documents", "labels")
+
+
+def label_corpus_usage(spark, sf):
+    """Token usage of both runs by agent: the second makes no call."""
+    store_of = corpus.Store(f"{checkpoint_root(spark)}/stores/{uuid.uuid4().hex}")
+    docs = table(spark, sf, "documents").select("source", "text")
+    corpus.label_corpus(docs, called_config(), store_of, created_at=_at(F.lit(0)), fresh=True)
+    corpus.label_corpus(docs, called_config(), store_of, created_at=_at(F.lit(60)))
+    out = usage.usage_summary(store_of.read(spark, "usage"), ["agent_id"])
+    return out.select("agent_id", "input_tokens", "output_tokens", "total_calls", "cached_calls")
+
+
 def alteration_counts(spark, sf):
     return alter.alteration_counts(_altered(spark, sf))
 
@@ -491,6 +580,7 @@ QUERIES = {
         upsert_latest_label, upsert_final_label, promoted_fields, assigned_ids, confidence_bucket, unlabeled_docs, fetch_examples,
         label_documents, agreement_summary, flag_summary, decided_by_errors, prompt_render, snippets, cache_lookup, token_usage_summary,
         token_usage_by_role, report_units, rate_limit_admission, rate_limit_by_user, worker_assignment, knn_top5, knn_oversampled, knn_earlier,
+        knn_repeated_ids, knn_missing_vector, same_names, typed_conditions, label_corpus_twice, label_corpus_usage,
         knn_confident, knn_label_vote, examples_block, normalized_names, similar_names, word_similarity, pattern_groups, created_patterns,
         merged_patterns, pattern_statistics, pattern_confidence, chunk_assign, example_references, consolidated_references,
         alteration_counts, altered_entries, alteration_errors, field_value_examples, ncloc_documents, assertion_names, statement_kinds,

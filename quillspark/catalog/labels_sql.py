@@ -1,5 +1,7 @@
 """SQL statements of the labeling, agreement, retrieval and pattern queries."""
 
+import zlib
+
 _TOKENS = "list_filter(regexp_split_to_array({text}, '\\s+'), lambda t: t <> '')"
 
 _ROLLING = """
@@ -32,6 +34,13 @@ l AS (SELECT *, CASE WHEN a = b THEN a ELSE j END AS f,
   CASE WHEN a = b THEN 'agreement' ELSE 'adjudicator:adjudicator_1' END AS decided_by FROM v)
 """
 
+_CALLED = """
+WITH v AS (SELECT source, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+l AS (SELECT *, n >= 400 AS a, n >= 1000 AS b FROM v),
+c AS (SELECT *, CASE WHEN a = b THEN a ELSE n % 2 = 0 END AS f,
+  CASE WHEN a = b THEN 'agreement' ELSE 'adjudicator:adjudicator_1' END AS decided_by FROM l)
+"""
+
 _DIST = """
 WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 pairs AS (SELECT q.vec_id, x.vec_id AS neighbor_id, x.label AS neighbor_label,
@@ -138,6 +147,28 @@ SELECT event_id, user_id, round(greatest(arrived, top + i * 30.0 - 30.0), 3) AS
     "knn_top5": _DIST.format(on=_ALL, k=5) + _RANKED,
     "knn_oversampled": _DIST.format(on=_ALL, k=3) + _RANKED,
     "knn_earlier": _DIST.format(on="x.vec_id < q.vec_id", k=3) + _RANKED,
+    "knn_repeated_ids": """
+WITH e AS (SELECT vec_id, vec_id // 4 AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+pairs AS (SELECT q.id, x.id AS neighbor_id,
+  list_sum(list_transform(list_zip(q.v, x.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+  FROM e q JOIN e x ON q.vec_id % 4 = 0 AND q.id <> x.id),
+near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, neighbor_id) AS rank FROM pairs)
+SELECT id, rank, round(d, 6) AS distance FROM near WHERE rank <= 5""",
+    "knn_missing_vector": _DIST.format(on=_ALL + " AND q.vec_id % 7 <> 0 AND x.vec_id % 5 <> 0", k=3) + _RANKED,
+    "same_names": """
+SELECT p_partkey AS item, min(p_partkey) OVER (PARTITION BY list_sort(list_distinct(string_split(lower(p_name), ' ')))) AS first_item FROM part""",
+    "typed_conditions": """
+SELECT doc_id, doc_id % 8 IN (0, 2, 3) AS number, doc_id % 8 = 1 AS text, doc_id % 8 IN (4, 7) AS absent, doc_id % 8 IN (0, 2, 3) AS flag
+FROM documents""",
+    "label_corpus_twice": _CALLED + """
+SELECT source, decided_by, count(*) AS documents, CAST(sum(CASE WHEN f THEN {yes} ELSE {no} END) AS BIGINT) AS labels FROM c GROUP BY ALL""".format(
+        yes=zlib.crc32(b'{"is_good":true}'), no=zlib.crc32(b'{"is_good":false}')),
+    "label_corpus_usage": _CALLED + """,
+asks AS (SELECT 'labeler_a' AS agent_id, 'CODE:' || text AS t, 'a' AS s FROM c UNION ALL SELECT 'labeler_b', 'CODE:' || text, 'b' FROM c
+  UNION ALL SELECT 'adjudicator_1', '{"is_good":' || a || '}{"is_good":' || b || '}CODE:' || text, 'j' FROM c WHERE a <> b),
+n AS (SELECT agent_id, t, s, count(*) AS k FROM asks GROUP BY ALL)
+SELECT agent_id, CAST(sum(length('[SYSTEM]' || s || '[HUMAN]' || t) + 4) AS BIGINT) AS input_tokens, 2 * count(*) AS output_tokens,
+  CAST(2 * sum(k) AS BIGINT) AS total_calls, CAST(2 * sum(k) - count(*) AS BIGINT) AS cached_calls FROM n GROUP BY agent_id""",
     "knn_confident": _DIST.format(on=_ALL, k=5) + """
 SELECT vec_id, neighbor_id, round(1 / (1 + sqrt(d)), 6) AS score, 1 / (1 + sqrt(d)) >= 0.5 AS is_confident,
   bool_or(1 / (1 + sqrt(d)) >= 0.5) OVER (PARTITION BY vec_id) AS has_confident_matches FROM near""",
@@ -147,7 +178,8 @@ SELECT vec_id, CAST(label AS BIGINT) AS label, votes FROM votes
 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY votes DESC, label) = 1""",
     "examples_block": _DIST.format(on=_ALL, k=5) + "," + _FINAL + """,
 b AS (SELECT near.vec_id, f.labeled_at, f.doc_id, 'Example doc_id=' || f.doc_id || chr(10) || 'Document snippet:' || chr(10) ||
-    CASE WHEN length(text) > 900 THEN substr(text, 1, 900) || '...' ELSE text END || chr(10) || chr(10) || 'Final label:' || chr(10) || label_json AS block
+    CASE WHEN length(text) > 900 THEN substr(text, 1, 900) || '...' ELSE text END || chr(10) || chr(10) || 'Final label:' || chr(10) ||
+    replace(replace(label_json, '{"quality":', '{' || chr(10) || '  "quality": '), '}', chr(10) || '}') AS block
   FROM near LEFT JOIN (SELECT * FROM finals JOIN documents USING (doc_id)) f ON f.doc_id = neighbor_id)
 SELECT vec_id, count(block) AS examples, md5('[SYSTEM]' || chr(10) || 's' || chr(10) || chr(10) || '[HUMAN]' || chr(10) ||
   coalesce(string_agg(block, chr(10) || chr(10) ORDER BY labeled_at DESC, doc_id), 'No similar past labeled examples were found.')) AS prompt_md5
@@ -160,7 +192,7 @@ WITH s AS (SELECT min(p_partkey) AS item, t FROM (SELECT p_partkey, list_sort(li
 p AS (SELECT a.item AS item_a, b.item AS item_b, len(list_intersect(a.t, b.t)) AS i, len(a.t) + len(b.t) AS n FROM s a JOIN s b ON a.item < b.item)
 SELECT item_a, item_b, round(CAST(i AS DOUBLE) / (n - i), 6) AS similarity FROM p WHERE CAST(i AS DOUBLE) / (n - i) >= 0.3""",
     "word_similarity": """
-WITH d AS (SELECT doc_id, list_distinct(""" + _TOKENS.format(text="lower(text)") + """) AS a, doc_id % 40 AS item_id FROM documents),
+WITH d AS (SELECT doc_id, list_distinct(""" + _TOKENS.format(text="lower(text)") + """) AS a, doc_id % (SELECT count(*) FROM benchmark) AS item_id FROM documents),
 b AS (SELECT item_id, list_distinct(""" + _TOKENS.format(text="lower(text)") + """) AS b FROM benchmark),
 j AS (SELECT doc_id, len(list_intersect(a, b)) AS i, len(a) AS na, len(b) AS nb FROM d JOIN b USING (item_id))
 SELECT doc_id, CASE WHEN na = 0 OR nb = 0 THEN 0.0 ELSE round(CAST(i AS DOUBLE) / (na + nb - i), 6) END AS jaccard,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import importlib.util
+import json
 from types import ModuleType
 
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from quillspark.operators import labeling
 from quillspark.operators.agreement import rolling_kappa_for_fields
 from quillspark.operators.store import pairwise_labels
 from quillspark.plans import analysis, corpus, extraction
-from quillspark.session import get_session
+from quillspark.session import get_session, materialize
 from quillspark.sources import files
 
 
@@ -27,6 +28,16 @@ def load_module(path: str) -> ModuleType:
     return module
 
 
+def condition(text: str) -> tuple[str, object]:
+    """``field=value``; a value that is a JSON number, boolean or null is taken as such, anything else as text."""
+    field, _, value = text.partition("=")
+    try:
+        parsed = json.loads(value)
+    except ValueError:
+        parsed = value
+    return field, value if isinstance(parsed, dict | list) else parsed
+
+
 def _analyze(spark, args) -> None:
     found = analysis.analyze(files.python_sources(spark, args.root, args.project))
     analysis.write_report(found, args.out)
@@ -56,20 +67,27 @@ def _kappa(spark, args) -> None:
 
 def _extract(spark, args) -> None:
     module = load_module(args.config)
-    entries = files.label_entries(files.label_files(spark, args.root))
-    found = extraction.extract_patterns(
-        entries, args.field[0], args.value, args.reasoning_field, module.MINER, getattr(module, "CONSOLIDATOR", None),
-        args.max_examples, args.chunk_size,
-    )
-    print(found.summary)
-    if args.out:
-        found.patterns.write.mode("overwrite").json(f"{args.out}/patterns")
-        found.references.write.mode("overwrite").json(f"{args.out}/references")
+    members = materialize(files.label_members(files.label_files(spark, args.root)))
+    files.unread_files(members).show(truncate=False)
+    entries = files.entries_of(members)
+    for field in dict.fromkeys(args.field):
+        found = extraction.extract_patterns(
+            entries, field, args.value, args.reasoning_field, module.MINER, getattr(module, "CONSOLIDATOR", None),
+            args.max_examples, args.chunk_size,
+        )
+        print(found.summary)
+        if args.out:
+            out = args.out if len(set(args.field)) == 1 else f"{args.out}/{field}"
+            about = [F.lit(field).alias("field_name"), F.lit(args.value).alias("field_value")]
+            found.patterns.select(*about, "*").write.mode("overwrite").json(f"{out}/patterns")
+            found.references.select(*about, "*").write.mode("overwrite").json(f"{out}/references")
+            spark.createDataFrame([(field, args.value, str(found.summary))], "field_name string, field_value string, summary string").write.mode(
+                "overwrite").json(f"{out}/summary")
 
 
 def _alter(spark, args) -> None:
     module = load_module(args.config)
-    conditions = [tuple(c.split("=", 1)) for c in args.where]
+    conditions = [condition(c) for c in args.where]
     counts, errors = corpus.alter_corpus(spark, args.root, args.out, conditions, module.CONFIG, args.dry_run)
     print(counts.asDict())
     errors.show(truncate=False)

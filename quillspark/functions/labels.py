@@ -42,17 +42,25 @@ def matches_combination(
 
 
 def meets_any(label: Column | str, conditions: Sequence[tuple[str, object]]) -> Column:
-    """OR over ``(field, value)`` equalities; a ``None`` value matches an absent or null field."""
+    """OR over ``(field, value)`` equalities of typed values; ``None`` matches an absent or null field.
+
+    Text equals text only. Numbers and booleans compare by value, as 1, 1.0 and true are equal.
+    """
+    parsed = F.try_parse_json(F.col(label) if isinstance(label, str) else label)
     tests = []
     for field, want in conditions:
-        have = json_path(label, field)
+        have = F.try_variant_get(parsed, "$['" + field.replace("'", "\\'") + "']", "variant")
+        kind = F.schema_of_variant(have)
         if want is None:
-            tests.append(have.isNull())
-        elif isinstance(want, bool):
-            tests.append(have.eqNullSafe(F.lit("true" if want else "false")))
+            tests.append(have.isNull() | (kind == "VOID"))
+        elif isinstance(want, str):
+            tests.append((kind == "STRING") & (F.try_variant_get(have, "$", "string") == want))
         else:
-            tests.append(have.eqNullSafe(F.lit(str(want))))
-    return reduce(lambda x, y: x | y, tests, F.lit(False))
+            number = F.when(kind == "BOOLEAN", F.try_variant_get(have, "$", "boolean").cast("double")).when(
+                kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(have, "$", "double")
+            )
+            tests.append(number == float(want))
+    return reduce(lambda x, y: x | y, [F.coalesce(t, F.lit(False)) for t in tests], F.lit(False))
 
 
 # Per-field transforms applied before agreement is measured.

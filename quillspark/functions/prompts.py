@@ -6,6 +6,7 @@ import json
 from collections.abc import Mapping
 from string import Formatter
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,13 +34,33 @@ def schema_json(schema: T.StructType) -> str:
     return json.dumps(schema.jsonValue(), indent=2, ensure_ascii=False)
 
 
+def indented_json(labels: Column) -> Column:
+    """Each JSON text of an array, indented by two; other text under ``raw``, null or empty as an empty object.
+
+    A prompt shows a handful of labels, so this small step runs in Arrow batches of Python.
+    """
+
+    def indent(texts: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                value = json.loads(text or "{}")
+            except ValueError:
+                value = {"raw": text}
+            return json.dumps(value, indent=2, ensure_ascii=False)
+
+        return texts.map(lambda several: None if several is None else [one(t) for t in several])
+
+    return F.pandas_udf(T.ArrayType(T.StringType()))(indent)(labels)
+
+
 def examples_block(examples: Column) -> Column:
     """First five of ``array<struct<doc_id, text, label_json>>`` as a readable block."""
-    shown = F.transform(
-        F.slice(examples, 1, 5),
-        lambda e: F.concat(
+    first = F.slice(examples, 1, 5)
+    shown = F.zip_with(
+        first, indented_json(F.transform(first, lambda e: e["label_json"])),
+        lambda e, label: F.concat(
             F.lit("Example doc_id="), e["doc_id"].cast("string"), F.lit("\nDocument snippet:\n"), snippet(e["text"]),
-            F.lit("\n\nFinal label:\n"), F.coalesce(e["label_json"], F.lit("{}")),
+            F.lit("\n\nFinal label:\n"), label,
         ),
     )
     none = F.lit("No similar past labeled examples were found.")

@@ -66,7 +66,7 @@ def altered_entry(entry: Column, final_label: Column, relabeled: Column) -> Colu
         F.lit("final_label"), F.parse_json(final_label), F.lit("decided_by"), F.parse_json(F.lit('"label_alterer"')),
         F.lit("relabeled"), F.parse_json(F.lit("true")),
     )
-    return F.when(relabeled, F.to_json(F.map_concat(kept, new))).otherwise(F.to_json(parsed))
+    return F.when(relabeled, F.to_json(F.map_concat(kept, new))).otherwise(F.coalesce(F.to_json(parsed), entry))
 
 
 def altered_files(altered: DataFrame) -> DataFrame:

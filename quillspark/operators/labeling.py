@@ -70,6 +70,9 @@ class LabelConfig:
     validation: Callable[[Column, Column], Column] | None = None
     index_fields: tuple[str, ...] = ()
     requests_per_minute: int | None = None
+    examples_chars: int = 1000  # code points of an example's text that the formatter may show
+    document_builder: Callable[[DataFrame], DataFrame] | None = None  # files or units to documents
+    unit_resolver: Callable[[DataFrame], DataFrame] | None = None  # label entries to (path, item, text)
     extras: dict = field(default_factory=dict)
 
 
@@ -114,9 +117,17 @@ def split_cached(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, Data
 
 
 def _invoke(requests: DataFrame, agent: Agent, rpm: int | None) -> DataFrame:
-    """Call the agent's client for every ``(key, prompt)``; a failed call is a row with ``error``."""
+    """Call the agent's client for every ``(key, prompt)``; a failed call is a row with ``error``.
+
+    With a limit there are as many tasks as shares of it. Each starts with its share as the burst, so all
+    tasks together never exceed one bucket of ``rpm`` calls, however many of them run at once.
+    """
     make = agent.client
-    share = None if not rpm else rpm / max(1, requests.sparkSession.sparkContext.defaultParallelism)
+    spark = requests.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if rpm:
+        tasks = max(1, min(tasks, rpm, spark.sparkContext.defaultParallelism))
+    share = None if not rpm else rpm / tasks
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask, bucket = make(), TokenBucket(share)
@@ -131,15 +142,30 @@ def _invoke(requests: DataFrame, agent: Agent, rpm: int | None) -> DataFrame:
             yield pd.DataFrame([{"key": k, **r.__dict__} for k, r in zip(batch["key"], replies)],
                                columns=["key", *Reply.__dataclass_fields__])
 
-    # A stated partition number keeps runtime coalescing from queueing slow calls behind one another.
-    tasks = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return requests.repartition(tasks, "key").mapInPandas(rows, f"key string, {REPLY}")
+    # dealt round robin: every task gets as many calls, so none waits for tokens that another does not use
+    return requests.repartition(tasks).mapInPandas(rows, f"key string, {REPLY}")
+
+
+@dataclass
+class Journal:
+    """What a labeling run called: rows that extend the cache, and usage rows per document and agent."""
 
+    calls: list[DataFrame] = field(default_factory=list)
+    usage: list[DataFrame] = field(default_factory=list)
 
-def answer(docs: DataFrame, agent: Agent, config: LabelConfig, cache: DataFrame | None = None, **more: Column) -> DataFrame:
+    def note(self, agent: Agent, called: DataFrame | None, answers: DataFrame) -> None:
+        if called is not None:
+            self.calls.append(called.where("error IS NULL"))  # a failed call is tried again
+        counters = [c.split()[0] for c in REPLY.split(", ")[2:]]
+        self.usage.append(answers.select("doc_id", F.lit(agent.agent_id).alias("agent_id"), "from_cache", *counters))
+
+
+def answer(
+    docs: DataFrame, agent: Agent, config: LabelConfig, cache: DataFrame | None = None, journal: Journal | None = None, **more: Column
+) -> DataFrame:
     """``(doc_id, prompt, label_json, error, from_cache, token counters)`` of one agent over ``docs``.
 
-    Equal prompts are called once. The calls made are stored as returned, ready to extend the cache.
+    Equal prompts are called once. The calls made are stored as returned and noted in ``journal``.
     """
     text = prompts(docs, agent, config, **more)
     if agent.rule is not None:
@@ -160,11 +186,14 @@ def answer(docs: DataFrame, agent: Agent, config: LabelConfig, cache: DataFrame
     stored = known.withColumn("_payer", F.lit(None).cast("long")).unionByName(fresh)
     out = requests.join(stored, "key")
     paid = F.col("doc_id") == F.col("_payer")
-    return out.select(
+    answers = out.select(
         "doc_id", "prompt", "label_json", "error", F.coalesce(~paid, F.lit(True)).alias("from_cache"),
         *[F.when(paid, F.col(c)).otherwise(0).cast("long").alias(c) for c in (
             "input_tokens", "output_tokens", "cached_input_tokens", "cached_output_tokens")],
     )
+    if journal is not None:
+        journal.note(agent, called, answers)
+    return answers
 
 
 def _canonical(label: Column, schema: T.StructType) -> Column:
@@ -199,7 +228,9 @@ def equal_labels(config: LabelConfig) -> Column:
     return F.col("label_a").eqNullSafe(F.col("label_b"))
 
 
-def label_documents(docs: DataFrame, config: LabelConfig, cache: DataFrame | None = None) -> DataFrame:
+def label_documents(
+    docs: DataFrame, config: LabelConfig, cache: DataFrame | None = None, journal: Journal | None = None
+) -> DataFrame:
     """Label every document of ``docs`` (``doc_id, text`` and, with retrieval, ``examples``).
 
     Adds ``label_a, label_b, final_label, decided_by``, the three prompts, ``error`` and
@@ -226,7 +257,7 @@ def label_documents(docs: DataFrame, config: LabelConfig, cache: DataFrame | Non
             F.when(F.col("_same"), "").otherwise(judge).alias("prompt_adjudicator"),
         )
     else:
-        a, b = answer(docs, config.labeler_a, config, cache), answer(docs, config.labeler_b, config, cache)
+        a, b = (answer(docs, agent, config, cache, journal) for agent in (config.labeler_a, config.labeler_b))
 
         def side(rows: DataFrame, tag: str) -> DataFrame:
             label = _canonical(F.col("label_json"), config.schema)
@@ -237,7 +268,7 @@ def label_documents(docs: DataFrame, config: LabelConfig, cache: DataFrame | Non
         both = docs.join(side(a, "a"), "doc_id").join(side(b, "b"), "doc_id").withColumn("error", F.coalesce("_ea", "_eb")).drop("_ea", "_eb")
         both = materialize(both)
         open_ = both.where(F.col("error").isNull() & ~F.coalesce(equal_labels(config), F.lit(False)))
-        judged = answer(open_, config.adjudicator, config, cache, a=F.col("label_a"), b=F.col("label_b"))
+        judged = answer(open_, config.adjudicator, config, cache, journal, a=F.col("label_a"), b=F.col("label_b"))
         final = decide(both, judged, config)
     none = F.array().cast("array<string>")
     issues = none if config.validation is None else F.coalesce(config.validation(F.col("final_label"), F.col("text")), none)

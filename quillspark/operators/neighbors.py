@@ -1,9 +1,10 @@
 """Exact nearest-neighbour join.
 
-The index is cut into Voronoi cells around a bounded set of pivots. Each query gets an upper bound on
-its k-th distance from the cell summaries and visits only cells the triangle inequality cannot exclude
-(the published pivot-based kNN join). Cells and the queries visiting them are cut further into blocks of
-bounded size, so a hot cell is many tasks; each block pair returns only its best k rows per query.
+The index is cut into Voronoi cells around pivots, whose number grows with the root of the index. Each query
+gets an upper bound on its k-th distance from the cell summaries, counting only index rows it may have, and
+visits only cells the triangle inequality cannot exclude (the published pivot-based kNN join). Cells and the
+queries visiting them are cut further into blocks of bounded size, so a hot cell is many tasks; each block
+pair returns only its best k rows per query.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 
 from quillspark.session import materialize
 
-MAX_PIVOTS = 256
+MAX_PIVOTS = 65_536  # reached at four billion index rows; bounds what the driver and each task hold
 BLOCK_ROWS = 4096
+STEP = 512  # rows compared with all pivots at once
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -31,7 +33,7 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _pivots(index: DataFrame, rows: int) -> np.ndarray:
-    """A bounded, repeatable sample of index vectors; it steers pruning and never the result."""
+    """A repeatable sample of index vectors, the root of their number; it steers pruning and never the result."""
     m = int(min(MAX_PIVOTS, max(1, np.sqrt(rows))))
     sample = index.orderBy(F.xxhash64("_iid"), "_iid").limit(m).select("_ivec").toPandas()
     return _matrix(sample["_ivec"])
@@ -51,10 +53,11 @@ def nearest(
     """``(query_id, neighbor_id, distance, rank)`` of the ``k`` nearest index rows per query, ties by id.
 
     ``earlier_only`` admits index rows with a smaller id only (incremental retrieval: a document sees
-    those stored before it). ``metric`` is ``l2sq`` or ``l2``.
+    those stored before it). ``metric`` is ``l2sq`` or ``l2``. Rows without a vector are nobody's neighbours,
+    and have none. Ids may repeat: with ``exclude_self`` no row of the query's own id counts.
     """
-    q = queries.select(F.col(query_id).cast("long").alias("_qid"), F.col(vector).alias("_qvec"))
-    x = index.select(F.col(index_id).cast("long").alias("_iid"), F.col(vector).alias("_ivec"))
+    q = queries.select(F.col(query_id).cast("long").alias("_qid"), F.col(vector).alias("_qvec")).where("_qvec IS NOT NULL")
+    x = index.select(F.col(index_id).cast("long").alias("_iid"), F.col(vector).alias("_ivec")).where("_ivec IS NOT NULL")
     spark = q.sparkSession
     rows = x.count()
     if rows == 0:
@@ -64,19 +67,23 @@ def nearest(
 
     def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            d = _distances(_matrix(batch["_ivec"]), pivots)
-            cell = d.argmin(1)
-            at = np.arange(len(d))
-            yield batch.assign(_cell=cell.astype("int32"), _dist=d[at, cell], _irow=at)
-
-    celled = materialize(x.mapInPandas(to_cells, "_iid long, _ivec array<float>, _cell int, _dist double, _irow long"))
+            for start in range(0, len(batch), STEP):
+                part = batch.iloc[start : start + STEP]
+                d = _distances(_matrix(part["_ivec"]), pivots)
+                cell = d.argmin(1)
+                yield part.assign(_cell=cell.astype("int32"), _dist=d[np.arange(len(d)), cell])
+
+    number = F.monotonically_increasing_id()
+    celled = materialize(
+        x.mapInPandas(to_cells, "_iid long, _ivec array<float>, _cell int, _dist double").withColumn("_irow", number)
+    )
     nearest_first = Window.partitionBy("_cell").orderBy("_dist", "_iid")
     heads = (
         celled.select("_cell", "_dist", "_iid")
         .withColumn("_r", F.row_number().over(nearest_first))
         .where(F.col("_r") <= want)
         .groupBy("_cell")
-        .agg(F.sort_array(F.collect_list("_dist")).alias("head"))
+        .agg(F.sort_array(F.collect_list(F.struct("_dist", "_iid"))).alias("head"))
     )
     summary = (
         celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("rows"), F.max("_dist").alias("radius"))
@@ -84,37 +91,46 @@ def nearest(
     )
     cells = summary["_cell"].to_numpy()
     radius = summary["radius"].to_numpy(dtype=float)
-    heads_of = [np.asarray(h, dtype=float) for h in summary["head"]]
+    heads_of = [np.array([r["_dist"] for r in h], dtype=float) for h in summary["head"]]
+    head_ids = np.concatenate([[r["_iid"] for r in h] for h in summary["head"]]).astype(np.int64)
     slack = 1e-9
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            d = _distances(_matrix(batch["_qvec"]), pivots[cells])
-            if earlier_only or rows <= want:
-                keep = np.ones_like(d, dtype=bool)
-            else:
+            for start in range(0, len(batch), STEP):
+                part = batch.iloc[start : start + STEP]
+                d = _distances(_matrix(part["_qvec"]), pivots[cells])
                 reach = np.concatenate([d[:, [i]] + h[None, :] for i, h in enumerate(heads_of)], axis=1)
-                bound = np.partition(reach, want - 1, axis=1)[:, want - 1]
-                keep = d - radius[None, :] <= bound[:, None] + slack
-            yield batch.assign(_cells=[cells[row].astype("int32").tolist() for row in keep], _qrow=np.arange(len(batch)))
-
-    routed = materialize(q.mapInPandas(visits, "_qid long, _qvec array<float>, _cells array<int>, _qrow long"))
+                own = part["_qid"].to_numpy()[:, None]
+                # heads that the query may not have say nothing about its k-th distance
+                if exclude_self:
+                    reach[head_ids[None, :] == own] = np.inf
+                if earlier_only:
+                    reach[head_ids[None, :] >= own] = np.inf
+                if reach.shape[1] < k:
+                    keep = np.ones_like(d, dtype=bool)
+                else:
+                    bound = np.partition(reach, k - 1, axis=1)[:, k - 1]
+                    keep = d - radius[None, :] <= bound[:, None] + slack
+                yield part.assign(_cells=[cells[row].astype("int32").tolist() for row in keep])
+
+    routed = materialize(q.mapInPandas(visits, "_qid long, _qvec array<float>, _cells array<int>").withColumn("_qrow", number))
     demand = routed.select(F.explode("_cells").alias("_cell")).groupBy("_cell").agg(F.count(F.lit(1)).alias("asks"))
     asks = {r["_cell"]: r["asks"] for r in demand.collect()}
-    plan = [
-        (int(c), max(1, -(-int(n) // BLOCK_ROWS)), max(1, -(-int(asks.get(int(c), 0)) // BLOCK_ROWS)))
-        for c, n in zip(cells, summary["rows"])
-    ]
+    # Rows are dealt to blocks by a hash of their number, so blocks of half the size on average stay below it.
+    parts = lambda n: 1 if n <= BLOCK_ROWS else -(-int(n) // (BLOCK_ROWS // 2))
+    plan = [(int(c), parts(n), parts(asks.get(int(c), 0))) for c, n in zip(cells, summary["rows"])]
     blocks = F.broadcast(spark.createDataFrame(plan, "_cell int, _nx int, _nq int"))
 
-    # Blocks are cut by row number, which the stored tables fix: an id or vector repeated often spreads too.
+    # The stored tables fix the row numbers: an id or vector repeated often spreads too.
+    deal = lambda row, n: F.pmod(F.xxhash64(row), F.col(n)).cast("int")
     stored = celled.join(blocks, "_cell").select(
-        "_cell", F.pmod("_irow", "_nx").cast("int").alias("_bx"),
+        "_cell", deal("_irow", "_nx").alias("_bx"),
         F.explode(F.expr("sequence(0, _nq - 1)")).alias("_bq"), "_iid", "_ivec",
     )
     asked = routed.select("_qid", "_qvec", "_qrow", F.explode("_cells").alias("_cell")).join(blocks, "_cell").select(
         "_cell", F.explode(F.expr("sequence(0, _nx - 1)")).alias("_bx"),
-        F.pmod("_qrow", "_nq").cast("int").alias("_bq"), "_qid", "_qvec",
+        deal("_qrow", "_nq").alias("_bq"), "_qid", "_qvec",
     )
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -15,7 +15,7 @@ from quillspark.operators.seeds import greedy_seeds, prefix_tokens
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs ``(item_a, item_b, similarity)`` of token sets with word Jaccard of at least ``threshold``.
 
-    Identical sets are collapsed first and reported once per distinct set by the smallest item.
+    Identical sets are taken as one, by the smallest item; ``same_sets`` says which items that are.
     """
     distinct = (
         sets.select("item", F.array_sort("tokens").alias("tokens")).where(F.size("tokens") > 0)
@@ -35,6 +35,16 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def same_sets(sets: DataFrame) -> DataFrame:
+    """``(item, first_item)``: the items that ``similar_sets`` takes as one, with the smallest of them; empty sets drop out.
+
+    Pairs of one group are not listed: a popular set would give as many as the square of its items.
+    """
+    filled = sets.select("item", F.array_sort("tokens").alias("tokens")).where(F.size("tokens") > 0)
+    first = filled.groupBy("tokens").agg(F.min("item").alias("first_item"))
+    return filled.join(first, "tokens").select("item", "first_item")
+
+
 def match_rank(new: dict[str, Column], old: dict[str, Column]) -> Column:
     """How well a new pattern fits an existing one: 2 for the same name, else the combined score, else null.
 

@@ -30,15 +30,16 @@ def admission_times(requests: DataFrame, rpm: int | None, at: str, request_id: s
 
 
 class TokenBucket:
-    """Limiter of one task; a job's budget is split evenly over its concurrent tasks."""
+    """Limiter of one task: its share of the job's budget. A share below one call starts with part of a token."""
 
     def __init__(self, rpm: float | None, clock=time.monotonic, sleep=time.sleep):
-        self._rate, self._capacity = (rpm or 0) / 60.0, float(max(rpm or 0, 1.0))
+        self._start = float(rpm or 0)
+        self._rate, self._capacity = self._start / 60.0, max(self._start, 1.0)
         self._clock, self._sleep = clock, sleep
         self.reset()
 
     def reset(self) -> None:
-        self._tokens, self._seen = self._capacity, self._clock()
+        self._tokens, self._seen = self._start, self._clock()
 
     def _refill(self) -> None:
         now = self._clock()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,13 +35,13 @@ def get_session(app_name: str = "quillspark", master: str | None = None, **conf)
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for materialised intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. A local master may fall back to a temporary
-    folder; anything else must be configured, because executors cannot read the driver's disk.
+    The cluster names it in ``spark.checkpoint.dir``. Where it is unset, a purely local master (one process)
+    gets a temporary folder; anything else must be configured, because executors cannot read the driver's disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _local_roots:

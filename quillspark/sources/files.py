@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.sources import schemas
 
@@ -40,13 +44,20 @@ def binary_files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     Given one file, the suffix is compared without case and a mismatch yields no rows.
     """
     reader = spark.read.format("binaryFile")
-    if root.lower().endswith(suffix.lower()):
-        loaded = reader.load(root)
+    if _is_file(spark, root):
+        loaded = reader.load(root).where(F.lower("path").endswith(suffix.lower()))
     else:
         loaded = reader.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(root)
     return loaded.select("path", "content")
 
 
+def _is_file(spark: SparkSession, path: str) -> bool:
+    """Whether a path names one file, as its own file system says; false for anything that is not there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return system.exists(where) and system.getFileStatus(where).isFile()
+
+
 def relative_path(path: Column, root: str) -> Column:
     """``path`` below ``root``, whichever scheme and host spell the two."""
     bare = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:/+", "/", root).rstrip("/")
@@ -88,12 +99,18 @@ def source_text(spark: SparkSession, text: str, name: str = "input.py") -> DataF
 def read_safely(units: DataFrame, files: DataFrame, path: str = "file_path") -> DataFrame:
     """Units with ``content``: the file's text, or a bracketed note when there is no path or file.
 
-    ``files`` is ``(path, content)`` as bytes.
+    ``files`` is ``(path, content)`` as bytes; a file that is there but has no content was not readable, and an
+    ``error`` column of its own says why.
     """
-    texts = files.select(F.col("path").alias("_p"), decode_replacing(F.col("content")).alias("_text"))
+    why = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    texts = files.select(
+        F.col("path").alias("_p"), decode_replacing(F.col("content")).alias("_text"), why.alias("_why"),
+    )
     where = F.col(path)
-    note = F.when(F.coalesce(where, F.lit("")) == "", F.lit("[No file path provided]")).otherwise(
-        F.concat(F.lit("[File not found: "), where, F.lit("]"))
+    note = (
+        F.when(F.coalesce(where, F.lit("")) == "", F.lit("[No file path provided]"))
+        .when(F.col("_p").isNull(), F.concat(F.lit("[File not found: "), where, F.lit("]")))
+        .otherwise(F.concat(F.lit("[Error reading "), where, F.lit(": "), F.coalesce("_why", F.lit("no content")), F.lit("]")))
     )
     return units.join(texts, where == F.col("_p"), "left").select(
         *units.columns, F.coalesce("_text", note).alias("content")
@@ -123,27 +140,100 @@ def label_files(spark: SparkSession, root: str) -> DataFrame:
     return binary_files(spark, root, ".json").select("path", decode_ignoring(F.col("content")).alias("body"))
 
 
+MEMBER_BATCH_BYTES = 4 << 20
+_SPACE = re.compile(r"[ \t\n\r]*")
+
+
+def _members(text: str) -> dict[str, tuple[int, int]]:
+    """Span of the value of each top-level member of a JSON object; of repeated names the last counts."""
+    scan = json.JSONDecoder().raw_decode
+    skip = lambda i: _SPACE.match(text, i).end()
+    at, found = skip(0), {}
+    if text[at : at + 1] != "{":
+        raise ValueError("not a JSON object")
+    at = skip(at + 1)
+    while text[at : at + 1] != "}":
+        name, at = scan(text, at)
+        at = skip(at)
+        if not isinstance(name, str) or text[at : at + 1] != ":":
+            raise ValueError(f"no member at character {at}")
+        start = skip(at + 1)
+        _, at = scan(text, start)
+        found[name] = (start, at)
+        at = skip(at)
+        if text[at : at + 1] == ",":
+            at = skip(at + 1)
+            if text[at : at + 1] == "}":
+                raise ValueError(f"no member at character {at}")
+        elif text[at : at + 1] != "}":
+            raise ValueError(f"no end of the object at character {at}")
+    if skip(at + 1) != len(text):
+        raise ValueError(f"more text at character {at + 1}")
+    return found
+
+
+def label_members(files: DataFrame) -> DataFrame:
+    """``path, item, value, error``: the members of label files as JSON text, a row each, in batches bounded by bytes.
+
+    A file is one JSON object of items, or one such object a line (the layout for large corpora, which Spark
+    splits when it reads). A body of any size is taken apart by position and never becomes one value. A body
+    that cannot be read gives one row with ``error``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows, held = [], 0
+                try:
+                    text = body.as_py()
+                    if text is None:
+                        raise ValueError("no content")
+                    for item, (start, end) in _members(text).items():
+                        rows.append((path, item, text[start:end], None))
+                        held += end - start
+                        if held >= MEMBER_BATCH_BYTES:
+                            yield _batch(rows)
+                            rows, held = [], 0
+                except ValueError as e:
+                    rows.append((path, None, None, str(e)))
+                if rows:
+                    yield _batch(rows)
+
+    return files.select("path", "body").mapInArrow(run, "path string, item string, value string, error string")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array(c, pa.string()) for c in zip(*rows, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, ["path", "item", "value", "error"])
+
+
 def label_entries(files: DataFrame) -> DataFrame:
-    """Entries of label files: ``path, project, item, entry, is_record, final_label``.
+    """Entries of label files (``entries_of``); ``unread_files`` tells which files gave none."""
+    return entries_of(label_members(files))
 
-    Each file maps items to records. Files that are not JSON objects yield nothing; ``entry`` and
-    ``final_label`` are JSON text. ``is_record`` tells records from stray values, and ``final_label`` is
-    null for a stray value or a label that is not an object; a record without one has an empty label.
+
+def unread_files(members: DataFrame) -> DataFrame:
+    """``path, error`` of the label files among ``label_members`` that could not be read."""
+    return members.where("item IS NULL").select("path", "error")
+
+
+def entries_of(members: DataFrame) -> DataFrame:
+    """``path, project, item, entry, is_record, final_label`` of the members of label files.
+
+    ``entry`` and ``final_label`` are JSON text. ``is_record`` tells records from stray values, and
+    ``final_label`` is null for a stray value or a label that is not an object; a record without one has an
+    empty label.
     """
-    parsed = files.select("path", F.try_parse_json("body").alias("_v")).where(
-        F.schema_of_variant("_v").startswith("OBJECT")
-    )
-    each = parsed.lateralJoin(
-        files.sparkSession.tvf.variant_explode(F.col("_v").outer()), how="inner"
-    ).select("path", F.col("key").alias("item"), F.col("value").alias("_e"))
-    is_record = F.schema_of_variant("_e").startswith("OBJECT")
+    each = members.where("item IS NOT NULL").withColumn("_e", F.try_parse_json("value"))
+    is_record = F.coalesce(F.schema_of_variant("_e").startswith("OBJECT"), F.lit(False))
     label = F.when(is_record, F.try_variant_get("_e", "$.final_label", "variant"))
     label_json = F.when(label.isNull() & is_record, F.lit("{}")).when(
         F.schema_of_variant(label).startswith("OBJECT"), F.to_json(label)
     )
     return each.select(
-        "path", F.element_at(F.split("path", "/"), -2).alias("project"), "item", F.to_json("_e").alias("entry"),
-        is_record.alias("is_record"), label_json.alias("final_label"),
+        "path", F.element_at(F.split("path", "/"), -2).alias("project"), "item",
+        F.coalesce(F.to_json("_e"), F.col("value")).alias("entry"), is_record.alias("is_record"),
+        label_json.alias("final_label"),
     )
 
 
@@ -166,10 +256,20 @@ def pattern_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def stored_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A parquet table, or an empty one of the same schema when nothing was stored yet."""
+    """A parquet table with all columns that were ever stored, or an empty one when nothing was stored yet.
+
+    Any other failure to read is an error: a store that cannot be read is not an empty store.
+    """
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+        stored = spark.read.option("mergeSchema", True).parquet(path)
+    except AnalysisException as e:
+        # no folder, or a folder without a file
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return spark.createDataFrame([], schema)
+    wanted = T._parse_datatype_string(schema)
+    have = set(stored.columns)
+    columns = [F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted]
+    return stored.select(*columns, *[c for c in stored.columns if c not in wanted.names])

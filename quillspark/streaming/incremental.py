@@ -1,13 +1,11 @@
-"""Streams: incremental labeling, pattern confidence as keyed state, and a non-blocking rate limit."""
+"""Streams: incremental labeling."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillspark.operators.labeling import LabelConfig
 from quillspark.plans.corpus import Store, label_corpus
@@ -16,54 +14,13 @@ from quillspark.plans.corpus import Store, label_corpus
 def label_stream(docs: DataFrame, config: LabelConfig, where: Store, checkpoint: str, **trigger) -> StreamingQuery:
     """Label documents as they arrive; each micro-batch sees the store as of the batches before it.
 
-    A batch replayed after a failure overwrites its own rows, so every document is stored once.
+    A batch replayed after a failure overwrites its own rows, so every document is stored once. The stream's
+    batches form a run named after its checkpoint: a stream never writes over what another writer stored.
     """
+    run = "stream-" + hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        label_corpus(rows, config, where, batch=batch_id)
+        label_corpus(rows, config, where, batch=batch_id, run=run)
 
     writer = docs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(**trigger) if trigger else writer).start()
-
-
-def _in_order(batches: Iterator[pd.DataFrame], column: str) -> pd.DataFrame:
-    """One key's rows of one micro-batch, which the trigger's size limit bounds."""
-    return pd.concat(list(batches), ignore_index=True).sort_values(column, kind="stable")
-
-
-def pattern_confidence_stream(examples: DataFrame, keep: float = 0.8) -> DataFrame:
-    """Running ``(pattern_id, confidence_score, usage_count)`` of ``(pattern_id, seq, confidence_score)``."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        confidence, used = state.get if state.exists else (None, 0)
-        for value in _in_order(batches, "seq")["confidence_score"]:
-            confidence = value if confidence is None else keep * confidence + (1 - keep) * value
-            used += 1
-        state.update((confidence, used))
-        yield pd.DataFrame({"pattern_id": [key[0]], "confidence_score": [confidence], "usage_count": [used]})
-
-    return examples.groupBy("pattern_id").applyInPandasWithState(
-        update, "pattern_id long, confidence_score double, usage_count long", "confidence double, used long", "update",
-        GroupStateTimeout.NoTimeout,
-    )
-
-
-def try_acquire_stream(requests: DataFrame, rpm: int) -> DataFrame:
-    """Whether each request ``(limiter, request_id, at)`` finds a token at its arrival, without waiting."""
-    rate, capacity = rpm / 60.0, float(rpm)
-
-    def admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _in_order(batches, "at")
-        tokens, seen = state.get if state.exists else (capacity, float(rows["at"].iloc[0]))
-        granted = []
-        for at in rows["at"]:
-            tokens, seen = min(capacity, tokens + (at - seen) * rate), at
-            granted.append(tokens >= 1)
-            tokens -= granted[-1]
-        state.update((float(tokens), float(seen)))
-        yield pd.DataFrame({"limiter": key[0], "request_id": rows["request_id"].to_numpy(), "granted": granted})
-
-    return requests.groupBy("limiter").applyInPandasWithState(
-        admit, "limiter string, request_id long, granted boolean", "tokens double, seen double", "append",
-        GroupStateTimeout.NoTimeout,
-    )

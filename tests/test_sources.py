@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark import sinks
@@ -114,3 +115,30 @@ def test_name_aliases(spark):
         ["C", "a.b.C", "b.C"], ["f", "m.f", "m::f"], ["x"], [], ["f:g:h", "g.h", "h"]]
     df = spark.createDataFrame([("tools=[a, b(c)[0],,]",), ("[]",), ("x",), ("]a[",)], "n string")
     assert [r[0] for r in df.select(list_items(F.col("n"))).collect()] == [["a", "b(c)[0]"], [], [], []]
+
+
+def test_label_files_of_any_size_and_unreadable_ones(spark):
+    rows = [("/o/p/bad.json", '{"a": 1,}'), ("/o/p/list.json", "[1]"), ("/o/p/none.json", None), ("/o/p/empty.json", "{}")]
+    members = files.label_members(spark.createDataFrame(rows, "path string, body string"))
+    assert {r["path"] for r in files.unread_files(members).collect()} == {"/o/p/bad.json", "/o/p/list.json", "/o/p/none.json"}
+    # more than one parsed value may hold
+    large = spark.range(1).select(F.lit("/o/p/big.json").alias("path"), F.concat(
+        F.lit('{"a": {"final_label": {"f": 1}}, "pad": "'), F.repeat(F.lit("x"), 140 << 20),
+        F.lit('", "b": {"final_label": {"f": "1"}}, "a": {"final_label": {"f": 2}}}')).alias("body"))
+    got = {r["item"]: r["final_label"] for r in files.label_entries(large).select("item", "final_label").collect()}
+    assert got == {"a": '{"f":2}', "pad": None, "b": '{"f":"1"}'}
+
+
+def test_folders_named_like_files(spark, tmp_path):
+    (tmp_path / "pkg.py" / "in").mkdir(parents=True)
+    (tmp_path / "pkg.py" / "in" / "m.py").write_text("x = 1\n")
+    assert files.binary_files(spark, str(tmp_path / "pkg.py"), ".py").count() == 1
+    assert files.binary_files(spark, str(tmp_path / "pkg.py" / "in" / "m.py"), ".py").count() == 1
+    assert files.binary_files(spark, str(tmp_path / "pkg.py" / "in" / "m.py"), ".json").count() == 0
+
+
+def test_only_a_missing_store_is_empty(spark, tmp_path):
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        files.stored_or_empty(spark, str(tmp_path / "broken"), schemas.VECTORS).count()

@@ -1,50 +1,20 @@
-import random
-
 from quillspark.plans import corpus
 from quillspark.streaming import incremental
 from test_labeling import _config
 
 
-def _run(df, name, mode):
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
-    query.processAllAvailable()
-    query.stop()
-    return df.sparkSession.table(name)
-
-
-def test_confidence_and_admission_keep_state_across_batches(spark, tmp_path):
-    rows = [(i % 2, i, [0.5, 1.0, 0.0][i // 2]) for i in range(6)]
-    df = spark.createDataFrame(rows, "pattern_id long, seq long, confidence_score double").repartition(1)
-    for part in range(3):
-        df.where(f"seq div 2 = {part}").write.mode("append").parquet(str(tmp_path / "p"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "p"))
-    out = _run(incremental.pattern_confidence_stream(stream), "confidence", "update").where("usage_count = 3")
-    final = {r["pattern_id"]: r["confidence_score"] for r in out.collect()}
-    assert set(final) == {0, 1} and all(abs(v - 0.48) < 1e-9 for v in final.values())
-
-    rnd = random.Random(2)
-    asks = sorted((round(rnd.random() * 200, 3)) for _ in range(40))
-    requests = spark.createDataFrame([("x", i, t) for i, t in enumerate(asks)], "limiter string, request_id long, at double")
-    for low in (0, 20):
-        requests.where(f"request_id >= {low} AND request_id < {low + 20}").repartition(1).write.mode("append").parquet(str(tmp_path / "r"))
-    source = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "r"))
-    got = {r["request_id"]: r["granted"] for r in _run(incremental.try_acquire_stream(source, 3), "granted", "append").collect()}
-    tokens, seen, want = 3.0, asks[0], {}
-    for i, t in enumerate(asks):
-        tokens, seen = min(3.0, tokens + (t - seen) * 0.05), t
-        want[i] = tokens >= 1
-        tokens -= want[i]
-    assert got == want
-
-
 def test_labels_documents_as_they_arrive(spark, tmp_path):
     docs = spark.createDataFrame([("a", "red round"), ("b", "red"), ("c", "plain")], "source string, text string").repartition(1)
     for name in "abc":
         docs.where(f"source = '{name}'").write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
     store = corpus.Store(str(tmp_path / "store"))
+    before = spark.createDataFrame([("old", f"red {i}") for i in range(5)], "source string, text string")
+    corpus.label_corpus(before, _config(), store)
     query = incremental.label_stream(stream, _config(), store, str(tmp_path / "cp"), availableNow=True)
     query.awaitTermination(120)
     assert query.exception() is None
     labels = {r["doc_id"] for r in store.read(spark, "final_labels").collect()}
-    assert labels == {1, 2, 3} and store.next_batch(spark) == 2
+    assert labels == set(range(1, 9)) and store.next_batch(spark) == 1  # nothing that was stored is lost
+    stored = store.read(spark, "documents")
+    assert stored.count() == 8 and stored.select("doc_id").distinct().count() == 8
