@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import any_contains, list_items, module_stem, strip
 from quillspark.operators import rules
-from quillspark.operators.frameworks import substring_pairs
+from quillspark.operators.substrings import substring_pairs
 from quillspark.operators.store import earliest, latest
 from quillspark.operators.symbols import SymbolTables
 from quillspark.session import materialize

@@ -59,20 +59,3 @@ def module_frameworks(tables: SymbolTables, detected: DataFrame) -> DataFrame:
         F.filter("all_frameworks", lambda f: F.array_contains("_detected", f)).alias("frameworks"),
     )
 
-
-def substring_pairs(texts: DataFrame, needles: DataFrame, key: str, text: str, needle: str) -> DataFrame:
-    """``(key, text, needle)`` for every needle occurring in a text of the same key.
-
-    A substring join as an equi join: each distinct text contributes its substrings of the lengths needles
-    have. The lengths are a short list, bounded by the longest name.
-    """
-    needles = needles.select(key, needle).where(F.length(needle) > 0).distinct()
-    lengths = sorted(r[0] for r in needles.select(F.length(needle)).distinct().collect())
-    if not lengths:
-        return texts.select(key, text).join(needles, key).limit(0)
-    whole = texts.select(key, text).distinct()
-    size = F.explode(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(text))).alias("_n")
-    cut = whole.select(key, text, size).select(
-        key, text, F.explode(F.expr(f"transform(sequence(1, length(`{text}`) - _n + 1), p -> substring(`{text}`, p, _n))")).alias(needle)
-    )
-    return cut.join(needles, [key, needle]).select(key, text, needle).distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import jaccard, name_similarity, normalize_name, overlap, word_set, words
 from quillspark.operators.ordered import moving_average, with_position
 from quillspark.operators.seeds import greedy_seeds, prefix_tokens
+from quillspark.operators.substrings import substring_pairs
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
@@ -70,15 +71,15 @@ def group_similar(cases: DataFrame) -> DataFrame:
     shared_word = prefix_tokens(token_sets, F.ceil(F.size("tokens") * F.lit(0.5))).select(
         "item", F.concat(F.lit("w:"), "token").alias("bucket")
     )
-    # Containment counts from a length ratio of 0.5 on, so a contained name is one of these substrings.
-    inner = F.expr(
-        "explode(flatten(transform(sequence(greatest(1, CAST(ceil(length(name) / 2.0) AS INT)), greatest(1, length(name))),"
-        " n -> transform(sequence(1, greatest(1, length(name) - n + 1)), p -> substring(name, p, n)))))"
+    # Equal names share a bucket, and so do a name and those that contain it; containment counts from a length
+    # ratio of 0.5 on.
+    names = items.select(F.lit(0).alias("all"), "name", F.col("name").alias("inner")).distinct()
+    contained = substring_pairs(names.select("all", "name"), names.select("all", "inner"), "all", "name", "inner").where(
+        (F.col("name") != F.col("inner")) & (F.length("inner") * 2 >= F.length("name"))
     )
-    contained = items.select("item", inner.alias("part")).select("item", F.concat(F.lit("s:"), "part").alias("bucket"))
-    # A substring nobody is named by cannot lead to a match.
-    names = items.select(F.concat(F.lit("s:"), "name").alias("bucket")).distinct()
-    buckets = shared_word.unionByName(contained.join(names, "bucket", "left_semi"))
+    own = items.select("item", F.concat(F.lit("s:"), "name").alias("bucket"))
+    outer = items.join(contained, "name").select("item", F.concat(F.lit("s:"), "inner").alias("bucket"))
+    buckets = shared_word.unionByName(own).unionByName(outer)
 
     columns = ("name", "name_words", "description_words")
 

@@ -1,12 +1,14 @@
-"""Ordered greedy grouping as rounds of joins.
+"""Ordered greedy grouping as joins.
 
 The semantics: walk items in order; an item joins a seed it matches among those seen before, or becomes
-a seed itself. An item is therefore a seed exactly when no earlier seed matches it, which can be decided
-from the front of each candidate bucket instead of one ordered loop.
+a seed itself. An item is therefore a seed exactly when no earlier seed matches it.
 
-Each round compares every open bucket's first ``front`` undecided items with the bucket's members, so a
-bucket of mutual matches costs members x front comparisons and collapses at once. ``front`` grows
-fourfold per round, so a bucket of items that do not match ends after a logarithmic number of rounds.
+First every bucket's ``front`` items are compared with the bucket's members: a bucket of mutual matches costs
+members x front comparisons and collapses at once. What is still open afterwards matches few others; its match
+edges are verified once, and the rest is decided on that small table. An item with one open earlier neighbour is
+a seed exactly when that neighbour is not, so chains of such items are followed by pointer doubling, and a chain
+of n items takes log n steps. Each phase settles all items without open earlier neighbours and all chains that
+hang on them.
 """
 
 from __future__ import annotations
@@ -19,6 +21,70 @@ from pyspark.sql import functions as F
 from quillspark.session import materialize
 
 Verify = Callable[[str, str], Column]
+DOUBLINGS = 4  # pointer doublings in one stored table
+
+
+def _matches(items: DataFrame, early: DataFrame, late: DataFrame, verify: Verify) -> DataFrame:
+    """Verified ``(early, late, rank)`` of ``(item, bucket)`` rows that share a bucket, the earlier item first."""
+    pairs = (
+        early.select(F.col("item").alias("early"), "bucket").join(late.select(F.col("item").alias("late"), "bucket"), "bucket")
+        .where("early < late").select("early", "late").distinct()
+    )
+    left = items.select(*[F.col(c).alias(f"l_{c}") for c in items.columns])
+    right = items.select(*[F.col(c).alias(f"r_{c}") for c in items.columns])
+    return (
+        pairs.join(left, F.col("early") == F.col("l_item")).join(right, F.col("late") == F.col("r_item"))
+        .select("early", "late", verify("l_", "r_").cast("double").alias("rank")).where("rank IS NOT NULL")
+    )
+
+
+def _chains(single: DataFrame) -> DataFrame:
+    """``(item, anc, flip)`` of items with one open earlier neighbour: the first one up the chain that has not.
+
+    ``flip``: whether the item is a seed exactly when ``anc`` is not.
+    """
+    at = materialize(single.select("item", "anc", F.lit(True).alias("flip")))
+
+    def ended() -> bool:
+        return at.join(at.select(F.col("item").alias("anc")), "anc", "left_semi").isEmpty()
+
+    while not ended():
+        step = at
+        for _ in range(DOUBLINGS):
+            up = step.select(F.col("item").alias("anc"), F.col("anc").alias("_a"), F.col("flip").alias("_f"))
+            step = step.join(up, "anc", "left").select(
+                "item", F.coalesce("_a", "anc").alias("anc"),
+                F.when(F.col("_a").isNull(), F.col("flip")).otherwise(F.col("flip") != F.col("_f")).alias("flip"),
+            )
+        at = materialize(step)
+    return at
+
+
+def _decide(open_items: DataFrame, deps: DataFrame) -> DataFrame:
+    """``(item, is_seed)`` of the open items, from ``deps`` = (late, early) matches among them."""
+    spark = open_items.sparkSession
+    decided = spark.createDataFrame([], "item long, is_seed boolean")
+    while not open_items.isEmpty():
+        parents = deps.groupBy(F.col("late").alias("item")).agg(F.count(F.lit(1)).alias("n"), F.min("early").alias("anc"))
+        roots = open_items.join(parents.select("item"), "item", "left_anti")
+        chains = _chains(parents.where("n = 1"))
+        hanging = chains.join(roots.withColumnRenamed("item", "anc"), "anc", "left_semi")
+        known = roots.select("item", F.lit(True).alias("is_seed")).unionByName(
+            hanging.select("item", (~F.col("flip")).alias("is_seed"))
+        )
+        seeds = known.where("is_seed").select(F.col("item").alias("early"))
+        covered = deps.join(seeds, "early", "left_semi").select(F.col("late").alias("item")).distinct().join(
+            known.select("item"), "item", "left_anti"
+        )
+        settled = materialize(known.unionByName(covered.select("item", F.lit(False).alias("is_seed"))))
+        decided = decided.unionByName(settled)
+        gone = settled.select("item")
+        open_items = materialize(open_items.join(gone, "item", "left_anti"))
+        deps = materialize(
+            deps.join(gone.withColumnRenamed("item", "late"), "late", "left_anti")
+            .join(gone.withColumnRenamed("item", "early"), "early", "left_anti")
+        )
+    return decided
 
 
 def greedy_seeds(items: DataFrame, buckets: DataFrame, verify: Verify, front: int = 16) -> DataFrame:
@@ -30,53 +96,34 @@ def greedy_seeds(items: DataFrame, buckets: DataFrame, verify: Verify, front: in
     match; an item joins the matching seed of highest rank, then the earliest.
     """
     buckets = materialize(buckets.select("item", "bucket").distinct())
-    state = materialize(
-        items.select("item", F.lit(True).alias("open"), F.lit(False).alias("is_seed"),
-                     F.lit(None).cast("struct<rank:double,back:long>").alias("best"))
+    ordered = Window.partitionBy("bucket").orderBy("item")
+    lead = buckets.withColumn("_r", F.row_number().over(ordered)).where(F.col("_r") <= front).drop("_r")
+    # An item in the front of all its buckets sees all its earlier matches.
+    complete = (
+        buckets.groupBy("item").agg(F.count(F.lit(1)).alias("_all"))
+        .join(lead.groupBy("item").agg(F.count(F.lit(1)).alias("_in")), "item").where("_all = _in").select("item")
+    )
+    matched = materialize(_matches(items, lead, buckets, verify))
+    blocked = matched.select(F.col("late").alias("item")).distinct()
+    # An item without buckets can match nothing.
+    alone = items.select("item").join(buckets, "item", "left_anti")
+    seeds = materialize(complete.join(blocked, "item", "left_anti").unionByName(alone))
+    won = matched.join(seeds.withColumnRenamed("item", "early"), "early", "left_semi")
+
+    rest = items.select("item").join(seeds, "item", "left_anti")
+    open_items = materialize(rest.join(won.select(F.col("late").alias("item")), "item", "left_anti"))
+    edges = materialize(_matches(
+        items, buckets.join(open_items, "item", "left_semi"), buckets.join(rest, "item", "left_semi"), verify
+    ))
+    deps = edges.join(open_items.withColumnRenamed("item", "late"), "late", "left_semi").select("late", "early")
+    decided = materialize(_decide(open_items, deps))
+    later = decided.where("is_seed").select("item")
+    every = won.unionByName(edges.join(later.withColumnRenamed("item", "early"), "early", "left_semi"))
+    joined = every.groupBy(F.col("late").alias("item")).agg(F.max(F.struct("rank", (-F.col("early")).alias("back")))["back"].alias("_b"))
+    own = seeds.unionByName(later).select("item", F.col("item").alias("seed"))
+    return own.unionByName(
+        joined.join(own, "item", "left_anti").select("item", (-F.col("_b")).alias("seed"))
     )
-    width = front
-    while not state.where("open").isEmpty():
-        live = buckets.join(state.where("open").select("item"), "item")
-        ordered = Window.partitionBy("bucket").orderBy("item")
-        lead = live.withColumn("_r", F.row_number().over(ordered)).where(F.col("_r") <= width).drop("_r")
-        waiting = lead.groupBy("item").agg(F.count(F.lit(1)).alias("_in"))
-        needed = live.groupBy("item").agg(F.count(F.lit(1)).alias("_all"))
-        complete = needed.join(waiting, "item", "left").where(F.col("_all") == F.col("_in")).select("item")
-        # An item without buckets can match nothing.
-        alone = state.where("open").select("item").join(buckets, "item", "left_anti")
-        complete = complete.unionByName(alone)
-
-        members = buckets.join(state.where("NOT is_seed").select("item"), "item")
-        pairs = (
-            lead.select(F.col("item").alias("early"), "bucket")
-            .join(members.select(F.col("item").alias("late"), "bucket"), "bucket")
-            .where("early < late").select("early", "late").distinct()
-        )
-        left = items.select(*[F.col(c).alias(f"l_{c}") for c in items.columns])
-        right = items.select(*[F.col(c).alias(f"r_{c}") for c in items.columns])
-        matched = materialize(
-            pairs.join(left, F.col("early") == F.col("l_item")).join(right, F.col("late") == F.col("r_item"))
-            .select("early", "late", verify("l_", "r_").cast("double").alias("rank")).where("rank IS NOT NULL")
-        )
-        # A complete item sees all its earlier open matches; the first open item is always settled.
-        blocked = matched.select(F.col("late").alias("item")).distinct()
-        fresh = materialize(complete.join(blocked, "item", "left_anti"))
-        won = (
-            matched.join(fresh.withColumnRenamed("item", "early"), "early")
-            .groupBy(F.col("late").alias("item"))
-            .agg(F.max(F.struct("rank", (-F.col("early")).alias("back"))).alias("_won"))
-        )
-        state = materialize(
-            state.join(fresh.withColumn("_fresh", F.lit(True)), "item", "left").join(won, "item", "left")
-            .select(
-                "item",
-                (F.col("open") & F.col("_fresh").isNull() & F.col("_won").isNull()).alias("open"),
-                (F.col("is_seed") | F.col("_fresh").isNotNull()).alias("is_seed"),
-                F.greatest("best", "_won").alias("best"),
-            )
-        )
-        width *= 4
-    return state.select("item", F.when(F.col("is_seed"), F.col("item")).otherwise(-F.col("best.back")).alias("seed"))
 
 
 def prefix_tokens(sets: DataFrame, min_shared: Column, group: str | None = None) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import any_contains, contains_any, strip
 from quillspark.operators import rules
-from quillspark.operators.frameworks import module_frameworks, substring_pairs
+from quillspark.operators.frameworks import module_frameworks
+from quillspark.operators.substrings import substring_pairs
 from quillspark.operators.store import earliest
 from quillspark.operators.symbols import SymbolTables
 from quillspark.session import materialize

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import agents, quality, tools
-from quillspark.operators.frameworks import detected_frameworks, framework_lists, module_frameworks, substring_pairs
+from quillspark.operators.frameworks import detected_frameworks, framework_lists, module_frameworks
+from quillspark.operators.substrings import substring_pairs
 from quillspark.operators.symbols import build_parsed, build_tables, with_inferred_receivers
 from quillspark.plans import analysis
 from quillspark.sources import schemas

@@ -130,3 +130,35 @@ def test_normalised_names(spark):
 
     df = spark.createDataFrame([("  My  Pattern! ",), ("Ünï_Code-x  y?",)], "n string")
     assert [r[0] for r in df.select(normalize_name(F.col("n"))).collect()] == ["my pattern", "ünï_code-x y"]
+
+
+def test_chains_take_few_phases(spark, monkeypatch):
+    from quillspark.operators import seeds
+
+    # item i matches i + 1 only: every other item is a seed, and a plain walk needs 500 rounds
+    items = spark.range(1000).withColumnRenamed("id", "item")
+    buckets = items.select("item", F.explode(F.array("item", F.col("item") + 1)).alias("bucket"))
+    stored = []
+    monkeypatch.setattr(seeds, "materialize", lambda df, keep=seeds.materialize: stored.append(1) or keep(df))
+    out = seeds.greedy_seeds(items, buckets, lambda a, b: F.when(F.col(f"{b}item") - F.col(f"{a}item") == 1, F.lit(1.0)), front=1)
+    got = {r["item"]: r["seed"] for r in out.collect()}
+    assert got == {i: i - i % 2 for i in range(1000)} and len(stored) < 30
+
+
+def test_dense_random_matches_follow_the_ordered_walk(spark):
+    from quillspark.operators import seeds
+
+    rnd = random.Random(8)
+    match = {(a, b) for a in range(120) for b in range(a + 1, 120) if rnd.random() < 0.06}
+    items = spark.range(120).withColumnRenamed("id", "item")
+    pairs = spark.createDataFrame(sorted(match), "a long, b long")
+    buckets = pairs.select(F.explode(F.array("a", "b")).alias("item"), F.concat_ws("-", "a", "b").alias("bucket"))
+    listed = F.array(*[F.lit(a * 1000 + b) for a, b in sorted(match)])
+    rank = lambda l, r: F.when(F.array_contains(listed, (F.col(f"{l}item") * 1000 + F.col(f"{r}item")).cast("int")), F.lit(1.0))  # noqa: E731, E741
+    got = {r["item"]: r["seed"] for r in seeds.greedy_seeds(items, buckets, rank, front=1).collect()}
+    want, found = {}, []
+    for i in range(120):
+        mine = [s for s in found if (s, i) in match]
+        want[i] = mine[0] if mine else i
+        found += [] if mine else [i]
+    assert got == want
