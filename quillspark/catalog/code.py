@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillspark.catalog.derived import symbol_tables
 from quillspark.operators import agents, callgraph, frameworks, quality, rules, tools
-from quillspark.operators.symbols import is_test_path, smallest_enclosing
-from quillspark.session import materialize
+from quillspark.operators.symbols import is_test_path, load_tables, save_tables, smallest_enclosing
+from quillspark.plans import analysis
+from quillspark.session import checkpoint_root, materialize
 
 _memo: dict = {}
 
@@ -253,6 +256,29 @@ def application_report(spark, sf):
     )
 
 
+def stored_analysis(spark, sf):
+    """The functions of an analysis that was stored under a name and loaded again."""
+    path = f"{checkpoint_root(spark)}/analyses/{uuid.uuid4().hex}"
+    save_tables(symbol_tables(spark, sf), path)
+    t = load_tables(spark, path).functions
+    return _big(t, "project", "module", "qualified_name", "kind", "is_test", "start_line", "end_line", "ncloc", "complexity",
+                "test_complexity")
+
+
+def report_agents(spark, sf):
+    """The agents of the nested report, with the number of their nested tools."""
+    found = analysis.analyze_tables(symbol_tables(spark, sf))
+    rows = analysis.agent_records(found)
+    return rows.select("project", "name", "qualified_module_name", "framework", F.coalesce(F.size("tools"), F.lit(0)).cast("bigint").alias("tools"))
+
+
+def report_tests(spark, sf):
+    """The test methods of the nested report, with the number of agents that each uses."""
+    found = analysis.analyze_tables(symbol_tables(spark, sf))
+    each = analysis.test_records(found).select("project", "qualified_module_name", "qualified_class_name", F.inline("test_methods"))
+    return each.select("project", "qualified_module_name", "qualified_class_name", "method_signature", F.size("agents").cast("bigint").alias("agents"))
+
+
 QUERIES = {
     "modules": modules, "imports": imports, "classes": classes, "functions": functions, "call_sites": call_sites,
     "framework_detect": framework_detect, "decorator_tools": decorator_tools, "class_tools": class_tools,
@@ -264,5 +290,6 @@ QUERIES = {
     "call_graph_edges": call_graph_edges, "call_graph_degree": call_graph_degree, "unique_names": unique_names,
     "enclosing_functions": enclosing_functions, "test_methods": test_methods, "decorated_methods": decorated_methods,
     "classes_by_criteria": classes_by_criteria, "test_module_predicate": test_module_predicate,
-    "application_report": application_report,
+    "application_report": application_report, "stored_analysis": stored_analysis, "report_agents": report_agents,
+    "report_tests": report_tests,
 }

@@ -267,3 +267,17 @@ SELECT project, framework, tool_name, tool_type, tool_description, tool_binding_
 UNION ALL SELECT project, framework, tool_name, tool_type, NULL, tool_binding_method, tool_binding_module FROM a
 WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.project = a.project AND t.tool_binding_module = a.tool_binding_module
   AND t.tool_binding_method = a.tool_binding_method AND t.tool_name = a.tool_name)"""
+
+SQL["stored_analysis"] = SQL["functions"]
+
+SQL["report_agents"] = f"""
+WITH fa AS ({SQL["factory_agents"]}), ca AS ({SQL["calling_agents"]}),
+tl AS (SELECT project, framework, tool_binding_module, tool_binding_method, count(*) AS n FROM ({SQL["agent_tools"]}) GROUP BY ALL),
+a AS (SELECT project, name, qualified_module_name, framework, method_signature FROM fa
+  UNION ALL SELECT project, name, qualified_module_name, framework, method_signature FROM ca)
+SELECT a.project, name, qualified_module_name, a.framework, coalesce(n, 0) AS tools
+FROM a LEFT JOIN tl ON tl.project = a.project AND tl.framework = a.framework AND tl.tool_binding_module = a.qualified_module_name
+  AND tl.tool_binding_method = a.method_signature"""
+
+SQL["report_tests"] = f"""
+SELECT project, qualified_module_name, qualified_class_name, method_signature, count(*) AS agents FROM ({SQL["agent_tests"]}) GROUP BY ALL"""

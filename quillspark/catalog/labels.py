@@ -13,6 +13,7 @@ from quillspark.functions import labels as L
 from quillspark.functions import text as X
 from quillspark.functions.prompts import chat_prompt, examples_block as example_text
 from quillspark.operators import agreement, alter, labeling, neighbors, ordered, patterns, quality, ratelimit, store, usage
+from quillspark import sinks
 from quillspark.plans import corpus
 from quillspark.session import checkpoint_root
 from quillspark.sources import files
@@ -414,6 +415,15 @@ def created_patterns(spark, sf):
     return out.select("pattern_seq", "pattern_name", F.round("confidence_score", 6).alias("confidence_score"), "usage_count", "example_count")
 
 
+def stored_patterns(spark, sf):
+    """Created patterns, stored and loaded again."""
+    made = patterns.create_patterns(_cases(spark, sf)).withColumn("pattern_id", F.concat(F.lit("p"), "pattern_seq"))
+    path = f"{checkpoint_root(spark)}/patterns/{uuid.uuid4().hex}"
+    sinks.save_patterns(made, path)
+    good, _ = files.pattern_rows(spark, path)
+    return good.select("pattern_seq", "pattern_id", "pattern_name", F.round("confidence_score", 6).alias("confidence_score"), "usage_count", "example_count")
+
+
 def _found(spark, sf):
     size = F.col("p_size")
     return table(spark, sf, "part").select(
@@ -581,7 +591,7 @@ QUERIES = {
         label_documents, agreement_summary, flag_summary, decided_by_errors, prompt_render, snippets, cache_lookup, token_usage_summary,
         token_usage_by_role, report_units, rate_limit_admission, rate_limit_by_user, worker_assignment, knn_top5, knn_oversampled, knn_earlier,
         knn_repeated_ids, knn_missing_vector, same_names, typed_conditions, label_corpus_twice, label_corpus_usage,
-        knn_confident, knn_label_vote, examples_block, normalized_names, similar_names, word_similarity, pattern_groups, created_patterns,
+        knn_confident, knn_label_vote, examples_block, normalized_names, similar_names, word_similarity, pattern_groups, created_patterns, stored_patterns,
         merged_patterns, pattern_statistics, pattern_confidence, chunk_assign, example_references, consolidated_references,
         alteration_counts, altered_entries, alteration_errors, field_value_examples, ncloc_documents, assertion_names, statement_kinds,
         nearest_earlier_value, source_ranking,

@@ -311,3 +311,6 @@ r AS (SELECT pattern_seq, c, row_number() OVER (PARTITION BY pattern_seq ORDER B
 e AS (SELECT pattern_seq, sum(CASE WHEN o = 1 THEN c ELSE 0.2 * c END * pow(CAST(0.8 AS DOUBLE), m - o)) AS x, count(*) AS m FROM r GROUP BY 1)
 SELECT e.pattern_seq, p_name || CASE WHEN p_size % 4 = 0 THEN ' ' || lower(p_type) ELSE '' END AS pattern_name, round(x, 6) AS confidence_score,
   m AS usage_count, m AS example_count FROM e JOIN part ON p_partkey = e.pattern_seq"""
+
+SQL["stored_patterns"] = f"""
+SELECT pattern_seq, 'p' || pattern_seq AS pattern_id, pattern_name, confidence_score, usage_count, example_count FROM ({SQL["created_patterns"]})"""

@@ -19,7 +19,7 @@ from quillspark.sources import files
 
 
 def load_module(path: str) -> ModuleType:
-    """A user's configuration file: ``CONFIG``, and optionally ``units(spark, path)``, ``MINER``, ``CONSOLIDATOR``."""
+    """A user's configuration file: ``CONFIG``, and optionally ``units(spark, path)``, ``MINER``, ``CONSOLIDATOR``, ``PROVIDER``."""
     spec = importlib.util.spec_from_file_location("quillspark_config", path)
     if spec is None or spec.loader is None:
         raise ValueError(f"cannot load configuration {path}")
@@ -39,7 +39,8 @@ def condition(text: str) -> tuple[str, object]:
 
 
 def _analyze(spark, args) -> None:
-    found = analysis.analyze(files.python_sources(spark, args.root, args.project))
+    provider = getattr(load_module(args.config), "PROVIDER", analysis.parsed_tables) if args.config else analysis.parsed_tables
+    found = analysis.analyze(files.python_sources(spark, args.root, args.project), args.stored, provider)
     analysis.write_report(found, args.out)
 
 
@@ -105,7 +106,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(f"--{flag.replace('_', '-')}", **spec)
 
     needed = {"required": True}
-    command("analyze", _analyze, root=needed, out=needed, project={})
+    command("analyze", _analyze, root=needed, out=needed, project={}, config={}, stored={})
     for name in ("label-dir", "label-units"):
         command(name, _label, root=needed, config=needed, store=needed, out={}, suffix={"default": ".py"}, fresh={"action": "store_true"})
     command("kappa", _kappa, store=needed, agent_a={"default": "labeler_a"}, agent_b={"default": "labeler_b"},

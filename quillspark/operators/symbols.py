@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import any_contains, contains_any, is_code_line
@@ -159,6 +159,21 @@ def build_tables(parsed: DataFrame) -> SymbolTables:
     return SymbolTables(**{f.name: materialize(getattr(views, f.name)) for f in fields(views)})
 
 
+def save_tables(tables: SymbolTables, path: str) -> None:
+    """Store an analysis under a name of the caller's choice; it replaces what was stored there."""
+    for f in fields(tables):
+        getattr(tables, f.name).write.mode("overwrite").parquet(f"{path}/{f.name}")
+
+
+def load_tables(spark: SparkSession, path: str) -> SymbolTables | None:
+    """The analysis stored under ``path``, or None when none was."""
+    from quillspark.sources.files import exists
+
+    if not exists(spark, f"{path}/{fields(SymbolTables)[-1].name}/_SUCCESS"):
+        return None  # the last table is written last
+    return SymbolTables(**{f.name: spark.read.parquet(f"{path}/{f.name}") for f in fields(SymbolTables)})
+
+
 def table_views(parsed: DataFrame) -> SymbolTables:
     """The tables as projections of parsed modules, without storing them."""
     key = [F.col("project"), F.col("qualified_name").alias("module"), F.col("file_path")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import agents as A
 from quillspark.operators import tools as T
 from quillspark.operators.frameworks import detected_frameworks, framework_lists
-from quillspark.operators.symbols import SymbolTables, build_parsed, build_tables
+from quillspark.operators.symbols import SymbolTables, build_parsed, build_tables, load_tables, save_tables
 from quillspark.session import materialize
 
 
@@ -24,9 +25,26 @@ class Analysis:
     fixtures: DataFrame
 
 
-def analyze(sources: DataFrame) -> Analysis:
-    """Analyse any number of projects at once from ``(project, file_path, qualified_name, text)``."""
-    tables = build_tables(build_parsed(sources))
+Provider = Callable[[DataFrame], SymbolTables]
+
+
+def parsed_tables(sources: DataFrame) -> SymbolTables:
+    """The default provider: parse the sources."""
+    return build_tables(build_parsed(sources))
+
+
+def analyze(sources: DataFrame, stored_at: str | None = None, provider: Provider = parsed_tables) -> Analysis:
+    """Analyse any number of projects at once from ``(project, file_path, qualified_name, text)``.
+
+    ``provider`` makes the symbol tables. With ``stored_at`` tables stored there by an earlier run are taken
+    instead, and new ones are stored there.
+    """
+    tables = load_tables(sources.sparkSession, stored_at) if stored_at else None
+    if tables is None:
+        tables = provider(sources)
+        if stored_at:
+            save_tables(tables, stored_at)
+            tables = load_tables(sources.sparkSession, stored_at)
     return analyze_tables(tables)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.sources.files import relative_path
+from quillspark.sources.schemas import PATTERN_ROWS
 
 
 def append_table(rows: DataFrame, path: str) -> None:
@@ -26,6 +27,14 @@ def save_index(vectors: DataFrame, path: str) -> None:
     append_table(vectors, path)
 
 
+def save_patterns(patterns: DataFrame, path: str) -> None:
+    """Store patterns as one JSON object a line, the form that ``files.pattern_rows`` loads; it replaces what was there."""
+    named = dict(f.split(" ") for f in PATTERN_ROWS.split(", "))
+    have = set(patterns.columns)
+    columns = [(F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in named.items()]
+    patterns.select(*columns).write.mode("overwrite").json(path)
+
+
 def result_rows(rows: DataFrame, path: str) -> None:
     """One JSON object per result, keyed by its ``item``."""
     rows.write.mode("overwrite").json(path)

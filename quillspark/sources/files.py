@@ -51,6 +51,12 @@ def binary_files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     return loaded.select("path", "content")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of this path or URI, as its own file system says."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+
+
 def _is_file(spark: SparkSession, path: str) -> bool:
     """Whether a path names one file, as its own file system says; false for anything that is not there."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
