@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import any_contains, contains_any, strip
 from quillspark.operators import rules
 from quillspark.operators.frameworks import module_frameworks
-from quillspark.operators.substrings import substring_pairs
+from quillspark.operators.components import connected
 from quillspark.operators.store import earliest
+from quillspark.operators.substrings import substring_pairs
 from quillspark.operators.symbols import SymbolTables
 from quillspark.session import materialize
 
@@ -83,10 +88,10 @@ def class_tools(tables: SymbolTables, mods: DataFrame) -> DataFrame:
 def function_tools(tables: SymbolTables, mods: DataFrame, taken: DataFrame) -> DataFrame:
     """Functions whose name occurs in an argument of a tool-binding call.
 
-    Arguments in call order each take the first matching function nobody took before. That ordered walk
-    equals a stable matching in which all arguments prefer early functions and all functions prefer early
-    arguments, so it is found in rounds: every free argument asks for its next function, every function
-    keeps its earliest suitor.
+    Arguments in call order each take the first matching function nobody took before. A function has one name,
+    so what an argument may take is the next free function of one of the names that occur in it. Arguments that
+    share no name, by way of others either, don't affect each other: names are parted into connected groups and
+    each group is walked in order. The walk streams arguments past the functions' ids, which are all it holds.
     """
     calls = tables.call_sites.where(F.col("method_name").isin(*rules.TOOL_METHODS)).select(
         "project", "module", "function_ordinal", "ordinal", F.posexplode("argument_expr").alias("arg", "expr")
@@ -94,43 +99,53 @@ def function_tools(tables: SymbolTables, mods: DataFrame, taken: DataFrame) -> D
     usable = tables.functions.join(mods.where(F.size("frameworks") > 0), ["project", "module"]).withColumn(
         "tool_id", F.concat_ws(".", "module", "name")
     ).join(taken.select("project", "tool_id"), ["project", "tool_id"], "left_anti")
-    functions = earliest(
+    functions = materialize(earliest(
         usable.select("project", "tool_id", "module", "ordinal", "name", "qualified_name", "docstring", "frameworks"),
         ["project", "tool_id"], ["module", "ordinal"],
-    )
-    pairs = substring_pairs(calls, functions, "project", "expr", "name")
+    ))
+    node = F.xxhash64("project", "name")
     wishes = materialize(
-        pairs.join(functions.select("project", "name", "tool_id", "module", "ordinal"), ["project", "name"])
-        .select("project", "expr", "tool_id", F.struct("module", "ordinal").alias("wish"))
+        substring_pairs(calls, functions, "project", "expr", "name").groupBy("project", "expr").agg(
+            F.sort_array(F.collect_set(node)).alias("names")  # at most the names that fit into one expression
+        )
     )
-    # Equal expressions want the same functions, so copies beyond the number of functions go empty.
-    sizes = wishes.groupBy("project", "expr").agg(F.count(F.lit(1)).alias("_n"))
-    copy = Window.partitionBy("project", "expr").orderBy("place")
-    asking = materialize(
-        calls.select("project", "expr", F.struct("module", "function_ordinal", "ordinal", "arg").alias("place"))
-        .withColumn("_c", F.row_number().over(copy)).join(sizes, ["project", "expr"])
-        .where(F.col("_c") <= F.col("_n")).drop("_c", "_n")
+    first = F.get("names", F.lit(0))
+    groups = connected(wishes.select(first.alias("a"), F.explode("names").alias("b"))).withColumnRenamed("label", "part")
+    places = ["module", "function_ordinal", "ordinal", "arg"]
+    asking = calls.join(wishes, ["project", "expr"]).select("names", *places, first.alias("node")).join(groups, "node").select(
+        "part", F.lit(1).alias("role"), *places, "names", F.lit(None).cast("string").alias("project"), F.lit(None).cast("string").alias("tool_id"),
     )
-    functions = materialize(functions)
-    place_type = asking.schema["place"].dataType.simpleString()
-    wish_type = wishes.schema["wish"].dataType.simpleString()
-    spark = calls.sparkSession
-    held = spark.createDataFrame([], f"project string, tool_id string, place {place_type}, wish {wish_type}, expr string")
-    free = asking.withColumn("last", F.lit(None).cast(wish_type))
-    while not free.isEmpty():
-        asks = free.join(wishes, ["project", "expr"]).where(F.col("last").isNull() | (F.col("wish") > F.col("last")))
-        asks = asks.groupBy("project", "place", "expr").agg(F.min(F.struct("wish", "tool_id")).alias("w")).select(
-            "project", F.col("w.tool_id").alias("tool_id"), "place", F.col("w.wish").alias("wish"), "expr"
-        )
-        suitors = held.unionByName(asks)
-        best = suitors.groupBy("project", "tool_id").agg(F.min("place").alias("_best"))
-        ranked = materialize(suitors.join(best, ["project", "tool_id"]).withColumn("_kept", F.col("place") == F.col("_best")))
-        held = ranked.where("_kept").select("project", "tool_id", "place", "wish", "expr")
-        free = ranked.where("NOT _kept").select("project", "expr", "place", F.col("wish").alias("last"))
-    rows = functions.join(held.select("project", "tool_id"), ["project", "tool_id"])
+    offered = functions.withColumn("node", node).join(groups, "node").select(
+        "part", F.lit(0).alias("role"), "module", F.col("ordinal").alias("function_ordinal"), F.lit(0).alias("ordinal"), F.lit(0).alias("arg"),
+        F.array("node").alias("names"), "project", "tool_id",
+    )
+    held = (
+        offered.unionByName(asking).repartition("part").sortWithinPartitions("part", "role", *places)
+        .mapInArrow(_walk, "project string, tool_id string")
+    )
+    rows = functions.join(held, ["project", "tool_id"])
     return _function_rows(rows, 3, "function_tool", F.get("frameworks", F.lit(0))).select(*TOOL_COLUMNS)
 
 
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Functions taken, of rows in the order (part, role, place): a part's functions come before its arguments."""
+    part, free = None, {}
+    for batch in batches:
+        found: list[tuple[str, str]] = []
+        columns = [batch.column(c).to_pylist() for c in ("part", "role", "module", "function_ordinal", "names", "project", "tool_id")]
+        for group, role, module, ordinal, names, project, tool_id in zip(*columns, strict=True):
+            if group != part:
+                part, free = group, {}
+            if role == 0:
+                free.setdefault(names[0], deque()).append((module, ordinal, project, tool_id))
+                continue
+            heads = [free[n] for n in names if free.get(n)]
+            if heads:
+                found.append(min(heads, key=lambda h: h[0][:2]).popleft()[2:])
+        projects, tools = zip(*found, strict=True) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(projects, pa.string()), pa.array(tools, pa.string())], ["project", "tool_id"])
+
+
 def lambda_tools(tables: SymbolTables, mods: DataFrame) -> DataFrame:
     """Lambdas that sit in a list or in a tool-binding call, named by their line."""
     in_call = (F.col("parent") == "Call") & F.col("parent_callee").isin(*rules.TOOL_METHODS)
