@@ -12,45 +12,24 @@ from quillspark.operators.symbols import is_test_path, load_tables, save_tables,
 from quillspark.plans import analysis
 from quillspark.session import checkpoint_root, materialize
 
-_memo: dict = {}
 
-
-def _once(kind):
-    """Share an intermediate table between the queries of one session and data set."""
-
-    def wrap(make):
-        def get(spark, sf):
-            key = (kind, spark.sparkContext.applicationId, sf)
-            if key not in _memo:
-                _memo[key] = materialize(make(spark, sf))
-            return _memo[key]
-
-        return get
-
-    return wrap
-
-
-@_once("detected")
 def detected(spark, sf):
     return frameworks.detected_frameworks(symbol_tables(spark, sf))
 
 
-@_once("module_frameworks")
 def mods(spark, sf):
     t = symbol_tables(spark, sf)
     wanted = F.array(*[F.lit(f) for f in rules.TOOL_IMPORTS])
-    return frameworks.module_frameworks(t, detected(spark, sf)).where(F.arrays_overlap("detected", wanted))
+    return materialize(frameworks.module_frameworks(t, detected(spark, sf)).where(F.arrays_overlap("detected", wanted)))
 
 
-@_once("factories")
 def factories(spark, sf):
-    return agents.factory_agents(symbol_tables(spark, sf), detected(spark, sf))
+    return materialize(agents.factory_agents(symbol_tables(spark, sf), detected(spark, sf)))
 
 
-@_once("agents")
 def all_agents(spark, sf):
-    t = symbol_tables(spark, sf)
-    return factories(spark, sf).unionByName(agents.calling_agents(t, factories(spark, sf)))
+    t, made = symbol_tables(spark, sf), factories(spark, sf)
+    return materialize(made.unionByName(agents.calling_agents(t, made)))
 
 
 def _big(df, *columns):
@@ -121,7 +100,6 @@ def claude_sdk_tools(spark, sf):
     return _tool_columns(tools.claude_sdk_tools(symbol_tables(spark, sf), mods(spark, sf)))
 
 
-@_once("tools")
 def _detected_tools(spark, sf):
     return tools.detect_tools(symbol_tables(spark, sf), detected(spark, sf))
 

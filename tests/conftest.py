@@ -1,3 +1,5 @@
+import tempfile
+
 import pytest
 
 from quillspark.session import get_session
@@ -7,7 +9,8 @@ from quillspark.session import get_session
 def spark():
     session = get_session(
         "tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
-                               "spark.driver.memory": "4g", "spark.default.parallelism": "4"}
+                               "spark.driver.memory": "4g", "spark.default.parallelism": "4",
+                               "spark.checkpoint.dir": tempfile.mkdtemp(prefix="quillspark-tests-")}
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
