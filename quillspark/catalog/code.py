@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quillspark.catalog.derived import symbol_tables
+from quillspark.catalog.derived import symbol_tables, variant_files
 from quillspark.operators import agents, callgraph, frameworks, quality, rules, tools
-from quillspark.operators.symbols import is_test_path, load_tables, save_tables, smallest_enclosing
+from quillspark.operators.symbols import build_parsed, build_tables, is_test_path, load_tables, save_tables, smallest_enclosing
 from quillspark.plans import analysis
 from quillspark.session import checkpoint_root, materialize
 
@@ -234,6 +234,19 @@ def application_report(spark, sf):
     )
 
 
+def agent_variants(spark, sf):
+    """Agents of the suppliers' modules: every framework's ways to make one, in functions, coroutines and methods."""
+    tables = build_tables(build_parsed(variant_files(spark, sf), spread=True))
+    rows = agents.factory_agents(tables, frameworks.detected_frameworks(tables))
+    return rows.select("project", "framework", "name", "method_signature", "description")
+
+
+def variant_functions(spark, sf):
+    """Functions and methods of the suppliers' modules; those that do not parse have none."""
+    t = build_tables(build_parsed(variant_files(spark, sf), spread=True)).functions
+    return t.select("project", "qualified_name", "kind")
+
+
 def stored_analysis(spark, sf):
     """The functions of an analysis that was stored under a name and loaded again."""
     path = f"{checkpoint_root(spark)}/analyses/{uuid.uuid4().hex}"
@@ -268,6 +281,7 @@ QUERIES = {
     "call_graph_edges": call_graph_edges, "call_graph_degree": call_graph_degree, "unique_names": unique_names,
     "enclosing_functions": enclosing_functions, "test_methods": test_methods, "decorated_methods": decorated_methods,
     "classes_by_criteria": classes_by_criteria, "test_module_predicate": test_module_predicate,
-    "application_report": application_report, "stored_analysis": stored_analysis, "report_agents": report_agents,
+    "application_report": application_report, "stored_analysis": stored_analysis, "agent_variants": agent_variants,
+    "variant_functions": variant_functions, "report_agents": report_agents,
     "report_tests": report_tests,
 }

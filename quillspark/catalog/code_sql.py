@@ -281,3 +281,21 @@ FROM a LEFT JOIN tl ON tl.project = a.project AND tl.framework = a.framework AND
 
 SQL["report_tests"] = f"""
 SELECT project, qualified_module_name, qualified_class_name, method_signature, count(*) AS agents FROM ({SQL["agent_tests"]}) GROUP BY ALL"""
+
+_VARIANTS = """
+WITH v AS (SELECT s_suppkey AS k, s_suppkey % 18 AS v, s_suppkey // 18 % 3 AS shape FROM supplier),
+n AS (SELECT *, 'supplier' || k AS project, CASE shape WHEN 2 THEN 'make.Maker' || k || '.build_' || k ELSE 'make.build_' || k END AS qualified_name FROM v)
+"""
+SQL["agent_variants"] = _VARIANTS + """
+SELECT project, framework, 'build_' || k AS name, qualified_name AS method_signature, description FROM n JOIN (VALUES
+  (0, 'autogen', 'AutoGen agent created via AssistantAgent'), (1, 'autogen', 'AutoGen agent created via UserProxyAgent'),
+  (2, 'autogen', 'AutoGen agent created via ConversableAgent'), (3, 'dspy', 'DSPy agent created via ReAct'),
+  (4, 'langroid', 'Langroid agent created via ChatAgent'), (5, 'langroid', 'Langroid agent created via ChatAgentConfig'),
+  (6, 'langchain', 'LangChain agent created via AgentExecutor'),
+  (7, 'langchain', 'LangChain agent created via RunnablePassthrough.assign() pattern'),
+  (8, 'langgraph', 'LangGraph agent created via create_react_agent'), (9, 'llama_index', 'LlamaIndex agent created via FunctionAgent'),
+  (10, 'llama_index', 'LlamaIndex agent created via AgentWorkflow'), (11, 'metagpt', 'MetaGPT agent created via ProductManager'),
+  (12, 'metagpt', 'MetaGPT agent created via Architect'), (13, 'metagpt', 'MetaGPT agent created via Engineer'),
+  (14, 'crewai', 'CrewAI agent created via Agent constructor')) x(v, framework, description) USING (v)"""
+SQL["variant_functions"] = _VARIANTS + """
+SELECT project, qualified_name, CASE shape WHEN 2 THEN 'method' ELSE 'function' END AS kind FROM n WHERE v <> 17"""

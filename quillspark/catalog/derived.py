@@ -161,6 +161,51 @@ def source_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Ways to make an agent, one a supplier: import line, call, framework and naming part of the description (none
+# for a call that makes no agent), in the order of ``s_suppkey % 18``.
+VARIANTS = (
+    ("from autogen import AssistantAgent", "AssistantAgent(llm)", "autogen", "AutoGen agent created via AssistantAgent"),
+    ("from autogen_agentchat.agents import UserProxyAgent", "UserProxyAgent(llm)", "autogen", "AutoGen agent created via UserProxyAgent"),
+    ("from autogen import ConversableAgent as Talker", "ConversableAgent(llm)", "autogen", "AutoGen agent created via ConversableAgent"),
+    ("from dspy import ReAct", "ReAct(llm)", "dspy", "DSPy agent created via ReAct"),
+    ("from langroid import ChatAgent", "ChatAgent(llm)", "langroid", "Langroid agent created via ChatAgent"),
+    ("from langroid import ChatAgentConfig", "ChatAgentConfig(llm)", "langroid", "Langroid agent created via ChatAgentConfig"),
+    ("from langchain.agents import AgentExecutor", "AgentExecutor(llm)", "langchain", "LangChain agent created via AgentExecutor"),
+    ("from langchain.schema import RunnablePassthrough", "RunnablePassthrough.assign(y=llm)", "langchain",
+     "LangChain agent created via RunnablePassthrough.assign() pattern"),
+    ("from langgraph.prebuilt import create_react_agent", "create_react_agent(llm)", "langgraph", "LangGraph agent created via create_react_agent"),
+    ("from llama_index.core.agent import FunctionAgent", "FunctionAgent(llm)", "llama_index", "LlamaIndex agent created via FunctionAgent"),
+    ("from llama_index.core.agent import AgentWorkflow", "AgentWorkflow(llm)", "llama_index", "LlamaIndex agent created via AgentWorkflow"),
+    ("from metagpt.roles import ProductManager", "ProductManager(llm)", "metagpt", "MetaGPT agent created via ProductManager"),
+    ("from metagpt.roles import Architect", "Architect(llm)", "metagpt", "MetaGPT agent created via Architect"),
+    ("from metagpt.roles import Engineer", "Engineer(llm)", "metagpt", "MetaGPT agent created via Engineer"),
+    ("from crewai import *", "Agent(llm)", "crewai", "CrewAI agent created via Agent constructor"),
+    ("from . import crews", "crews.Agent(llm)", None, None),
+    ("from crewai import Agent", "describe(llm)", None, None),
+    ("def broken(:", "Agent(llm)", None, None),
+)
+VARIANT_SHAPES = (
+    "{import}\n\ndef build_{k}(llm):\n    return {call}\n",
+    "{import}\n\nasync def build_{k}(llm):\n    made = {call}\n    return made\n",
+    "{import}\n\nclass Maker{k}:\n    def build_{k}(self, llm):\n        if llm:\n            return {call}\n",
+)
+
+
+def variant_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A project of one module for each supplier, which makes an agent in one of the known ways or in none."""
+    key = F.col("s_suppkey")
+    k = key.cast("string")
+    pick = lambda place: _pick(tuple(v[place] for v in VARIANTS), key % len(VARIANTS))
+    text = F.lit(None).cast("string")
+    for n, shape in enumerate(VARIANT_SHAPES):
+        text = F.when(F.floor(key / len(VARIANTS)) % len(VARIANT_SHAPES) == n, _fill(shape, **{"import": pick(0)}, call=pick(1), k=k)).otherwise(text)
+    project = F.concat(F.lit("supplier"), k)
+    return spark.read.parquet(f"{sf}/supplier.parquet").select(
+        project.alias("project"), F.concat(F.lit("/src/"), project, F.lit("/make.py")).alias("file_path"),
+        F.lit("make.py").alias("qualified_name"), text.alias("text"),
+    )
+
+
 _tables: dict[tuple[str, str], SymbolTables] = {}
 
 

@@ -53,6 +53,9 @@ def indented_json(labels: Column) -> Column:
     return F.pandas_udf(T.ArrayType(T.StringType()))(indent)(labels)
 
 
+# The wording of the example, extraction, pattern and reference texts in this module.
+
+
 def examples_block(examples: Column) -> Column:
     """First five of ``array<struct<doc_id, text, label_json>>`` as a readable block."""
     first = F.slice(examples, 1, 5)

@@ -13,11 +13,10 @@ from quillspark.session import materialize
 
 KEY = ["project", "module", "function_ordinal"]
 
-# Ordered keyword rules of assertion names; the first that occurs decides.
-NAME_RULES_BEFORE_IDENTITY = (
-    ("equality", ("equal",)), ("truthiness", ("true", "false")), ("nullness", ("none", "null")),
-)
-NAME_RULES_AFTER_IDENTITY = (
+# Ordered keyword rules of assertion names; the first that occurs decides, unless the word that
+# excludes it occurs too.
+NAME_RULES = (
+    ("equality", ("equal",)), ("truthiness", ("true", "false")), ("nullness", ("none", "null")), ("identity", ("is",), "not"),
     ("throwable", ("raises", "exception", "error", "warns")),
     ("collection", ("in", "contains", "count", "sequence")),
     ("comparison", ("greater", "less")),
@@ -37,12 +36,11 @@ def classify_assertion_name(name: Column) -> Column:
     """Kind of an assertion method by its name, null for other methods. Order matters more than meaning."""
     low = F.lower(name)
     kind = None
-    for label, words in NAME_RULES_BEFORE_IDENTITY:
+    for label, words, *excluding in NAME_RULES:
         test = contains_any(low, list(words))
+        for word in excluding:
+            test = test & ~F.contains(low, F.lit(word))
         kind = F.when(test, label) if kind is None else kind.when(test, label)
-    kind = kind.when(F.contains(low, F.lit("is")) & ~F.contains(low, F.lit("not")), "identity")
-    for label, words in NAME_RULES_AFTER_IDENTITY:
-        kind = kind.when(contains_any(low, list(words)), label)
     return F.when(low.startswith("assert"), kind.otherwise("truthiness"))
 
 

@@ -82,6 +82,7 @@ BASE_CLASS_HINTS = {
     "letta": ("Tool",),
 }
 
+# Longer decorator names that hold one of these words are covered by it.
 TOOL_DECORATORS = ("tool", "Tool")
 NOT_TOOL_DECORATORS = ("mcp.tool", "mcp_server.tool")
 MCP_DECORATORS = ("server.tool", "@tool", "mcp.tool")
