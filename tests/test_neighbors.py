@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.operators import neighbors
 
@@ -53,3 +54,29 @@ def test_oversampled_ids_are_kept_once(spark):
                                "id long, neighbor_id long, distance double, rank int")
     got = [(r["neighbor_id"], r["rank"]) for r in neighbors.first_distinct(df, "id", 2).orderBy("rank").collect()]
     assert got == [(2, 1), (3, 2)]
+
+
+def test_repeated_ids_and_missing_vectors(spark):
+    rng = np.random.default_rng(9)
+    rows = [(0, [0.0, float(i) / 1000]) for i in range(8)] + [(i, rng.normal(size=2).tolist()) for i in range(1, 101)] + [(200, None)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    asked = df.where("id in (0, 7, 200)").dropDuplicates(["id"])
+    got = {}
+    for r in neighbors.nearest(asked, df, 5, "id", "id").collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbor_id"]))
+    assert {k: len(v) for k, v in got.items()} == {0: 5, 7: 5}
+    query = next(r["embedding"] for r in asked.collect() if r["id"] == 0)
+    far = sorted((float(((np.float32(v) - np.float32(query)) ** 2).sum()), i) for i, v in rows[8:108])[:5]
+    assert [i for _, i in sorted(got[0])] == [i for _, i in far]
+
+
+def test_blocks_stay_below_their_size(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 50)
+    rows = [(i, [0.0, 0.0] if i % 2 else [float(i % 5), 1.0]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(60)  # many small batches
+    number, parts = F.monotonically_increasing_id(), F.lit(300 // 25)  # as many as the operator takes for 300 rows
+    dealt = df.where("id % 2 = 1").withColumn("_r", number).groupBy(F.pmod(F.xxhash64("_r"), parts)).count()
+    sizes = [r["count"] for r in dealt.collect()]
+    assert len(sizes) == 12 and max(sizes) <= 50
+    got = neighbors.nearest(df.where("id < 20"), df, 3, "id", "id")
+    assert got.count() == 60
