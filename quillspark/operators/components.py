@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by hooking and pointer jumping."""
+"""Connected components of a table of links, by hooking and pointer doubling."""
 
 from __future__ import annotations
 
@@ -7,28 +7,42 @@ from pyspark.sql import functions as F
 
 from quillspark.session import materialize
 
+DOUBLINGS = 3  # in one stored table
+
+
+def _to_roots(parent: DataFrame) -> DataFrame:
+    """``(a, p)`` with every node pointing to the root of its tree; a tree of depth d takes log d doublings."""
+    at = materialize(parent)
+    while True:
+        above = at.select(F.col("a").alias("p"), F.col("p").alias("pp"))
+        if at.join(above, "p").where("pp <> p").isEmpty():
+            return at
+        for _ in range(DOUBLINGS):
+            above = at.select(F.col("a").alias("p"), F.col("p").alias("pp"))
+            at = at.join(above, "p").select("a", F.col("pp").alias("p"))
+        at = materialize(at)
+
 
 def connected(links: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``links`` (columns ``a``, ``b``): the label is its smallest reachable node.
 
-    In each round every node takes its smallest neighbour as parent if that is smaller, then its parent's
-    parent, and links are moved to the parents; a path of n nodes takes about log n rounds. Nothing is
-    collected; the driver asks only whether links are left. Links of nodes to themselves give single nodes.
+    In each round every node takes its smallest neighbour as parent if that is smaller, all nodes are led to the
+    roots of the trees that this makes, and links are moved to the roots. A root has no smaller neighbour, so at
+    least half of the nodes are gone after each round: n nodes take log n rounds. Nothing is collected; the
+    driver asks only whether something is left. Links of nodes to themselves give single nodes.
     """
     edges = materialize(links.select("a", "b").distinct())
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     labels = materialize(nodes.select("node", F.col("node").alias("label")))
     while not edges.where("a <> b").isEmpty():
         both = edges.where("a <> b").union(edges.where("a <> b").select("b", "a"))
-        parent = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p"))
-        above = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-        jumped = materialize(parent.join(above, "p").select(F.col("a").alias("old"), F.col("pp").alias("new")))
+        roots = _to_roots(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")))
+        led = roots.select(F.col("a").alias("old"), F.col("p").alias("new"))
         labels = materialize(
-            labels.join(jumped, F.col("label") == F.col("old"), "left")
-            .select("node", F.coalesce("new", "label").alias("label"))
+            labels.join(led, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
         )
-        first = jumped.select(F.col("old").alias("a"), F.col("new").alias("na"))
-        second = jumped.select(F.col("old").alias("b"), F.col("new").alias("nb"))
-        moved = edges.where("a <> b").join(first, "a").join(second, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-        edges = materialize(moved.where("a <> b").distinct())
+        first = roots.select("a", F.col("p").alias("na"))
+        second = roots.select(F.col("a").alias("b"), F.col("p").alias("nb"))
+        moved = edges.where("a <> b").join(first, "a").join(second, "b").where("na <> nb")
+        edges = materialize(moved.select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct())
     return labels
