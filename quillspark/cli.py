@@ -14,7 +14,7 @@ from quillspark.operators import labeling
 from quillspark.operators.agreement import rolling_kappa_for_fields
 from quillspark.operators.store import pairwise_labels
 from quillspark.plans import analysis, corpus, extraction
-from quillspark.session import get_session, materialize
+from quillspark.session import drop_tables, get_session, materialize
 from quillspark.sources import files
 
 
@@ -120,7 +120,11 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
-    args.run(get_session("quillspark"), args)
+    spark = get_session("quillspark")
+    try:
+        args.run(spark, args)
+    finally:
+        drop_tables(spark)
 
 
 if __name__ == "__main__":

@@ -49,6 +49,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+def _tables_folder(spark: SparkSession) -> str:
+    """The application's own folder of intermediate tables, so that its owner can drop them together."""
+    return f"{checkpoint_root(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; DataFrames that read them can't be used any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(_tables_folder(spark))
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` once and read it back: cuts lineage and survives executor loss.
 
@@ -56,7 +67,7 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     statistics by which Spark decides on broadcast joins.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{_tables_folder(spark)}/{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -2,7 +2,7 @@ import tempfile
 
 import pytest
 
-from quillspark.session import get_session
+from quillspark.session import drop_tables, get_session
 
 
 @pytest.fixture(scope="session")
@@ -14,4 +14,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_tables(session)
     session.stop()
