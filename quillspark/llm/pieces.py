@@ -1,15 +1,15 @@
-"""SentencePiece encoding and decoding by max-plus dynamic programming.
+"""SentencePiece encoding by the model's merges, and decoding.
 
-A text becomes code points: a leading mark, spaces as marks, all else as it is. Its encoding is the sequence of
-vocabulary pieces with the largest sum of scores; code points without a piece are spelled in byte pieces.
+A text becomes code points: a leading mark, spaces as marks, all else as it is. Its encoding is what the model's
+merges make of it: of all neighbours that together are a piece, the pair with the best score is joined first, the
+leftmost of equal ones. Code points without a piece are spelled in byte pieces.
 
-No piece reaches past the start of a word (a mark after something else), so words are solved on their own: the
-distinct words of many texts at once, one numpy step for all pieces that start at the same offset.
+No merge joins two code points that stand side by side in no piece. There a text falls into segments (a word, or
+less) that are encoded on their own: the distinct segments of many texts at once, and remembered.
 
-Giant documents are split into chunks of code points. A chunk's transfer matrix says, for each number of code
-points at its start that an earlier piece has taken, and each number beyond its end that its last piece takes,
-the best score in between (a max-plus matrix). Matrices of a document are combined by an associative scan, which
-gives the states at all boundaries; each chunk is then backtraced on its own, between its two states.
+Giant documents are split into chunks of whole segments, encoded apart, and their ids put together in order. The
+largest sum of scores, which a max-plus scan over chunks would give, is another encoding: a merge model's scores are
+ranks, not log probabilities.
 """
 
 from __future__ import annotations
@@ -28,10 +28,9 @@ from quillspark.session import materialize
 
 CHUNK = 32_768
 GROUP = 1 << 19
-BUCKET_BITS = 20
-#: Words whose encodings a task remembers; beyond it starts anew.
-REMEMBERED = 400_000
-LONG_WORD = 64
+PAIR_BITS = 22
+#: Segments whose encodings a task remembers, and ids of these; beyond it starts anew.
+REMEMBERED, POOLED = 400_000, 8_000_000
 MARK = 0x2581
 #: Stands for a mark that the text itself holds; beyond Unicode, so it has no piece and is spelled in bytes.
 OWN_MARK = 0x110000
@@ -42,52 +41,72 @@ NEVER = -1e8
 
 
 class Vocabulary:
-    """Pieces, scores and byte pieces of a model file, and the hash table to find them."""
+    """Merges, scores and byte pieces of a model file, and the neighbours that its pieces hold."""
 
     def __init__(self, path: str):
         import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        from sentencepiece import sentencepiece_model_pb2
+
+        proto = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as f:
+            proto.ParseFromString(f.read())
+        rules = proto.normalizer_spec
+        if rules.name != "identity" or rules.remove_extra_whitespaces or not rules.add_dummy_prefix:
+            raise ValueError("models that change a text before they encode it are not supported")
+        if proto.trainer_spec.model_type != proto.trainer_spec.BPE:
+            raise ValueError("the model needs merges")
+        rules.add_dummy_prefix = False  # the mark is among the code points
+        self.model = model = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.bytes = np.zeros(256, dtype=np.int32)
-        self.byte_of: dict[int, int] = {}
-        pieces = []
+        n_bytes, pieces = 0, []
+        self.scores = np.zeros(model.get_piece_size())
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
+            self.scores[i] = model.get_score(i)
             if model.is_byte(i):
-                self.bytes[int(piece[3:5], 16)], self.byte_of[i] = i, int(piece[3:5], 16)
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                pieces.append((piece, i, float(model.get_score(i))))
-        if len(self.byte_of) != 256:
+                self.bytes[int(piece[3:5], 16)], n_bytes = i, n_bytes + 1
+            elif not (model.is_control(i) or model.is_unknown(i)):
+                pieces.append((piece, i))
+        if n_bytes != 256:
             raise ValueError("the model needs a piece for every byte")
-        if any(chr(MARK) in p.lstrip(chr(MARK)) for p, _, _ in pieces):
+        if any(chr(MARK) in p.lstrip(chr(MARK)) for p, _ in pieces):
             raise ValueError("pieces that reach past the start of a word are not supported")
-        self.byte_score = min(s for _, _, s in pieces if s > NEVER) - 10.0
-        # of pieces that are never to be chosen, single code points stay: they may be all there is for their place
-        pieces = [(p, i, max(s, self.byte_score)) for p, i, s in pieces if s > NEVER or len(p) == 1]
-        self.found = {p: (i, s) for p, i, s in pieces}
-        self.longest = max(len(p) for p in self.found)
-        self.size = model.get_piece_size()
-        codes = [self.codes(p, raw=True) for p, _, _ in pieces]
+        scored = self.scores[[i for _, i in pieces]]
+        self.byte_score = float(scored[scored > NEVER].min()) - 10.0
+        self.scores[self.bytes] = self.byte_score
+        self.scores = np.maximum(self.scores, self.byte_score)
+        # a bitmap by hash: of other neighbours few pass, and these only make a segment longer
+        self.pairs = np.zeros(1 << PAIR_BITS, dtype=bool)
+        for p, _ in pieces:
+            x = self.codes(p, raw=True)
+            self.pairs[self._pair(x)] = True
         power = np.full(GROUP + 1, _BASE, dtype=np.uint64)
         inverse = np.full(GROUP + 1, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
         power[0] = inverse[0] = 1
-        self.power, self.inverse = power, inverse = np.cumprod(power), np.cumprod(inverse)
-        keys = np.array([
-            (c.astype(np.uint64) * power[: len(c)]).sum(dtype=np.uint64) for c in codes
-        ], dtype=np.uint64)
-        keys = mix(keys + np.array([len(c) for c in codes], dtype=np.uint64))
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.ids = np.array([i for _, i, _ in pieces], dtype=np.int32)[order]
-        self.scores = np.array([s for _, _, s in pieces])[order]
-        # a hash table by the high bits of the key: the piece of each bucket, and layers for buckets that hold more
-        self.layers: list[np.ndarray] = []
-        rest = np.arange(len(self.keys))
-        while len(rest):
-            layer = np.full(1 << BUCKET_BITS, -1, dtype=np.int32)
-            layer[self.keys[rest] >> np.uint64(64 - BUCKET_BITS)] = rest
-            self.layers.append(layer)
-            rest = rest[layer[self.keys[rest] >> np.uint64(64 - BUCKET_BITS)] != rest]
+        self.power, self.inverse = np.cumprod(power), np.cumprod(inverse)
+
+    @staticmethod
+    def _pair(x: np.ndarray) -> np.ndarray:
+        """Bucket of each code point with the next one."""
+        y = x.astype(np.uint64)
+        return ((y[:-1] << np.uint64(21) | y[1:]) * np.uint64(_BASE)) >> np.uint64(64 - PAIR_BITS)
+
+    def starts(self, x: np.ndarray) -> np.ndarray:
+        """Starts of segments, the start of the sequence included."""
+        fresh = np.ones(len(x), dtype=bool)
+        if len(x) > 1:
+            fresh[1:] = ~self.pairs[self._pair(x)] | (x[1:] == OWN_MARK) | (x[:-1] == OWN_MARK)
+        return np.flatnonzero(fresh)
+
+    def start_from(self, text: str, at: int) -> int:
+        """The first start of a segment of ``text`` at ``at`` (above 0) or later; its length without any."""
+        step = 256
+        while at < len(text):
+            found = self.starts(self.codes(text[at - 1 : at + step], first=False))
+            if len(found) > 1:
+                return at - 1 + int(found[1])
+            at, step = at + step, min(step * 2, GROUP)
+        return len(text)
 
     @staticmethod
     def codes(text: str, raw: bool = False, first: bool = True) -> np.ndarray:
@@ -98,10 +117,6 @@ class Vocabulary:
         x = np.where(x == MARK, OWN_MARK, np.where(x == 0x20, MARK, x)).astype(np.uint32)
         return np.concatenate([np.array([MARK], dtype=np.uint32), x]) if first and len(x) else x
 
-    @staticmethod
-    def spelled(code: int) -> bytes:
-        return chr(MARK if code == OWN_MARK else code).encode()
-
 
 class Decoder:
     """Texts of ids: the bytes of each piece of a model file."""
@@ -125,29 +140,23 @@ class Decoder:
         return text[1:] if text.startswith(" ") else text
 
 
-def code_bytes(x: np.ndarray) -> np.ndarray:
-    """UTF-8 length of each code point."""
-    y = np.where(x == OWN_MARK, MARK, x)
-    return 1 + (y > 0x7F).astype(np.int64) + (y > 0x7FF) + (y > 0xFFFF)
-
-
 class Encoder:
-    """Best encodings of sequences of code points."""
+    """Encodings of sequences of code points."""
 
     def __init__(self, path: str):
         self.v = Vocabulary(path)
         self._forget()
 
-    # Words that were met before.
+    # Segments that were met before.
 
     def _forget(self) -> None:
-        """Remembered words, sorted by hash: where their ids stand in ``pool``, how many, and their scores."""
+        """Remembered segments, sorted by hash: where their ids stand in ``pool``, how many, and their scores."""
         self.known = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         self.pool = [np.zeros(0, dtype=np.int32)]
         self.pooled = 0
 
     def _remember(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, scores: np.ndarray) -> None:
-        """Add words given in the order of their hashes, none of them known yet."""
+        """Add segments given in the order of their hashes, none of them known yet."""
         at = self.pooled + np.cumsum(sizes) - sizes
         place = np.searchsorted(self.known[0], hashes)
         self.known = tuple(np.insert(a, place, b) for a, b in zip(self.known, (hashes, at, sizes, scores), strict=True))
@@ -155,140 +164,38 @@ class Encoder:
         self.pooled += len(ids)
 
     def _lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the hashes among the known words, and which of them are known."""
+        """Places of the hashes among the known segments, and which of them are known."""
         place = np.searchsorted(self.known[0], hashes)
         if not len(self.known[0]):
             return place, np.zeros(len(hashes), dtype=bool)
         return place, self.known[0][np.minimum(place, len(self.known[0]) - 1)] == hashes
 
-    # Many words at once.
-
-    def _matches(self, x: np.ndarray, offset: np.ndarray, left: np.ndarray):
-        """All pieces found in words: (place, length, score, id); ``left``: code points up to the word's end."""
-        v = self.v
-        sums = np.zeros(len(x) + 1, dtype=np.uint64)
-        np.cumsum(x.astype(np.uint64) * v.power[: len(x)], out=sums[1:])
-        places, lengths, scores, ids = [], [], [], []
-        single = np.zeros(len(x), dtype=bool)
-        at = np.arange(len(x))
-        for n in range(1, v.longest + 1):
-            at = at[left[at] >= n]
-            if not len(at):
-                break
-            keys = mix((sums[at + n] - sums[at]) * v.inverse[at] + np.uint64(n))
-            buckets = keys >> np.uint64(64 - BUCKET_BITS)
-            for layer in v.layers:
-                slot = layer[buckets]
-                some = np.flatnonzero(slot >= 0)
-                slot = slot[some]
-                hit = v.keys[slot] == keys[some]
-                where, slot = at[some[hit]], slot[hit]
-                if n == 1:
-                    single[where] = True
-                places.append(where)
-                lengths.append(np.full(len(where), n))
-                scores.append(v.scores[slot])
-                ids.append(v.ids[slot])
-        bare = np.flatnonzero(~single)
-        places.append(bare)
-        lengths.append(np.ones(len(bare), dtype=np.int64))
-        scores.append(v.byte_score * code_bytes(x[bare]))
-        ids.append(np.full(len(bare), -1, dtype=np.int32))
-        places, lengths, scores, ids = map(np.concatenate, (places, lengths, scores, ids))
-        order = np.argsort(offset[places], kind="stable")
-        return places[order], lengths[order], scores[order], ids[order]
+    # Segments.
 
     def _solve(self, x: np.ndarray, lens: np.ndarray):
-        """Best encodings of words given end to end: (ids, ids of each word, score of each word)."""
-        n = len(lens)
+        """Encodings of segments given end to end: (ids, ids of each segment, score of each segment)."""
+        own = x == OWN_MARK
+        text = np.where(own, 0, np.where(x == MARK, 0x20, x)).astype(np.uint32).tobytes().decode("utf-32-le")
         ends = np.cumsum(lens)
-        word = np.repeat(np.arange(n), lens)
-        offset = np.arange(len(x)) - np.repeat(ends - lens, lens)
-        places, lengths, scores, ids = self._matches(x, offset, np.repeat(lens, lens) - offset)
-        node = places + word[places]  # a word of k code points has k + 1 nodes
-        best = np.full(len(x) + n, _LOW)
-        first_node = ends - lens + np.arange(n)
-        best[first_node] = 0.0
-        back, back_id = np.zeros(len(best), dtype=np.int64), np.zeros(len(best), dtype=np.int32)
-        bounds = np.searchsorted(offset[places], np.arange(int(lens.max(initial=0)) + 1))
-        for k in range(len(bounds) - 1):
-            a, b = bounds[k], bounds[k + 1]
-            to = node[a:b] + lengths[a:b]
-            score = best[node[a:b]] + scores[a:b]
-            better = np.flatnonzero(score > best[to])  # equal sums keep the longer last piece
-            to = to[better]
-            best[to] = score[better]
-            back[to] = lengths[a:b][better]
-            back_id[to] = ids[a:b][better]
-        last = first_node + lens
-        sizes = np.zeros(n, dtype=np.int64)
-        steps = []
-        at, live = last.copy(), np.arange(n)
-        while len(live):
-            here = at[live]
-            step, piece = back[here], back_id[here]
-            code = x[here - step - live]  # node less word number: place of the piece
-            width = np.where(piece < 0, code_bytes(code), 1)
-            steps.append((live, piece, code, width))
-            sizes[live] += width
-            at[live] = here - step
-            live = live[at[live] > first_node[live]]
-        out = np.zeros(int(sizes.sum()), dtype=np.int32)
-        fill = np.cumsum(sizes)
-        for live, piece, code, width in steps:
-            fill[live] -= width
-            known = piece >= 0
-            out[fill[live[known]]] = piece[known]
-            for w, c in zip(live[~known].tolist(), code[~known].tolist(), strict=True):
-                spelled = self.v.spelled(c)
-                out[fill[w] : fill[w] + len(spelled)] = self.v.bytes[np.frombuffer(spelled, dtype=np.uint8)]
-        return out, sizes, best[last]
-
-    # One long word.
-
-    def _piece_at(self, text: str, at: int, stop: int):
-        """Pieces of a text (marks in place) from ``at``, none beyond ``stop``: (length, id, score)."""
-        found, any_single = self.v.found, False
-        for n in range(1, min(self.v.longest, stop - at) + 1):
-            hit = found.get(text[at : at + n])
-            if hit:
-                any_single = any_single or n == 1
-                yield n, *hit
-        if not any_single:
-            code = OWN_MARK if text[at] == "\0" and self._own[at] else ord(text[at])
-            yield 1, -1, self.v.byte_score * len(self.v.spelled(code))
-
-    def _as_text(self, x: np.ndarray) -> str:
-        """Code points as a string for look-ups; an own mark becomes a NUL that is no piece."""
-        self._own = x == OWN_MARK
-        return np.where(self._own, 0, x).astype(np.uint32).tobytes().decode("utf-32-le")
+        found = self.v.model.encode([text[a:b] for a, b in zip((ends - lens).tolist(), ends.tolist(), strict=True)])
+        for k in np.flatnonzero(own[ends - lens]).tolist():  # a segment of its own
+            found[k] = self.v.bytes[list(chr(MARK).encode())].tolist()
+        sizes = np.array([len(f) for f in found], dtype=np.int64)
+        ids = np.fromiter((i for f in found for i in f), dtype=np.int32, count=int(sizes.sum()))
+        totals = np.concatenate([[0.0], np.cumsum(self.v.scores[ids])])
+        last = np.cumsum(sizes)
+        return ids, sizes, totals[last] - totals[last - sizes]
 
     def _long_word(self, x: np.ndarray):
-        text, n = self._as_text(x), len(x)
-        best, back = [_LOW] * (n + 1), [(0, 0)] * (n + 1)
-        best[0] = 0.0
-        for at in range(n):
-            for size, piece, score in self._piece_at(text, at, n):
-                if best[at] + score > best[at + size]:
-                    best[at + size], back[at + size] = best[at] + score, (size, piece)
-        ids: list[int] = []
-        at = n
-        while at:
-            size, piece = back[at]
-            at -= size
-            ids += [piece] if piece >= 0 else self.v.bytes[list(self.v.spelled(int(x[at])))].tolist()[::-1]
-        return np.array(ids[::-1], dtype=np.int32), best[n]
+        """Encoding of a sequence in one go, cut nowhere but at the text's own marks."""
+        own = np.flatnonzero(x == OWN_MARK)
+        starts = np.unique(np.concatenate([[0], own, own + 1]))
+        starts = starts[starts < len(x)]
+        ids, _, scores = self._solve(x, np.diff(np.concatenate([starts, [len(x)]])))
+        return ids, float(scores.sum())
 
     # Texts and parts of texts.
 
-    def word_starts(self, x: np.ndarray) -> np.ndarray:
-        """Starts of words, the start of the sequence included."""
-        mark = x == MARK
-        starts = mark.copy()
-        starts[1:] &= ~mark[:-1]
-        starts[:1] = True
-        return np.flatnonzero(starts)
-
     def encode(self, units: Sequence[np.ndarray]) -> list[tuple[np.ndarray, float]]:
         """Ids and score of each sequence of code points; sequences are solved together up to ``GROUP``."""
         out: list[tuple[np.ndarray, float]] = []
@@ -309,23 +216,18 @@ class Encoder:
         if not len(x):
             return [(np.zeros(0, dtype=np.int32), 0.0)] * len(group)
         unit_at = np.concatenate([[0], np.cumsum([len(g) for g in group])])
-        starts = np.unique(np.concatenate([self.word_starts(x), unit_at[:-1][unit_at[:-1] < len(x)]]))
+        starts = np.unique(np.concatenate([self.v.starts(x), unit_at[:-1][unit_at[:-1] < len(x)]]))
         lens = np.diff(np.concatenate([starts, [len(x)]]))
         sums = np.zeros(len(x) + 1, dtype=np.uint64)
         np.cumsum(x.astype(np.uint64) * self.v.power[: len(x)], out=sums[1:])
         hashes = mix((sums[starts + lens] - sums[starts]) * self.v.inverse[starts] + lens.astype(np.uint64))
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known[0]) > REMEMBERED:
+        if len(self.known[0]) > REMEMBERED or self.pooled > POOLED:
             self._forget()
         fresh = np.flatnonzero(~self._lookup(distinct)[1])
-        short = fresh[lens[first[fresh]] <= LONG_WORD]
-        take = lens[first[short]]
-        place = np.repeat(starts[first[short]] - (np.cumsum(take) - take), take) + np.arange(take.sum())
-        self._remember(distinct[short], *self._solve(x[place], take))
-        for w in fresh[lens[first[fresh]] > LONG_WORD].tolist():
-            a = starts[first[w]]
-            found, score = self._long_word(x[a : a + lens[first[w]]])
-            self._remember(distinct[w : w + 1], found, np.array([len(found)]), np.array([score]))
+        take = lens[first[fresh]]
+        place = np.repeat(starts[first[fresh]] - (np.cumsum(take) - take), take) + np.arange(take.sum())
+        self._remember(distinct[fresh], *self._solve(x[place], take))
         if len(self.pool) > 1:
             self.pool = [np.concatenate(self.pool)]
         known = self._lookup(distinct)[0]
@@ -341,8 +243,8 @@ class Encoder:
         ]
 
     def _in_parts(self, x: np.ndarray) -> tuple[np.ndarray, float]:
-        """A sequence longer than a group, cut at word starts; a word that fills a group is solved by itself."""
-        starts = self.word_starts(x)
+        """A sequence longer than a group, cut at starts of segments; one that fills a group is solved by itself."""
+        starts = self.v.starts(x)
         found, at = [], 0
         while at < len(x):
             stop = int(starts[np.searchsorted(starts, at + GROUP, side="right") - 1])
@@ -357,46 +259,6 @@ class Encoder:
             at = stop
         return np.concatenate([f[0] for f in found]), float(sum(f[1] for f in found))
 
-    # Transfer matrices.
-
-    def transfer(self, x: np.ndarray, own: int, after_mark: bool) -> np.ndarray:
-        """Matrix ``[taken at the start, taken beyond the end]`` of a chunk of ``own`` code points.
-
-        ``x`` also holds up to ``longest - 1`` code points that follow. ``after_mark``: a mark comes before.
-        """
-        k = self.v.longest
-        out = np.full((k, k), _LOW)
-        starts = self.word_starts(x[: own + 1])
-        if after_mark and len(x) and x[0] == MARK or len(x) and x[0] != MARK:
-            starts = starts[starts > 0]  # the chunk begins inside a word
-        starts = starts[starts <= own]
-        if not len(starts):
-            return self._through(x, 0, own, range(k))
-        first, last = int(starts[0]), int(starts[-1])
-        head = self._through(x[:first], 0, first, range(min(k, first + 1)))[:, 0]
-        middle = sum(s for _, s in self.encode([x[first:last]])) if last > first else 0.0
-        tail = self._through(x[last:], 0, own - last, (0,))[0]
-        reach = (head[:, None] > _LOW / 2) & (tail[None, :] > _LOW / 2)
-        return np.where(reach, head[:, None] + middle + tail[None, :], out)
-
-    def _through(self, x: np.ndarray, at: int, own: int, taken) -> np.ndarray:
-        """Transfer matrix by stepping through all places, for the given numbers taken at the start."""
-        k = self.v.longest
-        out = np.full((k, k), _LOW)
-        best = np.full((own + k, k), _LOW)
-        for s in taken:
-            if s < k and s <= own + k - 1:
-                best[s, s] = 0.0
-        text, n = self._as_text(x), len(x)
-        for at in range(min(own, n)):
-            if best[at].max() > _LOW / 2:
-                for size, _, score in self._piece_at(text, at, n):
-                    np.maximum(best[at + size], np.where(best[at] > _LOW / 2, best[at] + score, _LOW), out=best[at + size])
-        for beyond in range(k):
-            if own + beyond < len(best) and own + beyond <= n:
-                out[:, beyond] = best[own + beyond]
-        return out
-
 
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Product of max-plus matrices, or of equally long stacks of them. Associative."""
@@ -415,33 +277,25 @@ def scan(matrices: np.ndarray) -> np.ndarray:
     return out
 
 
-def boundary_states(matrices: np.ndarray) -> list[int]:
-    """States at the boundaries of a document's chunks: 0 before the first and after the last."""
-    prefix = scan(matrices)
-    states = [0]
-    for k in range(len(matrices) - 1, 0, -1):
-        states.append(int(np.argmax(prefix[k - 1][0] + matrices[k][:, states[-1]])))
-    return [0, *states[::-1]]
-
-
 def encode_documents(
     docs: DataFrame, model: str, chunk: int = CHUNK, text: str = "text"
 ) -> DataFrame:
     """``docs`` with ``text`` replaced by ``n_tokens``, ``score`` and ``ids``; ``model`` is a path all executors can open.
 
     * Null or empty text: no ids, score 0.
-    * Texts of more than ``chunk`` code points go through transfer matrices; the score is that of the whole
-      text's best encoding. Where encodings have equal scores, any may be given.
+    * The ids are those that the model's merges give. ``score`` is the sum of their scores in the model; byte pieces,
+      and pieces that the model gives no proper score, count 10 less than the lowest one.
+    * Texts of more than ``chunk`` code points are encoded in chunks that end where a segment does. One segment is one
+      step, however long.
     * Every row is encoded by its whole text, equal texts of one kind alike. An empty table gives no rows.
     * Other columns stay; columns of the names added here are replaced, and names with a leading underscore
-      (``_row _chunk _part _own _mark _carry``) are the operator's own.
+      (``_row _chunk _part _carry``) are the operator's own.
     """
     bounded_batches(docs.sparkSession)
     added = ("n_tokens", "score", "ids")
     carried = [c for c in docs.columns if c != text and c not in added]
     rows = docs.select(F.struct(F.lit(0).alias("_"), *named(carried)).alias("_carry"), whole(text).alias("_text"))
     is_long = F.length("_text") > chunk
-    beyond = Vocabulary(model).longest - 1
     carry = T.StructType([T.StructField("_carry", rows.schema["_carry"].dataType, True)])
     encoded = T._parse_datatype_string("n_tokens bigint, score double, ids array<int>")
     schema = lambda ddl, *more: T.StructType(sum((p.fields for p in more), T._parse_datatype_string(ddl).fields if ddl else []))
@@ -453,65 +307,36 @@ def encode_documents(
             yield pa.RecordBatch.from_arrays([batch.column("_carry"), *_columns(found)], ["_carry", *added])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = Vocabulary(model)
         for batch in batches:
             for i, (row, whole_text) in enumerate(zip(batch.column("_row").to_pylist(), batch.column("_text").to_pylist(), strict=True)):
-                starts = list(range(0, len(whole_text), chunk))
-                for a in range(0, len(starts), 64):
-                    some = starts[a : a + 64]
+                bounds = [0]
+                while bounds[-1] < len(whole_text):
+                    bounds.append(v.start_from(whole_text, bounds[-1] + chunk))
+                for a in range(0, len(bounds) - 1, 64):
+                    some = list(range(a, min(a + 64, len(bounds) - 1)))
                     arrays = [
-                        pa.array([row] * len(some), pa.int64()), pa.array([s // chunk for s in some], pa.int32()),
-                        pa.array([whole_text[s : s + chunk + beyond] for s in some], pa.string()),
-                        pa.array([min(chunk, len(whole_text) - s) for s in some], pa.int32()),
-                        pa.array([s > 0 and whole_text[s - 1] == " " for s in some], pa.bool_()),
-                        batch.column("_carry").take(pa.array([i if s == 0 else None for s in some], pa.int32())),
+                        pa.array([row] * len(some), pa.int64()), pa.array(some, pa.int32()),
+                        pa.array([whole_text[bounds[k] : bounds[k + 1]] for k in some], pa.string()),
+                        batch.column("_carry").take(pa.array([i if k == 0 else None for k in some], pa.int32())),
                     ]
-                    yield pa.RecordBatch.from_arrays(arrays, ["_row", "_chunk", "_part", "_own", "_mark", "_carry"])
+                    yield pa.RecordBatch.from_arrays(arrays, ["_row", "_chunk", "_part", "_carry"])
 
-    def chunk_codes(encoder, part, number):
-        return encoder.v.codes(part, first=number == 0)
-
-    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model)
-        for batch in batches:
-            out = []
-            for number, part, own, mark in zip(*(batch.column(c).to_pylist() for c in ("_chunk", "_part", "_own", "_mark")), strict=True):
-                x = chunk_codes(encoder, part, number)
-                out.append(encoder.transfer(x, own + (number == 0), mark).ravel())
-            flat = pa.array(np.concatenate(out) if out else np.zeros(0))
-            width = encoder.v.longest**2
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * width), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_chunk"), lists], ["_row", "_chunk", "t"])
-
-    def states(group: pa.Table) -> pa.Table:
-        group = group.sort_by("_chunk").combine_chunks()
-        flat = group.column("t").combine_chunks().flatten().to_numpy()
-        side = int(round((len(flat) / group.num_rows) ** 0.5))
-        found = boundary_states(flat.reshape(group.num_rows, side, side))
-        return pa.table({
-            "_row": group.column("_row"), "_chunk": group.column("_chunk"),
-            "s_in": pa.array(found[:-1], pa.int32()), "s_out": pa.array(found[1:], pa.int32()),
-        })
-
-    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
         for batch in batches:
-            units = []
-            for number, part, own, s_in, s_out in zip(*(batch.column(c).to_pylist() for c in ("_chunk", "_part", "_own", "s_in", "s_out")), strict=True):
-                units.append(chunk_codes(encoder, part, number)[s_in : own + (number == 0) + s_out])
+            numbers, parts = (batch.column(c).to_pylist() for c in ("_chunk", "_part"))
+            found = encoder.encode([encoder.v.codes(p, first=k == 0) for k, p in zip(numbers, parts, strict=True)])
             kept = [batch.column("_row"), batch.column("_chunk"), batch.column("_carry")]
-            yield pa.RecordBatch.from_arrays([*kept, *_columns(encoder.encode(units))], ["_row", "_chunk", "_carry", *added])
+            yield pa.RecordBatch.from_arrays([*kept, *_columns(found)], ["_row", "_chunk", "_carry", *added])
 
     direct = rows.where(~is_long).mapInArrow(short, schema("", carry, encoded))
     chunks = materialize(
         rows.where(is_long).withColumn("_row", F.monotonically_increasing_id())
-        .mapInArrow(split, schema("_row bigint, _chunk int, _part string, _own int, _mark boolean", carry))
+        .mapInArrow(split, schema("_row bigint, _chunk int, _part string", carry))
     )
     # spread over tasks whatever the layout of the documents was
-    spread = chunks.select("_row", "_chunk", "_part", "_own", "_mark").repartition("_row", "_chunk")
-    known = spread.mapInArrow(matrices, "_row bigint, _chunk int, t array<double>").groupBy("_row").applyInArrow(
-        states, "_row bigint, _chunk int, s_in int, s_out int"
-    )
-    parts = chunks.join(known, ["_row", "_chunk"]).mapInArrow(between, schema("_row bigint, _chunk int", carry, encoded))
+    parts = chunks.repartition("_row", "_chunk").mapInArrow(apart, schema("_row bigint, _chunk int", carry, encoded))
     long = parts.groupBy("_row").agg(
         F.first("_carry", ignorenulls=True).alias("_carry"), F.sum("n_tokens").alias("n_tokens"), F.sum("score").alias("score"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "ids"))), lambda p: p["ids"])).alias("ids"),

@@ -243,6 +243,20 @@ def test_long_texts_go_through_matrices(spark):
     assert abs(whole_text["score"] - got[0]["score"]) < 1e-3
 
 
+def test_ids_are_those_of_the_model(spark):
+    import sentencepiece
+
+    plain = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = [
+        "The quick brown fox jumps over the lazy dog.", "  a  b ", " " * 45 + "x" + " " * 15, "a\tb\nc\x00d", "a" * 200, "xy" * 90,
+        "漢字かな交じり文 " * 9, "é" * 30, "<s> <0x0A> <unk>", "price: 1,250.00 EUR (incl. 19% VAT)", LONG[:30_000], "", None,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for chunk in (7, 16, 1 << 20):
+        got = {r["doc_id"]: r["ids"] for r in pieces.encode_documents(docs, MODEL, chunk=chunk).collect()}
+        assert got == {i: plain.encode(t or "") for i, t in enumerate(texts)}
+
+
 def test_max_plus_is_associative():
     rng = np.random.default_rng(1)
     a, b, c = rng.integers(-9, 9, (3, 4, 4)).astype(float)
