@@ -1,10 +1,11 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts are read as lower-cased words; numbers, units after a number and names become typed placeholders. Windows of words
-are hashed twice, as they stand and with placeholders, and joined to the windows of the benchmark items. Hits
-on one diagonal (place in the text less place in the item) form a match; where placeholders stand for other
-values than in the item, the match counts only if the values were replaced consistently, one for one. So a
-question with other numbers is caught, and a sentence that only has the same form is not.
+Texts are read as lower-cased words; numbers (with separators and decimals), units after a number and names (runs of
+capitalised words) become typed placeholders, one each. Windows are hashed twice, of words as they stand and with
+placeholders, and joined to the windows of the benchmark items. Hits of one item within a span of the text form a
+match, however many places words were put in or left out at; where placeholders stand for other values than in the
+item, the match counts only if the values were replaced consistently, one for one. So a question with other numbers is
+caught, and a sentence that only has the same form is not.
 
 What a task holds of the benchmark is a bitmap of fixed size that lets few other windows pass; the join is a
 shuffle on the window's hash, for benchmarks of any size.
@@ -12,12 +13,14 @@ shuffle on the window's hash, for benchmarks of any size.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm.common import bounded_batches, whole
 from quillspark.llm.words import Words, byte_class, grams, mix
@@ -36,8 +39,8 @@ UNITS = (
 )
 WORD_BYTES = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 _SLOT = pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("value", pa.int64())])
-_HIT = pa.struct([("pos", pa.int64()), ("gram", pa.int64()), ("slots", pa.list_(_SLOT))])
-_HITS = "array<struct<pos: bigint, gram: bigint, slots: array<struct<at: int, kind: int, value: bigint>>>>"
+_HIT = pa.struct([("pos", pa.int64()), ("span", pa.int64()), ("gram", pa.int64()), ("slots", pa.list_(_SLOT))])
+_HITS = "array<struct<pos: bigint, span: bigint, gram: bigint, slots: array<struct<at: int, kind: int, value: bigint>>>>"
 
 
 class Canonical:
@@ -47,6 +50,8 @@ class Canonical:
         self.words, self.window, self.min_literals = Words(is_word), window, min_literals
         self.units = np.sort(np.array([self.words.of(np.frombuffer(u.encode(), np.uint8))[2][0] for u in units]))
         self.stops = byte_class((0x0A, 0x0A), (0x21, 0x21), (0x2E, 0x2E), (0x3A, 0x3A), (0x3F, 0x3F))
+        self.in_number = byte_class((0x27, 0x27), (0x2C, 0x2C), (0x2E, 0x2E))
+        self.in_name = byte_class((0x20, 0x20), (0x27, 0x27), (0x2D, 0x2D))
         self.placeholders = mix(np.arange(1, 4, dtype=np.uint64))
 
     def kinds(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -63,29 +68,41 @@ class Canonical:
         unit = after_number & (self.units[at] == hashes)
         return np.where(number, 1, np.where(unit, 2, np.where(capital & ~opens, 3, 0)))
 
-    def windows(self, data, starts, ends, hashes):
-        """(hashes as they stand, hashes with placeholders, which of these count, kinds of the words)."""
+    def tokens(self, data, starts, ends, hashes):
+        """Words, with those of one number or name together: (first word, kind, value); at the end the number of words."""
         kinds = self.kinds(data, starts, ends, hashes)
-        plain = grams(hashes, self.window)
-        if not kinds.any() or len(hashes) < self.window:
-            return plain, plain, np.zeros(len(plain), dtype=bool), kinds
-        shaped = np.where(kinds > 0, self.placeholders[np.maximum(kinds, 1) - 1], hashes)
-        slots = np.concatenate([[0], np.cumsum(kinds > 0)])
-        held = slots[self.window :] - slots[: -self.window]
-        counts = (held > 0) & (self.window - held >= self.min_literals)
-        return plain, mix(grams(shaped, self.window) + np.uint64(1)), counts, kinds
+        fresh = np.ones(len(hashes), dtype=bool)
+        gap = data[ends[:-1]]
+        alike = (kinds[1:] == kinds[:-1]) & (starts[1:] - ends[:-1] == 1)
+        fresh[1:] = ~(alike & ((kinds[1:] == 1) & self.in_number[gap] | (kinds[1:] == 3) & self.in_name[gap]))
+        first = np.flatnonzero(fresh)
+        rank = np.arange(len(hashes)) - np.repeat(first, np.diff(np.concatenate([first, [len(hashes)]])))
+        values = np.add.reduceat(hashes * mix(rank.astype(np.uint64) + np.uint64(1)), first)
+        kind = kinds[first]
+        return np.concatenate([first, [len(hashes)]]), kind, np.where(kind > 0, values, hashes[first])
 
     def hits(self, data, starts, ends, hashes, passes) -> list[dict]:
-        """Windows whose hash ``passes``; those with placeholders carry the values they stand for."""
+        """Windows whose hash ``passes``, by first word and number of words; those with placeholders carry their values."""
         if len(hashes) == 0:
             return []
-        plain, shaped, counts, kinds = self.windows(data, starts, ends, hashes)
-        out = [{"pos": i, "gram": int(g), "slots": []} for i, g in _taken(plain, passes(plain))]
-        for i, g in _taken(shaped, counts & passes(shaped)) if counts.any() else ():
-            at = np.flatnonzero(kinds[i : i + self.window])
-            values = hashes[i + at].view(np.int64)
-            out.append({"pos": i, "gram": int(g), "slots": [
-                {"at": int(a), "kind": int(kinds[i + a]), "value": int(v)} for a, v in zip(at, values, strict=True)
+        plain = grams(hashes, self.window)
+        span = min(self.window, len(hashes))
+        out = [{"pos": i, "span": span, "gram": int(g), "slots": []} for i, g in _taken(plain, passes(plain))]
+        first, kinds, values = self.tokens(data, starts, ends, hashes)
+        size = self.window
+        if not kinds.any() or len(kinds) < size:
+            return out
+        slots = np.concatenate([[0], np.cumsum(kinds > 0)])
+        held = slots[size:] - slots[:-size]
+        counts = (held > 0) & (size - held >= self.min_literals)
+        if not counts.any():
+            return out
+        shaped = mix(grams(np.where(kinds > 0, self.placeholders[np.maximum(kinds, 1) - 1], values), size) + np.uint64(1))
+        for i, g in _taken(shaped, counts & passes(shaped)):
+            at = np.flatnonzero(kinds[i : i + size])
+            said = values[i + at].view(np.int64)
+            out.append({"pos": int(first[i]), "span": int(first[i + size] - first[i]), "gram": int(g), "slots": [
+                {"at": int(a), "kind": int(kinds[i + a]), "value": int(v)} for a, v in zip(at, said, strict=True)
             ]})
         return out
 
@@ -96,7 +113,7 @@ def _taken(hashes: np.ndarray, mask: np.ndarray):
 
 
 def _windows(rows: DataFrame, bitmap: np.ndarray | None, window: int, min_literals: int) -> DataFrame:
-    """``key, n_windows, hits`` of rows ``(key, text)``; with a bitmap only the windows that pass it."""
+    """``key, n_words, hits`` of rows ``(key, text)``; with a bitmap only the windows that pass it."""
     key_type = rows.schema["key"].dataType.simpleString()
     is_word, units = WORD_BYTES, UNITS
     shift = np.uint64(64 - FILTER_BITS)
@@ -111,14 +128,57 @@ def _windows(rows: DataFrame, bitmap: np.ndarray | None, window: int, min_litera
             for i, data, starts, ends, hashes in reader.words.each([t.lower() for t in texts]):
                 as_written = np.frombuffer(texts[i].encode(), dtype=np.uint8)
                 data = as_written if len(as_written) == len(data) else data  # else no names are told from words
-                counts.append(max(len(hashes) - window + 1, min(len(hashes), 1)))
+                counts.append(len(hashes))
                 hits.append(reader.hits(data, starts, ends, hashes, passes))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(_HIT))], ["key", "n_windows", "hits"]
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(_HIT))], ["key", "n_words", "hits"]
             )
 
     bounded_batches(rows.sparkSession)
-    return rows.mapInArrow(run, f"key {key_type}, n_windows bigint, hits {_HITS}")
+    return rows.mapInArrow(run, f"key {key_type}, n_words bigint, hits {_HITS}")
+
+
+def _consistent(pairs: set) -> bool:
+    """One value of the item always stands for one value of the text, and back."""
+    return len({(k, a) for k, a, _ in pairs}) == len({(k, b) for k, _, b in pairs}) == len(pairs)
+
+
+def _copies(hits: list[dict]) -> Iterator[list[dict]]:
+    """Hits that may be of one copy of an item: each diagonal, and with each the others that go on in both orders.
+
+    ``hits`` are of one item in one span. Diagonals are taken by their number of hits, others by nearness to them.
+    """
+    lines = defaultdict(list)
+    for h in hits:
+        lines[h["pos"] - h["j"]].append(h)
+    ends = {d: (min(h["j"] for h in v), max(h["j"] for h in v)) for d, v in lines.items()}
+    used = set()
+    for d in sorted(lines, key=lambda d: (-len(lines[d]), d)):
+        yield lines[d]
+        if d in used or len(lines) == 1:
+            continue
+        chosen = [d]
+        for e in sorted(lines, key=lambda e: (abs(e - d), e)):
+            (a, b), p, q = ends[e], ends[e][0] + e, ends[e][1] + e
+            if e != d and all(
+                a > ends[c][1] and p > ends[c][1] + c or b < ends[c][0] and q < ends[c][0] + c for c in chosen
+            ):
+                chosen.append(e)
+        used.update(chosen)
+        if len(chosen) > 1:
+            yield [h for c in chosen for h in lines[c]]
+
+
+def _judge(n_windows: int, min_share: float, hits: list[dict]) -> tuple | None:
+    """Best (matched, share, n_slots, changed) of the hits of one item in one span; None if none counts."""
+    best = None
+    for copy in _copies(hits):
+        pairs = {(p["kind"], p["item"], p["doc"]) for h in copy for p in h["pairs"]}
+        matched = len({j for h in copy for j in range(h["j"], h["last"] + 1)})
+        if matched / n_windows >= min_share and _consistent(pairs):
+            found = (matched, matched / n_windows, len(pairs), sum(a != b for _, a, b in pairs))
+            best = max(best or found, found)
+    return best
 
 
 def benchmark_matches(
@@ -134,41 +194,58 @@ def benchmark_matches(
 
     * Items of fewer words than a window are one window of all their words, and met only by equal texts.
     * Null and empty texts hold nothing; null items are met by nothing. Empty tables give no rows.
-    * Rows with equal ids count as one document; other columns are not read, whatever their names.
+    * Windows are added up over spans of four times the item's words that overlap by half, so that words put in or
+      left out, anywhere, cost only the windows they are in.
+    * Rows with equal ids are searched apart and count as one document; other columns are not read, whatever their names.
     * A passage found in a third of all documents makes one hash hot: its rows are a join without
-      aggregation on that key, whose large partitions Spark splits. Groups are never larger than an item.
+      aggregation on that key, whose large partitions Spark splits. Groups are never larger than a span.
     """
     spark = docs.sparkSession
     items = materialize(_windows(
         benchmark.select(F.col(item_id).alias("key"), whole(item_text).alias("text")), None, window, min_literals
     ))
-    bench = items.select(F.col("key").alias("item_id"), "n_windows", F.inline("hits")).select(
-        "item_id", "n_windows", F.col("pos").alias("j"), "gram", F.col("slots").alias("item_slots")
+    bench = items.select(F.col("key").alias("item_id"), "n_words", F.inline("hits")).select(
+        "item_id", "n_words", F.col("pos").alias("j"), (F.col("pos") + F.greatest(F.col("span") - window, F.lit(0))).alias("last"),
+        "gram", F.col("slots").alias("item_slots"),
     )
     # At most 2**FILTER_BITS numbers, whatever the size of the benchmark.
     buckets = bench.select(F.shiftrightunsigned("gram", 64 - FILTER_BITS).cast("int").alias("b")).distinct().toArrow()
     bits = np.zeros(1 << FILTER_BITS, dtype=bool)
     bits[buckets.column(0).to_numpy()] = True
+    key = F.struct(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"))
     hits = _windows(
-        docs.select(F.col(doc_id).alias("key"), whole(text).alias("text")), np.packbits(bits), window, min_literals
-    ).where(F.size("hits") > 0).select(F.col("key").alias("doc_id"), F.inline("hits"))
+        docs.select(key.alias("key"), whole(text).alias("text")), np.packbits(bits), window, min_literals
+    ).where(F.size("hits") > 0).select("key", F.inline("hits"))
     pairs = F.zip_with("slots", "item_slots", lambda a, b: F.struct(
         b["kind"].alias("kind"), b["value"].alias("item"), a["value"].alias("doc")
     ))
+    part = F.floor(F.col("pos") / (2 * F.col("n_words")))
     met = hits.join(bench, "gram").where(F.size("slots") == F.size("item_slots")).select(
-        "doc_id", "item_id", "n_windows", "j", (F.col("pos") - F.col("j")).alias("diagonal"), pairs.alias("pairs")
-    )
-    groups = met.groupBy("doc_id", "item_id", "n_windows", "diagonal").agg(
-        F.count_distinct("j").alias("matched"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
-    )
-    distinct = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p[side]))))
-    share = F.col("matched") / F.col("n_windows")
-    consistent = (distinct("item") == F.size("pairs")) & (distinct("doc") == F.size("pairs"))
-    changed = F.size(F.filter("pairs", lambda p: p["item"] != p["doc"]))
+        "key", "item_id", "n_words", F.explode(F.array(part, part - 1)).alias("part"),
+        F.struct("pos", "j", "last", pairs.alias("pairs")).alias("hit"),
+    ).where("part >= 0")
+    n_windows = F.greatest(F.col("n_words") - window + 1, F.lit(1))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["j"], h["last"])))))
+    groups = met.groupBy("key", "item_id", "n_words", "part").agg(F.collect_set("hit").alias("hits")).where(
+        covered >= min_share * n_windows
+    ).select("key.doc_id", "item_id", n_windows.alias("n_windows"), "hits")
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("n_windows").to_pylist()
+            found = [_judge(n, min_share, h.as_py()) for n, h in zip(sizes, batch.column("hits"), strict=True)]
+            kept = batch.filter(pa.array([f is not None for f in found], pa.bool_()))
+            values = list(zip(*[f for f in found if f], strict=True)) or [()] * 4
+            kinds = (pa.int64(), pa.float64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [kept.column("doc_id"), kept.column("item_id"), *map(pa.array, values, kinds)],
+                ["doc_id", "item_id", "matched", "share", "n_slots", "changed"],
+            )
+
+    ids = [groups.schema["doc_id"], groups.schema["item_id"]]
+    counts = T._parse_datatype_string("matched bigint, share double, n_slots int, changed int").fields
     return (
-        groups.where((share >= min_share) & consistent)
-        .select("doc_id", "item_id", "matched", share.alias("share"), F.size("pairs").alias("n_slots"), changed.alias("changed"))
-        .groupBy("doc_id", "item_id")
+        groups.mapInArrow(judged, T.StructType([*ids, *counts])).groupBy("doc_id", "item_id")
         .agg(F.max(F.struct("matched", "share", "n_slots", "changed")).alias("best"))
         .select("doc_id", "item_id", "best.*")
     )

@@ -203,6 +203,24 @@ def test_reparameterised_questions(spark):
     assert got[(1, 1)]["share"] == 1 and got[(2, 1)]["changed"] == 4 and got[(1, 1)]["changed"] == 0
 
 
+def matches(spark, items, texts):
+    """Pairs (document, item), numbered from 0, with their rows."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r for r in decontamination.benchmark_matches(docs, bench).collect()}
+
+
+def test_words_put_in_or_left_out(spark):
+    words = "a farmer sells eggs on the market every morning and keeps what is left for the guests who come to eat in the evening".split()
+    trip = "A bus leaves the station with 1,250 liters of fuel and goes 3.5 hours until it comes to New York where all of them sleep"
+    put_in = " ".join([*words[:12], "really", *words[12:]])
+    other = trip.replace("1,250", "900").replace("3.5", "4").replace("New York", "Boston")
+    far = " ".join(words[:9]) + " filler" * 300 + " " + " ".join(words[12:20])
+    got = matches(spark, [" ".join(words), trip], [put_in, " ".join(words[:11] + words[12:]), other, f"So: {trip}", far])
+    assert set(got) == {(0, 0), (1, 0), (2, 1), (3, 1)}
+    assert got[(0, 0)]["matched"] == len(words) - 14 and got[(2, 1)]["changed"] == 3 and got[(3, 1)]["share"] == 1
+
+
 def test_clean_documents_stay(spark, odd, none):
     bench = spark.createDataFrame([(1, "same text"), (1, "same text")], "item_id long, text string")
     left = decontamination.without_benchmark(odd, bench)
