@@ -4,8 +4,8 @@ Texts are read as lower-cased words; numbers (with separators and decimals), uni
 capitalised words) become typed placeholders, one each. Windows are hashed twice, of words as they stand and with
 placeholders, and joined to the windows of the benchmark items. Hits of one item within a span of the text form a
 match, however many places words were put in or left out at; where placeholders stand for other values than in the
-item, the match counts only if the values were replaced consistently, one for one. So a question with other numbers is
-caught, and a sentence that only has the same form is not.
+item, they count only if the values were replaced consistently; windows matched as they stand count by themselves. So
+a question with other numbers is caught, and a sentence that only has the same form is not.
 
 What a task holds of the benchmark is a bitmap of fixed size that lets few other windows pass; the join is a
 shuffle on the window's hash, for benchmarks of any size.
@@ -139,8 +139,16 @@ def _windows(rows: DataFrame, bitmap: np.ndarray | None, window: int, min_litera
 
 
 def _consistent(pairs: set) -> bool:
-    """One value of the item always stands for one value of the text, and back."""
-    return len({(k, a) for k, a, _ in pairs}) == len({(k, b) for k, _, b in pairs}) == len(pairs)
+    """One value of the item always stands for one value of the text.
+
+    Several may become equal, but not equal to one of them that stays: then a place has the value of another.
+    """
+    stands = defaultdict(set)
+    for k, a, b in pairs:
+        stands[k, b].add(a)
+    return len({(k, a) for k, a, _ in pairs}) == len(pairs) and all(
+        len(a) == 1 or b not in a for (_, b), a in stands.items()
+    )
 
 
 def _copies(hits: list[dict]) -> Iterator[list[dict]]:
@@ -172,7 +180,8 @@ def _copies(hits: list[dict]) -> Iterator[list[dict]]:
 def _judge(n_windows: int, min_share: float, hits: list[dict]) -> tuple | None:
     """Best (matched, share, n_slots, changed) of the hits of one item in one span; None if none counts."""
     best = None
-    for copy in _copies(hits):
+    as_they_stand = [h for h in hits if not h["pairs"]]
+    for copy in [as_they_stand, *_copies(hits)]:
         pairs = {(p["kind"], p["item"], p["doc"]) for h in copy for p in h["pairs"]}
         matched = len({j for h in copy for j in range(h["j"], h["last"] + 1)})
         if matched / n_windows >= min_share and _consistent(pairs):
@@ -189,8 +198,9 @@ def benchmark_matches(
 
     ``doc_id, item_id, matched`` (windows of the item that were met), ``share`` (of its windows), ``n_slots``
     (placeholders met with their values) and ``changed`` (of these, values that differ from the item's: above 0
-    the question was given other parameters). A pair counts if ``share`` is at least ``min_share`` and its
-    placeholders are consistent: one value of the item always stands for one value of the text, and back.
+    the question was given other parameters). A pair counts if ``share`` is at least ``min_share``, of windows as they
+    stand or of these and windows with placeholders that are consistent: one value of the item always stands for one
+    value of the text, and no other value of the item has become equal to one that stays.
 
     * Items of fewer words than a window are one window of all their words, and met only by equal texts.
     * Null and empty texts hold nothing; null items are met by nothing. Empty tables give no rows.
