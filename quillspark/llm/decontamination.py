@@ -39,8 +39,8 @@ UNITS = (
 )
 WORD_BYTES = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 _SLOT = pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("value", pa.int64())])
-_HIT = pa.struct([("pos", pa.int64()), ("span", pa.int64()), ("gram", pa.int64()), ("slots", pa.list_(_SLOT))])
-_HITS = "array<struct<pos: bigint, span: bigint, gram: bigint, slots: array<struct<at: int, kind: int, value: bigint>>>>"
+_HIT = pa.struct([("pos", pa.int64()), ("span", pa.int64()), ("size", pa.int32()), ("gram", pa.int64()), ("slots", pa.list_(_SLOT))])
+_HITS = "array<struct<pos: bigint, span: bigint, size: int, gram: bigint, slots: array<struct<at: int, kind: int, value: bigint>>>>"
 
 
 class Canonical:
@@ -81,30 +81,39 @@ class Canonical:
         kind = kinds[first]
         return np.concatenate([first, [len(hashes)]]), kind, np.where(kind > 0, values, hashes[first])
 
-    def hits(self, data, starts, ends, hashes, passes) -> list[dict]:
-        """Windows whose hash ``passes``, by first word and number of words; those with placeholders carry their values."""
-        if len(hashes) == 0:
-            return []
-        plain = grams(hashes, self.window)
-        span = min(self.window, len(hashes))
-        out = [{"pos": i, "span": span, "gram": int(g), "slots": []} for i, g in _taken(plain, passes(plain))]
+    def hits(self, data, starts, ends, hashes, passes, short: tuple[set, set] | None = None) -> tuple[list[dict], bool]:
+        """Windows whose hash ``passes``, and whether the text has enough literals to be looked for inside others.
+
+        Windows are given by first word and number of words; those with placeholders carry their values. ``short``:
+        further sizes, of windows as they stand and with placeholders; None: the whole text, if it is shorter.
+        """
+        n = len(hashes)
+        if n == 0:
+            return [], False
+        out: list[dict] = []
+        for size in sorted({min(n, self.window), *(k for k in (short or ((), ()))[0] if k <= n)}):
+            plain = grams(hashes, size)
+            out += [{"pos": i, "span": size, "size": size, "gram": int(g), "slots": []} for i, g in _taken(plain, passes(plain))]
         first, kinds, values = self.tokens(data, starts, ends, hashes)
-        size = self.window
-        if not kinds.any() or len(kinds) < size:
-            return out
+        enough = int((kinds == 0).sum()) >= self.min_literals
+        if not kinds.any():
+            return out, enough
+        said = np.where(kinds > 0, self.placeholders[np.maximum(kinds, 1) - 1], values)
         slots = np.concatenate([[0], np.cumsum(kinds > 0)])
-        held = slots[size:] - slots[:-size]
-        counts = (held > 0) & (size - held >= self.min_literals)
-        if not counts.any():
-            return out
-        shaped = mix(grams(np.where(kinds > 0, self.placeholders[np.maximum(kinds, 1) - 1], values), size) + np.uint64(1))
-        for i, g in _taken(shaped, counts & passes(shaped)):
-            at = np.flatnonzero(kinds[i : i + size])
-            said = values[i + at].view(np.int64)
-            out.append({"pos": int(first[i]), "span": int(first[i + size] - first[i]), "gram": int(g), "slots": [
-                {"at": int(a), "kind": int(kinds[i + a]), "value": int(v)} for a, v in zip(at, said, strict=True)
-            ]})
-        return out
+        sizes = {min(self.window, len(kinds))} if short is None else {self.window, *short[1]}
+        for size in sorted(k for k in sizes if k <= len(kinds)):
+            held = slots[size:] - slots[:-size]
+            counts = (held > 0) & (size - held >= self.min_literals)
+            if not counts.any():
+                continue
+            shaped = mix(grams(said, size) + np.uint64(1))
+            for i, g in _taken(shaped, counts & passes(shaped)):
+                at = np.flatnonzero(kinds[i : i + size])
+                found = values[i + at].view(np.int64)
+                out.append({"pos": int(first[i]), "span": int(first[i + size] - first[i]), "size": size, "gram": int(g), "slots": [
+                    {"at": int(a), "kind": int(kinds[i + a]), "value": int(v)} for a, v in zip(at, found, strict=True)
+                ]})
+        return out, enough
 
 
 def _taken(hashes: np.ndarray, mask: np.ndarray):
@@ -112,8 +121,10 @@ def _taken(hashes: np.ndarray, mask: np.ndarray):
     return zip(at.tolist(), hashes[at].view(np.int64).tolist(), strict=True)
 
 
-def _windows(rows: DataFrame, bitmap: np.ndarray | None, window: int, min_literals: int) -> DataFrame:
-    """``key, n_words, hits`` of rows ``(key, text)``; with a bitmap only the windows that pass it."""
+def _windows(
+    rows: DataFrame, bitmap: np.ndarray | None, window: int, min_literals: int, short: tuple[set, set] | None = None
+) -> DataFrame:
+    """``key, n_words, enough, hits`` of rows ``(key, text)``; with a bitmap only the windows that pass it."""
     key_type = rows.schema["key"].dataType.simpleString()
     is_word, units = WORD_BYTES, UNITS
     shift = np.uint64(64 - FILTER_BITS)
@@ -123,19 +134,22 @@ def _windows(rows: DataFrame, bitmap: np.ndarray | None, window: int, min_litera
         bits = None if bitmap is None else np.unpackbits(bitmap).view(bool)
         passes = (lambda h: np.ones(len(h), dtype=bool)) if bits is None else (lambda h: bits[h >> shift])
         for batch in batches:
-            counts, hits = [], []
+            counts, hits, enough = [], [], []
             texts = batch.column(1).to_pylist()
             for i, data, starts, ends, hashes in reader.words.each([t.lower() for t in texts]):
                 as_written = np.frombuffer(texts[i].encode(), dtype=np.uint8)
                 data = as_written if len(as_written) == len(data) else data  # else no names are told from words
                 counts.append(len(hashes))
-                hits.append(reader.hits(data, starts, ends, hashes, passes))
+                found = reader.hits(data, starts, ends, hashes, passes, short)
+                hits.append(found[0])
+                enough.append(found[1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(_HIT))], ["key", "n_words", "hits"]
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(enough, pa.bool_()), pa.array(hits, pa.list_(_HIT))],
+                ["key", "n_words", "enough", "hits"],
             )
 
     bounded_batches(rows.sparkSession)
-    return rows.mapInArrow(run, f"key {key_type}, n_words bigint, hits {_HITS}")
+    return rows.mapInArrow(run, f"key {key_type}, n_words bigint, enough boolean, hits {_HITS}")
 
 
 def _consistent(pairs: set) -> bool:
@@ -202,7 +216,8 @@ def benchmark_matches(
     stand or of these and windows with placeholders that are consistent: one value of the item always stands for one
     value of the text, and no other value of the item has become equal to one that stays.
 
-    * Items of fewer words than a window are one window of all their words, and met only by equal texts.
+    * Items of fewer words than a window are one window of all their words; texts offer windows of these sizes too.
+      Items of fewer than ``min_literals`` words that are no placeholders are met only by texts of the same words.
     * Null and empty texts hold nothing; null items are met by nothing. Empty tables give no rows.
     * Windows are added up over spans of four times the item's words that overlap by half, so that words put in or
       left out, anywhere, cost only the windows they are in.
@@ -214,23 +229,27 @@ def benchmark_matches(
     items = materialize(_windows(
         benchmark.select(F.col(item_id).alias("key"), whole(item_text).alias("text")), None, window, min_literals
     ))
-    bench = items.select(F.col("key").alias("item_id"), "n_words", F.inline("hits")).select(
-        "item_id", "n_words", F.col("pos").alias("j"), (F.col("pos") + F.greatest(F.col("span") - window, F.lit(0))).alias("last"),
+    bench = items.select(F.col("key").alias("item_id"), "n_words", "enough", F.inline("hits")).select(
+        "item_id", "n_words", "enough", "size", F.col("pos").alias("j"), (F.col("pos") + F.greatest(F.col("span") - window, F.lit(0))).alias("last"),
         "gram", F.col("slots").alias("item_slots"),
     )
     # At most 2**FILTER_BITS numbers, whatever the size of the benchmark.
     buckets = bench.select(F.shiftrightunsigned("gram", 64 - FILTER_BITS).cast("int").alias("b")).distinct().toArrow()
     bits = np.zeros(1 << FILTER_BITS, dtype=bool)
     bits[buckets.column(0).to_numpy()] = True
+    sizes = bench.where(F.col("enough") & (F.col("size") < window)).select(F.size("item_slots") > 0, "size").distinct().collect()
+    short = tuple({k for shaped, k in sizes if shaped == kind} for kind in (False, True))
     key = F.struct(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"))
     hits = _windows(
-        docs.select(key.alias("key"), whole(text).alias("text")), np.packbits(bits), window, min_literals
-    ).where(F.size("hits") > 0).select("key", F.inline("hits"))
+        docs.select(key.alias("key"), whole(text).alias("text")), np.packbits(bits), window, min_literals, short
+    ).where(F.size("hits") > 0).select("key", F.col("n_words").alias("doc_words"), F.inline("hits")).drop("size")
     pairs = F.zip_with("slots", "item_slots", lambda a, b: F.struct(
         b["kind"].alias("kind"), b["value"].alias("item"), a["value"].alias("doc")
     ))
     part = F.floor(F.col("pos") / (2 * F.col("n_words")))
-    met = hits.join(bench, "gram").where(F.size("slots") == F.size("item_slots")).select(
+    met = hits.join(bench, "gram").where(F.size("slots") == F.size("item_slots")).where(
+        F.col("enough") | (F.col("doc_words") == F.col("n_words")) | (F.col("n_words") >= window)
+    ).select(
         "key", "item_id", "n_words", F.explode(F.array(part, part - 1)).alias("part"),
         F.struct("pos", "j", "last", pairs.alias("pairs")).alias("hit"),
     ).where("part >= 0")

@@ -232,6 +232,14 @@ def test_windows_as_they_stand_need_no_consistency(spark):
     assert got[(0, 0)]["matched"] == 28 and got[(2, 1)]["matched"] == 10 and got[(1, 1)]["changed"] == 2
 
 
+def test_short_items_in_longer_texts(spark):
+    items = ["What is the capital of France?", "who wrote this long letter", "too short", "how far is 5 km"]
+    around = "He asked me at the table yesterday. {} Nobody of us had any idea what to say."
+    got = matches(spark, items, [around.format(t) for t in (*items, "What is the capital of Spain?", "It was.")] + ["too short", "Too short!"])
+    assert set(got) == {(0, 0), (1, 1), (4, 0), (6, 2), (7, 2)}
+    assert got[(4, 0)]["changed"] == 1 and got[(0, 0)]["changed"] == 0
+
+
 def test_clean_documents_stay(spark, odd, none):
     bench = spark.createDataFrame([(1, "same text"), (1, "same text")], "item_id long, text string")
     left = decontamination.without_benchmark(odd, bench)
