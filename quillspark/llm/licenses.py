@@ -3,7 +3,8 @@
 Every run of ``GRAM`` words of a text is hashed and joined to the positions where license templates hold the
 same words. A hit votes for the diagonal ``position in text - position in template``: a template that stands
 in the text gathers its votes on one diagonal, or on neighbouring ones where words were put in or left out.
-Neighbouring diagonals are merged and the span they cover is checked against the template.
+Neighbouring diagonals are merged and the span they cover is checked against the template; a run of diagonals that is
+longer than the template may be, as of a notice repeated back to back, is cut into spans that are checked one by one.
 
 Templates are fixed short notices, so their positions are a table of a few hundred rows (``check_templates``
 holds the bound): it is broadcast, and its hashes drop runs of words found in no template before the join.
@@ -11,6 +12,7 @@ holds the bound): it is broadcast, and its hashes drop runs of words found in no
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -18,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm.common import bounded_batches, whole
 from quillspark.llm.words import Words, byte_class, grams
@@ -113,6 +116,36 @@ def word_hits(docs: DataFrame, wanted: Sequence[int], doc_id: str, text: str) ->
     )
 
 
+def _spans(hits: list[tuple[int, int]], runs: int, min_share: float, longest: int) -> Iterator[tuple[int, int, float]]:
+    """Spans (first word, last word, share) of at most ``longest`` words in a run of hits (pos, j), none over another.
+
+    From each place the shortest span with the most of the template; of all these the best share first, then the
+    shortest, then the first.
+    """
+    hits = sorted(hits)
+    found = []
+    for i, (first, _) in enumerate(hits):
+        met, last = set(), first
+        for k in range(i, len(hits)):
+            pos, j = hits[k]
+            if pos + GRAM - first > longest or len(met) == runs:
+                break
+            if j not in met:
+                met.add(j)
+                last = pos
+        if len(met) / runs >= min_share and (i == 0 or hits[i - 1][0] < first):
+            found.append((-len(met), last - first, first))
+    starts: list[int] = []
+    lasts: list[int] = []
+    for met, size, first in sorted(found):
+        last = first + size + GRAM - 1
+        at = bisect_left(starts, first)
+        if (at == 0 or lasts[at - 1] < first) and (at == len(starts) or starts[at] > last):
+            starts.insert(at, first)
+            lasts.insert(at, last)
+            yield first, last, -met / runs
+
+
 def scan_licenses(
     docs: DataFrame, base: Sequence[Template] = BASE, notices: Sequence[Template] = NOTICES, min_share: float = 0.7,
     slack: int = 3, doc_id: str = "doc_id", text: str = "text",
@@ -122,7 +155,7 @@ def scan_licenses(
     A span has ``row, template, label, exact, first_word, last_word`` (of the span, words from 0) and ``share``:
     the part of the template's runs of words that stand in it. Exact templates (``base``) need all of them on
     one diagonal; the others ``min_share`` of them on diagonals at most ``slack`` apart, over no more than
-    twice the template's length.
+    twice the template's length. A longer run of such diagonals gives the spans of that length that stand in it.
 
     * A-Z are lower-cased; words are runs of digits, letters and anything beyond ASCII.
     * Null or empty text: no words, no spans. Equal rows are rows of their own. An empty table gives no rows.
@@ -153,15 +186,31 @@ def scan_licenses(
         .groupBy("row", "template", "label", "exact", "runs", "_group")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_list("js")))).alias("_met"),
-            F.min("low").alias("first_word"), (F.max("high") + GRAM - 1).alias("last_word"),
+            F.collect_list(F.struct("diagonal", "js")).alias("_lines"), F.min("low").alias("first_word"), (F.max("high") + GRAM - 1).alias("last_word"),
         )
     )
     share = F.col("_met") / F.col("runs")
-    length = F.col("last_word") - F.col("first_word") + 1
-    stands = F.when(F.col("exact"), F.col("_met") == F.col("runs")).otherwise(
-        (share >= min_share) & (length <= 2 * (F.col("runs") + GRAM - 1))
+    enough = F.when(F.col("exact"), F.col("_met") == F.col("runs")).otherwise(share >= min_share)
+    fits = F.col("exact") | (F.col("last_word") - F.col("first_word") + 1 <= 2 * (F.col("runs") + GRAM - 1))
+    stands = merged.where(enough).select(
+        "row", "template", "label", "exact", "first_word", "last_word", share.alias("share"), "runs",
+        F.when(~fits, F.col("_lines")).alias("_lines"),
     )
-    spans = merged.where(stands).select("row", "template", "label", "exact", "first_word", "last_word", share.alias("share"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["_lines"] is None:
+                    out.append(r)
+                    continue
+                hits = [(line["diagonal"] + j, j) for line in r["_lines"] for j in line["js"]]
+                for first, last, part in _spans(hits, r["runs"], min_share, 2 * (r["runs"] + GRAM - 1)):
+                    out.append(r | {"first_word": first, "last_word": last, "share": part})
+            yield pa.RecordBatch.from_pylist(out, schema=batch.schema).select(kept)
+
+    kept = ["row", "template", "label", "exact", "first_word", "last_word", "share"]
+    spans = stands.mapInArrow(cut, T.StructType([stands.schema[c] for c in kept]))
     return rows.select("row", "doc_id", "n_words"), spans
 
 

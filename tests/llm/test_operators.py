@@ -370,6 +370,19 @@ def test_licenses(spark, odd, none):
     assert licenses.license_report(odd).count() == 9 and licenses.license_report(none).count() == 0
 
 
+def test_repeated_notices(spark):
+    notice, gpl = "All rights reserved. ", "This work is licensed under the GNU general public license version 3. "
+    part = "licensed under the GNU general public license version "
+    texts = [notice * n for n in (1, 2, 3, 50)] + [gpl * 5, "x " + part * 3 + gpl + part * 3, "all rights all rights " * 9, "all rights kept reserved " * 9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.license_report(docs).collect()}
+    assert all(got[i] == ("reserved", 1.0) for i in range(4)) and got[4] == got[5] == ("gpl-3", 1.0)
+    assert got[6] == got[7] == ("", 0.0)
+    found = licenses.scan_licenses(docs)
+    spans = [r for r in found[1].join(found[0], "row").where("doc_id = 3 and label = 'reserved'").collect()]
+    assert sorted((r["first_word"], r["last_word"]) for r in spans) == [(3 * k, 3 * k + 2) for k in range(50)]
+
+
 # 8 token counts
 
 
