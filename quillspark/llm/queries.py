@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontamination, fingerprints, licenses, line_dedup, neardup, pieces, sharding, token_counts, toxicity, warc
+from quillspark.llm import (
+    collocations, decontamination, fingerprints, hard_negatives, licenses, line_dedup, neardup, pieces, sharding, token_counts, toxicity, url_rules, warc,
+)
 from quillspark.llm.common import table, whole
 
 TOKENIZERS = "/opt/tokenizers"
@@ -71,10 +73,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.url_report(table(spark, sf_dir, "pages"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_toxicity, op3_fingerprints, op4_decontamination, op5_sentencepiece, op6_warc, op7_license_scan, op8_token_counts, op9_minhash,
-        op10_sharding,
+        op10_sharding, op11_collocations, op12_url_filter, op13_hard_negatives,
     )
 }
