@@ -167,7 +167,8 @@ def judge_urls(
     known = sorted(r["token"] for r in mined.select(F.explode("tokens").alias("token")).distinct().collect())
     in_index = F.array_intersect("tokens", F.lit(known) if known else F.array().cast("array<string>"))
     rows = rows.withColumn("signature", F.when(F.col("rule").isNull(), in_index))
-    decided = matched(rows.select("signature").where("size(signature) > 0").distinct(), mined)
+    # stored: Spark sees its size, and ships it to the pages instead of moving them by a signature that most may share
+    decided = materialize(matched(rows.select("signature").where("size(signature) > 0").distinct(), mined))
     return rows.join(decided, "signature", "left").select(
         "page", "host", "path", "rule", F.coalesce("fixed", "verdict", F.lit(default)).alias("verdict"), "reason", "confidence",
     )
