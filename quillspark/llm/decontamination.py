@@ -13,6 +13,7 @@ shuffle on the window's hash, for benchmarks of any size.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -53,6 +54,15 @@ class Canonical:
         self.in_number = byte_class((0x27, 0x27), (0x2C, 0x2C), (0x2E, 0x2E))
         self.in_name = byte_class((0x20, 0x20), (0x27, 0x27), (0x2D, 0x2D))
         self.placeholders = mix(np.arange(1, 4, dtype=np.uint64))
+        # letters that take another number of bytes in lower case; no letter beyond this range has one
+        other = [c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x20000)]) if len(c.lower().encode()) != len(c.encode())]
+        self.uneven = re.compile("([" + "".join(other) + "])")
+
+    def lowered(self, text: str) -> str:
+        """Lower case with every letter at the bytes where it stood: letters that would grow or shrink stay as they are."""
+        if text.isascii():
+            return text.lower()
+        return "".join(part if k % 2 else part.lower() for k, part in enumerate(self.uneven.split(text)))
 
     def kinds(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """0 literal, 1 number, 2 unit, 3 name. A name is capitalised and does not begin a sentence."""
@@ -136,9 +146,8 @@ def _windows(
         for batch in batches:
             counts, hits, enough = [], [], []
             texts = batch.column(1).to_pylist()
-            for i, data, starts, ends, hashes in reader.words.each([t.lower() for t in texts]):
-                as_written = np.frombuffer(texts[i].encode(), dtype=np.uint8)
-                data = as_written if len(as_written) == len(data) else data  # else no names are told from words
+            for i, _, starts, ends, hashes in reader.words.each([reader.lowered(t) for t in texts]):
+                data = np.frombuffer(texts[i].encode(), dtype=np.uint8)  # capital letters tell names
                 counts.append(len(hashes))
                 found = reader.hits(data, starts, ends, hashes, passes, short)
                 hits.append(found[0])
