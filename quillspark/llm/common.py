@@ -25,6 +25,11 @@ def named(columns: Iterable[str]) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
 
+def unpacked(struct: str, columns: Iterable[str]) -> list[Column]:
+    """The columns of these names out of a struct that carries a caller's row, so that no helper column can clash with them."""
+    return [F.col(struct).getField(c).alias(c) for c in columns]
+
+
 def whole(text: str | Column) -> Column:
     """The text; null counts as empty."""
     return F.coalesce(named([text])[0] if isinstance(text, str) else text, F.lit(""))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounded_batches, named, whole
+from quillspark.llm.common import bounded_batches, named, unpacked, whole
 from quillspark.llm.words import SEGMENT
 from quillspark.session import materialize
 
@@ -123,7 +123,8 @@ def labelled_sample(
 ) -> DataFrame:
     """``doc_id, text, y`` (one flag a category) of at most ``max_labelled`` labelled documents.
 
-    Of repeated labels of one document any that holds counts; labels that are all null are left out.
+    Of repeated labels of one document any that holds counts; labels that are all null are left out. Of the rows of a
+    repeated id the one with the smallest text is taken, so the bound holds for rows.
     """
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         *[F.max(F.expr(c.holds).cast("int")).alias(c.name) for c in categories]
@@ -132,7 +133,8 @@ def labelled_sample(
     flags = F.array(*[F.col(f"s.{c.name}") for c in categories]).alias("y")
     d = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text")).alias("d")
     # at most max_labelled rows of a few numbers
-    return materialize(d.join(F.broadcast(chosen).alias("s"), F.col("d.doc_id") == F.col("s.doc_id")).select("d.doc_id", "d.text", flags))
+    found = d.join(F.broadcast(chosen).alias("s"), F.col("d.doc_id") == F.col("s.doc_id")).select("d.doc_id", "d.text", flags)
+    return materialize(found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y"))
 
 
 def chosen_buckets(sample: DataFrame, n_categories: int, n_features: int) -> np.ndarray:
@@ -264,7 +266,7 @@ def score_chain(docs: DataFrame, chain: Chain, text: str = "text", category: str
 
     * Null and empty texts have no features and get the probabilities of the bias alone.
     * Every row is scored by its whole text, equal texts alike; an empty table gives no rows.
-    * Other columns stay; columns of the names added here are replaced.
+    * Other columns stay, whatever their names; columns of the names added here are replaced.
     """
     bounded_batches(docs.sparkSession)
     names = [f"p_{name}" for name in chain.names]
@@ -278,8 +280,8 @@ def score_chain(docs: DataFrame, chain: Chain, text: str = "text", category: str
 
     own = [c for c in docs.columns if c not in (*names, "rejected")]
     limit = chain.threshold[chain.names.index(category)]
-    scored = docs.select(*named(own)).withColumn("_p", predict(whole(text)))
+    scored = docs.select(F.struct(*named(own)).alias("row"), predict(whole(text)).alias("p"))
     return scored.select(
-        *named(own), *[F.col(f"_p.{n}").alias(n) for n in names], (F.col(f"_p.p_{category}") >= limit).alias("rejected")
+        *unpacked("row", own), *unpacked("p", names), (F.col("p").getField(f"p_{category}") >= limit).alias("rejected")
     )
 
