@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounded_batches, named, whole
+from quillspark.llm.common import bounded_batches, key128, named, unpacked, whole
 from quillspark.llm.words import Words, byte_class, grams, mix
 from quillspark.operators.components import connected
 from quillspark.session import materialize
@@ -75,8 +75,11 @@ class Bands:
         return mix((by_band * self.factors).sum(axis=1, dtype=np.uint64) + self.number).view(np.int64)
 
 
-def sketches(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, h1, h2`` (digest of the set) and ``bands`` (keys, none for an empty set) of every row."""
+def sketches(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text", text_key: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, h1, h2`` (digest of the set) and ``bands`` (keys, none for an empty set) of every row.
+
+    With ``text_key`` also ``t1, t2``, 128 bits of the text itself.
+    """
     bounded_batches(docs.sparkSession)
     id_type = docs.schema[doc_id].dataType.simpleString()
     is_word = WORD_BYTES
@@ -95,10 +98,12 @@ def sketches(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str =
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
             longs = [pa.array(c, pa.int64()) for c in (counts, first, second)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, lists], ["doc_id", "n_shingles", "h1", "h2", "bands"])
+            columns = [batch.column(0), *longs, lists, *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "h1", "h2", "bands", "t1", "t2"][: len(columns)])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text")).mapInArrow(
-        run, f"doc_id {id_type}, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>"
+    keys = [k.alias(f"t{n}") for n, k in enumerate(key128(whole(text)), 1)] if text_key else []
+    return docs.select(named([doc_id])[0].alias("doc_id"), whole(text).alias("text"), *keys).mapInArrow(
+        run, f"doc_id {id_type}, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>" + ", t1 bigint, t2 bigint" * text_key
     )
 
 
@@ -185,23 +190,12 @@ def _blocks(held: DataFrame, streamed: DataFrame, group: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def near_duplicates(
-    docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """One row per document row: ``doc_id, n_shingles, component_id, kept``.
-
-    Words are runs of anything but ASCII white space, A-Z lower-cased; a document's set holds its distinct
-    shingles of ``shingle`` words, or all its words as one if they are fewer. Documents are linked if
-    ``100 * intersection >= percent * union``; ``component_id`` is the smallest id that links lead to, and
-    ``kept`` says whether it is the row's own.
+def _labelled(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str, text_key: bool = False) -> DataFrame:
+    """Every row as ``doc_id, n_shingles, final, component_id``, and with ``text_key`` a 128-bit key of its text as ``t1, t2``.
 
-    * Null or empty text, or without words: no shingles, linked with nothing, kept.
-    * Equal texts are one class, however many rows they have; the class is counted before anything is
-      shuffled whole. Equal rows (same id and text) are all kept or all not.
-    * A null id is never the smallest unless all ids of the component are null. Other columns are not read.
-    * Very long texts: sets are handled one at a time, and held by their number of shingles.
+    ``final`` names the component (null without words), ``component_id`` is its smallest id.
     """
-    sketch = materialize(sketches(docs, shingle, doc_id, text).withColumn("row", F.monotonically_increasing_id()))
+    sketch = materialize(sketches(docs, shingle, doc_id, text, text_key).withColumn("row", F.monotonically_increasing_id()))
     filled = sketch.where("n_shingles > 0")
     classes = materialize(
         filled.groupBy("h1", "h2").agg(
@@ -242,23 +236,50 @@ def near_duplicates(
         .join(joined, "comp", "left").withColumn("final", F.coalesce("final", "comp"))
     )
     smallest = placed.groupBy("final").agg(F.min("first_id").alias("component_id"))
-    ids = placed.join(smallest, "final").select("h1", "h2", "component_id")
+    ids = placed.join(smallest, "final").select("h1", "h2", "final", "component_id")
+    return sketch.drop("row", "bands").join(ids, ["h1", "h2"], "left").drop("h1", "h2")
+
+
+def near_duplicates(
+    docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One row per document row: ``doc_id, n_shingles, component_id, kept``.
+
+    Words are runs of anything but ASCII white space, A-Z lower-cased; a document's set holds its distinct
+    shingles of ``shingle`` words, or all its words as one if they are fewer. Documents are linked if
+    ``100 * intersection >= percent * union``; ``component_id`` is the smallest id that links lead to, and
+    ``kept`` says whether it is the row's own.
+
+    * Null or empty text, or without words: no shingles, linked with nothing, kept.
+    * Equal texts are one class, however many rows they have; the class is counted before anything is
+      shuffled whole. Equal rows (same id and text) are all kept or all not.
+    * A null id is never the smallest unless all ids of the component are null. Other columns are not read.
+    * Very long texts: sets are handled one at a time, and held by their number of shingles.
+    """
+    rows = _labelled(docs, shingle, percent, doc_id, text)
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return (
-        sketch.select("doc_id", "n_shingles", "h1", "h2").join(ids, ["h1", "h2"], "left")
-        .select("doc_id", "n_shingles", alone.alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows.select("doc_id", "n_shingles", alone.alias("component_id")).withColumn(
+        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
 
 
-def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one row for each group of near-duplicates: the smallest id; of rows of that id, one.
+def without_near_duplicates(
+    docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``docs`` with one row for each group of near-duplicates: that of the smallest id.
 
-    Rows without an id stay if any of their groups has no id at all.
+    Rows are judged, not ids: rows of one id whose texts are unlike all stay, and rows without an id stay only if no row of
+    their group has one, the one with the smallest key of its text. Of rows that are equal in id and text one stays. Rows
+    without words are linked with nothing and all stay. Columns of any name may stand in ``docs``.
     """
-    kept = near_duplicates(docs, doc_id=doc_id, text=text, **options).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    one = Window.partitionBy("_id").orderBy(F.col(text).asc_nulls_last())
-    return (
-        docs.join(kept, docs[doc_id].eqNullSafe(kept["_id"])).withColumn("_rank", F.row_number().over(one))
-        .where("_rank = 1 or _id is null").select(*named(docs.columns))
-    )
+    rows = _labelled(docs, shingle, percent, doc_id, text, text_key=True).where("n_shingles > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2"))
+    chosen = materialize(rows.groupBy("final").agg(first.alias("m")).select(F.col("m.doc_id").alias("_id"), "m.t1", "m.t2"))
+    t1, t2 = key128(whole(text))
+    worded = whole(text).rlike(r"[^\x20\x09-\x0D]")
+    own = docs.select(F.struct(*named(docs.columns)).alias("row"), named([doc_id])[0].alias("id"), t1.alias("u1"), t2.alias("u2"), worded.alias("worded"))
+    met = own.join(chosen.withColumn("met", F.lit(True)), F.col("id").eqNullSafe(F.col("_id")) & (F.col("u1") == F.col("t1")) & (F.col("u2") == F.col("t2")), "left")
+    # equal rows are one group, combined before the shuffle; a row without words is a group of its own
+    alone = F.when(F.col("worded"), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    kept = met.where("met or not worded").groupBy("id", "u1", "u2", alone.alias("alone")).agg(F.first("row").alias("row"))
+    return kept.select(*unpacked("row", docs.columns))
