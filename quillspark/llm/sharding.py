@@ -8,8 +8,8 @@ across a cut is placed last, in the shard that has most room, so that no shard d
 more than one row.
 
 The solver sees sizes of shards only. Blocks are counted, cut and numbered by aggregation and windows over
-blocks; their number is bounded by ``MAX_BLOCKS``, the bound behind the one broadcast. Texts are shuffled once,
-by block, and written straight into the folders of their new shards.
+blocks; their number grows with the bytes, so that a block stays near ``BLOCK_BYTES``, and what is known of them is
+joined, not shipped. Texts are shuffled once, by block, and written straight into the folders of their new shards.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import named, whole
+from quillspark.llm.common import named, unpacked, whole
 from quillspark.session import checkpoint_root, materialize
 
-MAX_BLOCKS = 65_536
+BLOCK_BYTES = 64 << 20
 ROW_BYTES = 8
 
 
@@ -75,16 +75,6 @@ def even_capacities(total: int, n: int) -> list[int]:
     return [total // n + (k < total % n) for k in range(n)]
 
 
-def _rows(docs: DataFrame, old_shard: Column, n_blocks: int, doc_id: str, text: str) -> DataFrame:
-    """``_old, _block, _h, _size`` beside the given columns."""
-    h = F.xxhash64(F.col(doc_id), whole(text))
-    return (
-        docs.withColumn("_h", h).withColumn("_old", old_shard.cast("int"))
-        .withColumn("_block", F.pmod(F.xxhash64(F.lit("block"), "_h"), F.lit(n_blocks)).cast("int"))
-        .withColumn("_size", F.octet_length(whole(text)).cast("long") + ROW_BYTES)
-    )
-
-
 def reshard(
     docs: DataFrame, old_shard: Column, n_old: int, n_new: int = 24, folder: str | None = None,
     capacities: Sequence[int] | None = None, n_blocks: int | None = None, affected_only: bool = False,
@@ -99,31 +89,31 @@ def reshard(
 
     * Null text: no bytes. Rows without an old shard count as in shard 0. Ids may repeat or be null; equal rows
       are rows of their own. An empty table gives no rows.
-    * Other columns are written as they are; columns named ``shard``, ``slot`` or with a leading underscore
-      like the helpers (``_old _block _h _size``) are replaced.
-    * An old shard may hold any share of all rows: it is a line of ``n_blocks`` blocks, cut like any other.
+    * Other columns are written as they are, whatever their names; columns named ``shard`` and ``slot`` are replaced.
+    * An old shard may hold any share of all rows: it is a line of ``n_blocks`` blocks, cut like any other. Unless given,
+      the number of blocks follows the bytes of the largest old shard, so a block stays near ``BLOCK_BYTES``.
     """
     spark = docs.sparkSession
-    n_blocks = n_blocks or MAX_BLOCKS // max(n_old, 64)
-    if n_old * n_blocks > MAX_BLOCKS:
-        raise ValueError(f"more than {MAX_BLOCKS} blocks")
-    helpers = {"shard", "slot", "_h", "_old", "_block", "_size"}
-    own = [c for c in docs.columns if c not in helpers]
-    rows = _rows(docs.withColumn("_from", F.coalesce(old_shard, F.lit(0))), F.col("_from"), n_blocks, doc_id, text)
-    in_block = Window.partitionBy("_old", "_block").orderBy("_h", "_size")
-    before = in_block.rowsBetween(Window.unboundedPreceding, -1)
-    order = rows.select("_old", "_block", "_h", "_size").select(
-        "_old", "_block", "_size", F.row_number().over(in_block).alias("_rank"),
-        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"),
+    own = [c for c in docs.columns if c not in ("shard", "slot")]
+    size = F.octet_length(whole(text)).cast("long") + ROW_BYTES
+    rows = docs.select(
+        F.struct(*named(own)).alias("carry"), F.coalesce(old_shard, F.lit(0)).cast("int").alias("old"),
+        F.xxhash64(named([doc_id])[0], whole(text)).alias("h"), size.alias("size"),
     )
-    order = materialize(order)
-    blocks = order.groupBy("_old", "_block").agg(F.sum("_size").alias("_bytes"))
-    along = Window.partitionBy("_old").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = materialize(blocks.withColumn("_at", F.coalesce(F.sum("_bytes").over(along), F.lit(0))))
-
+    sizes = materialize(rows.select("old", "h", "size"))
     supply = [0] * n_old
-    for r in blocks.groupBy("_old").agg(F.sum("_bytes").alias("b")).collect():  # at most n_old rows
-        supply[r["_old"]] = r["b"]
+    for r in sizes.groupBy("old").agg(F.sum("size").alias("b")).collect():  # at most n_old rows
+        supply[r["old"]] = r["b"]
+    n_blocks = n_blocks or max(64, -(-max(supply) // BLOCK_BYTES))
+    block = F.pmod(F.xxhash64(F.lit("block"), "h"), F.lit(n_blocks)).cast("int").alias("block")
+    in_block = Window.partitionBy("old", "block").orderBy("h", "size")
+    before = in_block.rowsBetween(Window.unboundedPreceding, -1)
+    order = materialize(sizes.select("old", block, "h", "size").select(
+        "old", "block", "size", F.row_number().over(in_block).alias("rank"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"),
+    ))
+    along = Window.partitionBy("old").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = order.groupBy("old", "block").agg(F.sum("size").alias("bytes")).withColumn("at", F.coalesce(F.sum("bytes").over(along), F.lit(0)))
+
     capacities = list(capacities or even_capacities(sum(supply), n_new))
     flow = cheapest_flow(supply, capacities)
     lines = []
@@ -135,51 +125,50 @@ def reshard(
                 ends.append(at)
                 targets.append(j)
         lines.append((i, ends, targets))
-    cuts = spark.createDataFrame(lines, "_old int, _ends array<bigint>, _targets array<int>")
-    known = F.broadcast(blocks.join(F.broadcast(cuts), "_old").select("_old", "_block", "_at", "_ends", "_targets"))
-
-    start, end = F.col("_at") + F.col("_start"), F.col("_at") + F.col("_start") + F.col("_size")
-    aimed = order.join(known, ["_old", "_block"])
-    across = F.exists("_ends", lambda e: (e > start) & (e < end))
-    target = F.get("_targets", F.size(F.filter("_ends", lambda e: e <= start)))
-    placed = materialize(aimed.select("_old", "_block", "_rank", "_size", F.when(~across, target).alias("shard")))
+    # one row for each old shard
+    cuts = F.broadcast(spark.createDataFrame(lines, "old int, ends array<bigint>, targets array<int>"))
+    known = materialize(blocks.join(cuts, "old").select("old", "block", "at", "ends", "targets"))
+
+    start, end = F.col("at") + F.col("start"), F.col("at") + F.col("start") + F.col("size")
+    across = F.exists("ends", lambda e: (e > start) & (e < end))
+    target = F.get("targets", F.size(F.filter("ends", lambda e: e <= start)))
+    placed = materialize(order.join(known, ["old", "block"]).select("old", "block", "rank", "size", F.when(~across, target).alias("shard")))
     # at most one row lies across each cut, and there are fewer cuts than old and new shards together
-    over = placed.where("shard is null").select("_old", "_block", "_rank", "_size").collect()
+    over = placed.where("shard is null").select("old", "block", "rank", "size").collect()
     room = dict(enumerate(capacities))
-    for r in placed.where("shard is not null").groupBy("shard").agg(F.sum("_size").alias("b")).collect():
+    for r in placed.where("shard is not null").groupBy("shard").agg(F.sum("size").alias("b")).collect():
         room[r["shard"]] -= r["b"]
     last = []
-    for r in sorted(over, key=lambda r: (-r["_size"], r["_old"], r["_block"], r["_rank"])):
+    for r in sorted(over, key=lambda r: (-r["size"], r["old"], r["block"], r["rank"])):
         j = max(room, key=lambda j: (room[j], -j))
-        room[j] -= r["_size"]
-        last.append((r["_old"], r["_block"], r["_rank"], j))
-    chosen = F.broadcast(spark.createDataFrame(last, "_old int, _block int, _rank int, _last int"))
-
-    settle = lambda df: df.join(chosen, ["_old", "_block", "_rank"], "left").withColumn("shard", F.coalesce("shard", "_last"))
-    pieces = settle(placed).groupBy("shard", "_old", "_block").agg(F.count(F.lit(1)).alias("n"))
-    ahead = Window.partitionBy("shard").orderBy("_old", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = materialize(pieces.withColumn("_slots", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n"))
-    slots = pieces.groupBy("_old", "_block").agg(F.map_from_entries(F.collect_list(F.struct("shard", "_slots"))).alias("_slots"))
-    per_block = F.broadcast(known.join(slots, ["_old", "_block"]))
+        room[j] -= r["size"]
+        last.append((r["old"], r["block"], r["rank"], j))
+    chosen = F.broadcast(spark.createDataFrame(last, "old int, block int, rank int, last int"))
+
+    settle = lambda df: df.join(chosen, ["old", "block", "rank"], "left").withColumn("shard", F.coalesce("shard", "last"))
+    pieces = settle(placed).groupBy("shard", "old", "block").agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy("shard").orderBy("old", "block").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("slots", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    slots = pieces.groupBy("old", "block").agg(F.map_from_entries(F.collect_list(F.struct("shard", "slots"))).alias("slots"))
+    # one row a block, stored: Spark sees its size and broadcasts it only if it is small
+    per_block = materialize(known.join(slots, ["old", "block"]))
 
     moved = (
-        rows.select(*named(own), "_old", "_block", "_h", "_size")
-        .repartition("_old", "_block")
-        .withColumn("_rank", F.row_number().over(in_block))
-        .withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-        .join(per_block, ["_old", "_block"])
+        rows.select("carry", "old", block, "h", "size")
+        .repartition("old", "block")
+        .withColumn("rank", F.row_number().over(in_block))
+        .withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
+        .join(per_block, ["old", "block"])
         .withColumn("shard", F.when(~across, target))
     )
-    in_piece = Window.partitionBy("_old", "_block", "shard").orderBy("_rank")
-    done = settle(moved).withColumn(
-        "slot", F.element_at("_slots", F.col("shard")) + F.row_number().over(in_piece) - 1
-    )
+    in_piece = Window.partitionBy("old", "block", "shard").orderBy("rank")
+    done = settle(moved).withColumn("slot", F.element_at("slots", F.col("shard")) + F.row_number().over(in_piece) - 1)
     if affected_only:
         touched = {j for i, a in enumerate(flow) for j, b in enumerate(a) if b and i != j}
         touched |= {i for i, a in enumerate(flow) for j, b in enumerate(a) if b and i != j} | {r[3] for r in last}
         done = done.where(F.col("shard").isin(sorted(touched)))
     folder = folder or f"{checkpoint_root(spark)}/shards/{uuid.uuid4().hex}"
-    out = done.select(*named(own), F.col("slot").cast("long").alias("slot"), "shard")
+    out = done.select(*unpacked("carry", own), F.col("slot").cast("long").alias("slot"), "shard")
     out.write.partitionBy("shard").parquet(folder)
     return spark.read.schema(out.schema).parquet(folder)
 
