@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounded_batches, whole
+from quillspark.llm.common import bounded_batches, shuffle_parts, whole
 from quillspark.session import checkpoint_root, materialize
 
 FRAME_BYTES = 1 << 20
@@ -227,7 +227,7 @@ def bundle_frames(bundles: DataFrame) -> DataFrame:
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bundle", "frame", "frame_at", "frame_bytes"]
             )
 
-    return bundles.select("bundle").mapInArrow(run, "bundle string, frame int, frame_at bigint, frame_bytes bigint")
+    return bundles.select("bundle").repartition(shuffle_parts(bundles.sparkSession), "bundle").mapInArrow(run, "bundle string, frame int, frame_at bigint, frame_bytes bigint")
 
 
 _RECORD = "record_id string, record_type string, refers_to string, target_uri string, payload_digest string, payload_bytes bigint, payload binary"
@@ -236,8 +236,11 @@ _RECORD = "record_id string, record_type string, refers_to string, target_uri st
 def read_frames(frames: DataFrame, with_payload: bool = True) -> DataFrame:
     """Every record of the given frames, decoded frame by frame; ``payload`` is null for revisits.
 
-    A response's payload is checked against its digest; one that differs ends the read with an error.
+    A response's payload is checked against its digest; one that differs ends the read with an error. With a column
+    ``places`` (offsets in the frame) only the records that begin there are parsed.
     """
+    n = shuffle_parts(frames.sparkSession)
+    places = "places" if "places" in frames.columns else F.lit(None).cast("array<bigint>").alias("places")
     names = [c.split()[0] for c in _RECORD.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,13 +248,15 @@ def read_frames(frames: DataFrame, with_payload: bool = True) -> DataFrame:
 
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
-            for path, _, at, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, _, at, packed, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 fs, inner = file_system(path)
                 with fs.open_input_file(inner) as source:
                     source.seek(at)
                     data = unpacker.decompress(source.read(packed))
-                rows, place = [], 0
+                rows, place, ahead = [], 0, iter(wanted or ())
                 while place < len(data):
+                    if wanted is not None and (place := next(ahead, None)) is None:
+                        break
                     fields, block, place = parse_record(data, place)
                     kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
                     payload = block[len(HTTP_HEAD) :] if kind == "response" else None
@@ -266,15 +271,20 @@ def read_frames(frames: DataFrame, with_payload: bool = True) -> DataFrame:
                 kinds = [*[pa.string()] * 5, pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return frames.select("bundle", "frame", "frame_at", "frame_bytes").repartition("bundle", "frame").mapInArrow(run, _RECORD)
+    # frames are few small rows, so the number of tasks is stated: Spark would join them up by their bytes
+    return frames.select("bundle", "frame", "frame_at", "frame_bytes", places).repartition(n, "bundle", "frame").mapInArrow(run, _RECORD)
 
 
 def fetch_records(index: DataFrame, wanted: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Records of the ids in ``wanted`` (column ``page_id``), reading only the frames that hold them."""
-    found = index.join(wanted.select("page_id").distinct(), "page_id", "left_semi")
-    frames = found.select("bundle", "frame", "frame_at", "frame_bytes").distinct()
-    ids = F.concat(F.lit("urn:page:"), F.col("page_id").cast("string")).alias("record_id")
-    return read_frames(frames, with_payload).join(wanted.select(ids).distinct(), "record_id", "left_semi")
+    """Records of the ids in ``wanted`` (column ``page_id``), reading only their frames, and in these only the records.
+
+    A null id asks for the records of pages without one. Ids asked for twice count once; ids of several records give all.
+    """
+    ids = wanted.select(F.col("page_id").alias("_wanted")).distinct()
+    found = index.join(ids, F.col("page_id").eqNullSafe(F.col("_wanted")), "left_semi")
+    # a frame holds at most FRAME_BYTES of records
+    places = found.groupBy("bundle", "frame", "frame_at", "frame_bytes").agg(F.array_sort(F.collect_list("record_at")).alias("places"))
+    return read_frames(places, with_payload)
 
 
 def archive_folder(spark) -> str:
