@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import bounded_batches, whole
+from quillspark.session import materialize
 
 # Fixed value: the public pattern that parts a text before the merges of the rank files.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -62,10 +63,11 @@ def length_histogram(counts: DataFrame, n_tokens: str = "n_tokens") -> DataFrame
     Lengths are taken in buckets of ``LENGTHS_PER_BUCKET``, so no window sees more rows than that, or than the
     longest document has buckets; the bucket totals that are broadcast are as few.
     """
-    exact = counts.groupBy(F.col(n_tokens).alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs")).select(
+    # stored: what follows reads it three times, and the texts would be encoded as often
+    exact = materialize(counts.groupBy(F.col(n_tokens).alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs")).select(
         "n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("total_tokens"),
         F.floor(F.col("n_tokens") / LENGTHS_PER_BUCKET).alias("_bucket"),
-    )
+    ))
     above = Window.orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
     everywhere = Window.partitionBy(F.lit(0))
     buckets = exact.groupBy("_bucket").agg(F.sum("n_docs").alias("_d"), F.sum("total_tokens").alias("_t")).select(
