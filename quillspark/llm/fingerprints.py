@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm.common import bounded_batches, shuffle_parts, whole
 
@@ -107,9 +108,14 @@ def in_order_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     n = shuffle_parts(spark)
     ids = docs.select(F.col(doc_id).alias("doc_id"))
-    shares = [i / n for i in range(1, n)]
-    cuts = ids.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)) if shares else F.array(F.lit(0.5)), 20 * n)).first()[0]
-    cuts = sorted(set(cuts or []))[: n - 1]
+    if isinstance(docs.schema[doc_id].dataType, T.NumericType):
+        shares = [i / n for i in range(1, n)]
+        cuts = ids.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)) if shares else F.array(F.lit(0.5)), 20 * n)).first()[0]
+        cuts = sorted(set(cuts or []))[: n - 1]
+    else:  # no percentiles: even cuts of the ids with the smallest hashes, 20 a range
+        some = ids.where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id")).limit(20 * n)
+        drawn = sorted(r["doc_id"] for r in some.collect())
+        cuts = drawn[20 :: 20][: n - 1]
     part = _part_of(F.col("doc_id"), cuts)
     firsts = ids.select("doc_id", part.alias("part")).groupBy("part").agg(
         F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("null_first")

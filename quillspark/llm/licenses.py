@@ -100,7 +100,7 @@ def word_hits(docs: DataFrame, wanted: Sequence[int], doc_id: str, text: str) ->
             for _, data, starts, ends, hashes in words.each(batch.column(1).to_pylist()):
                 counts.append(len(hashes))
                 found: list = []
-                if len(hashes) >= GRAM:
+                if len(known) and len(hashes) >= GRAM:
                     runs = grams(hashes, GRAM).view(np.int64)
                     at = np.searchsorted(known, runs)
                     for i in np.flatnonzero(known[np.minimum(at, len(known) - 1)] == runs).tolist():

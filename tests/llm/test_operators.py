@@ -251,7 +251,7 @@ def test_clean_documents_stay(spark, odd, none):
 # 5 pieces
 
 
-def test_encoding_is_the_best_and_decodes(spark, odd, none):
+def test_encoding_is_the_models_and_decodes(spark, odd, none):
     encoder = pieces.Encoder(MODEL)
     docs = spark.createDataFrame(rows(
         "Hello  world\n x é 漢字 😀 ", "▁ marks ▁▁of its own", " ", "a" * 200, "ab " * 90, " ".join("xy" * 40 for _ in range(9)), None, "", "Ä" * 130,
@@ -271,7 +271,7 @@ def test_encoding_is_the_best_and_decodes(spark, odd, none):
     assert pieces.encode_documents(none, MODEL).count() == 0
 
 
-def test_long_texts_go_through_matrices(spark):
+def test_long_texts_go_in_chunks(spark):
     text = LONG[:70_000] + "é" * 20 + " " * 40
     docs = spark.createDataFrame([(1, text, 4), (1, text, 5)], "doc_id long, text string, n_tokens int")
     got = pieces.decode_documents(pieces.encode_documents(docs, MODEL, chunk=5_000), MODEL).collect()
