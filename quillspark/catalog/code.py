@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quillspark.catalog.derived import symbol_tables, variant_files
-from quillspark.operators import agents, callgraph, frameworks, quality, rules, tools
+from quillspark.operators import agents, callgraph, frameworks, ordered, quality, rules, tools
 from quillspark.operators.symbols import build_parsed, build_tables, is_test_path, load_tables, save_tables, smallest_enclosing
 from quillspark.plans import analysis
 from quillspark.session import checkpoint_root, materialize
@@ -183,6 +183,35 @@ def call_graph_degree(spark, sf):
     return near.select("project", "node", F.size("callees").cast("bigint").alias("callees"))
 
 
+def part_calls(spark, sf):
+    """Calls among parts: each calls the next of its brand (the last one the first: a cycle) and its brand's hub, the hub the first."""
+    parts = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_brand").alias("project"), F.col("p_partkey").alias("k"))
+    ends = parts.groupBy("project").agg(F.min("k").alias("low"))
+    name = lambda c: F.concat(F.lit("f"), F.col(c).cast("string"))
+    ring = ordered.with_position(parts, ["project"], ["k"])
+    later = ring.select("project", (F.col("position") - 1).alias("position"), F.col("k").alias("next"))
+    ring = ring.join(later, ["project", "position"], "left").join(ends, "project").withColumn("next", F.coalesce("next", "low"))
+    hub = F.concat(F.lit("hub "), F.col("project"))
+    calls = ring.select("project", F.explode(F.array(F.struct(name("k").alias("src"), name("next").alias("dst")), F.struct(name("k").alias("src"), hub.alias("dst")))).alias("c"))
+    return calls.select("project", "c.src", "c.dst").unionByName(ends.select("project", hub.alias("src"), name("low").alias("dst")))
+
+
+def call_hops(spark, sf):
+    """What each part reaches in at most three calls, and what reaches it in at most two."""
+    edges = part_calls(spark, sf)
+    starts = edges.select("project", F.col("src").alias("start"))
+    each = [callgraph.hops(edges, starts, n, way).withColumn("direction", F.lit(way)) for n, way in ((3, "callees"), (2, "callers"))]
+    return each[0].unionByName(each[1]).select("project", "direction", "start", "node", F.col("hops").cast("bigint").alias("hops"))
+
+
+def call_surroundings(spark, sf):
+    """Edges within two calls of each brand's first part, by number of edges; the hub brings in the whole brand."""
+    edges = part_calls(spark, sf)
+    starts = edges.where("src LIKE 'hub%'").select("project", F.col("dst").alias("start"))
+    near = callgraph.call_graph(edges, starts, 2)
+    return near.groupBy("project", "start").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("src").alias("callers"))
+
+
 def unique_names(spark, sf):
     return callgraph.unique_names(symbol_tables(spark, sf)).select("project", "name", "qualified_name")
 
@@ -279,6 +308,7 @@ QUERIES = {
     "agent_call_details": agent_call_details, "agent_tests": agent_tests, "test_complexity": test_complexity,
     "test_fixtures": test_fixtures, "test_helpers": test_helpers, "test_assertions": test_assertions,
     "call_graph_edges": call_graph_edges, "call_graph_degree": call_graph_degree, "unique_names": unique_names,
+    "call_hops": call_hops, "call_surroundings": call_surroundings,
     "enclosing_functions": enclosing_functions, "test_methods": test_methods, "decorated_methods": decorated_methods,
     "classes_by_criteria": classes_by_criteria, "test_module_predicate": test_module_predicate,
     "application_report": application_report, "stored_analysis": stored_analysis, "agent_variants": agent_variants,

@@ -109,6 +109,13 @@ uses AS (
 
 _TOOL = """'{kind}' AS tool_type, {text} AS tool_description, {method} AS tool_binding_method, module AS tool_binding_module"""
 
+_CALLS = """
+WITH RECURSIVE calls AS (
+  SELECT p_brand AS project, 'f' || p_partkey AS src,
+         'f' || coalesce(lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey), min(p_partkey) OVER (PARTITION BY p_brand)) AS dst FROM part
+  UNION SELECT p_brand, 'f' || p_partkey, 'hub ' || p_brand FROM part
+  UNION SELECT p_brand, 'hub ' || p_brand, 'f' || min(p_partkey) FROM part GROUP BY p_brand)"""
+
 SQL = {
     "modules": _BASE + """
 SELECT project, module AS qualified_name, '/src/' || project || '/' || module AS file_path, is_test FROM (
@@ -213,6 +220,22 @@ SELECT project, module, v.* FROM ts CROSS JOIN (VALUES ('equality', 'assertEqual
 SELECT n.project, n.node, CAST(count(e.dst) AS BIGINT) AS callees
 FROM (SELECT project, src AS node FROM edges UNION SELECT project, dst FROM edges) n
 LEFT JOIN edges e ON e.project = n.project AND e.src = n.node GROUP BY 1, 2""",
+    "call_hops": _CALLS + """,
+ways AS (SELECT 'callees' AS direction, 3 AS most, project, src AS node, dst AS next FROM calls
+         UNION SELECT 'callers', 2, project, dst, src FROM calls),
+walk AS (
+  SELECT DISTINCT w.direction, w.most, c.project, c.src AS start, c.src AS node, 0 AS hops FROM calls c CROSS JOIN (SELECT DISTINCT direction, most FROM ways) w
+  UNION SELECT r.direction, r.most, r.project, r.start, w.next, r.hops + 1
+  FROM walk r JOIN ways w ON w.direction = r.direction AND w.project = r.project AND w.node = r.node WHERE r.hops < r.most)
+SELECT project, direction, start, node, CAST(min(hops) AS BIGINT) AS hops FROM walk GROUP BY ALL""",
+    "call_surroundings": _CALLS + """,
+steps AS (SELECT project, src AS node, dst AS next, 1 AS way FROM calls UNION SELECT project, dst, src, 2 FROM calls),
+walk AS (
+  SELECT DISTINCT project, dst AS start, dst AS node, w AS way, 0 AS hops FROM calls, (VALUES (1), (2)) v(w) WHERE starts_with(src, 'hub')
+  UNION SELECT r.project, r.start, s.next, r.way, r.hops + 1 FROM walk r JOIN steps s ON s.project = r.project AND s.node = r.node AND s.way = r.way WHERE r.hops < 2),
+near AS (SELECT DISTINCT project, start, node FROM walk)
+SELECT c.project, a.start, count(*) AS edges, count(DISTINCT c.src) AS callers
+FROM calls c JOIN near a ON a.project = c.project AND a.node = c.src JOIN near b ON b.project = c.project AND b.node = c.dst AND b.start = a.start GROUP BY ALL""",
     "unique_names": _BASE + "SELECT project, name, qualified_name FROM uniq",
     "enclosing_functions": _BASE + """
 SELECT project, module, what, CAST(line AS BIGINT) AS line, CAST(o AS BIGINT) AS function_ordinal FROM (

@@ -15,7 +15,7 @@ from quillspark.functions.prompts import chat_prompt, examples_block as example_
 from quillspark.operators import agreement, alter, labeling, neighbors, ordered, patterns, quality, ratelimit, store, usage
 from quillspark import sinks
 from quillspark.plans import corpus, extraction
-from quillspark.session import checkpoint_root
+from quillspark.session import checkpoint_root, materialize, new_folder
 from quillspark.sources import files
 
 
@@ -342,6 +342,17 @@ def knn_missing_vector(spark, sf):
     return _ranked(out)
 
 
+def knn_two_batches(spark, sf):
+    """Three nearest rows of every vector: in an index of the even ids, and after the odd ones were added to it."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    index = neighbors.CellIndex(spark, new_folder(spark))
+    asked = []
+    for batch in (0, 1):
+        index.add(rows.where(F.col("vec_id") % 2 == batch), "vec_id", batch=batch)
+        asked.append(_ranked(materialize(index.nearest(rows, 3, "vec_id"))).withColumn("batch", F.lit(batch)))
+    return asked[0].unionByName(asked[1])
+
+
 def knn_confident(spark, sf):
     scored = neighbors.with_score(_near(spark, sf, metric="l2"), 0.5)
     best = neighbors.best_matches(scored, "vec_id")
@@ -611,7 +622,7 @@ QUERIES = {
         upsert_latest_label, upsert_final_label, promoted_fields, assigned_ids, confidence_bucket, unlabeled_docs, fetch_examples,
         label_documents, agreement_summary, flag_summary, decided_by_errors, prompt_render, snippets, cache_lookup, token_usage_summary,
         token_usage_by_role, report_units, rate_limit_admission, rate_limit_by_user, worker_assignment, knn_top5, knn_oversampled, knn_earlier,
-        knn_repeated_ids, knn_missing_vector, same_names, typed_conditions, label_corpus_twice, label_corpus_usage,
+        knn_repeated_ids, knn_missing_vector, knn_two_batches, same_names, typed_conditions, label_corpus_twice, label_corpus_usage,
         knn_confident, knn_label_vote, examples_block, normalized_names, similar_names, word_similarity, pattern_groups, created_patterns, stored_patterns,
         merged_patterns, pattern_statistics, pattern_confidence, chunk_assign, example_references, consolidated_references,
         alteration_counts, extracted_patterns, altered_entries, alteration_errors, field_value_examples, ncloc_documents, assertion_names, statement_kinds,

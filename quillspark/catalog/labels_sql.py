@@ -154,6 +154,12 @@ pairs AS (SELECT q.id, x.id AS neighbor_id,
   FROM e q JOIN e x ON q.vec_id % 4 = 0 AND q.id <> x.id),
 near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, neighbor_id) AS rank FROM pairs)
 SELECT id, rank, round(d, 6) AS distance FROM near WHERE rank <= 5""",
+    "knn_two_batches": """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+pairs AS (SELECT b AS batch, q.vec_id, x.vec_id AS neighbor_id, list_sum(list_transform(list_zip(q.v, x.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+  FROM e q JOIN e x ON q.vec_id <> x.vec_id JOIN (VALUES (0), (1)) t(b) ON x.vec_id % 2 <= b),
+near AS (SELECT *, row_number() OVER (PARTITION BY batch, vec_id ORDER BY d, neighbor_id) AS rank FROM pairs)
+SELECT batch, vec_id, neighbor_id, rank, round(d, 6) AS distance FROM near WHERE rank <= 3""",
     "knn_missing_vector": _DIST.format(on=_ALL + " AND q.vec_id % 7 <> 0 AND x.vec_id % 5 <> 0", k=3) + _RANKED,
     "same_names": """
 SELECT p_partkey AS item, min(p_partkey) OVER (PARTITION BY list_sort(list_distinct(string_split(lower(p_name), ' ')))) AS first_item FROM part""",

@@ -1,26 +1,39 @@
-"""Exact nearest-neighbour join.
+"""Exact nearest-neighbour join over a stored index of cells.
 
-The index is cut into Voronoi cells around pivots, whose number grows with the root of the index. Each query
-gets an upper bound on its k-th distance from the cell summaries, counting only index rows it may have, and
-visits only cells the triangle inequality cannot exclude (the published pivot-based kNN join). Cells and the
-queries visiting them are cut further into blocks of bounded size, so a hot cell is many tasks; each block
-pair returns only its best k rows per query.
+An index is cut into Voronoi cells around pivots, whose number grows with the root of its rows (the published
+pivot-based kNN join). Pivots, rows with their cell, and a summary of each cell are stored; a batch of new rows is
+assigned to the pivots there are and adds rows and summaries of its own, so nothing stored is read or cut again.
+
+A query gets an upper bound on its k-th distance from the summaries, counting only rows it may have. It visits the
+cells that the triangle inequality cannot exclude. Inside a cell the same test excludes rows: each row holds its
+distances to the pivot of its cell and to ``REFERENCES`` fixed pivots, which bound its distance to the query from below.
+Cells and the queries visiting them are cut further into blocks of bounded size, so a hot cell is many tasks; each
+block pair returns only its best k rows per query.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.session import materialize
+from quillspark.session import materialize, new_folder
+from quillspark.sources.files import stored_or_empty
 
-MAX_PIVOTS = 65_536  # reached at four billion index rows; bounds what the driver and each task hold
+MAX_PIVOTS = 65_536  # reached at four billion index rows
 BLOCK_ROWS = 4096
-STEP = 512  # rows compared with all pivots at once
+STEP = 512  # rows compared with all pivots at once, fewer where the pivots are many
+TILE = 1 << 22  # numbers in one array of distances: 32 MB
+REFERENCES = 8
+HEADS = 16  # nearest rows that a summary holds of each cell and batch
+_PIVOTS = "number int, vector array<double>"
+_PART = "run string, batch long"
+_ROWS = "_iid long, _ivec array<float>, _cell int, _dist double, _refs array<double>, " + _PART
+_CELLS = "_cell int, rows long, radius double, head array<struct<_dist: double, _iid: bigint>>, " + _PART
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -32,11 +45,205 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squared, 0.0))
 
 
-def _pivots(index: DataFrame, rows: int) -> np.ndarray:
-    """A repeatable sample of index vectors, the root of their number; it steers pruning and never the result."""
-    m = int(min(MAX_PIVOTS, max(1, np.sqrt(rows))))
-    sample = index.orderBy(F.xxhash64("_iid"), "_iid").limit(m).select("_ivec").toPandas()
-    return _matrix(sample["_ivec"])
+def _rows(df: DataFrame, row_id: str, vector: str, *more: str) -> DataFrame:
+    return df.select(F.col(row_id).cast("long").alias("_iid"), F.col(vector).alias("_ivec"), *more).where("_ivec IS NOT NULL")
+
+
+def _step(width: int) -> int:
+    """Rows taken at once so that their distances to ``width`` points fill one tile."""
+    return max(1, min(STEP, TILE // max(width, 1)))
+
+
+@dataclass(frozen=True)
+class CellIndex:
+    """A stored index: folders ``pivots``, ``rows`` and ``cells`` below ``folder``, the latter two by run and batch."""
+
+    spark: SparkSession
+    folder: str
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        return stored_or_empty(self.spark, f"{self.folder}/{name}", schema)
+
+    def pivots(self) -> np.ndarray:
+        """At most ``MAX_PIVOTS`` vectors."""
+        rows = self._read("pivots", _PIVOTS).orderBy("number").select("vector").toPandas()
+        return _matrix(rows["vector"]) if len(rows) else np.zeros((0, 0))
+
+    def clear(self) -> None:
+        """Forget all pivots, rows and cells."""
+        for name, schema in (("pivots", _PIVOTS), ("rows", _ROWS), ("cells", _CELLS)):
+            empty = self.spark.createDataFrame([], schema).write.mode("overwrite")
+            (empty.partitionBy("run", "batch") if "run" in schema else empty).parquet(f"{self.folder}/{name}")
+
+    def _choose_pivots(self, rows: DataFrame, count: int) -> np.ndarray:
+        """A repeatable sample of index vectors, the root of their number; it steers pruning and never the result."""
+        m = int(min(MAX_PIVOTS, max(1, np.sqrt(count))))
+        sample = rows.orderBy(F.xxhash64("_iid"), "_iid").limit(m).select("_ivec").toPandas()
+        chosen = list(enumerate(_matrix(sample["_ivec"]).tolist()))
+        self.spark.createDataFrame(chosen, _PIVOTS).write.mode("overwrite").parquet(f"{self.folder}/pivots")
+        return np.array([v for _, v in chosen])
+
+    def add(self, df: DataFrame, row_id: str, vector: str = "embedding", run: str = "base", batch: int = 0) -> None:
+        """Assign the rows of ``df`` to the stored pivots (chosen from them, if there are none yet) as one batch.
+
+        Adding a batch again replaces it. ``df`` may bring columns ``run`` and ``batch`` of its own. Rows without a
+        vector are left out.
+        """
+        many = {"run", "batch"} <= set(df.columns)
+        placed = df if many else df.withColumns({"run": F.lit(run), "batch": F.lit(batch).cast("long")})
+        rows = _rows(placed, row_id, vector, "run", "batch")
+        pivots = self.pivots()
+        if not len(pivots):
+            count = rows.count()
+            if not count:
+                return
+            pivots = self._choose_pivots(rows, count)
+
+        def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            step = _step(len(pivots))
+            for frame in batches:
+                for start in range(0, len(frame), step):
+                    own = frame.iloc[start : start + step]
+                    d = _distances(_matrix(own["_ivec"]), pivots)
+                    cell = d.argmin(1)
+                    yield own.assign(_cell=cell.astype("int32"), _dist=d[np.arange(len(d)), cell], _refs=d[:, :REFERENCES].tolist())[
+                        ["_iid", "_ivec", "_cell", "_dist", "_refs", "run", "batch"]]
+
+        celled = rows.mapInPandas(to_cells, _ROWS)
+        if many:
+            celled = materialize(celled)
+            self._write("rows", celled)
+        else:
+            self._write("rows", celled)
+            celled = self._read("rows", _ROWS).where((F.col("run") == run) & (F.col("batch") == batch))
+        nearest_first = Window.partitionBy("run", "batch", "_cell").orderBy("_dist", "_iid")
+        heads = (
+            celled.select("run", "batch", "_cell", "_dist", "_iid").withColumn("_r", F.row_number().over(nearest_first))
+            .where(F.col("_r") <= HEADS).groupBy("run", "batch", "_cell")
+            .agg(F.sort_array(F.collect_list(F.struct("_dist", "_iid"))).alias("head"))
+        )
+        summary = celled.groupBy("run", "batch", "_cell").agg(F.count(F.lit(1)).alias("rows"), F.max("_dist").alias("radius"))
+        self._write("cells", summary.join(heads, ["run", "batch", "_cell"]))
+
+    def _write(self, name: str, table: DataFrame) -> None:
+        """Replace the batches that ``table`` holds."""
+        writer = table.write.mode("overwrite").partitionBy("run", "batch").option("partitionOverwriteMode", "dynamic")
+        writer.parquet(f"{self.folder}/{name}")
+
+    def merged(self, folder: str) -> CellIndex:
+        """The same rows in another folder as one batch, around pivots chosen anew: after many batches outgrew the old ones."""
+        other = CellIndex(self.spark, folder)
+        other.add(self._read("rows", _ROWS).drop("run", "batch"), "_iid", "_ivec")
+        return other
+
+    def search(
+        self, queries: DataFrame, k: int, query_id: str, vector: str = "embedding", exclude_self: bool = True,
+        earlier_only: bool = False, admit: Column | None = None,
+    ) -> DataFrame:
+        """``_qid, _iid, _d`` (squared distance): the best ``k`` of each query and block, and ``_compared``.
+
+        ``_compared`` is, once for each query and block, the number of rows whose distance was computed. ``admit`` is a
+        condition on ``run`` and ``batch`` of the rows that count.
+        """
+        spark = self.spark
+        every = F.lit(True) if admit is None else admit
+        q = queries.select(F.col(query_id).cast("long").alias("_qid"), F.col(vector).alias("_qvec")).where("_qvec IS NOT NULL")
+        summary = (
+            self._read("cells", _CELLS).where(every).groupBy("_cell")
+            .agg(F.sum("rows").alias("rows"), F.max("radius").alias("radius"), F.flatten(F.collect_list("head")).alias("head"))
+            .withColumn("head", F.slice(F.array_sort("head"), 1, HEADS)).toPandas()
+        )
+        if not len(summary):
+            return spark.createDataFrame([], "_qid long, _iid long, _d double, _compared long")
+        pivots = self.pivots()
+        cells = summary["_cell"].to_numpy()
+        radius = summary["radius"].to_numpy(dtype=float)
+        own_pivots, references = pivots[cells], pivots[:REFERENCES]
+        head_cell = np.repeat(np.arange(len(cells)), [len(h) for h in summary["head"]])
+        head_dist = np.array([r["_dist"] for h in summary["head"] for r in h], dtype=float)
+        head_ids = np.array([r["_iid"] for h in summary["head"] for r in h], dtype=np.int64)
+        largest = float(np.sqrt((pivots * pivots).sum(1)).max())
+
+        def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            step = _step(len(head_ids) + len(cells))
+            for frame in batches:
+                for start in range(0, len(frame), step):
+                    own = frame.iloc[start : start + step]
+                    x = _matrix(own["_qvec"])
+                    d = _distances(x, own_pivots)
+                    reach = d[:, head_cell] + head_dist[None, :]
+                    ids = own["_qid"].to_numpy()[:, None]
+                    # heads that the query may not have say nothing about its k-th distance
+                    if exclude_self:
+                        reach[head_ids[None, :] == ids] = np.inf
+                    if earlier_only:
+                        reach[head_ids[None, :] >= ids] = np.inf
+                    bound = np.full(len(d), np.inf) if reach.shape[1] < k else np.partition(reach, k - 1, axis=1)[:, k - 1]
+                    bound += 1e-6 * (1.0 + largest + np.sqrt((x * x).sum(1)))  # rounding of the distances
+                    keep = d - radius[None, :] <= bound[:, None]
+                    yield own.assign(
+                        _bound=bound, _qrefs=_distances(x, references).tolist(),
+                        _visits=[[{"_cell": int(c), "_qdist": float(v)} for c, v in zip(cells[m], row[m])] for m, row in zip(keep, d)],
+                    )
+
+        number = F.monotonically_increasing_id()
+        routed = materialize(q.mapInPandas(
+            visits, "_qid long, _qvec array<float>, _bound double, _qrefs array<double>, _visits array<struct<_cell: int, _qdist: double>>"
+        ).withColumn("_qrow", number))
+        demand = routed.select(F.inline("_visits")).groupBy("_cell").agg(F.count(F.lit(1)).alias("asks"))
+        asks = {r["_cell"]: r["asks"] for r in demand.collect()}  # one row a cell
+        # Rows are dealt to blocks by a hash of their number, so blocks of half the size on average stay below it.
+        parts = lambda n: 1 if n <= BLOCK_ROWS else -(-int(n) // (BLOCK_ROWS // 2))
+        plan = [(int(c), parts(n), parts(asks.get(int(c), 0))) for c, n in zip(cells, summary["rows"])]
+        blocks = F.broadcast(spark.createDataFrame(plan, "_cell int, _nx int, _nq int"))
+
+        # Stored rows are dealt by their id, vector and a number: an id or vector repeated often spreads too.
+        deal = lambda row, n: F.pmod(F.xxhash64(row), F.col(n)).cast("int")
+        stored = self._read("rows", _ROWS).where(every).withColumn("_irow", number).join(blocks, "_cell").select(
+            "_cell", deal("_irow", "_nx").alias("_bx"), F.explode(F.expr("sequence(0, _nq - 1)")).alias("_bq"), "_iid", "_ivec", "_dist", "_refs",
+        )
+        asked = routed.select("_qid", "_qvec", "_qrow", "_bound", "_qrefs", F.inline("_visits")).join(blocks, "_cell").select(
+            "_cell", F.explode(F.expr("sequence(0, _nx - 1)")).alias("_bx"), deal("_qrow", "_nq").alias("_bq"),
+            "_qid", "_qvec", "_bound", "_qrefs", "_qdist",
+        )
+
+        def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            out: list[tuple[int, int, float, int]] = []
+            if len(left) and len(right):
+                ids, vecs = right["_iid"].to_numpy(), _matrix(right["_ivec"])
+                known = np.column_stack([right["_dist"].to_numpy(), _matrix(right["_refs"])])
+                squares = (vecs * vecs).sum(1)
+                qs, bounds = _matrix(left["_qvec"]), left["_bound"].to_numpy()
+                asked_refs = np.column_stack([left["_qdist"].to_numpy(), _matrix(left["_qrefs"])])
+                for qid, qv, bound, refs in zip(left["_qid"].to_numpy(), qs, bounds, asked_refs):
+                    ok = np.abs(known - refs).max(1) <= bound
+                    if exclude_self:
+                        ok &= ids != qid
+                    if earlier_only:
+                        ok &= ids < qid
+                    at = np.flatnonzero(ok)
+                    compared = len(at)
+                    if len(at) > k:
+                        near = squares[at] - 2.0 * (vecs[at] @ qv)
+                        at = at[near <= np.partition(near, k - 1)[k - 1] + 1e-9 * (1.0 + float(qv @ qv) + squares[at].max())]
+                    exact = ((vecs[at] - qv) ** 2).sum(1)
+                    for i in np.lexsort((ids[at], exact))[:k]:
+                        out.append((qid, ids[at[i]], exact[i], compared))
+                        compared = 0
+            return pd.DataFrame(out, columns=["_qid", "_iid", "_d", "_compared"])
+
+        keys = ["_cell", "_bx", "_bq"]
+        return asked.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(best, "_qid long, _iid long, _d double, _compared long")
+
+    def nearest(self, queries: DataFrame, k: int, query_id: str, vector: str = "embedding", metric: str = "l2sq", **options) -> DataFrame:
+        """``(query_id, neighbor_id, distance, rank)`` of the ``k`` nearest stored rows per query, ties by id; see :func:`nearest`."""
+        found = self.search(queries, k, query_id, vector, **options)
+        closest = Window.partitionBy("_qid").orderBy("_d", "_iid")
+        value = F.col("_d") if metric == "l2sq" else F.sqrt("_d")
+        return (
+            found.withColumn("rank", F.row_number().over(closest)).where(F.col("rank") <= k)
+            .select(F.col("_qid").alias(query_id), F.col("_iid").alias("neighbor_id"), value.alias("distance"), "rank")
+        )
 
 
 def nearest(
@@ -54,116 +261,13 @@ def nearest(
 
     ``earlier_only`` admits index rows with a smaller id only (incremental retrieval: a document sees
     those stored before it). ``metric`` is ``l2sq`` or ``l2``. Rows without a vector are nobody's neighbours,
-    and have none. Ids may repeat: with ``exclude_self`` no row of the query's own id counts.
+    and have none. Ids may repeat: with ``exclude_self`` no row of the query's own id counts. The index is cut for
+    this call; a :class:`CellIndex` keeps it.
     """
-    q = queries.select(F.col(query_id).cast("long").alias("_qid"), F.col(vector).alias("_qvec")).where("_qvec IS NOT NULL")
-    x = index.select(F.col(index_id).cast("long").alias("_iid"), F.col(vector).alias("_ivec")).where("_ivec IS NOT NULL")
-    spark = q.sparkSession
-    rows = x.count()
-    if rows == 0:
-        return spark.createDataFrame([], f"{query_id} long, neighbor_id long, distance double, rank int")
-    pivots = _pivots(x, rows)
-    want = k + (1 if exclude_self else 0)
-
-    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), STEP):
-                part = batch.iloc[start : start + STEP]
-                d = _distances(_matrix(part["_ivec"]), pivots)
-                cell = d.argmin(1)
-                yield part.assign(_cell=cell.astype("int32"), _dist=d[np.arange(len(d)), cell])
-
-    number = F.monotonically_increasing_id()
-    celled = materialize(
-        x.mapInPandas(to_cells, "_iid long, _ivec array<float>, _cell int, _dist double").withColumn("_irow", number)
-    )
-    nearest_first = Window.partitionBy("_cell").orderBy("_dist", "_iid")
-    heads = (
-        celled.select("_cell", "_dist", "_iid")
-        .withColumn("_r", F.row_number().over(nearest_first))
-        .where(F.col("_r") <= want)
-        .groupBy("_cell")
-        .agg(F.sort_array(F.collect_list(F.struct("_dist", "_iid"))).alias("head"))
-    )
-    summary = (
-        celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("rows"), F.max("_dist").alias("radius"))
-        .join(heads, "_cell").toPandas()
-    )
-    cells = summary["_cell"].to_numpy()
-    radius = summary["radius"].to_numpy(dtype=float)
-    heads_of = [np.array([r["_dist"] for r in h], dtype=float) for h in summary["head"]]
-    head_ids = np.concatenate([[r["_iid"] for r in h] for h in summary["head"]]).astype(np.int64)
-    slack = 1e-9
-
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), STEP):
-                part = batch.iloc[start : start + STEP]
-                d = _distances(_matrix(part["_qvec"]), pivots[cells])
-                reach = np.concatenate([d[:, [i]] + h[None, :] for i, h in enumerate(heads_of)], axis=1)
-                own = part["_qid"].to_numpy()[:, None]
-                # heads that the query may not have say nothing about its k-th distance
-                if exclude_self:
-                    reach[head_ids[None, :] == own] = np.inf
-                if earlier_only:
-                    reach[head_ids[None, :] >= own] = np.inf
-                if reach.shape[1] < k:
-                    keep = np.ones_like(d, dtype=bool)
-                else:
-                    bound = np.partition(reach, k - 1, axis=1)[:, k - 1]
-                    keep = d - radius[None, :] <= bound[:, None] + slack
-                yield part.assign(_cells=[cells[row].astype("int32").tolist() for row in keep])
-
-    routed = materialize(q.mapInPandas(visits, "_qid long, _qvec array<float>, _cells array<int>").withColumn("_qrow", number))
-    demand = routed.select(F.explode("_cells").alias("_cell")).groupBy("_cell").agg(F.count(F.lit(1)).alias("asks"))
-    asks = {r["_cell"]: r["asks"] for r in demand.collect()}
-    # Rows are dealt to blocks by a hash of their number, so blocks of half the size on average stay below it.
-    parts = lambda n: 1 if n <= BLOCK_ROWS else -(-int(n) // (BLOCK_ROWS // 2))
-    plan = [(int(c), parts(n), parts(asks.get(int(c), 0))) for c, n in zip(cells, summary["rows"])]
-    blocks = F.broadcast(spark.createDataFrame(plan, "_cell int, _nx int, _nq int"))
-
-    # The stored tables fix the row numbers: an id or vector repeated often spreads too.
-    deal = lambda row, n: F.pmod(F.xxhash64(row), F.col(n)).cast("int")
-    stored = celled.join(blocks, "_cell").select(
-        "_cell", deal("_irow", "_nx").alias("_bx"),
-        F.explode(F.expr("sequence(0, _nq - 1)")).alias("_bq"), "_iid", "_ivec",
-    )
-    asked = routed.select("_qid", "_qvec", "_qrow", F.explode("_cells").alias("_cell")).join(blocks, "_cell").select(
-        "_cell", F.explode(F.expr("sequence(0, _nx - 1)")).alias("_bx"),
-        deal("_qrow", "_nq").alias("_bq"), "_qid", "_qvec",
-    )
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
-        if len(left) and len(right):
-            ids, vecs = right["_iid"].to_numpy(), _matrix(right["_ivec"])
-            for start in range(0, len(left), 512):
-                part = left.iloc[start : start + 512]
-                qs = _matrix(part["_qvec"])
-                d2 = _distances(qs, vecs) ** 2
-                for row, (qid, qv) in enumerate(zip(part["_qid"].to_numpy(), qs)):
-                    ok = np.ones(len(ids), dtype=bool)
-                    if exclude_self:
-                        ok &= ids != qid
-                    if earlier_only:
-                        ok &= ids < qid
-                    at = np.flatnonzero(ok)
-                    if len(at) > k:
-                        near = d2[row, at]
-                        at = at[near <= np.partition(near, k - 1)[k - 1] + slack]
-                    exact = ((vecs[at] - qv) ** 2).sum(1)
-                    for i in np.lexsort((ids[at], exact))[:k]:
-                        out.append((qid, ids[at[i]], exact[i]))
-        return pd.DataFrame(out, columns=["_qid", "_iid", "_d"])
-
-    keys = ["_cell", "_bx", "_bq"]
-    found = asked.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(best, "_qid long, _iid long, _d double")
-    closest = Window.partitionBy("_qid").orderBy("_d", "_iid")
-    value = F.col("_d") if metric == "l2sq" else F.sqrt("_d")
-    return (
-        found.withColumn("rank", F.row_number().over(closest)).where(F.col("rank") <= k)
-        .select(F.col("_qid").alias(query_id), F.col("_iid").alias("neighbor_id"), value.alias("distance"), "rank")
-    )
+    spark = queries.sparkSession
+    cells = CellIndex(spark, new_folder(spark))
+    cells.add(index, index_id, vector)
+    return cells.nearest(queries, k, query_id, vector, metric, exclude_self=exclude_self, earlier_only=earlier_only)
 
 
 def first_distinct(matches: DataFrame, query_id: str, k: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import jaccard, name_similarity, normalize_name, overlap, word_set, words
 from quillspark.operators.ordered import moving_average, with_position
-from quillspark.operators.seeds import greedy_seeds, prefix_tokens
+from quillspark.operators.seeds import candidates, greedy_seeds, jaccard_prefixes, plain, prefix_tokens
 from quillspark.operators.substrings import substring_pairs
 
 
@@ -22,11 +22,8 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
         sets.select("item", F.array_sort("tokens").alias("tokens")).where(F.size("tokens") > 0)
         .groupBy("tokens").agg(F.min("item").alias("item"))
     )
-    rare = prefix_tokens(distinct, F.ceil(F.size("tokens") * F.lit(threshold)))
-    pairs = (
-        rare.alias("x").join(rare.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.item") < F.col("y.item")))
-        .select(F.col("x.item").alias("item_a"), F.col("y.item").alias("item_b")).distinct()
-    )
+    rare = jaccard_prefixes(distinct, threshold).withColumnRenamed("token", "bucket")
+    pairs = candidates(rare, rare, threshold).select(F.col("early").alias("item_a"), F.col("late").alias("item_b")).distinct()
     a = distinct.select(F.col("item").alias("item_a"), F.col("tokens").alias("_a"))
     b = distinct.select(F.col("item").alias("item_b"), F.col("tokens").alias("_b"))
     return (
@@ -68,8 +65,8 @@ def group_similar(cases: DataFrame) -> DataFrame:
                          F.coalesce("description", F.lit("")).alias("description"))
     items = named.groupBy("name", "description").agg(F.min("seq").alias("item"))
     token_sets = items.select("item", word_set(F.col("name")).alias("tokens")).where(F.size("tokens") > 0)
-    shared_word = prefix_tokens(token_sets, F.ceil(F.size("tokens") * F.lit(0.5))).select(
-        "item", F.concat(F.lit("w:"), "token").alias("bucket")
+    shared_word = jaccard_prefixes(token_sets, 0.5).select(
+        "item", F.concat(F.lit("w:"), "token").alias("bucket"), "held", "size", "rest"
     )
     # Equal names share a bucket, and so do a name and those that contain it; containment counts from a length
     # ratio of 0.5 on.
@@ -79,7 +76,7 @@ def group_similar(cases: DataFrame) -> DataFrame:
     )
     own = items.select("item", F.concat(F.lit("s:"), "name").alias("bucket"))
     outer = items.join(contained, "name").select("item", F.concat(F.lit("s:"), "inner").alias("bucket"))
-    buckets = shared_word.unionByName(own).unionByName(outer)
+    buckets = shared_word.unionByName(plain(own.unionByName(outer)))
 
     columns = ("name", "name_words", "description_words")
 
@@ -89,7 +86,7 @@ def group_similar(cases: DataFrame) -> DataFrame:
     worded = items.select(
         "item", "name", word_set(F.col("name")).alias("name_words"), word_set(F.col("description")).alias("description_words")
     )
-    seeds = greedy_seeds(worded, buckets, verify)
+    seeds = greedy_seeds(worded, buckets, verify, threshold=0.5)
     found = items.join(seeds, "item").select("name", "description", F.col("seed").alias("pattern_seq"))
     return named.join(found, ["name", "description"]).select("seq", "pattern_seq")
 

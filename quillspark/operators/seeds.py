@@ -24,12 +24,25 @@ Verify = Callable[[str, str], Column]
 DOUBLINGS = 4  # pointer doublings in one stored table
 
 
-def _matches(items: DataFrame, early: DataFrame, late: DataFrame, verify: Verify) -> DataFrame:
-    """Verified ``(early, late, rank)`` of ``(item, bucket)`` rows that share a bucket, the earlier item first."""
-    pairs = (
-        early.select(F.col("item").alias("early"), "bucket").join(late.select(F.col("item").alias("late"), "bucket"), "bucket")
-        .where("early < late").select("early", "late").distinct()
-    )
+def candidates(early: DataFrame, late: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """``(early, late)`` of bucket rows (``item, bucket, held, size, rest``) that share a bucket, the earlier item first.
+
+    The smaller set of a pair must hold the bucket. Two sets of ``threshold`` Jaccard share at least
+    threshold / (1 + threshold) of their sizes' sum, the first shared token and at most the shorter ``rest``. Rows of
+    size 0 are no sets and meet all others.
+    """
+    left, right = (df.select("bucket", *[F.col(c).alias(f"{tag}_{c}") for c in ("item", "held", "size", "rest")]) for df, tag in ((early, "e"), (late, "l")))
+    smaller_first = left.where("e_held").join(right, "bucket").where("e_item < l_item AND e_size <= l_size")
+    larger_first = left.where("e_size > 0").join(right.where("l_held AND l_size > 0"), "bucket").where("e_item < l_item AND l_size < e_size")
+    small, large = F.least("e_size", "l_size"), F.greatest("e_size", "l_size")
+    least = F.ceil((small + large) * (threshold / (1.0 + threshold)) - 1e-9)
+    fits = (small == 0) | ((small >= large * F.lit(threshold) - 1e-9) & (F.least("e_rest", "l_rest") + 1 >= least))
+    return smaller_first.unionByName(larger_first).where(fits).select(F.col("e_item").alias("early"), F.col("l_item").alias("late"))
+
+
+def _matches(items: DataFrame, early: DataFrame, late: DataFrame, verify: Verify, threshold: float) -> DataFrame:
+    """Verified ``(early, late, rank)`` of bucket rows that share a bucket, the earlier item first."""
+    pairs = candidates(early, late, threshold).distinct()
     left = items.select(*[F.col(c).alias(f"l_{c}") for c in items.columns])
     right = items.select(*[F.col(c).alias(f"r_{c}") for c in items.columns])
     return (
@@ -87,15 +100,18 @@ def _decide(open_items: DataFrame, deps: DataFrame) -> DataFrame:
     return decided
 
 
-def greedy_seeds(items: DataFrame, buckets: DataFrame, verify: Verify, front: int = 16) -> DataFrame:
+def greedy_seeds(items: DataFrame, buckets: DataFrame, verify: Verify, front: int = 16, threshold: float = 0.0) -> DataFrame:
     """``(item, seed)`` for every item; a seed is its own seed.
 
     ``items`` has a unique, ordered long ``item`` plus whatever ``verify`` reads. ``buckets`` is
     ``(item, bucket)``: any two matching items must share a bucket. ``verify(left, right)`` gets the
     aliases of the earlier and the later item and returns their match rank, or null when they do not
-    match; an item joins the matching seed of highest rank, then the earliest.
+    match; an item joins the matching seed of highest rank, then the earliest. Buckets that come from
+    ``jaccard_prefixes`` with this ``threshold`` meet only where that allows a match.
     """
-    buckets = materialize(buckets.select("item", "bucket").distinct())
+    if "held" not in buckets.columns:
+        buckets = plain(buckets)
+    buckets = materialize(buckets.select("item", "bucket", "held", "size", "rest").distinct())
     ordered = Window.partitionBy("bucket").orderBy("item")
     lead = buckets.withColumn("_r", F.row_number().over(ordered)).where(F.col("_r") <= front).drop("_r")
     # An item in the front of all its buckets sees all its earlier matches.
@@ -103,7 +119,7 @@ def greedy_seeds(items: DataFrame, buckets: DataFrame, verify: Verify, front: in
         buckets.groupBy("item").agg(F.count(F.lit(1)).alias("_all"))
         .join(lead.groupBy("item").agg(F.count(F.lit(1)).alias("_in")), "item").where("_all = _in").select("item")
     )
-    matched = materialize(_matches(items, lead, buckets, verify))
+    matched = materialize(_matches(items, lead, buckets, verify, threshold))
     blocked = matched.select(F.col("late").alias("item")).distinct()
     # An item without buckets can match nothing.
     alone = items.select("item").join(buckets, "item", "left_anti")
@@ -113,7 +129,7 @@ def greedy_seeds(items: DataFrame, buckets: DataFrame, verify: Verify, front: in
     rest = items.select("item").join(seeds, "item", "left_anti")
     open_items = materialize(rest.join(won.select(F.col("late").alias("item")), "item", "left_anti"))
     edges = materialize(_matches(
-        items, buckets.join(open_items, "item", "left_semi"), buckets.join(rest, "item", "left_semi"), verify
+        items, buckets.join(open_items, "item", "left_semi"), buckets.join(rest, "item", "left_semi"), verify, threshold
     ))
     deps = edges.join(open_items.withColumnRenamed("item", "late"), "late", "left_semi").select("late", "early")
     decided = materialize(_decide(open_items, deps))
@@ -126,6 +142,29 @@ def greedy_seeds(items: DataFrame, buckets: DataFrame, verify: Verify, front: in
     )
 
 
+def plain(buckets: DataFrame) -> DataFrame:
+    """Bucket rows that meet all others of their bucket."""
+    return buckets.select("item", "bucket", F.lit(True).alias("held"), F.lit(0).alias("size"), F.lit(0).alias("rest"))
+
+
+def jaccard_prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """``(item, token, held, size, rest)``: prefixes of each set, rarest tokens first, for a self-join of ``threshold`` Jaccard.
+
+    A set of size s shares at least ``threshold * s`` tokens with a larger or smaller match, so one of its
+    ``s - ceil(threshold * s) + 1`` rarest is shared. With a match at least as large it shares even
+    ``2 * threshold / (1 + threshold) * s``: the fewer tokens that this needs are ``held``, the others only meet what
+    smaller sets hold. A token that is common in all its sets is held by none, and makes no candidates at all.
+    """
+    tokens = sets.select("item", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    rarity = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_n"))
+    rare_first = Window.partitionBy("item").orderBy("_n", "token")
+    ranked = tokens.join(rarity, "token").withColumn("_r", F.row_number().over(rare_first))
+    upto = lambda share: F.col("size") - F.ceil(F.col("size") * F.lit(share) - 1e-9) + 1
+    return ranked.where(F.col("_r") <= upto(threshold)).select(
+        "item", "token", (F.col("_r") <= upto(2 * threshold / (1 + threshold))).alias("held"), "size", (F.col("size") - F.col("_r")).alias("rest"),
+    )
+
+
 def prefix_tokens(sets: DataFrame, min_shared: Column, group: str | None = None) -> DataFrame:
     """``(item, token)``: each set's rarest tokens, enough that any two qualifying sets share one.
 

@@ -27,6 +27,11 @@ _KEYS = {"labels": ["doc_id", "agent_id"], "final_labels": ["doc_id"]}
 RUN = "batch"
 
 
+def _before(run: str, batch: int) -> Column:
+    """Rows of other runs, and of earlier batches of this one."""
+    return (F.col("run") != run) | (F.col("batch") < batch)
+
+
 @dataclass(frozen=True)
 class Store:
     """Folders of one label store. A table is a series of batches of runs; writing a batch again replaces it.
@@ -41,7 +46,7 @@ class Store:
 
     def _rows(self, spark: SparkSession, name: str, before: tuple[str, int] | None) -> DataFrame:
         rows = stored_or_empty(spark, self.path(name), f"{_SCHEMAS[name]}, run string, batch long")
-        return rows if before is None else rows.where((F.col("run") != before[0]) | (F.col("batch") < before[1]))
+        return rows if before is None else rows.where(_before(*before))
 
     def read(self, spark: SparkSession, name: str, before: tuple[str, int] | None = None) -> DataFrame:
         """The table's rows with all columns ever stored, the last write per key.
@@ -59,21 +64,35 @@ class Store:
     def write(self, name: str, rows: DataFrame, batch: int, run: str = RUN) -> None:
         sinks.replace_table(rows, f"{self.path(name)}/run={run}/batch={batch}")
 
+    def cells(self, spark: SparkSession) -> neighbors.CellIndex:
+        """The index in cells, to which each batch adds its own rows; made from the index table where a store has none yet."""
+        cells = neighbors.CellIndex(spark, self.path("cells"))
+        if not len(cells.pivots()):
+            cells.add(self._rows(spark, "index", None), "doc_id")
+        return cells
+
     def clear(self, spark: SparkSession) -> None:
         """Start every table of the store anew."""
+        neighbors.CellIndex(spark, self.path("cells")).clear()
         for name, schema in _SCHEMAS.items():
             empty = spark.createDataFrame([], f"{schema}, run string, batch long")
             empty.write.mode("overwrite").partitionBy("run", "batch").parquet(self.path(name))
 
 
-def with_examples(docs: DataFrame, index: DataFrame, documents: DataFrame, finals: DataFrame, config: LabelConfig) -> DataFrame:
+def with_examples(
+    docs: DataFrame, index: DataFrame | neighbors.CellIndex, documents: DataFrame, finals: DataFrame, config: LabelConfig, admit: Column | None = None,
+) -> DataFrame:
     """Documents with the prompt block of their nearest labeled predecessors in ``index``.
 
-    ``docs`` has ``doc_id`` and ``embedding``. Ids come oversampled by five, without the document itself and
+    ``index`` is a table that is cut for this call, or a stored index of cells, of which ``admit`` says which runs and batches
+    count. ``docs`` has ``doc_id`` and ``embedding``. Ids come oversampled by five, without the document itself and
     without repeats; examples are listed by label time, the latest first. Texts are cut to what the formatter
     may show before they are joined.
     """
-    near = neighbors.nearest(docs, index, config.examples_k + 5, "doc_id", "doc_id", exclude_self=False)
+    if isinstance(index, DataFrame):
+        near = neighbors.nearest(docs, index, config.examples_k + 5, "doc_id", "doc_id", exclude_self=False)
+    else:
+        near = index.nearest(docs, config.examples_k + 5, "doc_id", exclude_self=False, admit=admit)
     near = neighbors.first_distinct(near, "doc_id", config.examples_k)
     ids = near.select("doc_id", F.col("neighbor_id"))
     shown = documents.withColumn("text", F.substring("text", 1, config.examples_chars))
@@ -110,15 +129,16 @@ def label_corpus(
     if fresh:
         where.clear(spark)
     number = 0 if fresh else (where.next_batch(spark, run) if batch is None else batch)
-    known, finals, index, calls = (
-        where.read(spark, n, before=(run, number)) for n in ("documents", "final_labels", "index", "cache")
-    )
+    known, finals, calls = (where.read(spark, n, before=(run, number)) for n in ("documents", "final_labels", "cache"))
     if cache is not None:
         calls = cache.unionByName(calls.join(cache.select("key"), "key", "left_anti"))
     calls = materialize(calls.dropDuplicates(["key"]))
     last = known.agg(F.max("doc_id")).first()[0] or 0
     numbered = _numbered(docs, last)
-    asked = with_examples(numbered, index, known, finals, config) if config.retrieval else numbered
+    asked = numbered
+    if config.retrieval:
+        cells = where.cells(spark)
+        asked = with_examples(numbered, cells, known, finals, config, admit=_before(run, number))
     journal = labeling.Journal()
     labeled = materialize(labeling.label_documents(asked, config, calls, journal).withColumn("created_at", stamp))
     per_agent, final = labeling.label_rows(labeled, config, F.col("created_at"))
@@ -135,6 +155,8 @@ def label_corpus(
         rows["index"] = labeled.select("doc_id", "embedding", meta.alias("metadata"))
     for name, part in rows.items():
         where.write(name, part, number, run)
+    if config.retrieval:
+        cells.add(labeled.select("doc_id", "embedding"), "doc_id", run=run, batch=number)
     return labeled
 
 

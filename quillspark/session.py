@@ -54,6 +54,11 @@ def _tables_folder(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark)}/tables/{spark.sparkContext.applicationId}"
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path of its own among the intermediate tables."""
+    return f"{_tables_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application; DataFrames that read them can't be used any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(_tables_folder(spark))
@@ -67,7 +72,7 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     statistics by which Spark decides on broadcast joins.
     """
     spark = df.sparkSession
-    path = f"{_tables_folder(spark)}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)

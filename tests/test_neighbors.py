@@ -80,3 +80,68 @@ def test_blocks_stay_below_their_size(spark, monkeypatch):
     assert len(sizes) == 12 and max(sizes) <= 50
     got = neighbors.nearest(df.where("id < 20"), df, 3, "id", "id")
     assert got.count() == 60
+
+
+def _cells(spark):
+    from quillspark.session import new_folder
+
+    return neighbors.CellIndex(spark, new_folder(spark))
+
+
+def _found(rows):
+    got: dict = {}
+    for r in rows.orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["neighbor_id"])
+    return got
+
+
+def test_batches_are_added_to_stored_cells(spark, vectors, monkeypatch):
+    df = spark.createDataFrame(vectors, "id long, embedding array<float>")
+    index = _cells(spark)
+    assert index.nearest(df, 3, "id").count() == 0
+    index.add(df.where("id < 150"), "id", batch=0)
+    first = {r["_iid"]: r["_cell"] for r in spark.read.parquet(f"{index.folder}/rows").collect()}
+    chosen = index.pivots()
+    monkeypatch.setattr(neighbors.CellIndex, "_choose_pivots", None)  # no pivots are chosen again
+    index.add(df.where("id >= 150"), "id", batch=1)
+    files = {r["file"]: r["batch"] for r in spark.read.parquet(f"{index.folder}/rows").select(F.input_file_name().alias("file"), "batch").distinct().collect()}
+    again = {r["_iid"]: r["_cell"] for r in spark.read.parquet(f"{index.folder}/rows").collect()}
+    assert {i: again[i] for i in first} == first and set(files.values()) == {0, 1} and np.array_equal(chosen, index.pivots())
+    assert _found(index.nearest(df, 5, "id")) == _brute(vectors, 5)
+    only = _found(index.nearest(df, 5, "id", admit=F.col("batch") < 1))
+    assert only == {i: [j for j in _brute(vectors, 239)[i] if j < 150][:5] for i, _ in vectors}
+    index.add(df.where("id >= 150"), "id", batch=1)  # again: replaced, not repeated
+    assert spark.read.parquet(f"{index.folder}/rows").count() == 240
+
+
+def test_a_merged_index_gives_the_same_rows(spark, vectors):
+    df = spark.createDataFrame(vectors, "id long, embedding array<float>")
+    index = _cells(spark)
+    for batch in range(3):
+        index.add(df.where(F.col("id") % 3 == batch), "id", batch=batch)
+    merged = index.merged(_cells(spark).folder)
+    assert len(merged.pivots()) > len(index.pivots())
+    assert _found(merged.nearest(df, 4, "id", earlier_only=True)) == _found(index.nearest(df, 4, "id", earlier_only=True))
+
+
+def test_rows_are_excluded_by_reference_distances(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 64)) * 3
+    rows = [(i, (centres[i % 20] + rng.normal(size=64) * 0.2 * (1 + i % 7)).astype(np.float32).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    index = _cells(spark)
+    index.add(df, "id")
+    asked = df.where("id % 10 = 0")
+    compared = index.search(asked, 5, "id").agg(F.sum("_compared")).first()[0]
+    assert compared < 0.1 * 300 * 3000  # of the pairs of all queries and rows
+
+
+def test_arrays_of_distances_stay_below_a_tile(spark, vectors, monkeypatch):
+    shapes = []
+    whole = neighbors._distances
+    assert neighbors._step(65_536 * (neighbors.HEADS + 1)) * 65_536 * (neighbors.HEADS + 1) <= neighbors.TILE
+    assert all(neighbors._step(n) * n <= max(n, neighbors.TILE) for n in (1, 100, 10_000, 1_000_000, 10_000_000))
+    monkeypatch.setattr(neighbors, "TILE", 40)
+    df = spark.createDataFrame(vectors, "id long, embedding array<float>")
+    monkeypatch.setattr(neighbors, "_distances", lambda a, b: shapes.append((len(a), len(b))) or whole(a, b))
+    assert _found(neighbors.nearest(df.where("id < 30"), df, 5, "id", "id")) == {i: v for i, v in _brute(vectors, 5).items() if i < 30}

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import patterns
@@ -162,3 +163,26 @@ def test_dense_random_matches_follow_the_ordered_walk(spark):
         want[i] = mine[0] if mine else i
         found += [] if mine else [i]
     assert got == want
+
+
+def test_candidates_of_a_popular_word_are_few(spark):
+    from quillspark.operators.seeds import candidates, jaccard_prefixes
+
+    n = 8000
+    sets = spark.range(n).select(F.col("id").alias("item"), F.array(F.lit("check"), F.concat(F.lit("w"), F.col("id").cast("string"))).alias("tokens"))
+    rows = jaccard_prefixes(sets, 0.5).withColumnRenamed("token", "bucket")
+    assert candidates(rows, rows, 0.5).count() < 10 * n
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
+def test_candidates_hold_every_similar_pair(spark, threshold):
+    from quillspark.operators.seeds import candidates, jaccard_prefixes
+
+    rnd = random.Random(11)
+    words = [f"w{int(rnd.paretovariate(0.7))}" for _ in range(400)]
+    sets = sorted({tuple(sorted({rnd.choice(words) for _ in range(rnd.randint(1, 9))})) for _ in range(260)})
+    df = spark.createDataFrame([(i, list(s)) for i, s in enumerate(sets)], "item long, tokens array<string>")
+    rows = jaccard_prefixes(df, threshold).withColumnRenamed("token", "bucket")
+    got = {tuple(r) for r in candidates(rows, rows, threshold).collect()}
+    similar = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and len({*a} & {*b}) >= threshold * len({*a} | {*b}) - 1e-9}
+    assert similar <= got
