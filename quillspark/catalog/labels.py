@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -577,10 +578,46 @@ def _counting_miner():
 def extracted_patterns(spark, sf):
     """Patterns mined from the entries labeled toxic, chunk by chunk, and merged."""
     entries = files.label_entries(_label_files(spark, sf))
-    found = extraction.extract_patterns(entries, "toxic", "1", "why", _counting_miner)
+    found = extraction.extract_patterns(entries, "toxic", "1", "why", _counting_miner, max_examples=None)
     return found.patterns.select("pattern_name", "members", "example_count")
 
 
+def _naming_miner():
+    """A miner by rule: one pattern a chunk, named by its first document, citing the first and the last example."""
+
+    def ask(prompt: str):
+        n, first = prompt.count("--- Example "), re.search(r"Doc ID: (\S+)", prompt)[1]
+        pattern = {
+            "pattern_name": f"case {first}", "pattern_description": "named", "pattern_category": "case", "confidence_score": 0.5,
+            "distinguishing_features": [], "code_indicators": [], "example_indices": [1, n],
+        }
+        return [pattern], f"named {first}"
+
+    return ask
+
+
+def _grouping_consolidator():
+    """A consolidator by rule: all patterns of a prompt become one, named by their number."""
+
+    def ask(prompt: str):
+        n = prompt.count("--- Pattern ")
+        pattern = {
+            "pattern_name": f"group of {n}", "pattern_description": "grouped", "pattern_category": "case", "confidence_score": 0.5,
+            "distinguishing_features": [], "code_indicators": [], "example_indices": list(range(1, n + 1)),
+        }
+        return [pattern], f"took {n}"
+
+    return ask
+
+
+def consolidated_patterns(spark, sf):
+    """One pattern for each five entries labeled toxic, consolidated in prompts of four, level by level."""
+    found = extraction.extract_patterns(
+        files.label_entries(_label_files(spark, sf)), "toxic", "1", "why", _naming_miner, _grouping_consolidator, max_examples=None,
+        chunk_size=5, prompt_patterns=4)
+    return found.patterns.select("pattern_name", "example_count")
+
+
 # Text and assertions --------------------------------------------------------------------------------
 
 
@@ -625,7 +662,7 @@ QUERIES = {
         knn_repeated_ids, knn_missing_vector, knn_two_batches, same_names, typed_conditions, label_corpus_twice, label_corpus_usage,
         knn_confident, knn_label_vote, examples_block, normalized_names, similar_names, word_similarity, pattern_groups, created_patterns, stored_patterns,
         merged_patterns, pattern_statistics, pattern_confidence, chunk_assign, example_references, consolidated_references,
-        alteration_counts, extracted_patterns, altered_entries, alteration_errors, field_value_examples, ncloc_documents, assertion_names, statement_kinds,
+        alteration_counts, extracted_patterns, consolidated_patterns, altered_entries, alteration_errors, field_value_examples, ncloc_documents, assertion_names, statement_kinds,
         nearest_earlier_value, source_ranking,
     )
 }

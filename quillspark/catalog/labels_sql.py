@@ -323,5 +323,14 @@ SELECT pattern_seq, 'p' || pattern_seq AS pattern_id, pattern_name, confidence_s
 
 # Chunks of 20 of the first 50; their names share two words of three, so all merge under the first.
 SQL["extracted_patterns"] = """
-WITH n AS (SELECT least(count(*), 50) AS n FROM labels l JOIN documents d USING (doc_id) WHERE toxic = 1)
+WITH n AS (SELECT count(*) AS n FROM labels l JOIN documents d USING (doc_id) WHERE toxic = 1)
 SELECT 'seen ' || least(n, 20) || ' examples' AS pattern_name, CAST(ceil(n / 20.0) AS BIGINT) AS members, n AS example_count FROM n WHERE n > 0"""
+SQL["consolidated_patterns"] = """
+WITH RECURSIVE e AS (
+  SELECT doc_id, row_number() OVER (ORDER BY '/out/' || source || '/' || doc_id || '.json') - 1 AS pos FROM labels JOIN documents USING (doc_id) WHERE toxic = 1),
+chunks AS (SELECT pos // 5 AS chunk, arg_min(doc_id, pos) AS first_doc, least(count(*), 2) AS refs FROM e GROUP BY pos // 5),
+levels AS (
+  SELECT count(*) AS inputs FROM chunks
+  UNION ALL SELECT CAST(ceil(inputs / 4.0) AS BIGINT) FROM levels WHERE inputs > 4)
+SELECT 'group of ' || (SELECT min(inputs) FROM levels) AS pattern_name, CAST(sum(refs) AS BIGINT) AS example_count FROM chunks HAVING count(*) > 3
+UNION ALL SELECT 'case ' || first_doc, refs FROM chunks WHERE (SELECT count(*) FROM chunks) <= 3"""

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.functions.labels import FIELD_TRANSFORMS, TARGET_COMBINATIONS, json_path, matches_combination
 from quillspark.operators.ordered import rolling_blocks
@@ -57,26 +61,47 @@ def rolling_kappa(
 ) -> DataFrame:
     """Kappa over the last ``window`` rows at each row, separately per ``field``.
 
-    The frame grows from one row up to ``window``. Order ties are broken by the last order column.
+    The frame grows from one row up to ``window``. Order ties are broken by the last order column. Each block of rows
+    keeps running counts, so the cost of a row does not grow with the window.
     """
     rows = ratings.select(field, *order, F.col(a).cast("string").alias("_a"), F.col(b).cast("string").alias("_b"))
     if drop_missing:
         rows = rows.where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
-    spread, frame = rolling_blocks(rows, [field], order, window)
-    pairs = F.collect_list(F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"))).over(frame)
-    seen = spread.withColumn("_pairs", pairs).where(~F.col("_halo"))
-    p = F.col("_pairs")
-    n = F.size(p).cast("long")
-    agree = F.size(F.filter(p, lambda x: x["a"].eqNullSafe(x["b"]))).cast("long")
-    values = F.array_distinct(F.transform(p, lambda x: x["a"]))
-    marginal = F.aggregate(
-        values,
-        F.lit(0).cast("long"),
-        lambda acc, v: acc
-        + F.size(F.filter(p, lambda x: x["a"].eqNullSafe(v))).cast("long")
-        * F.size(F.filter(p, lambda x: x["b"].eqNullSafe(v))).cast("long"),
-    )
-    return seen.select(*order, _kappa(n, agree, marginal).alias("kappa"), n.cast("int").alias("n"), field)
+    spread, _ = rolling_blocks(rows, [field], order, window)
+    counts = T.StructType([T.StructField(c, T.LongType()) for c in ("_n", "_agree", "_marginal")])
+
+    def count(block: pa.Table) -> pa.Table:
+        block = block.sort_by("_pos")
+        both = pa.concat_arrays([x for c in ("_a", "_b") for x in block[c].chunks])
+        codes = pc.dictionary_encode(both, null_encoding="encode").indices.to_numpy().astype(np.int64)
+        for name, values in zip(counts.names, rolling_counts(codes[: len(block)], codes[len(block) :], window), strict=True):
+            block = block.append_column(name, pa.array(values, pa.int64()))
+        return block.filter(pc.invert(block["_halo"]))
+
+    seen = spread.groupBy(field, "_block").applyInArrow(count, T.StructType([*spread.schema.fields, *counts.fields]))
+    return seen.select(*order, _kappa(F.col("_n"), F.col("_agree"), F.col("_marginal")).alias("kappa"), F.col("_n").cast("int").alias("n"), field)
+
+
+def rolling_counts(a: np.ndarray, b: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row the size of its window, how often both raters agree in it, and the sum of their marginal products.
+
+    That sum is the number of pairs of rows in the window where one rater's value is the other's. A row that enters adds its
+    pairs with the rows before it in the window, one that leaves takes away those with the rows after it; both are
+    counted in the sorted places of each value, and running sums do the rest.
+    """
+    rows = len(a)
+    at = np.arange(rows)
+    places = [np.sort(x * rows + at) for x in (a, b)]
+
+    def times(side: int, value: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        keys = places[side]
+        return np.searchsorted(keys, value * rows + last, side="right") - np.searchsorted(keys, value * rows + first)
+
+    low, high = np.maximum(at - window + 1, 0), np.minimum(at + window - 1, rows - 1)
+    enters = np.cumsum(times(1, a, low, at) + times(0, b, low, at) - (a == b))
+    leaves = np.concatenate([[0], np.cumsum(times(1, a, at, high) + times(0, b, at, high) - (a == b))])
+    agree = np.concatenate([[0], np.cumsum(a == b)])
+    return at - low + 1, agree[at + 1] - agree[low], enters - leaves[low]
 
 
 def label_field_ratings(

@@ -80,10 +80,10 @@ def altered_files(altered: DataFrame) -> DataFrame:
     )
 
 
-def field_examples(entries: DataFrame, field: str, value: str, reasoning_field: str, max_examples: int) -> DataFrame:
-    """First ``max_examples`` entries, by file and item, whose label field has the value."""
+def field_examples(entries: DataFrame, field: str, value: str, reasoning_field: str, max_examples: int | None) -> DataFrame:
+    """First ``max_examples`` entries (None: all), by file and item, whose label field has the value."""
     hits = entries.where(json_path("final_label", field) == value)
-    rows = first_rows(hits, ["path", "item"], max_examples)
+    rows = hits if max_examples is None else first_rows(hits, ["path", "item"], max_examples)
     return rows.select(
         F.col("item").alias("source"), "project", F.coalesce(json_path("entry", "doc_id"), F.lit("unknown")).alias("doc_id"),
         F.coalesce(json_path("entry", "code"), F.lit("")).alias("code"),

@@ -230,10 +230,12 @@ def resolve_examples(found: DataFrame, examples: DataFrame) -> DataFrame:
 
 
 def resolve_consolidated(consolidated: DataFrame, inputs: DataFrame, references: DataFrame) -> DataFrame:
-    """References of consolidated patterns: the distinct references of the 1-based inputs they cite."""
-    numbered = with_position(inputs.select("seed"), [], ["seed"], "input")
-    cited = consolidated.select("pattern", F.explode(F.col("example_indices").cast("array<long>")).alias("input")).distinct()
+    """References of consolidated patterns: the distinct references of the 1-based inputs of their chunk that they cite.
+
+    ``consolidated`` has ``pattern, chunk, example_indices``; ``inputs`` has ``seed, chunk, index_in_chunk``.
+    """
+    cited = consolidated.select("pattern", "chunk", F.explode(F.col("example_indices").cast("array<long>")).alias("index_in_chunk")).distinct()
     return (
-        cited.join(numbered, "input").join(references, "seed")
+        cited.join(inputs.select("seed", "chunk", "index_in_chunk"), ["chunk", "index_in_chunk"]).join(references, "seed")
         .groupBy("pattern", "file_path", "doc_id").agg(F.max("project").alias("project"))
     )

@@ -1,4 +1,5 @@
 import json
+import re
 import sys
 
 from pyspark import cloudpickle
@@ -59,3 +60,30 @@ def test_consolidation_merges_references(spark):
     row = out.patterns.first()
     assert row["pattern_name"] == "all" and row["example_count"] == 2
     assert {r["file_path"] for r in out.references.collect()} == {"t000.py", "t001.py"}
+
+
+def _numbered():
+    return lambda prompt: ([{**_pattern(f"case {re.search('File: t([0-9]+)', prompt)[1]}", [1, 2]), "code_indicators": []}], "s")
+
+
+def _halves():
+    def ask(prompt):
+        n = prompt.count("--- Pattern ")
+        return [_pattern(f"odd {prompt[:60]}", list(range(1, n + 1, 2))), _pattern(f"even {prompt[:60]}", list(range(2, n + 1, 2)))], "s"
+
+    return ask
+
+
+def test_consolidation_by_levels_keeps_all_references(spark):
+    out = extraction.extract_patterns(
+        _entries(spark, 60), "f", "none", "why", _numbered, _halves, max_examples=None, chunk_size=3, prompt_patterns=4)
+    assert out.merged == 20 and out.patterns.count() == 2  # 20, 10, 6, 4, 2
+    assert sum(r["example_count"] for r in out.patterns.collect()) == 40
+    assert sorted(r["file_path"] for r in out.references.collect()) == sorted(f"t{i:03d}.py" for i in range(60) if i % 3 < 2)
+
+
+def test_consolidation_that_does_not_shrink_ends(spark):
+    same = lambda: lambda prompt: ([_pattern(f"kept {i}", [i + 1]) for i in range(prompt.count("--- Pattern "))], "s")
+    out = extraction.extract_patterns(
+        _entries(spark, 18), "f", "none", "why", _numbered, same, max_examples=None, chunk_size=3, prompt_patterns=4)
+    assert out.patterns.count() == 6 and out.references.count() == 12
