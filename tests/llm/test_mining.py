@@ -57,8 +57,7 @@ def phrases():
     return rows
 
 
-@pytest.mark.parametrize("budget", [1 << 20, 50])
-@pytest.mark.parametrize("bits", [15, 25])
+@pytest.mark.parametrize(("budget", "bits"), [(1 << 20, 25), (50, 15)])
 def test_collocations_equal_plain_counts(spark, phrases, budget, bits):
     docs = spark.createDataFrame([(x, t, "other") for x, t in phrases], "lang string, text string, k1 string").repartition(5)
     got = collocations.collocations(docs, top=25, least=8, filter_bits=bits, budget=budget)
