@@ -18,6 +18,7 @@ from quillspark import sinks
 from quillspark.plans import corpus, extraction
 from quillspark.session import checkpoint_root, materialize, new_folder
 from quillspark.sources import files
+from quillspark.sources.label_files import stored_label_members
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -561,6 +562,25 @@ def field_value_examples(spark, sf):
     return out.select("source", "project", "doc_id", "code", "reasoning", "path")
 
 
+def label_file_entries(spark, sf):
+    """Labels written as result rows, one a line, and as one object of items a language and line, and read back by both layouts."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    rows = table(spark, sf, "labels").join(docs, "doc_id")
+    label = F.to_json(F.struct("quality", "toxic"))
+    item = F.concat(F.lit('doc "'), F.col("doc_id").cast("string"), F.lit('", {\\'))
+    root = new_folder(spark)
+    sinks.result_rows(rows.select(item.alias("item"), "doc_id", label.alias("final_label")), f"{root}/rows")
+    record = F.to_json(F.struct("doc_id", F.struct("quality", "toxic").alias("final_label"), F.lit("a, [b").alias("code")))
+    member = F.concat(F.regexp_replace(F.to_json(F.array(item)), r"^\[|\]$", ""), F.lit(":"), record)
+    bodies = rows.groupBy("lang", F.pmod("doc_id", F.lit(50)).alias("part")).agg(F.collect_list(member).alias("m"))
+    body = F.concat(F.lit("{"), F.array_join("m", ","), F.lit("}"))
+    bodies.select(body.alias("value")).write.text(f"{root}/objects.json")
+    # Spark's text files end in .txt
+    entries = files.entries_of(stored_label_members(spark, f"{root}/rows")).select(F.lit("rows").alias("layout"), "*").unionByName(
+        files.entries_of(stored_label_members(spark, f"{root}/objects.json", ".txt")).select(F.lit("objects").alias("layout"), "*"))
+    return entries.groupBy("layout", "item", "final_label").agg(F.count(F.lit(1)).alias("files"))
+
+
 def _counting_miner():
     """A miner by rule: one pattern a chunk, named by how many examples its prompt shows, citing all of them."""
 
@@ -662,7 +682,7 @@ QUERIES = {
         knn_repeated_ids, knn_missing_vector, knn_two_batches, same_names, typed_conditions, label_corpus_twice, label_corpus_usage,
         knn_confident, knn_label_vote, examples_block, normalized_names, similar_names, word_similarity, pattern_groups, created_patterns, stored_patterns,
         merged_patterns, pattern_statistics, pattern_confidence, chunk_assign, example_references, consolidated_references,
-        alteration_counts, extracted_patterns, consolidated_patterns, altered_entries, alteration_errors, field_value_examples, ncloc_documents, assertion_names, statement_kinds,
+        alteration_counts, extracted_patterns, consolidated_patterns, altered_entries, alteration_errors, field_value_examples, label_file_entries, ncloc_documents, assertion_names, statement_kinds,
         nearest_earlier_value, source_ranking,
     )
 }

@@ -234,6 +234,10 @@ UNION ALL SELECT path, source, 'note', 'other', NULL, NULL, false FROM r""",
     "field_value_examples": _FILES + """
 SELECT 'doc' AS source, source AS project, CAST(doc_id AS VARCHAR) AS doc_id, 'lang ' || lang AS code, 'No reasoning provided' AS reasoning, path
 FROM r WHERE toxic = 1 ORDER BY path LIMIT 10""",
+    "label_file_entries": """
+WITH l AS (SELECT DISTINCT 'doc "' || doc_id || '", {' || chr(92) AS item, '{"quality":' || quality || ',"toxic":' || toxic || '}' AS final_label
+  FROM labels JOIN documents USING (doc_id))
+SELECT layout, item, final_label, CAST(1 AS BIGINT) AS files FROM l, (VALUES ('rows'), ('objects')) v(layout)""",
     "ncloc_documents": """
 SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^\\s*(#|$)'))) AS ncloc FROM documents""",
     "assertion_names": """

@@ -16,6 +16,7 @@ from quillspark.operators.store import pairwise_labels
 from quillspark.plans import analysis, corpus, extraction
 from quillspark.session import drop_tables, get_session, materialize
 from quillspark.sources import files
+from quillspark.sources.label_files import stored_label_members
 
 
 def load_module(path: str) -> ModuleType:
@@ -68,7 +69,7 @@ def _kappa(spark, args) -> None:
 
 def _extract(spark, args) -> None:
     module = load_module(args.config)
-    members = materialize(files.label_members(files.label_files(spark, args.root)))
+    members = materialize(stored_label_members(spark, args.root))
     files.unread_files(members).show(truncate=False)
     entries = files.entries_of(members)
     for field in dict.fromkeys(args.field):

@@ -164,13 +164,15 @@ def alter_corpus(spark: SparkSession, input_root: str, output_root: str, conditi
     """Relabel matching entries of label files; returns the counts row and the error rows.
 
     A dry run labels too, it only writes nothing. ``sources`` is ``(file, content)`` of the files that entries
-    without code are about. Label files that cannot be read are among the errors.
+    without code are about. Label files that cannot be read are among the errors. A file of one object a line is
+    written as one object of items.
     """
     from quillspark.operators import alter
     from quillspark.sources import files
+    from quillspark.sources.label_files import stored_label_members
 
     originals = files.label_files(spark, input_root)
-    members = materialize(files.label_members(originals))
+    members = materialize(stored_label_members(spark, input_root))
     marked = materialize(alter.mark_entries(files.entries_of(members), conditions))
     wanted = marked.where("matches").select("path", "item", "entry")
     # a record without code falls back on the file it names, then on what its unit resolves to

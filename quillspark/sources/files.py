@@ -181,9 +181,9 @@ def _members(text: str) -> dict[str, tuple[int, int]]:
 def label_members(files: DataFrame) -> DataFrame:
     """``path, item, value, error``: the members of label files as JSON text, a row each, in batches bounded by bytes.
 
-    A file is one JSON object of items, or one such object a line (the layout for large corpora, which Spark
-    splits when it reads). A body of any size is taken apart by position and never becomes one value. A body
-    that cannot be read gives one row with ``error``.
+    A body is one JSON object of items, taken apart by position. A body that cannot be read gives one row with
+    ``error``. Files that hold one object a line, or are too large for one value, are read by
+    ``label_files.stored_label_members``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,11 +228,14 @@ def entries_of(members: DataFrame) -> DataFrame:
 
     ``entry`` and ``final_label`` are JSON text. ``is_record`` tells records from stray values, and
     ``final_label`` is null for a stray value or a label that is not an object; a record without one has an
-    empty label.
+    empty label. The label of a result row (``line``) may be an object as text.
     """
     each = members.where("item IS NOT NULL").withColumn("_e", F.try_parse_json("value"))
     is_record = F.coalesce(F.schema_of_variant("_e").startswith("OBJECT"), F.lit(False))
     label = F.when(is_record, F.try_variant_get("_e", "$.final_label", "variant"))
+    if "line" in members.columns:  # rows of results hold their label as text
+        written = F.try_parse_json(F.try_variant_get("_e", "$.final_label", "string"))
+        label = F.when(F.col("line") & (F.schema_of_variant(label) == "STRING") & written.isNotNull(), written).otherwise(label)
     label_json = F.when(label.isNull() & is_record, F.lit("{}")).when(
         F.schema_of_variant(label).startswith("OBJECT"), F.to_json(label)
     )
