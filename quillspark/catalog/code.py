@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quillspark.catalog.derived import symbol_tables, variant_files
+from quillspark.catalog.derived import symbol_tables, typed_files, variant_files
 from quillspark.operators import agents, callgraph, frameworks, ordered, quality, rules, tools
-from quillspark.operators.symbols import build_parsed, build_tables, is_test_path, load_tables, save_tables, smallest_enclosing
+from quillspark.operators.symbols import build_parsed, build_tables, is_test_path, load_tables, local_types, save_tables, smallest_enclosing, with_local_receivers
 from quillspark.plans import analysis
 from quillspark.session import checkpoint_root, materialize
 
@@ -276,6 +276,13 @@ def variant_functions(spark, sf):
     return t.select("project", "qualified_name", "kind")
 
 
+def local_receivers(spark, sf):
+    """Types of the objects that methods are called on, by what their names were bound to."""
+    parsed = build_parsed(typed_files(spark, sf), spread=True)
+    calls = with_local_receivers(build_tables(parsed).call_sites, local_types(parsed)).where("method_name = 'run'")
+    return _big(calls, "project", "module", "function", "receiver_expr", "receiver_type", "start_line")
+
+
 def stored_analysis(spark, sf):
     """The functions of an analysis that was stored under a name and loaded again."""
     path = f"{checkpoint_root(spark)}/analyses/{uuid.uuid4().hex}"
@@ -312,6 +319,6 @@ QUERIES = {
     "enclosing_functions": enclosing_functions, "test_methods": test_methods, "decorated_methods": decorated_methods,
     "classes_by_criteria": classes_by_criteria, "test_module_predicate": test_module_predicate,
     "application_report": application_report, "stored_analysis": stored_analysis, "agent_variants": agent_variants,
-    "variant_functions": variant_functions, "report_agents": report_agents,
+    "variant_functions": variant_functions, "local_receivers": local_receivers, "report_agents": report_agents,
     "report_tests": report_tests,
 }

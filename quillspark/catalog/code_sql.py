@@ -322,3 +322,11 @@ SELECT project, framework, 'build_' || k AS name, qualified_name AS method_signa
   (14, 'crewai', 'CrewAI agent created via Agent constructor')) x(v, framework, description) USING (v)"""
 SQL["variant_functions"] = _VARIANTS + """
 SELECT project, qualified_name, CASE shape WHEN 2 THEN 'method' ELSE 'function' END AS kind FROM n WHERE v <> 17"""
+
+SQL["local_receivers"] = """
+SELECT p_brand AS project, 'made/m' || p_partkey || '.py' AS module, 'm' || p_partkey || '.' || scope AS function,
+  receiver_expr, kind || p_partkey AS receiver_type, CAST(start_line AS BIGINT) AS start_line
+FROM part JOIN (VALUES (0, 'go', 'x', 'Foo', 3), (1, 'go', 'd', 'Foo', 6), (2, 'go', 'x', 'Foo', 3), (2, 'go', 'x', 'Bar', 5),
+  (3, 'go', 'x', NULL, 4), (4, 'Box.go', 'x', 'Foo', 3), (4, 'Box.stay', 'x', NULL, 6), (5, 'go', 'x', 'Foo', 3), (6, 'go', 'x', 'Foo', 2),
+  (7, 'go', 'b', 'Foo', 5), (7, 'go', 'b', 'Foo', 6), (7, 'go', 'b', NULL, 7), (8, 'go', 'x', NULL, 3), (8, 'go', 'y', 'Foo', 5)
+) v(shape, scope, receiver_expr, kind, start_line) ON p_partkey % 9 = shape"""

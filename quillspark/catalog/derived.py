@@ -206,6 +206,30 @@ def variant_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Ways to come by an object, one a part, in the order of ``p_partkey % 9``.
+TYPED_SHAPES = (
+    "def go():\n    x = Foo{k}(1)\n    x.run()\n",
+    "def go():\n    a = Foo{k}(1)\n    b = a\n    c = b\n    d = c\n    d.run()\n",
+    "def go():\n    x = Foo{k}(1)\n    x.run()\n    x = Bar{k}(2)\n    x.run()\n",
+    "def go():\n    x = Foo{k}(1)\n    x = other(x)\n    x.run()\n",
+    "class Box:\n    def go(self, x: Foo{k}):\n        x.run()\n\n    def stay(self, x):\n        x.run()\n",
+    "def go():\n    with Foo{k}(1) as x:\n        x.run()\n",
+    "def go():\n    x = lib.Foo{k}(1); x.run()\n",
+    "def go():\n    a = Foo{k}(1)\n    b = a\n    a = Bar{k}(b)\n    b.run()\n    b = b.run()\n    b.run()\n",
+    "def go(many):\n    for x in many:\n        x.run()\n    if (y := Foo{k}(many)):\n        y.run()\n",
+)
+
+
+def typed_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A module for each part, whose functions call objects that they made, were given or took from another name."""
+    key = F.col("p_partkey")
+    name = F.concat(F.lit("made/m"), key.cast("string"), F.lit(".py"))
+    return spark.read.parquet(f"{sf}/part.parquet").select(
+        F.col("p_brand").alias("project"), F.concat(F.lit("/src/"), "p_brand", F.lit("/"), name).alias("file_path"), name.alias("qualified_name"),
+        _fill("{shape}", shape=_pick(TYPED_SHAPES, key % len(TYPED_SHAPES))).alias("_s"), key.cast("string").alias("_k"),
+    ).withColumn("text", F.replace("_s", F.lit("{k}"), F.col("_k"))).drop("_s", "_k")
+
+
 _tables: dict[tuple[str, str], SymbolTables] = {}
 
 

@@ -329,6 +329,64 @@ def with_inferred_receivers(call_sites: DataFrame, inferred: DataFrame) -> DataF
     ).select(*call_sites.columns)
 
 
+def _position(line: Column, column: Column) -> Column:
+    return line.cast("long") * 2**32 + column.cast("long")
+
+
+def local_types(parsed: DataFrame) -> DataFrame:
+    """``project, module, function_ordinal, variable, at, type_id, type`` of the names bound inside functions of parsed sources.
+
+    From ``at`` (line and column as one number) on, ``variable`` is an instance of ``type``, or of nothing known
+    (null). Known are what a call of a capitalised name makes, an annotation, an annotated parameter, and a name that
+    was one of these when it was bound to another. Statements count in the order of the text, whatever the branches.
+    Names bound to names form chains; each points at the binding its source had, and pointers are doubled to the end.
+    """
+    keys = ["project", "module", "function_ordinal", "variable"]
+    known = lambda c: F.when(c.rlike(r"^(\w+\.)*\p{Lu}\w*$"), F.substring_index(c, ".", -1))
+    bound = parsed.select("project", F.col("qualified_name").alias("module"), F.explode("assignments").alias("a")).select(
+        "project", "module", "a.*")
+    given = F.explode(F.transform("functions", lambda f: F.struct(
+        f["ordinal"].alias("function_ordinal"), f["start_line"].alias("line"), F.filter(f["parameters"], lambda p: p["annotation"].isNotNull()).alias("p"))))
+    parameters = parsed.select("project", F.col("qualified_name").alias("module"), given.alias("f")).select(
+        "project", "module", "f.function_ordinal", "f.line", F.posexplode("f.p").alias("pos", "p"))
+    facts = materialize(bound.select(
+        *keys, _position(F.col("end_line"), F.col("end_column")).alias("at"), _position(F.col("start_line"), F.col("start_column")).alias("_from"),
+        F.to_json(F.struct("project", "module", "ordinal")).alias("type_id"),
+        F.when(F.col("form") == "name", F.col("value")).alias("_source"), F.when(F.col("form").isin("call", "annotation"), known(F.col("value"))).alias("type"),
+    ).unionByName(parameters.select(
+        "project", "module", "function_ordinal", F.col("p.name").alias("variable"), _position(F.col("line"), F.lit(0)).alias("at"),
+        F.lit(None).cast("long").alias("_from"), F.to_json(F.struct("project", "module", "function_ordinal", "pos")).alias("type_id"),
+        F.lit(None).cast("string").alias("_source"), known(F.col("p.annotation")).alias("type"),
+    )))
+    asked = facts.where("_source IS NOT NULL").select(
+        *keys[:3], F.col("_source").alias("variable"), F.col("_from").alias("at"), F.col("type_id").alias("_asking"))
+    named = facts.withColumn("_id", F.col("type_id"))
+    chain = materialize(asof_backward(asked, named, keys, "at", "_asking", "type_id", "_id").select(
+        F.col("_asking").alias("node"), F.col("_id").alias("next")).where("next IS NOT NULL"))
+    while True:
+        ahead = chain.select(F.col("node").alias("next"), F.col("next").alias("_then"))
+        longer = materialize(chain.join(ahead, "next", "left").select("node", F.coalesce("_then", "next").alias("next"), F.col("_then").isNotNull().alias("_moved")))
+        if longer.where("_moved").isEmpty():
+            break
+        chain = longer.select("node", "next")
+    ends = chain.join(facts.select(F.col("type_id").alias("next"), F.col("type").alias("_end")), "next").select(F.col("node").alias("type_id"), "_end")
+    return facts.join(ends, "type_id", "left").select(*keys, "at", "type_id", F.coalesce("type", "_end").alias("type"))
+
+
+def with_local_receivers(call_sites: DataFrame, types: DataFrame) -> DataFrame:
+    """Call sites whose receiver is a name with a known type (``local_types``) get that type; any other row stays.
+
+    A capitalised receiver is a class of its own name, as in the call sites.
+    """
+    keys = ["project", "module", "function_ordinal", "variable"]
+    call_id = F.to_json(F.struct("project", "module", "ordinal"))
+    asked = call_sites.where(F.col("receiver_expr").rlike(r"^\w+$") & ~_upper_initial(F.col("receiver_expr"))).select(
+        *keys[:3], F.col("receiver_expr").alias("variable"), _position(F.col("start_line"), F.col("start_column")).alias("at"), call_id.alias("_call"))
+    near = asof_backward(asked, types, keys, "at", "_call", "type_id", "type").where("type IS NOT NULL").select("_call", F.col("type").alias("_type"))
+    return call_sites.withColumn("_call", call_id).join(near, "_call", "left").withColumn(
+        "receiver_type", F.coalesce("_type", "receiver_type")).select(*call_sites.columns)
+
+
 def smallest_enclosing(points: DataFrame, spans: DataFrame, keys: Sequence[str], point: str, span: str,
                        width: int = 64) -> DataFrame:
     """For each point the smallest span of its key holding it, ties to the lower span id.

@@ -16,10 +16,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillspark.sources import schemas
 
+#: Source text whose facts are held at a time; a file above it is a batch of its own.
+FACTS_BATCH_CHARACTERS = 1 << 20
+
 _BRANCHES = (ast.If, ast.For, ast.While, ast.ExceptHandler, ast.With)
 _COUNTED = (*_BRANCHES, ast.Assert, ast.BoolOp)
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
-_FIELDS = ("valid", "imports", "classes", "functions", "calls", "lambdas", "asserts")
+_FIELDS = ("valid", "imports", "classes", "functions", "calls", "lambdas", "asserts", "assignments")
 _NOTHING = {name: False if name == "valid" else [] for name in _FIELDS}
 
 
@@ -80,6 +83,42 @@ def _call(node: ast.Call, ordinal: int, owner: int, functions: set[str], classes
     }
 
 
+def _assigned(node: ast.AST) -> list[tuple[ast.AST, ast.AST | None]]:
+    """Targets that a node binds, with the value each gets as a whole (None where it is only a part of one)."""
+    if isinstance(node, ast.Assign):
+        return [(t, node.value) for t in node.targets]
+    if isinstance(node, (ast.AnnAssign, ast.NamedExpr)):
+        return [(node.target, node.value)] if node.value or isinstance(node.annotation, ast.Name) else []  # a walrus has a value
+    if isinstance(node, ast.withitem):
+        return [(node.optional_vars, node.context_expr)] if node.optional_vars else []
+    if isinstance(node, (ast.For, ast.AsyncFor, ast.AugAssign)):
+        return [(node.target, None)]
+    return []
+
+
+def _assignments(node: ast.AST, owner_of: dict[int, int], count: int) -> list[dict]:
+    """Names bound by a node inside a function: to what a call makes, to another name, or to anything else."""
+    out = []
+    for target, value in _assigned(node):
+        for name in (n for n in ast.walk(target) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)):
+            given, form, text = value if name is target else None, "other", None
+            if isinstance(given, ast.Call) and _callee_name(given):
+                form, text = "call", _callee_name(given)
+            elif isinstance(given, ast.Name):
+                form, text = "name", given.id
+            note = getattr(node, "annotation", None)
+            if isinstance(note, ast.Name):
+                form, text = "annotation", note.id
+            # a value is there before its name is: the end counts, of the header where a body follows
+            whole = target if isinstance(node, (ast.withitem, ast.For, ast.AsyncFor)) else node
+            if target.lineno in owner_of:
+                out.append({
+                    "ordinal": count + len(out), "function_ordinal": owner_of[target.lineno], "variable": name.id, "form": form, "value": text,
+                    "start_line": whole.lineno, "start_column": whole.col_offset, "end_line": whole.end_lineno, "end_column": whole.end_col_offset,
+                })
+    return out
+
+
 def _slice(lines: list[bytes], node: ast.AST) -> str:
     part = lines[node.lineno - 1 : node.end_lineno]
     part[-1] = part[-1][: node.end_col_offset]
@@ -114,7 +153,7 @@ def syntax_facts(text: str) -> dict:
     names, class_names = {f["name"] for f in functions}, {c["class_name"] for c in classes}
 
     lines = text.encode("utf-8").splitlines(keepends=True)
-    calls, lambdas, asserts = [], [], []
+    calls, lambdas, asserts, assignments = [], [], [], []
     queue: deque[ast.AST] = deque([tree])
     while queue:  # breadth first, as ast.walk, with each node's children at hand
         parent = queue.popleft()
@@ -123,6 +162,7 @@ def syntax_facts(text: str) -> dict:
         elif isinstance(parent, ast.Assert):
             asserts.append({"line": parent.lineno, "column": parent.col_offset, "code": _slice(lines, parent),
                             "test": _slice(lines, parent.test)})
+        assignments += _assignments(parent, owner_of, len(assignments))
         children = list(ast.iter_child_nodes(parent))
         queue.extend(children)
         for child in children:
@@ -133,16 +173,16 @@ def syntax_facts(text: str) -> dict:
     for i, a in enumerate(asserts):
         a["ordinal"] = i
     return {"valid": True, "imports": imports, "classes": classes, "functions": functions, "calls": calls, "lambdas": lambdas,
-            "asserts": asserts}
+            "asserts": asserts, "assignments": assignments}
 
 
 def _facts_or_empty(text: str | None) -> dict | None:
-    """Empty facts for unreadable or invalid source, None for text the parser cannot take at all."""
+    """Empty facts for unreadable, invalid or too deeply nested source, None for text that is no source at all (null characters)."""
     try:
         return syntax_facts(text) if text is not None else _NOTHING
-    except SyntaxError:
+    except (SyntaxError, RecursionError, MemoryError):
         return _NOTHING
-    except (ValueError, RecursionError, MemoryError):
+    except ValueError:
         return None
 
 
@@ -153,7 +193,17 @@ def parse_sources(sources: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            read = [(row, _facts_or_empty(row["text"])) for row in batch.to_pylist()]
-            yield pa.RecordBatch.from_pylist([{**row, **facts} for row, facts in read if facts is not None], schema=layout)
+            read, held = [], 0
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                facts = _facts_or_empty(row["text"])
+                if facts is not None:
+                    read.append({**row, **facts})
+                    held += len(row["text"] or "")
+                if held >= FACTS_BATCH_CHARACTERS:
+                    yield pa.RecordBatch.from_pylist(read, schema=layout)
+                    read, held = [], 0
+            if read:
+                yield pa.RecordBatch.from_pylist(read, schema=layout)
 
     return sources.mapInArrow(rows, ddl)

@@ -42,7 +42,12 @@ LAMBDA = "struct<ordinal:int,line:int,parent:string,parent_callee:string>"
 
 ASSERT = "struct<ordinal:int,line:int,code:string,test:string>"
 
+ASSIGNMENT = (
+    "struct<ordinal:int,function_ordinal:int,variable:string,form:string,value:string,start_line:int,start_column:int,"
+    "end_line:int,end_column:int>"
+)
+
 PARSED = (
     f"valid boolean, imports array<{IMPORT}>, classes array<{CLASS}>, functions array<{FUNCTION}>, calls array<{CALL}>,"
-    f" lambdas array<{LAMBDA}>, asserts array<{ASSERT}>"
+    f" lambdas array<{LAMBDA}>, asserts array<{ASSERT}>, assignments array<{ASSIGNMENT}>"
 )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import agents, quality, tools
 from quillspark.operators.frameworks import detected_frameworks, framework_lists, module_frameworks
 from quillspark.operators.substrings import substring_pairs
-from quillspark.operators.symbols import build_parsed, build_tables, with_inferred_receivers
+from quillspark.operators.symbols import build_parsed, build_tables, local_types, with_inferred_receivers, with_local_receivers
 from quillspark.plans import analysis
 from quillspark.sources import schemas
 
@@ -207,3 +207,18 @@ def test_substring_pairs(spark):
     needles = spark.createDataFrame([("p", "bc"), ("p", "abcabc"), ("q", "zz"), ("p", "")], "project string, needle string")
     got = {tuple(r) for r in substring_pairs(texts, needles, "project", "text", "needle").collect()}
     assert got == {("p", "abcabc", "bc"), ("p", "abcabc", "abcabc")}
+
+
+def test_local_types_follow_names(spark):
+    deep = "def f():\n    v0 = Foo()\n" + "".join(f"    v{i + 1} = v{i}\n" for i in range(40)) + "    v40.run()\n"
+    odd = ("def f(a: 'Foo', b: lib.Bar, c: Optional[Foo]):\n    a.run(); b.run(); c.run()\n    x, y = Foo(), 1\n    x.run()\n    z: Foo = make()\n"
+           "    z.run()\n    x = x\n    x.run()\n    u = w = Foo(); w.run()\n    u += 1\n    u.run()\n\ndef g():\n    a.run()\n")
+    texts = {"deep.py": deep, "odd.py": odd, "none.py": "", "bad.py": "def (", "nested.py": "x = " + "(" * 5000 + ")" * 5000}
+    rows = [("p", f"/src/{n}", n, text) for n, text in texts.items()]
+    parsed = build_parsed(spark.createDataFrame(rows, schemas.SOURCES))
+    assert {r[0] for r in parsed.where("NOT valid").select("qualified_name").collect()} == {"bad.py", "nested.py"}
+    calls = with_local_receivers(build_tables(parsed).call_sites, local_types(parsed)).where("method_name = 'run'")
+    got = {(r["module"], r["start_line"], r["receiver_expr"]): r["receiver_type"] for r in calls.collect()}
+    assert got == {
+        ("deep.py", 43, "v40"): "Foo", ("odd.py", 2, "a"): None, ("odd.py", 2, "b"): "Bar", ("odd.py", 2, "c"): None, ("odd.py", 4, "x"): None,
+        ("odd.py", 6, "z"): "Foo", ("odd.py", 8, "x"): None, ("odd.py", 9, "w"): "Foo", ("odd.py", 11, "u"): None, ("odd.py", 14, "a"): None}
