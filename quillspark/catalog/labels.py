@@ -19,6 +19,7 @@ from quillspark.plans import corpus, extraction
 from quillspark.session import checkpoint_root, materialize, new_folder
 from quillspark.sources import files
 from quillspark.sources.label_files import stored_label_members
+from quillspark.streaming import incremental
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -469,6 +470,21 @@ def pattern_confidence(spark, sf):
     return out.select("pattern_id", F.round("confidence_score", 6).alias("confidence_score"), "usage_count")
 
 
+def streamed_confidence(spark, sf):
+    """The same from a stream: events come in three parts by time, and the state is composed once on the way."""
+    events = table(spark, sf, "events").select(F.col("user_id").alias("pattern_id"), "ts", "event_id", F.col("value").alias("confidence_score"))
+    root = new_folder(spark)
+    low, high = events.select(F.percentile_approx(_micros("ts"), [0.33, 0.67]).alias("at")).first()["at"] or (0, 0)
+    parted = materialize(events.withColumn("third", F.when(_micros("ts") > high, 2).when(_micros("ts") > low, 1).otherwise(0)), "third")
+    for number in range(3):
+        parted.where(F.col("third") == number).drop("third").write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    state = incremental.PatternState(f"{root}/state")
+    query = incremental.confidence_stream(stream, state, f"{root}/checkpoint", ["ts", "event_id"], compact_every=2, availableNow=True)
+    query.awaitTermination()
+    return state.read(spark).select("pattern_id", F.round("confidence_score", 6).alias("confidence_score"), "usage_count")
+
+
 def chunk_assign(spark, sf):
     return ordered.chunked(table(spark, sf, "documents").select("doc_id"), ["doc_id"], 20)
 
@@ -681,7 +697,7 @@ QUERIES = {
         token_usage_by_role, report_units, rate_limit_admission, rate_limit_by_user, worker_assignment, knn_top5, knn_oversampled, knn_earlier,
         knn_repeated_ids, knn_missing_vector, knn_two_batches, same_names, typed_conditions, label_corpus_twice, label_corpus_usage,
         knn_confident, knn_label_vote, examples_block, normalized_names, similar_names, word_similarity, pattern_groups, created_patterns, stored_patterns,
-        merged_patterns, pattern_statistics, pattern_confidence, chunk_assign, example_references, consolidated_references,
+        merged_patterns, pattern_statistics, pattern_confidence, streamed_confidence, chunk_assign, example_references, consolidated_references,
         alteration_counts, extracted_patterns, consolidated_patterns, altered_entries, alteration_errors, field_value_examples, label_file_entries, ncloc_documents, assertion_names, statement_kinds,
         nearest_earlier_value, source_ranking,
     )

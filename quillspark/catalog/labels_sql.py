@@ -338,3 +338,5 @@ levels AS (
   UNION ALL SELECT CAST(ceil(inputs / 4.0) AS BIGINT) FROM levels WHERE inputs > 4)
 SELECT 'group of ' || (SELECT min(inputs) FROM levels) AS pattern_name, CAST(sum(refs) AS BIGINT) AS example_count FROM chunks HAVING count(*) > 3
 UNION ALL SELECT 'case ' || first_doc, refs FROM chunks WHERE (SELECT count(*) FROM chunks) <= 3"""
+
+SQL["streamed_confidence"] = SQL["pattern_confidence"]

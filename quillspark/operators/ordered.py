@@ -147,29 +147,42 @@ def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], expr:
     )
 
 
-def moving_average(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, keep: float = 0.8, name: str = "confidence"
-) -> DataFrame:
-    """Final value per key of ``c = keep * c + (1 - keep) * value``, started at the first value.
+def moving_maps(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, keep: float = 0.8) -> DataFrame:
+    """What each key's rows, in ``order``, do to a moving average: ``(keys, rows, weighted, first)``.
 
-    The update is an affine map, and affine maps compose: each segment reduces to its row count and its
-    weighted sum, and the few per-key segments combine afterwards. A hot key is spread over segments.
+    The update ``c = keep * c + (1 - keep) * value`` is an affine map, and affine maps compose: each segment reduces to
+    its row count and its weighted sum, and the few per-key segments combine afterwards. A hot key is spread over segments.
     """
     seg = ordered_segments(df, keys, order)
     back = Window.partitionBy(*keys, "_seg").orderBy(F.col("_idx").desc())
     weighted = seg.withColumn("_w", F.pow(F.lit(keep), F.row_number().over(back) - 1))
     per = weighted.groupBy(*keys, "_seg").agg(
-        F.sum(F.col(value) * F.col("_w")).alias("_sum"),
-        F.count(F.lit(1)).alias("_rows"),
-        F.min_by(value, "_idx").alias("_first"),
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.col(value) * F.col("_w")).alias("weighted"),
+        F.min_by(value, "_idx").alias("first"),
     )
-    after = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(1, Window.unboundedFollowing)
-    later = per.withColumn("_later", F.coalesce(F.sum("_rows").over(after), F.lit(0)))
-    total = F.sum("_rows")
+    return composed_maps(per, keys, "_seg", keep)
+
+
+def composed_maps(maps: DataFrame, keys: Sequence[str], at: str, keep: float = 0.8) -> DataFrame:
+    """One map per key from maps ``(keys, at, rows, weighted, first)`` that follow each other in the order of ``at``."""
+    after = Window.partitionBy(*keys).orderBy(at).rowsBetween(1, Window.unboundedFollowing)
+    later = maps.withColumn("_later", F.coalesce(F.sum("rows").over(after), F.lit(0)))
     return later.groupBy(*keys).agg(
-        (
-            F.sum(F.col("_sum") * F.pow(F.lit(keep), F.col("_later"))) * (1 - keep)
-            + F.min_by("_first", "_seg") * F.pow(F.lit(keep), total)
-        ).alias(name),
-        total.cast("long").alias("usage_count"),
+        F.sum("rows").cast("long").alias("rows"),
+        F.sum(F.col("weighted") * F.pow(F.lit(keep), F.col("_later"))).alias("weighted"),
+        F.min_by("first", at).alias("first"),
     )
+
+
+def averaged(maps: DataFrame, keys: Sequence[str], keep: float = 0.8, name: str = "confidence") -> DataFrame:
+    """The average each map ends with when it starts at its key's first value, and ``usage_count``."""
+    started = F.col("weighted") * (1 - keep) + F.col("first") * F.pow(F.lit(keep), F.col("rows"))
+    return maps.select(*keys, started.alias(name), F.col("rows").alias("usage_count"))
+
+
+def moving_average(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, keep: float = 0.8, name: str = "confidence"
+) -> DataFrame:
+    """Final value per key of ``c = keep * c + (1 - keep) * value``, started at the first value."""
+    return averaged(moving_maps(df, keys, order, value, keep), keys, keep, name)
