@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import any_contains, contains_any, strip
 from quillspark.operators import rules
-from quillspark.operators.frameworks import module_frameworks
 from quillspark.operators.components import connected
+from quillspark.operators.frameworks import module_frameworks
+from quillspark.operators.ordered import with_position
 from quillspark.operators.store import earliest
 from quillspark.operators.substrings import substring_pairs
 from quillspark.operators.symbols import SymbolTables
@@ -89,9 +90,11 @@ def function_tools(tables: SymbolTables, mods: DataFrame, taken: DataFrame) -> D
     """Functions whose name occurs in an argument of a tool-binding call.
 
     Arguments in call order each take the first matching function nobody took before. A function has one name,
-    so what an argument may take is the next free function of one of the names that occur in it. Arguments that
-    share no name, by way of others either, don't affect each other: names are parted into connected groups and
-    each group is walked in order. The walk streams arguments past the functions' ids, which are all it holds.
+    so what an argument may take is the next free function of one of the names that occur in it, and the n-th function
+    of a name is out of reach of fewer than n arguments. Arguments that share no name, by way of others either, don't
+    affect each other: names are parted into connected groups. A name that is a group of its own loses as many functions
+    as arguments ask for it, which counts tell without any order. Only groups of several names are walked in order; the
+    walk streams arguments past the ids of the functions in reach, which are all it holds.
     """
     calls = tables.call_sites.where(F.col("method_name").isin(*rules.TOOL_METHODS)).select(
         "project", "module", "function_ordinal", "ordinal", F.posexplode("argument_expr").alias("arg", "expr")
@@ -99,10 +102,10 @@ def function_tools(tables: SymbolTables, mods: DataFrame, taken: DataFrame) -> D
     usable = tables.functions.join(mods.where(F.size("frameworks") > 0), ["project", "module"]).withColumn(
         "tool_id", F.concat_ws(".", "module", "name")
     ).join(taken.select("project", "tool_id"), ["project", "tool_id"], "left_anti")
-    functions = materialize(earliest(
+    functions = materialize(with_position(earliest(
         usable.select("project", "tool_id", "module", "ordinal", "name", "qualified_name", "docstring", "frameworks"),
         ["project", "tool_id"], ["module", "ordinal"],
-    ))
+    ), ["project", "name"], ["module", "ordinal"], "rank"))
     node = F.xxhash64("project", "name")
     wishes = materialize(
         substring_pairs(calls, functions, "project", "expr", "name").groupBy("project", "expr").agg(
@@ -112,17 +115,24 @@ def function_tools(tables: SymbolTables, mods: DataFrame, taken: DataFrame) -> D
     first = F.get("names", F.lit(0))
     groups = connected(wishes.select(first.alias("a"), F.explode("names").alias("b"))).withColumnRenamed("label", "part")
     places = ["module", "function_ordinal", "ordinal", "arg"]
-    asking = calls.join(wishes, ["project", "expr"]).select("names", *places, first.alias("node")).join(groups, "node").select(
+    asking = materialize(calls.join(wishes, ["project", "expr"]).select("names", *places))
+    asked = asking.select(F.explode("names").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("asks"))
+    sizes = groups.groupBy("part").agg(F.count(F.lit(1)).alias("nodes"))
+    parts = materialize(groups.join(sizes, "part").join(asked, "node"))
+    reach = functions.withColumn("node", node).join(parts, "node").where("rank <= asks")
+    several = parts.where("nodes > 1").select("node", "part")
+    waiting = asking.withColumn("node", first).join(several, "node").select(
         "part", F.lit(1).alias("role"), *places, "names", F.lit(None).cast("string").alias("project"), F.lit(None).cast("string").alias("tool_id"),
     )
-    offered = functions.withColumn("node", node).join(groups, "node").select(
+    offered = reach.where("nodes > 1").select(
         "part", F.lit(0).alias("role"), "module", F.col("ordinal").alias("function_ordinal"), F.lit(0).alias("ordinal"), F.lit(0).alias("arg"),
         F.array("node").alias("names"), "project", "tool_id",
     )
-    held = (
-        offered.unionByName(asking).repartition("part").sortWithinPartitions("part", "role", *places)
+    walked = (
+        offered.unionByName(waiting).repartition("part").sortWithinPartitions("part", "role", *places)
         .mapInArrow(_walk, "project string, tool_id string")
     )
+    held = reach.where("nodes = 1").select("project", "tool_id").unionByName(walked)
     rows = functions.join(held, ["project", "tool_id"])
     return _function_rows(rows, 3, "function_tool", F.get("frameworks", F.lit(0))).select(*TOOL_COLUMNS)
 

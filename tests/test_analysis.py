@@ -185,6 +185,12 @@ def test_function_tools_equal_the_ordered_walk(spark):
             picked = rnd.sample(names, rnd.randint(1, 3))
             lines += [f"    agent.bind_tools([{', '.join(picked)}])", f"    agent.add_tool({picked[0]})"]
         files[f"m{m}.py"] = "\n".join(lines) + "\n"
+    got, seen = _function_tools(spark, files)
+    assert got == seen and len(seen) > 5
+
+
+def _function_tools(spark, files):
+    """Ids of the function tools, and those a plain walk finds; functions of ``m2.py`` can't be taken."""
     t = build(spark, files)
     mods = module_frameworks(t, detected_frameworks(t))
     nothing = spark.createDataFrame([], "project string, tool_id string")
@@ -199,7 +205,24 @@ def test_function_tools_equal_the_ordered_walk(spark):
                 if f["name"] in expr and f["module"] != "m2.py" and tool not in seen:
                     seen.add(tool)
                     break
-    assert got == seen and len(seen) > 5
+    return got, seen
+
+
+def test_function_tools_of_names_alone(spark):
+    """Names that meet no other, with fewer, as many and more arguments than functions, beside names that meet."""
+    asks = {"solo": 3, "even": 5, "many": 9, "none": 0, "pair": 2, "pair_up": 4}
+    files = {}
+    for m in range(6):
+        lines = ["import os" if m == 2 else "import langchain"]
+        for n in asks:
+            lines += [f"def {n}(x):", "    return x"]
+        files[f"m{m}.py"] = "\n".join(lines) + "\n"
+    bound = [f"    agent.add_tool({n})" for n, times in asks.items() for _ in range(times)]
+    files["wired.py"] = "import langchain\ndef wire_all(agent):\n" + "\n".join(bound) + "\n"
+    got, seen = _function_tools(spark, files)
+    assert got == seen
+    taken = {n: sum(tool.endswith(f".{n}") for tool in got) for n in asks}
+    assert taken["solo"] == 3 and taken["even"] == 5 and taken["many"] == 5 and taken["none"] == 0
 
 
 def test_substring_pairs(spark):
