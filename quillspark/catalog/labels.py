@@ -506,8 +506,9 @@ def example_references(spark, sf):
 def consolidated_references(spark, sf):
     found, chunks = _chunk_patterns(spark, sf)
     refs = patterns.resolve_examples(found, chunks).withColumnRenamed("pattern", "seed")
-    inputs = found.select(F.col("pattern").alias("seed"))
-    merged = inputs.select(F.floor(F.col("seed") / 3).alias("pattern"), F.array(F.col("seed") + 1, F.lit(1).cast("bigint"), F.lit(100000).cast("bigint")).alias("example_indices"))
+    # one prompt holds all inputs; the last index cited is out of its range at any size
+    inputs = ordered.with_position(found.select(F.col("pattern").alias("seed"), F.lit(0).cast("bigint").alias("chunk")), [], ["seed"], "index_in_chunk")
+    merged = inputs.select(F.floor(F.col("seed") / 3).alias("pattern"), "chunk", F.array("index_in_chunk", F.lit(1).cast("bigint"), F.lit(1 << 40)).alias("example_indices"))
     out = patterns.resolve_consolidated(merged, inputs, refs)
     return out.select("pattern", "file_path", "doc_id", "project")
 
