@@ -476,12 +476,12 @@ def streamed_confidence(spark, sf):
     root = new_folder(spark)
     low, high = events.select(F.percentile_approx(_micros("ts"), [0.33, 0.67]).alias("at")).first()["at"] or (0, 0)
     parted = materialize(events.withColumn("third", F.when(_micros("ts") > high, 2).when(_micros("ts") > low, 1).otherwise(0)), "third")
-    for number in range(3):
-        parted.where(F.col("third") == number).drop("third").write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     state = incremental.PatternState(f"{root}/state")
-    query = incremental.confidence_stream(stream, state, f"{root}/checkpoint", ["ts", "event_id"], compact_every=2, availableNow=True)
-    query.awaitTermination()
+    for number in range(3):  # a part is one batch, in however many files it is
+        parted.where(F.col("third") == number).drop("third").write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
+        query = incremental.confidence_stream(stream, state, f"{root}/checkpoint", ["ts", "event_id"], compact_every=2, availableNow=True)
+        query.awaitTermination()
     return state.read(spark).select("pattern_id", F.round("confidence_score", 6).alias("confidence_score"), "usage_count")
 
 

@@ -1,3 +1,5 @@
+import duckdb
+
 from quillspark.plans import corpus
 from quillspark.streaming import incremental
 from test_labeling import _config
@@ -74,3 +76,20 @@ def test_confidence_stream(spark, tmp_path):
         assert query.exception() is None
     _check(spark, state, batches)
     assert (tmp_path / "state/composed/upto=1/_SUCCESS").exists()
+
+
+def test_streamed_query_on_events_in_many_files(spark, tmp_path):
+    """Files that overlap in time: each third of the events is one batch, in however many files it comes."""
+    from __spark_entry__ import oracle_sql, queries
+    from compare import differences
+
+    source = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{source}/events.parquet")
+    events.repartition(6, "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{source}/events.parquet')")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 27))  # every file is a task, as files are at size
+    try:
+        assert differences(con, oracle_sql()["streamed_confidence"], queries()["streamed_confidence"](spark, str(tmp_path))) == []
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
