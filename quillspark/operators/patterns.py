@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import jaccard, name_similarity, normalize_name, overlap, word_set, words
 from quillspark.operators.ordered import moving_average, with_position
-from quillspark.operators.seeds import candidates, greedy_seeds, jaccard_prefixes, plain, prefix_tokens
+from quillspark.operators.seeds import better_later, candidates, greedy_seeds, jaccard_prefixes, plain, prefix_tokens
 from quillspark.operators.substrings import substring_pairs
+from quillspark.session import materialize
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
@@ -58,8 +59,9 @@ def match_rank(new: dict[str, Column], old: dict[str, Column]) -> Column:
 def group_similar(cases: DataFrame) -> DataFrame:
     """``(seq, pattern_seq)``: the pattern each case creates or joins, taken in ``seq`` order.
 
-    ``cases`` has ``seq, pattern_name, description``. Equal (name, description) cases behave alike, so
-    only the first of each enters the search; cases with an equal name always join that name's pattern.
+    ``cases`` has ``seq, pattern_name, description``. Of equal (name, description) cases only the first enters the
+    search: the others create nothing, and join what it joined or a better pattern created since; cases with an
+    equal name always join that name's pattern.
     """
     named = cases.select("seq", normalize_name(F.col("pattern_name")).alias("name"),
                          F.coalesce("description", F.lit("")).alias("description"))
@@ -86,9 +88,13 @@ def group_similar(cases: DataFrame) -> DataFrame:
     worded = items.select(
         "item", "name", word_set(F.col("name")).alias("name_words"), word_set(F.col("description")).alias("description_words")
     )
-    seeds = greedy_seeds(worded, buckets, verify, threshold=0.5)
-    found = items.join(seeds, "item").select("name", "description", F.col("seed").alias("pattern_seq"))
-    return named.join(found, ["name", "description"]).select("seq", "pattern_seq")
+    buckets = materialize(buckets)
+    seeds = materialize(greedy_seeds(worded, buckets, verify, threshold=0.5))
+    later = better_later(worded, buckets, seeds, verify, threshold=0.5)
+    found = items.join(seeds, "item").join(later, "item", "left").select("name", "description", "seed", "later")
+    passed = F.filter("later", lambda s: s["after"] < F.col("seq"))
+    return named.join(found, ["name", "description"]).select(
+        "seq", F.coalesce(F.try_element_at(passed, F.lit(-1))["seed"], "seed").alias("pattern_seq"))
 
 
 def evolve(examples: DataFrame, order: Sequence[str], key: str = "pattern_id") -> DataFrame:

@@ -142,6 +142,29 @@ def greedy_seeds(items: DataFrame, buckets: DataFrame, verify: Verify, front: in
     )
 
 
+def better_later(items: DataFrame, buckets: DataFrame, seeds: DataFrame, verify: Verify, threshold: float = 0.0) -> DataFrame:
+    """``(item, later)``: what a repetition of an item joins when it comes after a better seed than the item's own.
+
+    ``seeds`` is what ``greedy_seeds`` gave for the same ``items`` and ``buckets``; an item never becomes a seed when it
+    comes again, but may match a seed found since. ``later`` lists ``(after, seed)`` in order, at most one for each
+    value of the rank: a repetition joins the last ``seed`` with ``after`` before it. Items without such seeds are left out.
+    """
+    joined = seeds.where("item <> seed")
+    own = joined.join(items.select(*[F.col(c).alias(f"l_{c}") for c in items.columns]), F.col("seed") == F.col("l_item")).join(
+        items.select(*[F.col(c).alias(f"r_{c}") for c in items.columns]), F.col("item") == F.col("r_item")
+    ).select("item", verify("l_", "r_").cast("double").alias("_own"))
+    if "held" not in buckets.columns:
+        buckets = plain(buckets)
+    heads = seeds.where("item = seed").select("item")
+    # Here the joining item is the earlier one of a pair.
+    found = _matches(
+        items, buckets.join(joined, "item", "left_semi"), buckets.join(heads, "item", "left_semi"), verify, threshold
+    ).select(F.col("early").alias("item"), F.col("late").alias("seed"), "rank").join(own, "item").where("rank > _own")
+    so_far = Window.partitionBy("item").orderBy("seed").rowsBetween(Window.unboundedPreceding, -1)
+    best = found.withColumn("_top", F.max("rank").over(so_far)).where("_top IS NULL OR rank > _top")
+    return best.groupBy("item").agg(F.array_sort(F.collect_list(F.struct(F.col("seed").alias("after"), "seed"))).alias("later"))
+
+
 def plain(buckets: DataFrame) -> DataFrame:
     """Bucket rows that meet all others of their bucket."""
     return buckets.select("item", "bucket", F.lit(True).alias("held"), F.lit(0).alias("size"), F.lit(0).alias("rest"))

@@ -57,6 +57,18 @@ def test_group_similar_matches_ordered_loop(spark):
     assert got == _sequential_groups(cases)
 
 
+def test_repeated_cases_join_better_patterns_created_since(spark):
+    """A case that joined a pattern is repeated after one that fits it better was created."""
+    rnd = random.Random(8)
+    kinds = [(" ".join(rnd.sample(["red", "blue", "gear", "bolt", "small", "large"], 3)), rnd.choice(["m n", "m o", "p"])) for _ in range(60)]
+    cases = [(i, *rnd.choice(kinds)) for i in range(500)]
+    want = _sequential_groups(cases)
+    first = {}
+    assert any(first.setdefault(c[1:], want[c[0]]) != want[c[0]] for c in cases)  # some change their pattern
+    df = spark.createDataFrame(cases, "seq long, pattern_name string, description string")
+    assert {r["seq"]: r["pattern_seq"] for r in patterns.group_similar(df).collect()} == want
+
+
 def _merge_loop(found):
     out, used = {}, set()
     for i, (name, cat, ind) in enumerate(found):
