@@ -145,3 +145,25 @@ def test_arrays_of_distances_stay_below_a_tile(spark, vectors, monkeypatch):
     df = spark.createDataFrame(vectors, "id long, embedding array<float>")
     monkeypatch.setattr(neighbors, "_distances", lambda a, b: shapes.append((len(a), len(b))) or whole(a, b))
     assert _found(neighbors.nearest(df.where("id < 30"), df, 5, "id", "id")) == {i: v for i, v in _brute(vectors, 5).items() if i < 30}
+
+
+@pytest.mark.parametrize("how", [{}, {"exclude_self": False}, {"earlier_only": True}])
+def test_vectors_without_structure_travel_once_a_block(spark, monkeypatch, how):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=64).astype(np.float32).tolist()) for i in range(600)]
+    rows += [(600 + i, rows[i % 5][1]) for i in range(40)]  # copies: ties by id
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    index = _cells(spark)
+    index.add(df, "id")
+    found = index.search(df, 5, "id", **how)
+    assert found.count() <= 640 * 5 * 4  # 25 cells, each of which every query visits
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(neighbors, "PRODUCT", (32, 48))
+    m = np.array([v for _, v in rows])
+    want = {}
+    for i in range(640):
+        d = ((m - m[i]) ** 2).sum(1)
+        ok = [(d[j], j) for j in range(640) if (j < i if "earlier_only" in how else j != i or how)]
+        if ok:
+            want[i] = [j for _, j in sorted(ok)[:5]]
+    assert _found(index.nearest(df, 5, "id", **how)) == want
