@@ -160,34 +160,33 @@ class Journal:
         self.usage.append(answers.select("doc_id", F.lit(agent.agent_id).alias("agent_id"), "from_cache", *counters))
 
 
-def answer(
+def _answers(
     docs: DataFrame, agent: Agent, config: LabelConfig, cache: DataFrame | None = None, journal: Journal | None = None, **more: Column
 ) -> DataFrame:
-    """``(doc_id, prompt, label_json, error, from_cache, token counters)`` of one agent over ``docs``.
-
-    Equal prompts are called once. The calls made are stored as returned and noted in ``journal``.
-    """
+    """``answer`` without the prompts: only keys are stored, a prompt is made again where it is called."""
     text = prompts(docs, agent, config, **more)
     if agent.rule is not None:
         return docs.select(
-            "doc_id", text.alias("prompt"), agent.rule().alias("label_json"), F.lit(None).cast("string").alias("error"),
+            "doc_id", agent.rule().alias("label_json"), F.lit(None).cast("string").alias("error"),
             F.lit(False).alias("from_cache"), *[F.lit(0).cast("long").alias(c) for c in (
                 "input_tokens", "output_tokens", "cached_input_tokens", "cached_output_tokens")],
         )
-    key = cache_key(F.lit(agent.model), F.lit(agent.temperature), F.col("prompt"))
-    requests = materialize(docs.select("doc_id", text.alias("prompt")).withColumn("key", key))
+    requests = materialize(docs.select("doc_id", cache_key(F.lit(agent.model), F.lit(agent.temperature), text).alias("key")))
     spark = docs.sparkSession
     known = cache if cache is not None else spark.createDataFrame([], f"key string, {REPLY}")
     missing = requests.join(known.select("key"), "key", "left_anti")
-    first = missing.groupBy("key").agg(F.min("doc_id").alias("_payer"), F.first("prompt").alias("prompt"))
-    called = materialize(_invoke(first.select("key", "prompt"), agent, config.requests_per_minute))
-    payers = first.select("key", "_payer")
+    payers = materialize(missing.groupBy("key").agg(F.min("doc_id").alias("_payer")))
+    if payers.isEmpty():
+        called = spark.createDataFrame([], f"key string, {REPLY}")
+    else:
+        asked = docs.select(F.col("doc_id").alias("_payer"), text.alias("prompt")).join(payers, "_payer").select("key", "prompt")
+        called = materialize(_invoke(asked, agent, config.requests_per_minute))
     fresh = called.join(payers, "key")
     stored = known.withColumn("_payer", F.lit(None).cast("long")).unionByName(fresh)
     out = requests.join(stored, "key")
     paid = F.col("doc_id") == F.col("_payer")
     answers = out.select(
-        "doc_id", "prompt", "label_json", "error", F.coalesce(~paid, F.lit(True)).alias("from_cache"),
+        "doc_id", "label_json", "error", F.coalesce(~paid, F.lit(True)).alias("from_cache"),
         *[F.when(paid, F.col(c)).otherwise(0).cast("long").alias(c) for c in (
             "input_tokens", "output_tokens", "cached_input_tokens", "cached_output_tokens")],
     )
@@ -196,6 +195,31 @@ def answer(
     return answers
 
 
+def answer(
+    docs: DataFrame, agent: Agent, config: LabelConfig, cache: DataFrame | None = None, journal: Journal | None = None, **more: Column
+) -> DataFrame:
+    """``(doc_id, prompt, label_json, error, from_cache, token counters)`` of one agent over ``docs``.
+
+    Equal prompts are called once. The calls made are stored as returned and noted in ``journal``.
+    """
+    answers = _answers(docs, agent, config, cache, journal, **more)
+    shown = docs.select("doc_id", prompts(docs, agent, config, **more).alias("prompt"))
+    return shown.join(answers, "doc_id").select("doc_id", "prompt", *answers.columns[1:])
+
+
+def _adjudicated(config: LabelConfig) -> Column:
+    return F.col("error").isNull() & ~F.coalesce(equal_labels(config), F.lit(False))
+
+
+def with_prompts(labeled: DataFrame, config: LabelConfig) -> DataFrame:
+    """Labeled documents with the three prompts, made from their text and labels."""
+    judge = prompts(labeled, config.adjudicator, config, a=F.col("label_a"), b=F.col("label_b"))
+    return labeled.withColumns({
+        "prompt_a": prompts(labeled, config.labeler_a, config), "prompt_b": prompts(labeled, config.labeler_b, config),
+        "prompt_adjudicator": F.when(_adjudicated(config), judge).otherwise(""),
+    })
+
+
 def _canonical(label: Column, schema: T.StructType) -> Column:
     """Label JSON in schema order, null when it does not parse."""
     parsed = F.from_json(label, schema, {"mode": "PERMISSIVE"})
@@ -257,19 +281,19 @@ def label_documents(
             F.when(F.col("_same"), "").otherwise(judge).alias("prompt_adjudicator"),
         )
     else:
-        a, b = (answer(docs, agent, config, cache, journal) for agent in (config.labeler_a, config.labeler_b))
+        a, b = (_answers(docs, agent, config, cache, journal) for agent in (config.labeler_a, config.labeler_b))
 
         def side(rows: DataFrame, tag: str) -> DataFrame:
             label = _canonical(F.col("label_json"), config.schema)
             wrong = F.when(F.col("error").isNull() & label.isNull(), F.lit("label is not valid JSON"))
-            return rows.select("doc_id", label.alias(f"label_{tag}"), F.coalesce("error", wrong).alias(f"_e{tag}"),
-                               F.col("prompt").alias(f"prompt_{tag}"))
-
-        both = docs.join(side(a, "a"), "doc_id").join(side(b, "b"), "doc_id").withColumn("error", F.coalesce("_ea", "_eb")).drop("_ea", "_eb")
-        both = materialize(both)
-        open_ = both.where(F.col("error").isNull() & ~F.coalesce(equal_labels(config), F.lit(False)))
-        judged = answer(open_, config.adjudicator, config, cache, journal, a=F.col("label_a"), b=F.col("label_b"))
-        final = decide(both, judged, config)
+            return rows.select("doc_id", label.alias(f"label_{tag}"), F.coalesce("error", wrong).alias(f"_e{tag}"))
+
+        # Labels are stored without texts and prompts, which would be several copies of the documents.
+        both = materialize(side(a, "a").join(side(b, "b"), "doc_id").withColumn("error", F.coalesce("_ea", "_eb")).drop("_ea", "_eb"))
+        open_ = docs.join(both.where(_adjudicated(config)), "doc_id")
+        judged = _answers(open_, config.adjudicator, config, cache, journal, a=F.col("label_a"), b=F.col("label_b"))
+        decided = decide(both, judged.withColumn("prompt", F.lit(None).cast("string")), config).drop("prompt_adjudicator")
+        final = with_prompts(docs.join(decided, "doc_id"), config)
     none = F.array().cast("array<string>")
     issues = none if config.validation is None else F.coalesce(config.validation(F.col("final_label"), F.col("text")), none)
     return final.withColumn("hallucination_issues", issues)

@@ -12,7 +12,7 @@ from quillspark import sinks
 from quillspark.functions.labels import json_path
 from quillspark.operators import labeling, neighbors, store
 from quillspark.operators.labeling import LabelConfig
-from quillspark.session import materialize
+from quillspark.session import drop_folder, materialize, new_folder
 from quillspark.sources import schemas
 from quillspark.sources.files import stored_or_empty
 
@@ -105,9 +105,12 @@ def with_examples(
 
 def _numbered(docs: DataFrame, after: int) -> DataFrame:
     """Documents with ids in the order of source, text hash and place; the texts themselves are not sorted."""
-    placed = materialize(docs.withColumn("_h", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id()))
+    spark, folder = docs.sparkSession, new_folder(docs.sparkSession)
+    placed = materialize(docs.withColumn("_h", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id()), folder=folder)
     ids = store.assign_ids(placed.select("source", "_h", "_row"), ["source", "_h", "_row"], after=after)
-    return materialize(placed.join(ids.select("_row", "doc_id"), "_row").select("doc_id", *docs.columns))
+    numbered = materialize(placed.join(ids.select("_row", "doc_id"), "_row").select("doc_id", *docs.columns))
+    drop_folder(spark, folder)  # a copy of all texts
+    return numbered
 
 
 def label_corpus(
@@ -134,16 +137,19 @@ def label_corpus(
         calls = cache.unionByName(calls.join(cache.select("key"), "key", "left_anti"))
     calls = materialize(calls.dropDuplicates(["key"]))
     last = known.agg(F.max("doc_id")).first()[0] or 0
-    numbered = _numbered(docs, last)
+    numbered = _numbered(docs.withColumn("created_at", stamp), last)
     asked = numbered
     if config.retrieval:
         cells = where.cells(spark)
-        asked = with_examples(numbered, cells, known, finals, config, admit=_before(run, number))
+        asked = materialize(with_examples(numbered, cells, known, finals, config, admit=_before(run, number)))
     journal = labeling.Journal()
-    labeled = materialize(labeling.label_documents(asked, config, calls, journal).withColumn("created_at", stamp))
-    per_agent, final = labeling.label_rows(labeled, config, F.col("created_at"))
+    found = labeling.label_documents(asked, config, calls, journal)
+    own = [c for c in found.columns if c not in asked.columns and not c.startswith("prompt_")]
+    light = materialize(found.select("doc_id", "created_at", *own))
+    labeled = labeling.with_prompts(asked.join(light.drop("created_at"), "doc_id"), config)  # made when it is read
+    per_agent, final = labeling.label_rows(light, config, F.col("created_at"))
     rows = {
-        "documents": labeled.select("doc_id", "source", "text", "created_at"),
+        "documents": numbered.select("doc_id", "source", "text", "created_at"),
         "labels": store.with_index_fields(per_agent, config.index_fields),
         "final_labels": store.with_index_fields(final, config.index_fields),
     }
@@ -152,11 +158,11 @@ def label_corpus(
         rows["usage"] = reduce(DataFrame.unionByName, journal.usage)
     if config.retrieval:
         meta = F.create_map(F.lit("source"), F.col("source"))
-        rows["index"] = labeled.select("doc_id", "embedding", meta.alias("metadata"))
+        rows["index"] = numbered.select("doc_id", "embedding", meta.alias("metadata"))
     for name, part in rows.items():
         where.write(name, part, number, run)
     if config.retrieval:
-        cells.add(labeled.select("doc_id", "embedding"), "doc_id", run=run, batch=number)
+        cells.add(numbered.select("doc_id", "embedding"), "doc_id", run=run, batch=number)
     return labeled
 
 

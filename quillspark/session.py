@@ -61,18 +61,23 @@ def new_folder(spark: SparkSession) -> str:
 
 def drop_tables(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application; DataFrames that read them can't be used any more."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(_tables_folder(spark))
+    drop_folder(spark, _tables_folder(spark))
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete one intermediate table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
-def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
+def materialize(df: DataFrame, *partition_by: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back: cuts lineage and survives executor loss.
 
     A parquet table rather than an RDD checkpoint keeps column pruning, filter pushdown and the size
     statistics by which Spark decides on broadcast joins.
     """
     spark = df.sparkSession
-    path = new_folder(spark)
+    path = folder or new_folder(spark)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)

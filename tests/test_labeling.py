@@ -164,3 +164,21 @@ def test_document_hook(spark, tmp_path):
     docs = spark.createDataFrame([("x", "red")], "source string, text string")
     got = corpus.label_corpus(docs, _config(document_builder=builder), corpus.Store(str(tmp_path / "s")), fresh=True).first()
     assert got["text"] == "RED"
+
+
+def test_a_run_keeps_few_copies_of_the_texts(spark, tmp_path):
+    from pathlib import Path
+
+    from quillspark.catalog.labels import called_config
+    from quillspark.session import _tables_folder
+
+    text = F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(f" {i}")), 512) for i in range(40)])
+    docs = spark.range(300).select(F.lit("s").alias("source"), text.alias("text"))
+    docs.write.parquet(str(tmp_path / "docs"))
+    stored = lambda where: sum(p.stat().st_size for p in Path(where).rglob("*.parquet"))
+    tables = _tables_folder(spark)
+    before = stored(tables)
+    out = corpus.label_corpus(spark.read.parquet(str(tmp_path / "docs")), called_config(), corpus.Store(str(tmp_path / "store")), fresh=True)
+    assert stored(tables) - before < 2 * stored(tmp_path / "docs")
+    row = out.where("decided_by = 'agreement'").first()
+    assert row["prompt_a"].endswith("CODE:" + row["text"]) and row["prompt_adjudicator"] == ""
