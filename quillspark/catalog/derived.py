@@ -7,6 +7,8 @@ SQL, from the same columns, what the analysis must find.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,12 +113,17 @@ def test_alone_{k}(ready_{k}):
 """
 
 
-def _fill(template: str, **values: Column) -> Column:
-    """A column from a template whose ``{name}`` marks are replaced by columns."""
-    text = F.lit(template)
+def _fill(template: str | Column, **values: Column) -> Column:
+    """A column from a template whose ``{name}`` marks are replaced by columns.
+
+    A fixed template is cut at its marks and joined with the values in one pass; one that differs by row is searched.
+    """
+    if isinstance(template, str):
+        pieces = re.split(r"\{(\w+)\}", template)
+        return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(pieces) if i % 2 or p])
     for name, value in values.items():
-        text = F.replace(text, F.lit("{" + name + "}"), value)
-    return text
+        template = F.replace(template, F.lit("{" + name + "}"), value)
+    return template
 
 
 def _pick(options: tuple[str, ...], index: Column) -> Column:
@@ -138,7 +145,7 @@ def source_files(spark: SparkSession, sf: str) -> DataFrame:
         self_import=F.when(brand % 2 == 0, F.concat(F.lit("import mod"), k)).otherwise(F.lit("# standalone")),
         hooks=F.when(brand % 3 == 0, F.lit("[lambda x: x]")).otherwise(F.lit("[]")),
         note=F.concat_ws(" ", "p_name", "p_type"), decorator=_pick(DECORATORS, size % 6), base=_pick(BASES, brand % 4),
-        build=_pick(BUILD_CALLS, key % 17), binding=_pick(BINDINGS, size % 3), name=F.col("p_name"), k=k,
+        build=_fill(_pick(BUILD_CALLS, key % 17), k=k), binding=_fill(_pick(BINDINGS, size % 3), k=k), name=F.col("p_name"), k=k,
     )
     modules = part.select(
         F.col("p_brand").alias("project"), F.concat(F.lit("/src/"), "p_brand", F.lit("/"), home, F.lit(".py")).alias("file_path"),

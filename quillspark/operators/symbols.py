@@ -143,20 +143,38 @@ def build_parsed(sources: DataFrame, spread: bool = False) -> DataFrame:
     """Parse once and store: the analysis cache every table reads from.
 
     A file scan already comes in even splits, so texts are not shuffled; ``spread`` is for sources that
-    arrive in few partitions.
+    arrive in few partitions. Their number is given, because texts are small for the time that parsing takes: by
+    bytes, partitions would be merged to about as many as there are cores.
     """
     lines = F.split("text", r"\r\n|\r|\n")
     numbered = F.transform(lines, lambda line, i: F.when(is_code_line(line), i + 1))
     code = F.coalesce(F.filter(numbered, lambda n: n.isNotNull()), F.array().cast("array<int>"))
     if spread:
-        sources = sources.repartition("project", "qualified_name")
+        wanted = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        sources = sources.repartition(wanted, "project", "qualified_name")
     return materialize(parse_sources(sources).withColumn("code_lines", code).drop("text"))
 
 
+class _StoredOnUse(SymbolTables):
+    """Tables of which each is stored when it is first asked for."""
+
+    def __init__(self, views: SymbolTables):
+        self._views = views
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in {f.name for f in fields(SymbolTables)}:
+            raise AttributeError(name)
+        table = materialize(getattr(self._views, name))
+        setattr(self, name, table)
+        return table
+
+
 def build_tables(parsed: DataFrame) -> SymbolTables:
-    """The tables of parsed modules, stored flat so that each query reads only its columns and rows."""
-    views = table_views(parsed)
-    return SymbolTables(**{f.name: materialize(getattr(views, f.name)) for f in fields(views)})
+    """The tables of parsed modules, stored flat so that each query reads only its columns and rows.
+
+    A table is stored when it is first used: a query pays for the tables that it reads.
+    """
+    return _StoredOnUse(table_views(parsed))
 
 
 def save_tables(tables: SymbolTables, path: str) -> None:
@@ -177,7 +195,21 @@ def load_tables(spark: SparkSession, path: str) -> SymbolTables | None:
 def table_views(parsed: DataFrame) -> SymbolTables:
     """The tables as projections of parsed modules, without storing them."""
     key = [F.col("project"), F.col("qualified_name").alias("module"), F.col("file_path")]
-    stem = _stem(F.col("file_path"))
+    # Names under which symbols were imported. It and the stem are told once a module, not for each function and call.
+    pairs = F.flatten(
+        F.transform(
+            "imports",
+            lambda i: F.transform(
+                F.filter(i["imports"], lambda n: n != ""),
+                lambda n: F.struct(
+                    n.alias("n"),
+                    F.when(i["from_statement"] == "", n).otherwise(F.concat_ws(".", i["from_statement"], n)).alias("q"),
+                ),
+            ),
+        )
+    )
+    parsed = parsed.withColumn("_stem", _stem(F.col("file_path"))).withColumn("_pairs", pairs)
+    stem = F.col("_stem")
     # An unreadable or invalid file is never a test module, whatever its path.
     modules = parsed.select(
         *key, stem.alias("stem"), (F.col("valid") & is_test_path(F.col("qualified_name"))).alias("is_test")
@@ -227,22 +259,9 @@ def table_views(parsed: DataFrame) -> SymbolTables:
         "project", "module", "file_path", "f.*"
     )
 
-    pairs = F.flatten(
-        F.transform(
-            "imports",
-            lambda i: F.transform(
-                F.filter(i["imports"], lambda n: n != ""),
-                lambda n: F.struct(
-                    n.alias("n"),
-                    F.when(i["from_statement"] == "", n).otherwise(F.concat_ws(".", i["from_statement"], n)).alias("q"),
-                ),
-            ),
-        )
-    )
-
     def imported(name: Column) -> Column:
         """Qualified name under which a symbol was imported; the last import of a name wins."""
-        return F.try_element_at(F.filter(pairs, lambda p: p["n"] == name), F.lit(-1))["q"]
+        return F.try_element_at(F.filter("_pairs", lambda p: p["n"] == name), F.lit(-1))["q"]
 
     def call_row(c: Column) -> Column:
         owner = F.get("functions", c["function_ordinal"])

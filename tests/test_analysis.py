@@ -1,3 +1,4 @@
+import ast
 import json
 import random
 
@@ -9,7 +10,7 @@ from quillspark.operators.frameworks import detected_frameworks, framework_lists
 from quillspark.operators.substrings import substring_pairs
 from quillspark.operators.symbols import build_parsed, build_tables, local_types, with_inferred_receivers, with_local_receivers
 from quillspark.plans import analysis
-from quillspark.sources import schemas
+from quillspark.sources import pysource, schemas
 
 
 def build(spark, files, project="p"):
@@ -245,3 +246,35 @@ def test_local_types_follow_names(spark):
     assert got == {
         ("deep.py", 43, "v40"): "Foo", ("odd.py", 2, "a"): None, ("odd.py", 2, "b"): "Bar", ("odd.py", 2, "c"): None, ("odd.py", 4, "x"): None,
         ("odd.py", 6, "z"): "Foo", ("odd.py", 8, "x"): None, ("odd.py", 9, "w"): "Foo", ("odd.py", 11, "u"): None, ("odd.py", 14, "a"): None}
+
+
+def test_parsing_is_spread_over_all_partitions_and_stores_what_is_used(spark):
+    # small texts were merged to one task, and every table was stored whether it was asked for or not
+    rows = [("p", f"/s/m{i}.py", f"m{i}.py", f"def f{i}():\n    return {i}\n") for i in range(64)]
+    parsed = build_parsed(spark.createDataFrame(rows, schemas.SOURCES), spread=True)
+    tasks = parsed.select(F.input_file_name().alias("file")).distinct().count()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tables = build_tables(parsed)
+    stored = [tables.functions, tables.functions]
+    assert stored[0] is stored[1] and stored[0].count() == 64
+    assert set(vars(tables)) == {"_views", "functions"}
+    assert tables.methods_with_decorators(["tool"]).count() == 0
+
+
+def test_counts_of_functions_equal_a_walk_of_each():
+    text = (
+        "class A:\n    @deco(a and b)\n    def m(self, x=(1 if p or q else 2)):\n        def inner():\n            assert x and y or z\n"
+        "        for i in x:\n            with i as j, k:\n                pass\n        return lambda: u and v\n"
+        "if a or b:\n    def hidden():\n        assert 1\nasync def g():\n    try:\n        async with h() as w:\n            pass\n    except E:\n"
+        "        while (n := next(w)):\n            x.y.z(n, *r, k=n or m)\n"
+    )
+    facts = pysource.syntax_facts(text)
+    nodes = {n.name: n for n in ast.walk(ast.parse(text)) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))}
+    assert [f["name"] for f in facts["functions"]] == ["g", "m"]
+    for f in facts["functions"]:
+        inside = list(ast.walk(nodes[f["name"]]))
+        bools = [n for n in inside if isinstance(n, ast.BoolOp)]
+        assert f["branches"] == sum(isinstance(n, (ast.If, ast.For, ast.While, ast.ExceptHandler, ast.With)) for n in inside)
+        assert f["asserts"] == sum(isinstance(n, ast.Assert) for n in inside)
+        assert (f["bool_ops"], f["bool_operators"]) == (len(bools), sum(len(b.values) - 1 for b in bools))
+    assert [c["callee"] for c in facts["calls"]] == ["h", "next", "z"]  # a decorator is on no line of its function
