@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import agents, quality, tools
 from quillspark.operators.frameworks import detected_frameworks, framework_lists, module_frameworks
-from quillspark.operators.substrings import substring_pairs
+from quillspark.operators.substrings import candidates, substring_pairs
 from quillspark.operators.symbols import build_parsed, build_tables, local_types, with_inferred_receivers, with_local_receivers
 from quillspark.plans import analysis
 from quillspark.sources import pysource, schemas
@@ -233,6 +233,26 @@ def test_substring_pairs(spark):
     assert got == {("p", "abcabc", "bc"), ("p", "abcabc", "abcabc")}
 
 
+def test_numbered_names_meet_few_texts(spark):
+    # by grams of three characters each name met every text that shares three digits with it: 1 in 30 of all here
+    n = 2000
+    names = [f"{word}_{i}" for word in ("lookup", "go") for i in range(100000, 100000 + n)]
+    needles = spark.createDataFrame([("p", name) for name in [*names, "go"]], "project string, needle string")
+    texts = spark.createDataFrame([("p", f"[{name}, x]") for name in names], "project string, text string")
+    assert candidates(texts, needles, "project", "text", "needle").where("_needle <> 'go'").count() <= 4 * n
+    got = {tuple(r) for r in substring_pairs(texts, needles, "project", "text", "needle").collect()}
+    assert got == {("p", f"[{name}, x]", name) for name in names} | {("p", f"[{name}, x]", "go") for name in names if name.startswith("go")}
+
+
+def test_substring_pairs_of_all_lengths(spark):
+    letters = random.Random(5)
+    words = sorted({"".join(letters.choice("ab_é") for _ in range(size)) for size in range(1, 28) for _ in range(6)})
+    needles = spark.createDataFrame([("p", w) for w in words], "project string, needle string")
+    texts = spark.createDataFrame([("p", a + b) for a, b in zip(words, words[7:])], "project string, text string")
+    got = {tuple(r) for r in substring_pairs(texts, needles, "project", "text", "needle").collect()}
+    assert got == {("p", a + b, w) for a, b in zip(words, words[7:]) for w in words if w in a + b}
+
+
 def test_local_types_follow_names(spark):
     deep = "def f():\n    v0 = Foo()\n" + "".join(f"    v{i + 1} = v{i}\n" for i in range(40)) + "    v40.run()\n"
     odd = ("def f(a: 'Foo', b: lib.Bar, c: Optional[Foo]):\n    a.run(); b.run(); c.run()\n    x, y = Foo(), 1\n    x.run()\n    z: Foo = make()\n"
