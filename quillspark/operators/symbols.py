@@ -139,19 +139,40 @@ class SymbolTables:
         return self.functions.where(any_contains(F.col("decorators"), list(substrings)))
 
 
+def _spread(sources: DataFrame) -> DataFrame:
+    """Sources over all partitions. Their number is given, because texts are small for the time that parsing takes: by
+    bytes, partitions would be merged to about as many as there are cores."""
+    wanted = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sources.repartition(wanted, "project", "qualified_name")
+
+
+def decorated_functions(sources: DataFrame, substrings: Sequence[str], spread: bool = False) -> DataFrame:
+    """Functions and methods with a decorator that holds any of ``substrings``, straight from the sources.
+
+    It finds the rows of ``SymbolTables.methods_with_decorators`` without tables: only headers are read, nothing
+    is stored. Functions of a source that parses are there even where a statement is too deep for the tables.
+    """
+    parsed = parse_sources(_spread(sources) if spread else sources, headers=True)
+    rows = parsed.select(
+        "project", F.col("qualified_name").alias("module"), "file_path", _stem(F.col("file_path")).alias("_stem"), "classes",
+        F.explode("functions").alias("f"),
+    ).where(any_contains(F.col("f.decorators"), list(substrings)))
+    owner = F.get("classes", F.col("f.class_ordinal"))["class_name"]
+    return rows.select("project", "module", "file_path", F.concat_ws(".", "_stem", owner, "f.name").alias("qualified_name"),
+                       "f.name", owner.alias("class_name"), "f.decorators")
+
+
 def build_parsed(sources: DataFrame, spread: bool = False) -> DataFrame:
     """Parse once and store: the analysis cache every table reads from.
 
     A file scan already comes in even splits, so texts are not shuffled; ``spread`` is for sources that
-    arrive in few partitions. Their number is given, because texts are small for the time that parsing takes: by
-    bytes, partitions would be merged to about as many as there are cores.
+    arrive in few partitions.
     """
     lines = F.split("text", r"\r\n|\r|\n")
     numbered = F.transform(lines, lambda line, i: F.when(is_code_line(line), i + 1))
     code = F.coalesce(F.filter(numbered, lambda n: n.isNotNull()), F.array().cast("array<int>"))
     if spread:
-        wanted = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        sources = sources.repartition(wanted, "project", "qualified_name")
+        sources = _spread(sources)
     return materialize(parse_sources(sources).withColumn("code_lines", code).drop("text"))
 
 

@@ -30,6 +30,8 @@ FUNCTION = (
     "asserts:int,bool_ops:int,bool_operators:int>"
 )
 
+HEADER = "struct<class_ordinal:int,name:string,decorators:array<string>>"
+
 ARGUMENT = "struct<kind:string,text:string,keyword:string>"
 
 CALL = (
@@ -47,6 +49,8 @@ ASSIGNMENT = (
     "end_line:int,end_column:int>"
 )
 
+HEADERS = f"valid boolean, classes array<struct<class_name:string>>, functions array<{HEADER}>"
+
 PARSED = (
     f"valid boolean, imports array<{IMPORT}>, classes array<{CLASS}>, functions array<{FUNCTION}>, calls array<{CALL}>,"
     f" lambdas array<{LAMBDA}>, asserts array<{ASSERT}>, assignments array<{ASSIGNMENT}>"

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import agents, quality, tools
+from quillspark.operators import agents, quality, symbols, tools
 from quillspark.operators.frameworks import detected_frameworks, framework_lists, module_frameworks
 from quillspark.operators.substrings import candidates, substring_pairs
 from quillspark.operators.symbols import build_parsed, build_tables, local_types, with_inferred_receivers, with_local_receivers
@@ -281,6 +281,29 @@ def test_parsing_is_spread_over_all_partitions_and_stores_what_is_used(spark):
     assert tables.methods_with_decorators(["tool"]).count() == 0
 
 
+def test_decorated_functions_read_headers_alone(spark, monkeypatch):
+    # all facts were collected and two tables stored to tell the decorators
+    deep = "@tool\ndef f():\n    return " + ".".join(["a"] * 3000) + "()\n"
+    texts = {"a.py": "@x.tool(1, 'y')\ndef f():\n    pass\nclass A(B):\n    @y\n    @fixture_of([a, b], k=c)\n    async def m(self):\n        pass\n"
+                     "    @other\n    def n(self):\n        pass\n", "bad.py": "@tool\ndef (", "none.py": None, "void.py": "\0", "deep.py": deep}
+    sources = spark.createDataFrame([("p", f"/src/{n}", n, text) for n, text in texts.items()], schemas.SOURCES)
+    shown = lambda rows: {tuple(r) for r in rows.select("module", "qualified_name", "class_name", F.array_join("decorators", "|")).collect()}
+    tables = build_tables(build_parsed(sources))
+    expected = shown(tables.methods_with_decorators(["tool", "fixture"]))
+    monkeypatch.setattr(symbols, "materialize", None)
+    found = shown(symbols.decorated_functions(sources, ["tool", "fixture"], spread=True))
+    assert {r for r in found if r[0] != "deep.py"} == {r for r in expected if r[0] != "deep.py"}
+    assert found >= expected and {r[1] for r in found} == {"a.f", "a.A.m", "deep.f"}
+
+
+def test_short_texts_are_those_of_unparse():
+    for text in ("a", "a.b.c", "f(x, 'it''s', [1, None])", "f.g()(a).h", "1 .real", "u'x'", "1e999", "b'x'", "...", "[a, *b]", "f(*a)", "f(a, k=1)",
+                 "(a, b)", "f((a, b))", "-1", "f(-1)", "[]", "x[0].y", "(lambda: 1)()", "(await_ or b).c", "'a'.join(b)", "True", "[(yield_)]", "\"a'b\""):
+        node = ast.parse(text, mode="eval").body
+        assert pysource._text(node) == ast.unparse(node)
+    assert pysource._short_text(ast.parse("f.g(x, [1, 'a']).h", mode="eval").body) == "f.g(x, [1, 'a']).h"
+
+
 def test_counts_of_functions_equal_a_walk_of_each():
     text = (
         "class A:\n    @deco(a and b)\n    def m(self, x=(1 if p or q else 2)):\n        def inner():\n            assert x and y or z\n"
