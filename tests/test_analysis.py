@@ -296,6 +296,17 @@ def test_decorated_functions_read_headers_alone(spark, monkeypatch):
     assert found >= expected and {r[1] for r in found} == {"a.f", "a.A.m", "deep.f"}
 
 
+def test_metrics_of_functions_move_no_nested_statements(spark):
+    # statements and their texts were shuffled to be counted after the join, each call was classified in full to be counted
+    text = "import mock\ndef test_a(x):\n    assertTrue(x)\n    ASSERT_it(x)\n    mock.Patch(x)\n    assert x\n    assert not x\n"
+    rows = quality.function_metrics(build(spark, {"t.py": text}))
+    lines = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(i for i, line in enumerate(lines) if "Join LeftOuter" in line)
+    assert any("size(assert_statements" in line for line in lines[join:]) and not any("assert_statements" in line for line in lines[:join + 1])
+    assert not any("truthiness" in line for line in lines)
+    assert [(r["number_of_assertions"], r["number_of_mocking_used"], r["method_signature"]) for r in rows.collect()] == [(4, 1, "test_a(x)")]
+
+
 def test_short_texts_are_those_of_unparse():
     for text in ("a", "a.b.c", "f(x, 'it''s', [1, None])", "f.g()(a).h", "1 .real", "u'x'", "1e999", "b'x'", "...", "[a, *b]", "f(*a)", "f(a, k=1)",
                  "(a, b)", "f((a, b))", "-1", "f(-1)", "[]", "x[0].y", "(lambda: 1)()", "(await_ or b).c", "'a'.join(b)", "True", "[(yield_)]", "\"a'b\""):
